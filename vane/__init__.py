@@ -1 +1,8 @@
 """vane: observability and corpus analytics as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions go to the executors with their code, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
