@@ -1,6 +1,451 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library and their SQL.
+
+Each query runs an operator over whole driver tables; doubles are rounded on both sides, because sums in another order differ
+in the last digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vane.functions import text as T
+from vane.operators import baseline, bursts, incidents, rollup, scan, sequential, severity, traces
+from vane.sources import tables, wire
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def ntz(c: str = "timestamp"):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+LOGS = """logs AS (SELECT ts AS timestamp, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, 'user' || (user_id % 20) AS source,
+ event_type || ' user=' || user_id || ' value=' || printf('%.2f', value) || ' ' || props AS message, event_type AS kind, event_id AS seq, value FROM events)"""
+TEMPLATE = r"""trim(regexp_replace(regexp_replace(regexp_replace(message, '\b\d{1,3}(?:\.\d{1,3}){3}\b', '<*>', 'g'), '\b\d+(?:\.\d+)?\b', '<*>', 'g'), '\s+', ' ', 'g'))"""
+ZSCORE = """w AS (SELECT event_type AS name, event_id AS seq, ts AS timestamp, value, count(*) OVER h AS n, avg(value) OVER p AS mp, stddev_samp(value) OVER p AS sp, avg(value) OVER h AS mh, stddev_samp(value) OVER h AS sh
+ FROM events WINDOW p AS (PARTITION BY event_type{by} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h AS (PARTITION BY event_type{by} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ z AS (SELECT name, seq, timestamp, value, n, CASE WHEN n >= 12 THEN CASE WHEN n >= 3 AND coalesce(sp, 0) > 0 THEN (value - mp) / sp WHEN sh > 0 THEN (value - mh) / sh END END AS z FROM w)"""
+
+
+@query(f"WITH {ZSCORE.format(by='')} SELECT name, seq, n, round(z, 4) AS z FROM z")
+def metric_zscore(spark, d):
+    return rounded(baseline.metric_zscore(tables.metrics(spark, d), "name"), "z").select("name", "seq", "n", "z")
+
+
+@query(f"WITH {ZSCORE.format(by='')} SELECT name, seq, value, round(z, 4) AS z, CASE WHEN abs(z) >= 5 THEN 'critical' ELSE 'warning' END AS severity FROM z WHERE abs(z) >= 3")
+def metric_anomalies(spark, d):
+    return rounded(baseline.metric_anomalies(tables.metrics(spark, d), "name"), "z").select("name", "seq", "value", "z", "severity")
+
+
+@query(f"WITH {ZSCORE.format(by=', hour(ts)')} SELECT name, hour(timestamp)::INTEGER AS hour, seq, round(z, 4) AS z FROM z WHERE abs(z) >= 3")
+def seasonal_anomalies(spark, d):
+    m = tables.metrics(spark, d).withColumn("hour", F.hour("timestamp"))
+    return rounded(baseline.metric_anomalies(m, "name", "hour"), "z").select("name", "hour", "seq", "z")
+
+
+@query(f"WITH {ZSCORE.format(by='')} SELECT 'anomaly:' || name || ':' || seq AS id, CASE WHEN abs(z) >= 5 THEN 'critical' ELSE 'warning' END AS severity, printf('%s is %.1f deviations off', name, z) AS title, timestamp AS time FROM z WHERE abs(z) >= 3")
+def insights_ordered(spark, d):
+    a = baseline.metric_anomalies(tables.metrics(spark, d), "name")
+    rows = a.select(F.concat_ws(":", F.lit("anomaly"), "name", "seq").alias("id"), "severity", F.format_string("%s is %.1f deviations off", "name", "z").alias("title"), F.col("timestamp").cast("timestamp_ntz").alias("time"))
+    return incidents.ordered_insights(rows)
+
+
+@query()
+def changepoints(spark, d):
+    return baseline.changepoints(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name").select("name", "seq", F.round("arm", 4).alias("arm"), "direction")
+
+
+@query(f"""WITH {ZSCORE.format(by='')}, s AS (SELECT name, seq, timestamp, sum(z - 0.5) OVER (PARTITION BY name ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) AS p FROM z WHERE z IS NOT NULL),
+ a AS (SELECT *, p - least(min(p) OVER (PARTITION BY name ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING), 0) AS arm FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp, seq) AS k FROM a WHERE arm >= 5)
+ SELECT name, seq, round(arm, 4) AS arm FROM f WHERE k = 1""")
+def first_crossing(spark, d):
+    return rounded(baseline.first_crossing(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name"), "arm").select("name", "seq", "arm")
+
+
+@query("""WITH t AS (SELECT event_type AS name, event_id AS seq, ts, value - lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS d FROM events)
+ SELECT name, seq, round(CASE WHEN d >= 0 THEN d END, 4) AS delta FROM t""")
+def counter_delta(spark, d):
+    m = tables.metrics(spark, d).withColumn("user", F.col("labels")["user"])
+    return rounded(baseline.counter_delta(m, "value", "name", "user"), "delta").select("name", "seq", "delta")
+
+
+@query("""WITH t AS (SELECT user_id % 20 AS container, event_id AS seq, ts, sum(value) OVER w AS cpu_total, sum(value * 10 + 1) OVER w AS system_total, (user_id % 4) AS cpus FROM events WINDOW w AS (PARTITION BY user_id % 20 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+ u AS (SELECT *, cpu_total - lag(cpu_total) OVER w AS c, system_total - lag(system_total) OVER w AS s FROM t WINDOW w AS (PARTITION BY container ORDER BY ts, seq))
+ SELECT container, seq, round(CASE WHEN c IS NULL THEN NULL WHEN s <= 0 OR c < 0 THEN 0 ELSE c / s * (CASE WHEN cpus = 0 THEN 1 ELSE cpus END) * 100 END, 3) AS cpu_percent FROM u""")
+def container_cpu(spark, d):
+    from pyspark.sql import Window
+
+    e = tables.table(spark, d, "events").withColumn("timestamp", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id")).withColumn("container", F.col("user_id") % 20)
+    w = Window.partitionBy("container").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    c = e.select("container", "timestamp", "seq", F.sum("value").over(w).alias("cpu_total"), F.sum(F.col("value") * 10 + 1).over(w).alias("system_total"), (F.col("user_id") % 4).alias("cpus"))
+    return rounded(baseline.container_cpu(c), "cpu_percent", digits=3).select("container", "seq", "cpu_percent")
+
+
+@query()
+def host_outliers(spark, d):
+    """Hosts are users mod 10, a vector the values of five following events."""
+    e = tables.table(spark, d, "events")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("host").orderBy("ts", "event_id")
+    e = e.withColumn("host", F.col("user_id") % 10).withColumn("k", F.row_number().over(w) - 1)
+    v = e.groupBy("host", F.floor(F.col("k") / 5).alias("tick")).agg(*[F.max(F.when(F.col("k") % 5 == i, F.col("value"))).alias(f"f{i}") for i in range(5)], F.max(F.col("ts").cast("timestamp")).alias("timestamp"), F.max("event_id").alias("seq"))
+    out = baseline.host_outliers(v.dropna(), [f"f{i}" for i in range(5)], [0.25] * 5)
+    return rounded(out.where("severity IS NOT NULL"), "d2").select("host", "tick", "d2", "top_feature", "severity")
+
+
+@query(f"""WITH {ZSCORE.format(by='')}, a AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY name ORDER BY timestamp, seq) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM z WHERE abs(z) >= 3),
+ e AS (SELECT *, sum(new) OVER (PARTITION BY name ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS episode FROM a) SELECT name, episode, min(timestamp) AS opened, max(timestamp) AS last_seen, count(*) AS findings FROM e GROUP BY ALL""")
+def insight_episodes(spark, d):
+    e = baseline.episodes(baseline.metric_anomalies(tables.metrics(spark, d), "name"), "name", gap_seconds=21_600)
+    return e.select("name", "episode", ntz("opened"), ntz("last_seen"), "findings")
+
+
+@query("SELECT event_type AS name, event_id AS seq, value, ts AS timestamp FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 500")
+def query_metrics(spark, d):
+    from datetime import datetime, timezone
+
+    at = lambda day: datetime(2024, 1, day, tzinfo=timezone.utc)
+    m = scan.query_metrics(tables.metrics(spark, d), "error", {"user": "7"}, at(5), at(20), limit=500)
+    return m.select("name", "seq", "value", ntz())
+
+
+@query("WITH r AS (SELECT event_type AS name, event_id AS seq, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT name, seq FROM r WHERE k <= 20 ORDER BY ts DESC, seq DESC LIMIT 60")
+def newest_per_name(spark, d):
+    return scan.query_metrics(tables.metrics(spark, d), per_name=20, limit=60).select("name", "seq")
+
+
+@query(f"WITH {LOGS} SELECT seq, source, message FROM logs WHERE severity = 'error' AND source = 'user7' ORDER BY timestamp DESC, seq DESC LIMIT 100")
+def query_logs(spark, d):
+    return scan.query_logs(tables.logs(spark, d), "error", "user7", limit=100).select("seq", "source", "message")
+
+
+@query("SELECT l_orderkey AS trace_id, l_linenumber AS span_id, o_orderpriority AS service FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-02-01'")
+def query_spans(spark, d):
+    from datetime import datetime, timezone
+
+    at = lambda m: datetime(1998, m, 1, tzinfo=timezone.utc)
+    return scan.query_spans(tables.spans(spark, d), "1-URGENT", since=at(1), before=at(2)).select("trace_id", "span_id", "service")
+
+
+@query("SELECT event_id AS seq FROM events WHERE ts > TIMESTAMP '2024-01-25'")
+def retained(spark, d):
+    from datetime import datetime, timezone
+
+    return scan.retained(tables.metrics(spark, d), datetime(2024, 1, 31, tzinfo=timezone.utc), 6 * 86_400).select("seq")
+
+
+PHRASES = ["errors from user1", "error from user1", "show critical lines", "warn", "debug from 'user3'", "info please", "fatal and severe from user12,"]
+
+
+PHRASE_LIST = ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES)
+
+
+@query(rf"""WITH {LOGS}, p AS (SELECT unnest([{PHRASE_LIST}]) AS phrase), w AS (SELECT phrase, string_split_regex(lower(phrase), '[^a-z0-9]+') AS ws, trim(regexp_extract(phrase, 'from \s*(\S+)', 1), '"''.,') AS src FROM p),
+ f AS (SELECT phrase, CASE WHEN list_has_any(ws, ['error','fail','fatal','critical','severe']) THEN 'error' WHEN list_has_any(ws, ['warn','warning']) THEN 'warn' WHEN list_has_any(ws, ['debug']) THEN 'debug' END AS status, nullif(src, '') AS f_source FROM w)
+ SELECT phrase, status, f_source, count(l.seq)::BIGINT AS lines FROM f LEFT JOIN logs l ON (status IS NULL OR l.severity = status) AND (f_source IS NULL OR contains(lower(l.source), lower(f_source))) GROUP BY ALL""")
+def saved_search(spark, d):
+    phrases = spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
+    return scan.search_counts(phrases, tables.logs(spark, d))
+
+
+@query(f"WITH {LOGS} SELECT source, {TEMPLATE} AS template, count(*) AS lines, count(*) FILTER (WHERE severity IN ('error', 'fatal')) AS errors, max(timestamp) AS last_seen, arg_max(message, seq) AS sample FROM logs GROUP BY ALL")
+def log_templates(spark, d):
+    return rollup.log_templates(tables.logs(spark, d), "source").select("source", "template", "lines", "errors", ntz("last_seen"), "sample")
+
+
+@query(f"WITH {LOGS} SELECT {TEMPLATE} AS template, count(*) AS lines FROM logs GROUP BY ALL")
+def template_counts(spark, d):
+    return tables.logs(spark, d).groupBy(T.log_template(F.col("message")).alias("template")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""WITH {LOGS}, b AS (SELECT source, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) AS total FROM logs GROUP BY 1), c AS (SELECT *, least(100, errors / total / 0.25 * 100) AS consumed FROM b)
+ SELECT source, errors, total, round(consumed, 4) AS consumed, CASE WHEN consumed >= 90 THEN 'critical' WHEN consumed >= 70 THEN 'at-risk' ELSE 'healthy' END AS status FROM c""")
+def error_budget(spark, d):
+    return rounded(rollup.error_budget(tables.logs(spark, d), "source", slo=0.25), "consumed")
+
+
+@query("WITH m AS (SELECT event_type AS name, date_trunc('minute', ts) AS at, round(avg(value), 4) AS value FROM events GROUP BY ALL) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY at DESC) <= 20160")
+def minute_means(spark, d):
+    return rounded(rollup.minute_means(tables.metrics(spark, d)), "value").select("name", ntz("at"), "value")
+
+
+@query("SELECT event_type AS name, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def latest_values(spark, d):
+    return rollup.latest_values(tables.metrics(spark, d), "name")
+
+
+@query("SELECT user_id::VARCHAR AS pid, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS cpu, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'click') AS rss FROM events GROUP BY ALL ORDER BY coalesce(cpu, 0) DESC, pid LIMIT 15")
+def process_table(spark, d):
+    t = rollup.pivot_latest(tables.metrics(spark, d), F.col("labels")["user"], "pid", {"view": "cpu", "click": "rss"})
+    return t.orderBy(F.desc(F.coalesce("cpu", F.lit(0.0))), "pid").limit(15)
+
+
+PROBE = """p AS (SELECT user_id % 10 AS target, ts, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS up FROM events),
+ c AS (SELECT target, least(59, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / ((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(TIMESTAMP '2024-01-01')) / 60)))::INTEGER AS bucket, count(*) AS checks, sum(up) AS up FROM p WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' GROUP BY ALL),
+ g AS (SELECT target, bucket FROM (SELECT DISTINCT target FROM p), (SELECT unnest(range(60))::INTEGER AS bucket)),
+ s AS (SELECT g.target, g.bucket, coalesce(checks, 0) AS checks, CASE WHEN checks IS NULL THEN 'unknown' WHEN up = checks THEN 'operational' WHEN up = 0 THEN 'outage' ELSE 'degraded' END AS status FROM g LEFT JOIN c ON g.target = c.target AND g.bucket = c.bucket)"""
+
+
+@query(f"WITH {PROBE} SELECT * FROM s")
+def probe_uptime(spark, d):
+    return rollup.probe_uptime(tables.probes(spark, d), "2024-01-01", "2024-01-31")
+
+
+@query(f"WITH {PROBE} SELECT target, CASE WHEN count(*) FILTER (WHERE status <> 'unknown') = 0 THEN 0 ELSE round(count(*) FILTER (WHERE status = 'operational') / count(*) FILTER (WHERE status <> 'unknown') * 100, 4) END AS uptime, count(*) FILTER (WHERE status IN ('degraded', 'outage')) AS incidents FROM s GROUP BY target")
+def uptime_percent(spark, d):
+    return rollup.uptime_percent(rollup.probe_uptime(tables.probes(spark, d), "2024-01-01", "2024-01-31"))
+
+
+@query(f"WITH {LOGS} SELECT source, " + ", ".join(f"nullif(count(*) FILTER (WHERE hour(timestamp) = {h}), 0) AS h{h:02d}" for h in range(24)) + " FROM logs WHERE severity = 'error' GROUP BY source")
+def error_heatmap(spark, d):
+    return rollup.error_heatmap(tables.logs(spark, d))
+
+
+@query("WITH g AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day), c AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1) SELECT g.day::VARCHAR AS day, (g.day - dayofweek(g.day)::INTEGER)::DATE::VARCHAR AS week, dayofweek(g.day)::INTEGER AS weekday, c.n AS rows FROM g LEFT JOIN c ON g.day = c.day")
+def calendar_heatmap(spark, d):
+    c = rollup.calendar_heatmap(tables.metrics(spark, d))
+    return c.withColumns({k: F.col(k).cast("string") for k in ("day", "week")})
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.0), 4) AS min, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, round(quantile_cont(l_extendedprice, 1.0), 4) AS max FROM lineitem GROUP BY 1")
+def five_number(spark, d):
+    return rounded(rollup.five_number(tables.table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag"), "min", "q1", "median", "q3", "max")
+
+
+@query("""WITH e AS (SELECT (max(l_extendedprice) - min(l_extendedprice)) / 10 AS raw FROM lineitem), p AS (SELECT raw, pow(10.0, floor(log10(raw))) AS pw FROM e),
+ s AS (SELECT CASE WHEN raw <= pw THEN pw WHEN raw <= 2 * pw THEN 2 * pw WHEN raw <= 5 * pw THEN 5 * pw ELSE 10 * pw END AS step FROM p) SELECT floor(l_extendedprice / step) * step AS bucket, count(*) AS rows FROM lineitem, s GROUP BY 1""")
+def histogram_buckets(spark, d):
+    return rollup.histogram_buckets(tables.table(spark, d, "lineitem"), "l_extendedprice")
+
+
+@query("WITH t AS (SELECT c_mktsegment, sum(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1) SELECT c_mktsegment, round(total, 2) AS total, round(total / sum(total) OVER () * 100, 4) AS share FROM t")
+def share_of_total(spark, d):
+    c, o = tables.table(spark, d, "customer"), tables.table(spark, d, "orders")
+    s = rollup.share_of_total(c.join(o, c.c_custkey == o.o_custkey), "c_mktsegment", "o_totalprice")
+    return s.select("c_mktsegment", F.round("total", 2).alias("total"), F.round("share", 4).alias("share"))
+
+
+@query("WITH c AS (SELECT user_id::VARCHAR AS label, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS k FROM c) SELECT CASE WHEN k <= 8 THEN label ELSE 'Other' END AS label, sum(n)::BIGINT AS rows FROM r GROUP BY 1")
+def top_n_with_other(spark, d):
+    return rollup.top_n_with_other(tables.table(spark, d, "events"), "user_id")
+
+
+@query("""WITH c AS (SELECT list_position(['view', 'click', 'signup', 'purchase'], event_type)::INTEGER AS position, event_type AS stage, count(*) AS rows FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY ALL)
+ SELECT position, stage, rows, round(least(100, rows / first_value(rows) OVER w * 100), 4) AS of_first, CASE WHEN lag(rows) OVER w > 0 THEN round(least(100, rows / lag(rows) OVER w * 100), 4) END AS of_previous FROM c WINDOW w AS (ORDER BY position)""")
+def funnel(spark, d):
+    return rounded(rollup.funnel(tables.table(spark, d, "events"), "event_type", ["view", "click", "signup", "purchase"]), "of_first", "of_previous")
+
+
+@query("SELECT event_type AS name, count(value) AS samples, min(value) AS low, max(value) AS high, arg_max(value, (ts, event_id)) AS latest FROM events GROUP BY 1")
+def trend_summary(spark, d):
+    return rollup.trend_summary(tables.metrics(spark, d), "name")
+
+
+@query("""WITH t AS (SELECT event_type AS name, date_trunc('day', ts)::DATE AS day, count(*) AS n FROM events GROUP BY ALL), c AS (SELECT *, n - lag(n) OVER (PARTITION BY name ORDER BY day) AS change FROM t),
+ x AS (SELECT *, CASE WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down' WHEN change = 0 THEN 'flat' END AS direction FROM c) SELECT name, day::VARCHAR AS day, n, change, direction, CASE WHEN direction IS NULL OR direction = 'flat' THEN 'neutral' WHEN direction = 'up' THEN 'good' ELSE 'bad' END AS tone FROM x""")
+def period_delta(spark, d):
+    t = tables.metrics(spark, d).groupBy("name", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return rollup.period_delta(t, "day", "n", "name").withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {ZSCORE.format(by='')} SELECT name, CASE WHEN bool_or(abs(z) >= 5) THEN 'outage' ELSE 'degraded' END AS status FROM z WHERE abs(z) >= 3 GROUP BY name")
+def service_status(spark, d):
+    return rollup.service_status(baseline.metric_anomalies(tables.metrics(spark, d), "name"), "name")
+
+
+@query(f"WITH {LOGS} SELECT source, count(*) AS lines, count(*) FILTER (WHERE severity = 'debug') AS debug, count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'error') AS error FROM logs GROUP BY source")
+def log_counters(spark, d):
+    return rollup.log_counters(tables.logs(spark, d), "source")
+
+
+@query(f"WITH {LOGS} SELECT DISTINCT 'source' AS key, source AS value FROM logs UNION ALL SELECT 'status', unnest(['debug', 'info', 'warn', 'error'])")
+def facet_options(spark, d):
+    return rollup.facet_options(tables.logs(spark, d))
+
+
+@query("SELECT event_type AS name, count(DISTINCT event_type || ',user=' || user_id) AS series FROM events GROUP BY 1")
+def series_cardinality(spark, d):
+    return rollup.series_cardinality(tables.metrics(spark, d), T.series_key(F.col("name"), F.col("labels")))
+
+
+@query(f"""WITH {LOGS}, t AS (SELECT *, {TEMPLATE} AS template FROM logs),
+ c AS (SELECT source, template, seq, severity, count(*) OVER r AS recent, count(*) OVER b AS previous, sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY source, template ORDER BY epoch_us(timestamp) RANGE UNBOUNDED PRECEDING)::BIGINT AS errors FROM t
+  WINDOW r AS (PARTITION BY source, template ORDER BY epoch_us(timestamp) RANGE BETWEEN 14400000000 PRECEDING AND CURRENT ROW), b AS (PARTITION BY source, template ORDER BY epoch_us(timestamp) RANGE BETWEEN 28800000000 PRECEDING AND 14400000001 PRECEDING))
+ SELECT source, template, seq, recent, previous, errors, CASE WHEN errors > 0 OR recent >= 6 THEN 'critical' ELSE 'warning' END AS burst_severity FROM c WHERE recent >= 3 AND (previous = 0 OR recent >= 3 * previous)""")
+def log_bursts(spark, d):
+    b = bursts.log_bursts(tables.logs(spark, d), "source", seconds=14_400, at_least=3)
+    return b.select("source", "template", "seq", "recent", "previous", "errors", "burst_severity")
+
+
+@query(f"""WITH {ZSCORE.format(by='')}, k AS (SELECT name, timestamp FROM z WHERE abs(z) >= 5), e AS (SELECT event_type AS name, event_id AS seq, ts FROM events)
+ SELECT e.name, e.seq, EXISTS (SELECT 1 FROM k WHERE k.name = e.name AND k.timestamp > e.ts AND k.timestamp <= e.ts + INTERVAL 6 HOUR) AS followed, EXISTS (SELECT 1 FROM k WHERE k.name = e.name AND k.timestamp > e.ts - INTERVAL 1 MINUTE AND k.timestamp <= e.ts) AS co_occurring FROM e""")
+def followed_by_critical(spark, d):
+    m = tables.metrics(spark, d)
+    critical = baseline.metric_anomalies(m, "name").where("severity = 'critical'")
+    return bursts.followed_by_critical(m.select("name", "seq", "timestamp"), critical.select("name", "timestamp"), "name", within_seconds=21_600).select("name", "seq", "followed", "co_occurring")
+
+
+@query()
+def paging_scores(spark, d):
+    b = bursts.log_bursts(tables.logs(spark, d), "source", seconds=14_400, at_least=3)
+    critical = baseline.metric_anomalies(tables.metrics(spark, d), "name").where("severity = 'critical'").select(F.explode(F.array(*[F.lit(f"user{i}") for i in range(20)])).alias("source"), "timestamp")
+    x = bursts.paging_features(bursts.followed_by_critical(b, critical, "source", within_seconds=21_600))
+    return rounded(bursts.paging_score(x, bursts.paging_fit(x)), "paging_score").select("source", "template", "seq", "followed", "paging_score")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS trace_id, l_linenumber AS span_id, epoch_ms(l_shipdate)::DOUBLE AS st, l_extendedprice AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ t AS (SELECT *, min(st) OVER w AS f, greatest(1, max(st + d) OVER w - min(st) OVER w) AS total FROM s WINDOW w AS (PARTITION BY trace_id))
+ SELECT trace_id, span_id, round(st - f, 3) AS offset_ms, round(total, 3) AS total_ms, round(least(greatest((st - f) / total * 100, 0), 100), 4) AS offset_pct, round(least(greatest(d / total * 100, 0), 100), 4) AS width_pct FROM t""")
+def trace_waterfall(spark, d):
+    w = traces.waterfall(tables.spans(spark, d))
+    return w.select("trace_id", "span_id", F.round("offset_ms", 3).alias("offset_ms"), F.round("total_ms", 3).alias("total_ms"), F.round("offset_pct", 4).alias("offset_pct"), F.round("width_pct", 4).alias("width_pct"))
+
+
+@query("SELECT conv_id AS trace_id, turn AS span_id, turn::INTEGER AS depth FROM conversations")
+def span_depth(spark, d):
+    return traces.span_depth(tables.span_trees(spark, d))
+
+
+@query("SELECT conv_id AS trace_id, string_agg(role, ' > ' ORDER BY turn) AS path FROM conversations GROUP BY conv_id")
+def critical_path(spark, d):
+    return traces.critical_path(tables.span_trees(spark, d))
+
+
+@query("SELECT l_orderkey AS trace_id, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::INTEGER AS has_error, round(sum(l_extendedprice), 2) AS total_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY has_error DESC, total_ms DESC, trace_id LIMIT 1")
+def pick_trace(spark, d):
+    return rounded(traces.pick_trace(tables.spans(spark, d)), "total_ms", digits=2)
+
+
+@query("SELECT o_orderpriority AS service, l_returnflag AS name, count(*) AS spans, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def span_latency(spark, d):
+    return rounded(traces.span_latency(tables.spans(spark, d), "service", "name"), "p50", "p99")
+
+
+@query()
+def slow_spans(spark, d):
+    return rounded(traces.slow_spans(tables.spans(spark, d), "service", "name"), "p99").select("service", "name", "trace_id", "span_id", "duration_ms", "run", "p99", "severity")
+
+
+@query()
+def p2_quantiles(spark, d):
+    return rounded(sequential.p2_quantiles(tables.metrics(spark, d), "value", "name"), "quantile")
+
+
+@query()
+def learned_thresholds(spark, d):
+    return rounded(sequential.learned_thresholds(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name"), "warn", "critical")
+
+
+@query()
+def burn_forecast(spark, d):
+    """The spent share of each source's errors by day, as readings."""
+    from pyspark.sql import Window
+
+    day = tables.logs(spark, d).groupBy("source", F.to_date("timestamp").alias("day")).agg(F.count_if(F.col("severity") == "error").alias("errors"))
+    w = Window.partitionBy("source")
+    run = F.sum("errors").over(w.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) / F.greatest(F.sum("errors").over(w), F.lit(1)) * 90
+    r = day.select("source", F.unix_seconds(F.col("day").cast("timestamp")).alias("seconds"), run.alias("consumed"))
+    f = sequential.burn_forecast(r, "source", horizon_hours=24 * 365)
+    return rounded(f, "level", "trend", "soonest", "latest", "skill").withColumn("phrase", T.projection_phrase(F.col("soonest"), F.col("latest")))
+
+
+@query()
+def metric_forecast(spark, d):
+    f = sequential.metric_forecast(rollup.minute_means(tables.metrics(spark, d), grain="hour"))
+    return rounded(f, "value").select("name", ntz("at"), "value")
+
+
+@query()
+def incident_groups(spark, d):
+    a = baseline.metric_anomalies(tables.metrics(spark, d), "name")
+    rows = a.select(F.concat_ws(":", "name", F.lpad(F.col("seq").cast("string"), 12, "0")).alias("id"), F.lit("detector").alias("source"), F.array(F.col("labels")["user"], F.col("name")).alias("related"), "severity", F.col("timestamp").alias("time"), F.col("name").alias("title"))
+    g = incidents.incidents(rows, minutes=720)
+    return g.select("incident", "members", "severity", ntz("started"), ntz("ended"), "first_title", "story")
+
+
+@query()
+def culprits(spark, d):
+    """Hosts are users mod 10, processes users; a process's sigma is its running z-score."""
+    m = tables.metrics(spark, d).withColumn("pid", F.col("labels")["user"].cast("long")).withColumn("host", F.col("labels")["user"].cast("long") % 10)
+    p = baseline.metric_zscore(m, "pid").select("host", "pid", "timestamp", "seq", F.col("value").alias("cpu"), F.col("z").alias("sigma"))
+    a = baseline.metric_anomalies(m, "host").where("severity = 'critical'").select("host", "timestamp")
+    c = incidents.culprits(a, p, max_age_seconds=86_400)
+    return c.select("host", ntz("opened"), "rank", "pid", "cpu", F.round("sigma", 4).alias("sigma"))
+
+
+@query()
+def severity_scores(spark, d):
+    lines = tables.text_logs(spark, d)
+    hits, classes = severity.severity_fit(lines)
+    s = severity.severity_score(lines, hits, classes)
+    return s.select("seq", "severity", "predicted", F.round("confidence", 3).alias("confidence"), "answer")
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS m FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+ SELECT doc_id * 1000000 + line AS seq, CASE WHEN regexp_matches(lower(m), 'fatal|error|fail') THEN 'error' WHEN contains(lower(m), 'warn') THEN 'warn' WHEN contains(lower(m), 'debug') THEN 'debug' ELSE 'info' END AS severity FROM l""")
+def fallback_severity(spark, d):
+    return tables.text_logs(spark, d).select("seq", T.fallback_severity(F.col("message")).alias("severity"))
+
+
+@query("""WITH e AS (SELECT event_type AS name, 'u:' || (user_id % 3) AS tags, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS flush, round(value, 2) AS v, ts, event_id FROM events),
+ t AS (SELECT name, tags, flush, list_sort(list(v)) AS vs, sum(v) AS s, count(*) AS n FROM e WHERE name = 'view' GROUP BY ALL)
+ SELECT name, tags, flush, round(sum(v), 4) AS value FROM e WHERE name NOT IN ('view', 'click') GROUP BY ALL UNION ALL SELECT name, tags, flush, arg_max(v, (ts, event_id)) FROM e WHERE name = 'click' GROUP BY ALL
+ UNION ALL SELECT 'view_count', tags, flush, n FROM t UNION ALL SELECT 'view_sum', tags, flush, round(s, 4) FROM t UNION ALL SELECT 'view_p50', tags, flush, vs[floor(0.5 * (n - 1))::INTEGER + 1] FROM t
+ UNION ALL SELECT 'view_p90', tags, flush, vs[floor(0.9 * (n - 1))::INTEGER + 1] FROM t UNION ALL SELECT 'view_p99', tags, flush, vs[floor(0.99 * (n - 1))::INTEGER + 1] FROM t""")
+def statsd_rollup(spark, d):
+    kind = F.when(F.col("event_type") == "view", "ms").when(F.col("event_type") == "click", "g").otherwise("c")
+    line = F.format_string("%s:%.2f|%s|#u:%d", "event_type", "value", kind, F.col("user_id") % 3)
+    lines = tables.table(spark, d, "events").select(line.alias("value"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"))
+    r = wire.statsd_rollup(lines, "1 hour")
+    return r.select("name", "tags", ntz("flush"), F.round("value", 4).alias("value"))
+
+
+@query("SELECT event_type || '_total' AS name, user_id::VARCHAR AS user, max(value) AS value FROM events GROUP BY ALL")
+def exposition_rollup(spark, d):
+    """Events as scrapes in exposition text, one scrape a user, then read back and reduced."""
+    e = tables.table(spark, d, "events")
+    line = F.concat("event_type", F.lit('_total{user="'), F.col("user_id").cast("string"), F.lit('"} '), F.col("value").cast("string"))
+    scrapes = e.groupBy(F.col("user_id").alias("scrape")).agg(F.concat_ws("\n", F.lit("# TYPE x counter"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    s = wire.exposition_samples(scrapes)
+    return s.groupBy("name", F.col("labels")["user"].alias("user")).agg(F.max("value").alias("value"))
+
+
+@query("SELECT event_type AS name, user_id::VARCHAR AS user, ts AS timestamp, round(value, 6) AS value FROM events")
+def otlp_metrics(spark, d):
+    """Events as export requests, one a user and day, then flattened."""
+    e = tables.table(spark, d, "events")
+    point = F.struct((F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string").alias("timeUnixNano"), F.col("value").alias("asDouble"))
+    m = e.groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.collect_list(point).alias("dataPoints"))
+    m = m.groupBy("user_id", "day").agg(F.collect_list(F.struct(F.col("event_type").alias("name"), F.struct("dataPoints").alias("gauge"))).alias("metrics"))
+    attrs = F.array(F.struct(F.lit("user").alias("key"), F.struct(F.col("user_id").cast("string").alias("intValue")).alias("value")))
+    doc = F.struct(F.array(F.struct(F.struct(attrs.alias("attributes")).alias("resource"), F.array(F.struct("metrics")).alias("scopeMetrics"))).alias("resourceMetrics"))
+    flat = wire.otlp_metrics(m.select(F.to_json(doc).alias("value")))
+    return flat.select("name", F.col("labels")["user"].alias("user"), ntz(), F.round("value", 6).alias("value"))
+
+
+@query("""WITH m AS (SELECT event_type AS name, date_trunc('hour', ts) AS at, avg(value) AS v FROM events GROUP BY ALL), f AS (SELECT name, at + INTERVAL 1 HOUR AS at, v FROM m)
+ SELECT coalesce(m.name, f.name) AS name, coalesce(m.at, f.at) AS at, round(m.v, 4) AS observed, round(f.v, 4) AS forecast FROM m FULL JOIN f ON m.name = f.name AND m.at = f.at""")
+def forecast_against_actual(spark, d):
+    """Persistence one hour ahead against what came: every hour of either side."""
+    m = rollup.minute_means(tables.metrics(spark, d), grain="hour")
+    f = m.select("name", F.timestamp_add("HOUR", F.lit(1), "at").alias("at"), "value")
+    return rounded(rollup.outer_minutes(m, f), "observed", "forecast").select("name", ntz("at"), "observed", "forecast")
