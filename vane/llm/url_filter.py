@@ -43,11 +43,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of the distinct 3- to 5-grams of ^host$ and ^path$."""
 
-    def of(kind: str, text: Column) -> list[Column]:
+    def of(kind: str, text: Column, n: int) -> Column:
         text = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>")) for n in (3, 4, 5)]
+        hashed = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int"))
+        return F.when(F.length(text) >= n, hashed).otherwise(F.array().cast("array<int>"))
 
-    return F.array_distinct(F.concat(*of("host", host), *of("path", path)))
+    return F.array_distinct(F.concat(*[of(kind, text, n) for kind, text in (("host", host), ("path", path)) for n in (3, 4, 5)]))
 
 
 def fit_urls(labelled: DataFrame, max_urls: int = 2000, epochs: int = 15, rate: float = 0.5, buckets: int = BUCKETS) -> tuple[float, list[float]]:
