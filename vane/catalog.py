@@ -183,7 +183,7 @@ def error_budget(spark, d):
     return rounded(rollup.error_budget(tables.logs(spark, d), "source", slo=0.25), "consumed")
 
 
-@query("WITH m AS (SELECT event_type AS name, date_trunc('minute', ts) AS at, round(avg(value), 4) AS value FROM events GROUP BY ALL) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY at DESC) <= 20160")
+@query("""WITH m AS (SELECT event_type AS name, date_trunc('minute', ts) AS "at", round(avg(value), 4) AS value FROM events GROUP BY ALL) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY "at" DESC) <= 20160""")
 def minute_means(spark, d):
     return rounded(rollup.minute_means(tables.metrics(spark, d)), "value").select("name", ntz("at"), "value")
 
@@ -442,8 +442,8 @@ def otlp_metrics(spark, d):
     return flat.select("name", F.col("labels")["user"].alias("user"), ntz(), F.round("value", 6).alias("value"))
 
 
-@query("""WITH m AS (SELECT event_type AS name, date_trunc('hour', ts) AS at, avg(value) AS v FROM events GROUP BY ALL), f AS (SELECT name, at + INTERVAL 1 HOUR AS at, v FROM m)
- SELECT coalesce(m.name, f.name) AS name, coalesce(m.at, f.at) AS at, round(m.v, 4) AS observed, round(f.v, 4) AS forecast FROM m FULL JOIN f ON m.name = f.name AND m.at = f.at""")
+@query("""WITH m AS (SELECT event_type AS name, date_trunc('hour', ts) AS "at", avg(value) AS v FROM events GROUP BY ALL), f AS (SELECT name, "at" + INTERVAL 1 HOUR AS "at", v FROM m)
+ SELECT coalesce(m.name, f.name) AS name, coalesce(m."at", f."at") AS "at", round(m.v, 4) AS observed, round(f.v, 4) AS forecast FROM m FULL JOIN f ON m.name = f.name AND m."at" = f."at" """)
 def forecast_against_actual(spark, d):
     """Persistence one hour ahead against what came: every hour of either side."""
     m = rollup.minute_means(tables.metrics(spark, d), grain="hour")
