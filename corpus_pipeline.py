@@ -17,16 +17,21 @@ from vane.llm.packing import pack_documents
 from vane.plans.shared import stored
 
 
+#: Ids up to this many (8 bytes each) go to all executors; more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is not in ids (doc_id); rows without a doc_id are matched too."""
     gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    gone = F.broadcast(gone) if ids.count() <= MAX_BROADCAST_IDS else gone.hint("merge")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts. It is trained on the rows that op2 may learn from."""
-    found = identify(docs, docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return without(docs, stored(found.where("rejected").select("doc_id"), "rejected"))
+    found = identify(docs, docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), carried=docs.columns)
+    return found.where("NOT rejected").select(*docs.columns)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,8 +147,9 @@ def scores(texts: list[str], model: dict) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000) -> DataFrame:
-    """doc_id, lang_pred, score, rejected: of every row of docs (doc_id, text). train: rows to learn from (doc_id, text, lang)."""
+def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: list[str] | None = None) -> DataFrame:
+    """doc_id (or the carried columns of docs, text among them), lang_pred, score, rejected: of every row of docs. train: rows to learn from (doc_id, text, lang)."""
+    carried = carried or ["doc_id"]
     model = fit(training_rows(train, max_docs))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
@@ -161,10 +162,10 @@ def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000) -> DataFra
             p = softmax(scores([texts[i] for i in good], m) / m["temperature"])
             for i, best, q in zip(good, p.argmax(1), p.max(1)):
                 pred[i], score[i], rejected[i] = m["languages"][best], min(1.0, float(q)), bool(q < m["threshold"])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(pred), pa.array(score), pa.array(rejected)], [*carried, "lang_pred", "score", "rejected"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), "text", work, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return map_texts(docs.select(*dict.fromkeys([*carried, "text"])), "text", work, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
