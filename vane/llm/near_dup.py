@@ -4,12 +4,14 @@
 2. A class's sketch is the `k` smallest hashes. Two classes of Jaccard similarity >= `similarity` share at least `need`
    retained values: for sets that fit into the sketch this is exact; for larger ones `need` lies so far below k * similarity
    that a binomial tail bounds the chance of missing a link (k 64, need 30: below 1e-10 a pair at the threshold).
-3. So a class must share one of its `k - need + 1` rarest retained values with any partner. Values that one class holds are
+3. A class whose own shingles, held by no other class, are too many for the threshold has no partner (exact, on full sets).
+   Of the rest, a class must share one of its `k - need + 1` rarest retained values with any partner. Values that one class holds are
    rarest and have no partner; a class with enough of them is out. The others' rarest values make the inverted lists.
-4. Each list links its members to its smallest one (a star, linear in the list). Candidates pass if the sketch of the union
+4. Each list links its members to the one that shares the largest part of its shingles (a star, linear in the list). Candidates pass if the sketch of the union
    estimates enough similarity, and are then verified by exact Jaccard on the full sets. Links merge into components.
-5. Lists whose members are still in several components are compared exhaustively, block against block; the pairs
-   whose sizes fit go through the same estimate and the same exact check. No list is capped.
+5. Lists whose members are still in several components are compared exhaustively, block against block. Pairs
+   from small lists go through the same estimate and exact check; tasks of large lists hold the full sets and verify there, so
+   that only links leave them. No list is capped.
 
 Step 5 compares only members of different components, so a large group of copies costs its size, not its square.
 
@@ -34,7 +36,9 @@ from vane.plans.shared import stored
 
 K, NEED = 64, 30
 #: Members of a block of a list, and rows of a task, in the exhaustive comparison.
-BLOCK, TASK_ROWS = 256, 20_000
+BLOCK, TASK_ROWS, TASK_SHINGLES = 1024, 20_000, 1_000_000
+#: Lists up to this many members give pairs to verify; larger ones are verified where they are compared.
+SMALL = 32
 #: Class ids up to this many are sent to all executors (8 bytes each); beyond it they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -139,56 +143,132 @@ def inverted_lists(classes: DataFrame, similarity: float, k: int, need: int, rou
     return ranked.select("class_id", F.explode("rare.value").alias("value"))
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """a, b with a < b: every member of a list and the list's smallest member, once."""
-    heads = stored(lists.groupBy("value").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last").select("value", "a"), "heads")
-    return lists.join(heads, "value").where("a < class_id").select("a", F.col("class_id").alias("b")).distinct()
+def with_shared(classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """The classes that can still have a partner, with shared: how many of their shingles another class holds; and their full sets.
 
+    Two sets share at most what each of them shares with anyone, so a class with too many shingles of its own is out.
+    """
+    sets = stored(full_sets(docs, classes.select("class_id", "set_doc"), width), "full-sets")
+    alone = sets.select("class_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("class_id").alias("class_id")).where("holders = 1")
+    alone = alone.groupBy("class_id").agg(F.count(F.lit(1)).alias("own"))
+    shared = classes.join(alone, "class_id", "left").select("class_id", "n", "sketch", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+    return stored(shared.where(100 * F.col("shared") >= round(100 * similarity) * F.col("n")), "partners"), sets
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, width: int, k: int, need: int) -> DataFrame:
+
+def star_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b with a < b: every member of a list and the list's head, once. The head shares the largest part of its shingles: the text that copies were made from comes before the copies."""
+    ranked = lists.join(classes.select("class_id", F.struct((-F.col("shared") / F.col("n")).alias("r"), F.col("class_id").alias("head")).alias("rank")), "class_id")
+    ranked = stored(ranked.select("value", "class_id", "rank"), "ranked")
+    heads = stored(ranked.groupBy("value").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "rank.head"), "heads")
+    both = ranked.join(heads, "value").where("head <> class_id")
+    return both.select(F.least("head", "class_id").alias("a"), F.greatest("head", "class_id").alias("b")).distinct()
+
+
+def can_be_similar(similarity: float) -> Column:
+    """On n_a, n_b and shared_a, shared_b: an intersection as large as the threshold needs is possible."""
+    return (100 + round(100 * similarity)) * F.least("shared_a", "shared_b") >= round(100 * similarity) * (F.col("n_a") + F.col("n_b"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, k: int, need: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
-    sizes = lambda side: classes.select(F.col("class_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    sizes = lambda side: classes.select(F.col("class_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("shared").alias(f"shared_{side}"), F.col("sketch").alias(f"s_{side}"))
     near = pairs.join(sizes("a"), "a").join(sizes("b"), "b")
-    near = near.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (similarity - 1e-9)).where(may_be_similar(F.col("s_a"), F.col("s_b"), k, need))
+    near = near.where(can_be_similar(similarity)).where(may_be_similar(F.col("s_a"), F.col("s_b"), k, need))
     near = stored(near.select("a", "b"), "near-pairs")
-    wanted = near.select(F.col("a").alias("class_id")).union(near.select(F.col("b").alias("class_id"))).distinct()
-    wanted = stored(classes.select("class_id", "set_doc").join(wanted, "class_id", "left_semi"), "wanted")
-    sets = stored(full_sets(docs, wanted, width), "full-sets")
     side = lambda name: sets.select(F.col("class_id").alias(name), F.col("shingles").alias(f"set_{name}"))
     return near.join(side("a"), "a").join(side("b"), "b").where(similar(F.col("set_a"), F.col("set_b"), similarity)).select("a", "b")
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """a, b of different components and fitting sizes that share a list. A list is cut into blocks of about BLOCK members; each
-    pair of blocks is one unit of work, and units are dealt by hash into tasks of about TASK_ROWS rows."""
-    sized = lists.join(classes.select("class_id", "n"), "class_id")
-    placed = stored(sized.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("value", "class_id", "n", F.coalesce("component", "class_id").alias("component")), "placed")
+def open_lists(lists: DataFrame, labels: DataFrame, partners: DataFrame) -> DataFrame:
+    """value, class_id, component, members of the lists whose members are in several components."""
+    placed = stored(lists.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("value", "class_id", F.coalesce("component", "class_id").alias("component")), "placed")
     mixed = placed.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
-    mixed = stored(mixed.select("value", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
-    total = mixed.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    rows = placed.join(mixed, "value").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return stored(placed.join(stored(mixed.select("value", "members"), "mixed"), "value"), "open-lists")
+
+
+def dealt_blocks(rows: DataFrame, weight: Column, per_task: int) -> DataFrame:
+    """rows once for each pair of blocks (lo, hi) of their list that they take part in, with the task that compares the pair."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    total = rows.agg(F.sum(weight * F.col("blocks"))).first()[0] or 0
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    task = F.pmod(F.xxhash64("value", lo, hi), F.lit(max(1, -(-total // TASK_ROWS)))).cast("int")
-    rows = rows.select(task.alias("task"), "value", lo.alias("lo"), hi.alias("hi"), "block", "class_id", "component", "n")
+    task = F.pmod(F.xxhash64("value", lo, hi), F.lit(max(1, -(-total // per_task)))).cast("int")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*[c for c in rows.columns if c != "blocks"], lo.alias("lo"), hi.alias("hi"), task.alias("task"))
+
+
+def block_pairs(pdf: pd.DataFrame):
+    """Index ranges (x, y) of the rows to compare, of every pair of blocks in pdf (sorted by value, lo, hi, block)."""
+    value, lo, hi, block = (pdf[c].to_numpy() for c in ("value", "lo", "hi", "block"))
+    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    for s, e in zip(new, np.r_[new[1:], len(value)]):
+        same = lo[s] == hi[s]
+        cut = e if same else s + int(np.searchsorted(block[s:e], hi[s]))
+        yield np.arange(s, cut), np.arange(s if same else cut, e)
+
+
+def possible(pdf: pd.DataFrame, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of different components whose shared shingles allow enough similarity."""
+    comp, n, shared = (pdf[c].to_numpy() for c in ("component", "n", "shared"))
+    return (comp[x][:, None] != comp[y]) & ((100 + percent) * np.minimum(shared[x][:, None], shared[y]) >= percent * (n[x][:, None] + n[y]))
+
+
+def pairs_frame(found: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64), columns=["a", "b"])
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b to verify, from lists of at most SMALL members: no more than SMALL a row."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["value", "lo", "hi", "block"], kind="stable")
+        ids, found = pdf.class_id.to_numpy(), []
+        for x, y in block_pairs(pdf):
+            i, j = np.nonzero(possible(pdf, x, y, percent))
+            found.append(np.stack([np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])], 1))
+        return pairs_frame(found)
+
+    return dealt_blocks(rows, F.lit(1), TASK_ROWS).groupBy("task").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two blocks of sets, by products of their incidence matrices, some thousand shingles at a time."""
+    at_left, at_right = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right))
+    all_left, all_right = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(all_left, all_right)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for s in range(0, len(common), 4096):
+        part = common[s : s + 4096]
+        sides = []
+        for at, values, n in ((at_left, all_left, len(left)), (at_right, all_right, len(right))):
+            k = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[k] == values
+            held = np.zeros((n, len(part)), np.float32)
+            held[at[hit], k[hit]] = 1
+            sides.append(held)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def links_in_large_lists(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of exact similarity, from lists of more than SMALL members. Their tasks hold the full sets, so only links come out."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["value", "lo", "hi", "block"], kind="stable")
-        value, lo, hi, block = (pdf[c].to_numpy() for c in ("value", "lo", "hi", "block"))
-        ids, comp, n = (pdf[c].to_numpy() for c in ("class_id", "component", "n"))
-        new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        found = []
-        for s, e in zip(new, np.r_[new[1:], len(value)]):
-            same = lo[s] == hi[s]
-            cut = e if same else s + int(np.searchsorted(block[s:e], hi[s]))
-            x, y = np.arange(s, cut), np.arange(s if same else cut, e)
-            good = (comp[x][:, None] != comp[y]) & (np.minimum(n[x][:, None], n[y]) >= np.maximum(n[x][:, None], n[y]) * (similarity - 1e-9))
-            i, j = np.nonzero(good)
-            p, q = ids[x[i]], ids[y[j]]
-            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-
-    return rows.groupBy("task").applyInPandas(compare, "a bigint, b bigint").distinct()
+        ids, n, found = pdf.class_id.to_numpy(), pdf.n.to_numpy(), []
+        full = pdf.shingles.tolist()
+        for x, y in block_pairs(pdf):
+            good = possible(pdf, x, y, percent)
+            x, y = x[good.any(1)], y[good.any(0)]
+            if not len(x):
+                continue
+            both = overlaps([full[i] for i in x], [full[j] for j in y])
+            i, j = np.nonzero(possible(pdf, x, y, percent) & (100 * both >= percent * (n[x][:, None] + n[y] - both)))
+            found.append(np.stack([np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])], 1))
+        return pairs_frame(found)
+
+    dealt = dealt_blocks(rows, F.col("n"), TASK_SHINGLES)
+    return dealt.join(sets, "class_id").groupBy("task").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, k: int = K, need: int = NEED) -> DataFrame:
@@ -198,15 +278,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, k:
     classes = seen.where("class_id IS NOT NULL").groupBy("class_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("set_doc"))
     classes = stored(classes, "classes")
     lists = stored(inverted_lists(classes, similarity, k, need), "inverted")
-    taking_part = stored(classes.join(lists.select("class_id").distinct(), "class_id", "left_semi"), "taking-part")
-    links = stored(verified(star_pairs(lists), docs, taking_part, similarity, width, k, need), "links")
+    partners, sets = with_shared(classes.join(lists.select("class_id").distinct(), "class_id", "left_semi"), docs, similarity, width)
+    lists = stored(lists.join(partners.select("class_id"), "class_id", "left_semi"), "inverted-left")
+    links = stored(verified(star_pairs(lists, partners), partners, sets, similarity, k, need), "links")
     labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    open_ = stored(open_pairs(lists, labels, taking_part, similarity), "open-pairs")
-    if open_.limit(1).count():
-        more = stored(verified(open_, docs, taking_part, similarity, width, k, need), "more-links")
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    rows = open_lists(lists, labels, partners).join(partners.select("class_id", "n", "shared"), "class_id")
+    percent = round(100 * similarity)
+    few = verified(open_pairs(rows.where(F.col("members") <= SMALL), percent), partners, sets, similarity, k, need)
+    more = stored(few.union(links_in_large_lists(rows.where(F.col("members") > SMALL), sets, percent)), "more-links")
+    if more.limit(1).count():
+        links = links.union(more)
+        labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     least = classes.select("class_id", "set_doc").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     roots = stored(least.where("component IS NOT NULL").groupBy("component").agg(F.min("set_doc").alias("root_doc")), "roots")
     named = stored(least.join(roots, "component", "left").select("class_id", F.coalesce("root_doc", "set_doc").alias("least_doc")), "named")
