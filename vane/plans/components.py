@@ -21,7 +21,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     labels = stored(labels.select("node", F.least("node", "least").alias("component")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        near = stored(near, "near")
         lower = stored(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), "lower")
         up = lower.select(F.col("node").alias("at"), F.col("component").alias("above"))
         jumped = lower.join(up, lower.component == up["at"], "left").select("node", "old", F.least("component", F.coalesce("above", "component")).alias("component"))
