@@ -103,7 +103,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     frequent = frequent_lines(hashed, min_docs, batches, fanout)
     hits = hashed.select("doc_id", F.explode("hashes").alias("key_hash")).join(frequent, "key_hash", "left_semi")
     hits = stored(hits.groupBy(F.col("doc_id").alias("_hit_doc")).agg(F.collect_set("key_hash").alias("_hit_hashes")), "line-hits")
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_doc")), "left")
+    # always dealt by doc_id: most documents have hits, so their list grows with the corpus
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hit_doc")), "left")
     hit = F.col("_hit_hashes")
     # coalesce: a line too short to have a key stays
     kept = F.filter(F.col("_lines"), lambda line: ~F.coalesce(F.array_contains(hit, key_hash(line, min_chars)), F.lit(False)))
