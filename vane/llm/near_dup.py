@@ -11,7 +11,7 @@
    estimates enough similarity, and are then verified by exact Jaccard on the full sets. Links merge into components.
 5. Lists whose members are still in several components are compared exhaustively, block against block. Pairs
    from small lists go through the same estimate and exact check; tasks of large lists hold the full sets and verify there, so
-   that only links leave them. No list is capped.
+   that only links leave them, a spanning forest a block. No list is capped.
 
 Step 5 compares only members of different components, so a large group of copies costs its size, not its square.
 
@@ -250,8 +250,26 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Those of the links (a[i], b[i]) that connect what the earlier ones leave apart: fewer than their ends."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
 def links_in_large_lists(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of exact similarity, from lists of more than SMALL members. Their tasks hold the full sets, so only links come out."""
+    """a, b of exact similarity, from lists of more than SMALL members. Their tasks hold the full sets, so only links come out, and of the links between two blocks only a spanning forest."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["value", "lo", "hi", "block"], kind="stable")
@@ -264,7 +282,9 @@ def links_in_large_lists(rows: DataFrame, sets: DataFrame, percent: int) -> Data
                 continue
             both = overlaps([full[i] for i in x], [full[j] for j in y])
             i, j = np.nonzero(possible(pdf, x, y, percent) & (100 * both >= percent * (n[x][:, None] + n[y] - both)))
-            found.append(np.stack([np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])], 1))
+            a, b = ids[x[i]], ids[y[j]]
+            tree = forest(a, b)
+            found.append(np.stack([np.minimum(a, b)[tree], np.maximum(a, b)[tree]], 1))
         return pairs_frame(found)
 
     dealt = dealt_blocks(rows, F.col("n"), TASK_SHINGLES)
