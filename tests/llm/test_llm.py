@@ -260,6 +260,17 @@ def test_warc_round_trip(spark):
     assert len(got) == len(rows) and all((r.record_type, r.refers_to) == want[r.page_id] and r.payload_bytes == len(html[r.page_id]) and r.payload_digest == base64.b32encode(hashlib.sha1(html[r.page_id]).digest()).decode() for r in got)
 
 
+def test_warc_equals_sql(spark, tmp_path):
+    html = spark.createDataFrame([(i, f"http://h{i % 4}.example/{i}", [None, "", "é", "é", f"<p>{i}"][i % 5]) for i in range(40)], "page_id long, url string, html string")
+    html.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = warc.op7_warc(spark, str(tmp_path))
+    assert got.columns == c.sql(warc.OP7_SQL).columns
+    want = c.sql(warc.OP7_SQL).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and {r[3] for r in want} == {"response", "revisit"}
+
+
 def test_loser_tree_merges():
     rows = lambda *xs: [(f"{x:03d}", "", x, "", None, "", 0, "a", 0) for x in xs]
     for runs in ([], [rows(1)], [rows(1, 4, 9), rows(2, 2, 8), rows(0)], [rows(5), rows(1, 2), rows(), rows(3), rows(4)]):

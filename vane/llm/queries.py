@@ -11,10 +11,10 @@ from vane.llm.packing import op6_packing
 from vane.llm.pii import op1_pii
 from vane.llm.quality import op3_quality
 from vane.llm.url_filter import op5_url_filter
-from vane.llm.warc import op7_warc
+from vane.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_language, op3_quality, op4_line_dedup, op5_url_filter, op6_packing, op7_warc, op8_near_dup, op9_decontamination, op10_licenses)}
 
 
-#: op7's digest is base32, which SQL lacks; the queries not listed are learned or iterative. Tests hold them against brute force.
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
+#: The queries not listed are learned or iterative. Tests hold them against brute force.
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_warc": OP7_SQL}

@@ -211,8 +211,16 @@ def merged_captures(captures: DataFrame, per_range: int = 50_000) -> DataFrame:
     return dealt.mapInArrow(merge, f"{CAPTURE}, merge_range int, merge_at bigint")
 
 
+OP7_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
+r AS (SELECT page_id, strlen(payload) AS payload_bytes, digest, min(page_id) OVER (PARTITION BY digest) AS first_page FROM p)
+SELECT page_id, payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(digest, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4))::INTEGER) & 31))::INTEGER, 1) FOR i IN range(32)], '') AS payload_digest,
+ CASE WHEN page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM r"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     captures = merged_captures(read_archives(spark, path))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "merge_range", "merge_at")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
