@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vane.functions import text as T
-from vane.operators import baseline, bursts, incidents, rollup, scan, sequential, severity, traces
+from vane.operators import baseline, bursts, incidents, report, rollup, scan, sequential, severity, traces
+from vane.plans.shared import new_path
 from vane.sources import tables, wire
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,3 +450,67 @@ def forecast_against_actual(spark, d):
     m = rollup.minute_means(tables.metrics(spark, d), grain="hour")
     f = m.select("name", F.timestamp_add("HOUR", F.lit(1), "at").alias("at"), "value")
     return rounded(rollup.outer_minutes(m, f), "observed", "forecast").select("name", ntz("at"), "observed", "forecast")
+
+
+@query("""SELECT user_id::VARCHAR AS id, 'user' || user_id AS name, '' AS image, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS cpu, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'click') AS memory FROM events GROUP BY user_id""")
+def container_table(spark, d):
+    user = F.col("labels")["user"]
+    m = tables.metrics(spark, d).withColumn("labels", F.create_map(F.lit("container_id"), user, F.lit("container_name"), F.concat(F.lit("user"), user)))
+    return report.container_table(m, "view", "click")
+
+
+@query(f"WITH {LOGS}, c AS (SELECT {TEMPLATE} AS template, count(*) AS lines, count(*) FILTER (WHERE severity = 'error') AS errors FROM logs GROUP BY ALL) SELECT template, round(errors / lines, 4) AS value FROM c ORDER BY errors / lines DESC, lines DESC, template LIMIT 8")
+def top_templates(spark, d):
+    c = rollup.log_templates(tables.logs(spark, d)).withColumn("score", F.col("errors") / F.col("lines"))
+    return rounded(report.top_templates(c), "value")
+
+
+@query("""WITH s AS (SELECT user_id::VARCHAR AS user, date_diff('microsecond', min(ts), max(ts)) AS span FROM events GROUP BY 1), r(range, below) AS (VALUES ('15m', 0), ('1h', 900), ('6h', 3600), ('24h', 21600), ('7d', 86400))
+ SELECT s.user, r.range FROM s JOIN r ON r.below = 0 OR r.below * 1000000::BIGINT < s.span""")
+def offered_ranges(spark, d):
+    return report.offered_ranges(tables.metrics(spark, d).withColumn("user", F.col("labels")["user"]), "user")
+
+
+@query("""WITH f AS (SELECT user_id, bool_or(event_type = 'view' AND value > 100) AS exported, bool_or(event_type = 'click' AND value > 100) AS dataset_known, bool_or(value > 200) AS model_known, bool_or(event_type = 'error' AND value > 50) AS has_champion, bool_or(event_type = 'view' AND value > 50) AS active_job FROM events GROUP BY 1)
+ SELECT user_id, CASE WHEN model_known AND has_champion THEN 'ready' WHEN model_known AND active_job THEN 'training' WHEN model_known THEN 'no-champion' WHEN dataset_known OR exported THEN 'missing' ELSE 'waiting-for-data' END AS state FROM f""")
+def dataset_status(spark, d):
+    """A user's events stand in for a model's registry entry."""
+    kind, v = F.col("event_type"), F.col("value")
+    flags = {"exported": (kind == "view") & (v > 100), "dataset_known": (kind == "click") & (v > 100), "model_known": v > 200, "has_champion": (kind == "error") & (v > 50), "active_job": (kind == "view") & (v > 50)}
+    r = tables.table(spark, d, "events").groupBy("user_id").agg(*[F.bool_or(f).alias(k) for k, f in flags.items()])
+    return report.dataset_status(r).select("user_id", "state")
+
+
+@query(f"""WITH {LOGS}, c AS (SELECT source, {TEMPLATE} AS template, count(*) AS lines, count(*) FILTER (WHERE severity = 'error') AS errors FROM logs GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lines DESC, template) AS k FROM c QUALIFY k <= 10)
+ SELECT source, to_json(list({{'rank': k, 'count': lines, 'errorCount': errors, 'template': CASE WHEN length(template) > 20 THEN substr(template, 1, 20) || '…' ELSE template END}} ORDER BY k))::VARCHAR AS payload FROM r GROUP BY source""")
+def summary_payload(spark, d):
+    return report.summary_payload(rollup.log_templates(tables.logs(spark, d), "source"), "source", most=20)
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), m AS (SELECT trim(unnest(ls), chr(32)) AS whole, CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warn' WHEN quality = 1 THEN 'info' END AS severity FROM l JOIN labels USING (doc_id)),
+ c AS (SELECT CASE WHEN strlen(whole) <= 4096 THEN whole ELSE substr(whole, 1, list_max([k FOR k IN range(1024, 4097) IF strlen(substr(whole, 1, k::INTEGER)) <= 4096])::INTEGER) END AS message, severity FROM m)
+ SELECT sha256(message) AS message_sha256, severity, count(*) AS lines FROM c WHERE message <> '' AND severity IS NOT NULL GROUP BY ALL""")
+def export_severity(spark, d):
+    """Declared lines, cut at 4,096 bytes, as CSV files, read back."""
+    lines = tables.text_logs(spark, d).where("severity IS NOT NULL").select(scan.cut_bytes(F.col("message")).alias("message"), "severity")
+    path = new_path(spark, "severity-csv")
+    report.export_csv(lines.where(F.col("message") != ""), path)
+    back = report.read_csv(spark, path, "message string, severity string")
+    return back.groupBy(F.sha2("message", 256).alias("message_sha256"), "severity").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("""SELECT event_type AS name, date_trunc('hour', ts) AS "at", round(avg(value), 4) AS value FROM events GROUP BY ALL""")
+def export_forecast(spark, d):
+    """Hourly means as CSV files (the rows a forecast is trained on), read back."""
+    path = new_path(spark, "forecast-csv")
+    report.export_csv(rounded(rollup.minute_means(tables.metrics(spark, d), grain="hour"), "value").select("name", "at", "value"), path)
+    return report.read_csv(spark, path, "name string, at timestamp, value double").select("name", ntz("at"), "value")
+
+
+@query("SELECT event_type AS name, count(*) AS points, round(sum(value), 2) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
+def written_metrics(spark, d):
+    """Metrics appended to date folders and read back through a window."""
+    path = new_path(spark, "metrics")
+    tables.write_records(tables.metrics(spark, d), path)
+    m = tables.read_records(spark, path, tables.METRIC).where("date >= '2024-01-05' AND date < '2024-01-20'")
+    return m.groupBy("name").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 2).alias("total"))
