@@ -77,6 +77,14 @@ def test_host_outliers_equal_numpy(spark):
     assert got[48].d2 is None and got[70].severity == "critical"
 
 
+def test_components_of_a_shuffled_chain(spark):
+    rng = random.Random(7)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(1000)]
+    edges = [*zip(ids, ids[1:]), (5, 5)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: min(ids) for i in ids} | {5: 5}
+
+
 def test_components_follow_long_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
