@@ -193,6 +193,18 @@ def test_language(spark, odd):
     assert langid.identify(odd.limit(0), odd).count() == 0
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    unknown = ["Минулого тижня діти пішли до лісу збирати гриби, а ввечері повернулися додому. " * 4, "A gyerekek tegnap délután elmentek az erdőbe gombát szedni, és csak este értek haza. " * 4, "Wczoraj po południu dzieci poszły do lasu zbierać grzyby i wróciły dopiero wieczorem. " * 4, "xqzj vkpw qjxz wvkq zzxq jvwk pqxz kwjv qzxj wkvp " * 8]
+    clean = docs.where(langid.held_out(F.col("doc_id")) & F.col("text").rlike("^[A-Z][\\p{L} ,.]{300}")).orderBy("doc_id").limit(60).collect()
+    short = [(100 + i, r.text[:60].rsplit(" ", 1)[0], r.lang) for i, r in enumerate(clean)]
+    rows = [(i, t, None) for i, t in enumerate(unknown)] + short + [(1000 + i, r.text, r.lang) for i, r in enumerate(clean)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, docs.schema), docs.where(~langid.held_out(F.col("doc_id")))).collect()}
+    assert all(got[i].rejected for i in range(len(unknown)))
+    assert len(short) >= 20 and sum(got[i].rejected for i, _, _ in short) <= 0.1 * len(short)
+    assert sum(got[1000 + i].rejected for i in range(len(clean))) <= 0.05 * len(clean)
+
+
 def test_chunks_count_every_gram(monkeypatch):
     text = "Straße überall " * 50
     whole = langid.gram_counts(text)

@@ -2,8 +2,12 @@
 
 A text is the average of the embeddings of its character 2-, 3- and 4-grams (hashed, lower case, the whole text); a linear
 layer gives a score a language. Both are trained by stochastic gradient descent in numpy on at most about `max_docs` labelled
-documents, chosen by a hash of doc_id. A fifth of them is held back to fit the softmax temperature (calibration) and the
-rejection threshold: the `tolerance` quantile of the calibrated probability of right answers, and never over `max_threshold`.
+documents, chosen by a hash of doc_id. A fifth of them, whole and in pieces, is held back to fit the softmax temperature (calibration) and two
+rejection thresholds: the `tolerance` quantile, over right answers, of the calibrated probability and of the share of a text's
+3-grams that training saw (marked by hash in `SEEN` bits). The second finds scripts and languages that nothing was learned
+from. Short texts score lower in both, so the thresholds are fitted for each length in `BANDS`, on pieces of that length cut
+from the held-back texts; a text is held against the longest band that it fills. Of right held-back answers at most the share
+`tolerance` is lost to each threshold, none where there are fewer than 1 / `tolerance` of them.
 
 A null text or one without a letter is `und` with score 0 and is rejected. If no document can be learned from, everything
 is; with one language only, every text with a letter is that language. Rows are judged one by one, so repeated rows get equal
@@ -23,12 +27,16 @@ from vane.llm.text_batches import map_texts
 
 BUCKETS, DIM = 1 << 13, 16
 CHUNK = 500_000
+SEEN = 1 << 18
+#: Lengths, in characters, with thresholds of their own; pieces begin at STARTS, so the first HEAD characters are enough.
+BANDS, STARTS = tuple(1 << k for k in range(2, 11)), (0, 1024)
+HEAD = STARTS[-1] + BANDS[-1]
 ORDERS = ((2, 0x9E3779B1), (3, 0x85EBCA77), (4, 0xC2B2AE3D))
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def gram_buckets(codes: np.ndarray) -> list[np.ndarray]:
-    """The bucket of each 2-, 3- and 4-gram of code points."""
+def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
+    """The hash of each 2-, 3- and 4-gram of code points."""
     out = []
     for n, seed in ORDERS:
         if len(codes) >= n:
@@ -37,10 +45,20 @@ def gram_buckets(codes: np.ndarray) -> list[np.ndarray]:
                 h ^= codes[i : len(codes) - n + 1 + i]
                 h *= np.uint32(0x01000193)
                 h ^= h >> np.uint32(15)
-            out.append((h % np.uint32(BUCKETS)).astype(np.int64))
+            out.append(h)
     return out
 
 
+def gram_buckets(codes: np.ndarray) -> list[np.ndarray]:
+    """The bucket of each 2-, 3- and 4-gram of code points."""
+    return [(h % np.uint32(BUCKETS)).astype(np.int64) for h in gram_hashes(codes)]
+
+
+def seen_buckets(hashes: list[np.ndarray]) -> np.ndarray:
+    """Places of the 3-grams among the SEEN marks."""
+    return hashes[1] & np.uint32(SEEN - 1) if len(hashes) > 1 else np.empty(0, np.uint32)
+
+
 def code_chunks(text: str):
     """Pieces of the padded, lower-case text; each begins with the last 3 code points of the one before."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -61,15 +79,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, max_docs: int) -> list[tuple[str, np.ndarray]]:
-    """(lang, averaged counts) of about max_docs documents at most: a hash of doc_id below a bound, of those with a label."""
+def training_rows(docs: DataFrame, max_docs: int) -> list[tuple[str, np.ndarray, np.ndarray, str]]:
+    """(lang, averaged counts, places among the SEEN marks, first HEAD characters) of about max_docs documents at most: a hash of doc_id below a bound, of those with a label."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     n = usable.select("doc_id").count()
     keep = max(1, -(-n // max_docs))
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, at, values = [], [], []
+        langs, at, values, seen, heads = [], [], [], [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if LETTER.search(text):
                 counts = gram_counts(text)
@@ -77,16 +95,17 @@ def training_rows(docs: DataFrame, max_docs: int) -> list[tuple[str, np.ndarray]
                 langs.append(lang)
                 at.append(used.astype(np.int16))
                 values.append((counts[used] / counts.sum()).astype(np.float32))
-        offsets = pa.array(np.cumsum([0, *map(len, at)], dtype=np.int32))
-        join = lambda xs, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(xs) if xs else np.empty(0, kind)))
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), join(at, np.int16), join(values, np.float32)], ["lang", "at", "value"])
+                seen.append(np.unique(np.concatenate([seen_buckets(gram_hashes(codes)) for codes in code_chunks(text)])).astype(np.int32))
+                heads.append(text[:HEAD])
+        join = lambda xs, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)], dtype=np.int32)), pa.array(np.concatenate(xs) if xs else np.empty(0, kind)))
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), join(at, np.int16), join(values, np.float32), join(seen, np.int32), pa.array(heads, pa.string())], ["lang", "at", "value", "seen", "head"])
 
-    rows = map_texts(sample.select("lang", "text"), "text", work, "lang string, at array<smallint>, value array<float>").toArrow()
+    rows = map_texts(sample.select("lang", "text"), "text", work, "lang string, at array<smallint>, value array<float>, seen array<int>, head string").toArrow()
     out = []
-    for lang, at, value in zip(rows["lang"].to_pylist(), rows["at"], rows["value"]):
+    for lang, at, value, seen, head in zip(rows["lang"].to_pylist(), rows["at"], rows["value"], rows["seen"], rows["head"].to_pylist()):
         dense = np.zeros(BUCKETS, np.float32)
         dense[at.values.to_numpy()] = value.values.to_numpy()
-        out.append((lang, dense))
+        out.append((lang, dense, seen.values.to_numpy(), head))
     return sorted(out, key=lambda r: (r[0], r[1].tobytes()[:4096]))
 
 
@@ -95,11 +114,34 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray]], epochs: int = 12, rate: float = 4.0, tolerance: float = 0.001, max_threshold: float = 0.4) -> dict:
-    """languages, table (bucket by language: embedding times linear layer), bias, temperature, threshold."""
+def pieces(head: str, length: int) -> list[str]:
+    """Pieces of at most `length` characters, ended between words where there is one."""
+    cut = [head[s : s + length] for s in STARTS if len(head) >= s + length]
+    cut = [c if head[s + length : s + length + 1].strip() == "" else (c.rsplit(None, 1) or [c])[0] for s, c in zip(STARTS, cut)]
+    return [c for c in cut if LETTER.search(c)]
+
+
+def thresholds(model: dict, texts: list[tuple[str, str]], tolerance: float) -> list[tuple[int, float, float]]:
+    """(length, least probability, least share of seen 3-grams) by band; a longer band is never milder than a shorter one."""
+    out = []
+    for length in reversed(BANDS):
+        cut = [(lang, piece) for lang, head in texts for piece in pieces(head, length)]
+        if not cut:
+            continue
+        z, share = scores([c[1] for c in cut], model)
+        p = softmax(z / model["temperature"])
+        right = np.array([model["languages"][k] == lang for k, (lang, _) in zip(p.argmax(1), cut)])
+        if right.any():
+            low = [float(np.quantile(v[right], tolerance, method="lower")) for v in (p.max(1), share)]
+            out.append((length, *map(min, low, out[-1][1:])) if out else (length, *low))
+    return out[::-1]
+
+
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray, str]], epochs: int = 12, rate: float = 4.0, tolerance: float = 0.001) -> dict:
+    """languages, table (bucket by language: embedding times linear layer), bias, temperature, seen, thresholds."""
     languages = sorted({r[0] for r in rows})
     if not languages:
-        return {"languages": [], "table": np.zeros((BUCKETS, 0), np.float32), "bias": np.zeros(0), "temperature": 1.0, "threshold": 0.0}
+        return {"languages": [], "table": np.zeros((BUCKETS, 0), np.float32), "bias": np.zeros(0), "temperature": 1.0, "seen": np.zeros(SEEN, bool), "thresholds": []}
     x = np.stack([r[1] for r in rows])
     y = np.array([languages.index(r[0]) for r in rows])
     rng = np.random.default_rng(11)
@@ -124,27 +166,44 @@ def fit(rows: list[tuple[str, np.ndarray]], epochs: int = 12, rate: float = 4.0,
             emb[used] -= step * 8 * (x[b][:, used].T @ back)
     table = (emb @ lin).astype(np.float32)
     check = kept_back if len(kept_back) else order
-    z = x[check] @ table + bias
-    temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(check)), y[check]], 1e-12)).mean())
-    p = softmax(z / temperature)
-    right = p.max(1)[p.argmax(1) == y[check]]
-    threshold = min(max_threshold, float(np.quantile(right, tolerance))) if len(right) else 0.0
-    return {"languages": languages, "table": table, "bias": bias, "temperature": float(temperature), "threshold": threshold}
-
-
-def scores(texts: list[str], model: dict) -> np.ndarray:
-    """Mean of the table over each whole text's n-grams, plus bias."""
+    model = {"languages": languages, "table": table, "bias": bias, "seen": np.zeros(SEEN, bool)}
+    for i in train:
+        model["seen"][rows[i][2]] = True
+    # whole texts alone may have no wrong answer, which fits no temperature
+    cut = [(y[i], piece) for i in check for length in BANDS for piece in pieces(rows[i][3], length)]
+    z = np.concatenate([x[check] @ table + bias, scores([c[1] for c in cut], model)[0]])
+    at = np.arange(len(z)), np.r_[y[check], [c[0] for c in cut]].astype(int)
+    model["temperature"] = float(min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(np.maximum(softmax(z / t)[at], 1e-12)).mean()))
+    model["thresholds"] = thresholds(model, [(rows[i][0], rows[i][3]) for i in check], tolerance)
+    for i in kept_back:
+        model["seen"][rows[i][2]] = True
+    return model
+
+
+def scores(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the table over each whole text's n-grams, plus bias; and the share of its 3-grams that training saw."""
     table, out = model["table"], np.zeros((len(texts), len(model["languages"])))
     columns = [np.ascontiguousarray(table[:, c]) for c in range(table.shape[1])]
+    share = np.zeros(len(texts))
     for i, text in enumerate(texts):
-        total, n = np.zeros(len(columns)), 0
+        total, n, known, grams = np.zeros(len(columns)), 0, 0, 0
         for codes in code_chunks(text):
-            for buckets in gram_buckets(codes):
-                buckets = buckets[:CHUNK] if len(codes) == CHUNK + 3 else buckets
+            hashes = [h[:CHUNK] if len(codes) == CHUNK + 3 else h for h in gram_hashes(codes)]
+            for h in hashes:
+                buckets = (h % np.uint32(BUCKETS)).astype(np.int64)
                 n += len(buckets)
                 total += [c[buckets].sum(dtype=np.float64) for c in columns]
+            marks = seen_buckets(hashes)
+            known += int(model["seen"][marks].sum())
+            grams += len(marks)
         out[i] = total / max(n, 1) + model["bias"]
-    return out
+        share[i] = known / max(grams, 1)
+    return out, share
+
+
+def least_accepted(model: dict, length: int) -> tuple[float, float]:
+    """Thresholds of the longest band that a text of this length fills; none below the shortest."""
+    return next((t[1:] for t in reversed(model["thresholds"]) if t[0] <= length), (0.0, 0.0))
 
 
 def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: list[str] | None = None) -> DataFrame:
@@ -159,9 +218,11 @@ def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: l
         good = [i for i, t in enumerate(texts) if t and m["languages"] and LETTER.search(t)]
         pred, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         if good:
-            p = softmax(scores([texts[i] for i in good], m) / m["temperature"])
-            for i, best, q in zip(good, p.argmax(1), p.max(1)):
-                pred[i], score[i], rejected[i] = m["languages"][best], min(1.0, float(q)), bool(q < m["threshold"])
+            z, share = scores([texts[i] for i in good], m)
+            p = softmax(z / m["temperature"])
+            for i, best, q, known in zip(good, p.argmax(1), p.max(1), share):
+                least, least_known = least_accepted(m, len(texts[i]))
+                pred[i], score[i], rejected[i] = m["languages"][best], min(1.0, float(q)), bool(q < least or known < least_known)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(pred), pa.array(score), pa.array(rejected)], [*carried, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
