@@ -300,6 +300,17 @@ def test_decontamination(spark):
     assert {k[0] for k in got} == {r.doc_id for r in decontam.find_contamination(df, bench, block=3).collect()}
 
 
+def test_decontamination_finds_what_templates_miss(spark):
+    plus = "12 + 7 = 19 and 3 + 4 = 7 and 8 + 5 = 13 and 6 + 6 = 12"
+    tom = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
+    walk = "the old river runs past seven quiet villages before it reaches a wide and shallow bay in the south"
+    bench = spark.createDataFrame([(1, plus), (2, "Alice Paris Berlin"), (3, "Maria found three lost coins today"), (4, tom), (5, walk), (6, "Anna Ben Carl Dora Emil Frida Gina Hans Ida Jon")], "item_id long, text string")
+    far = walk.split()
+    docs = [(1, "so " + plus + " holds"), (2, "they met Alice Paris Berlin there"), (3, "He said that Maria found three lost coins today again"), (4, tom.replace("Tom", "Lena")), (5, " ".join([*far[:9], "slowly", *far[9:]])), (6, "with Anna Ben Carl Dora Emil Frida Gina Hans Ida Jon in it"), (7, "Lena walked home. They met Paul in Rome and had 5 apples there")]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i): "re-parameterised" if i == 4 else "exact" for i in range(1, 7)}
+
+
 def test_decontamination_finds_every_verbatim_item(spark, texts):
     bench = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     want = {(d, i) for d, t in texts.items() for i, b in bench if b in t}

@@ -1,19 +1,26 @@
-"""Benchmark decontamination by template windows.
+"""Benchmark decontamination by literal and template windows.
 
-Texts become templates: numbers, names and units turn into typed placeholders, other words are lower-cased without outer
-punctuation. The benchmark's windows of `width` template words (a shorter item is one window) are hashed; documents are
-scanned whole for windows with those hashes, and the hits are hash-joined back to the items. Per document and item, matched
-windows are counted on the best alignment (one offset between the two texts), and the slots are checked: under that
-alignment an item's value must always stand for the same value in the document. So a question with other numbers or names is
-caught as re-parameterised, while chance matches of placeholders are not.
+Texts are read as literal words (lower case, without outer punctuation) and as templates, where numbers, names and units turn
+into typed placeholders. A capital letter that begins a sentence or a line may begin a name or not, so there are two templates:
+in one such words are literal, in the other they are names. The benchmark's windows of `width` words (a shorter item is one
+window) are hashed in all three forms; documents are scanned whole for windows with those hashes, and the hits are hash-joined
+back to the items. Per document and item, the item's windows whose words all lie in matched windows are counted, within a band
+of `band` neighbouring offsets between the two texts: an inserted word costs none, a lost one the windows over it. The slots are checked: under that alignment
+an item's value must always stand for the same value in the document. So a question with other numbers or names is caught as
+re-parameterised, while chance matches of placeholders are not. An item is found if the share of its positions matched is
+enough, of all its positions or of those where a template window counts.
+
+Template windows with more than half placeholders, and those of items under `least` words, are not evidence; literal windows
+always are, so an item of any length and wording is found where it is copied word for word, even one of a single word.
 
 The benchmark's window hashes go to the executors in blocks of at most `block` (8 bytes each); a larger benchmark takes
-several passes over the documents. Windows with more than half placeholders, and items under `least` words, are not evidence.
-Null and empty texts match nothing; repeated rows give repeated verdicts for one doc_id once; extra columns are ignored.
+several passes over the documents. Null and empty texts match nothing; rows that share a doc_id are judged by themselves and
+give one verdict an item, the one of most matches; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -25,8 +32,7 @@ from pyspark.sql import functions as F
 from vane.llm.text_batches import map_texts
 from vane.plans.shared import stored
 
-WIDTH, LEAST, BLOCK = 8, 5, 1_000_000
-WORD = re.compile(r"[^\s]+")
+WIDTH, LEAST, BLOCK, BAND = 8, 5, 1_000_000, 8
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 #: Unit words that a question may exchange.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hour hours day days week weeks month months year years usd eur gbp dollars euros pounds percent degrees miles meters metres kilometers kilograms grams litres liters".split())
@@ -34,89 +40,194 @@ EDGE = ".,;:!?\"'()[]{}«»“”‘’…-*#"
 STOPS = (".", "!", "?", ":", "…")
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Template words, and the words that stand in placeholders ('' elsewhere)."""
-    words, slots = [], []
-    start = True  # a capital letter begins a sentence or a line, so it marks no name
-    after_number = False
-    for line in text.split("\n"):
-        start = True
-        for raw in line.split():
-            bare = raw.strip(EDGE)
-            if not bare:
-                start = start or raw.endswith(STOPS)
-                continue
-            low = bare.lower()
-            if NUMBER.fullmatch(bare):
-                words.append("<num>")
-                slots.append(bare)
-                after_number = True
-            elif after_number and low in UNITS:
-                words.append("<unit>")
-                slots.append(low)
-                after_number = False
-            else:
-                name = not start and bare[0].isupper() and bare[1:].islower()
-                words.append("<name>" if name else low)
-                slots.append(bare if name else "")
-                after_number = False
-            start = raw.endswith(STOPS)
-    return words, slots
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+def hashed(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+NUM, NAME, UNIT = (hashed(w) for w in ("<num>", "<name>", "<unit>"))
+
+
+class Words(dict):
+    """Raw word to (bare word, its lower-case form's hash, is a number, is a unit, looks like a name, ends a sentence)."""
+
+    def __missing__(self, raw: str) -> tuple:
+        if len(self) > 200_000:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) < 48:
-            self[word] = h
-        return h
-
-
-def window_hashes(hashes: np.ndarray, filled: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether at least half of its words are words."""
-    n = len(hashes) - width + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    out = np.full(n, width * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+        bare = raw.strip(EDGE)
+        low = bare.lower()
+        entry = bare, hashed(low), bool(NUMBER.fullmatch(bare)), low in UNITS, bare[:1].isupper() and bare[1:].islower(), raw.endswith(STOPS)
+        if len(raw) < 48:
+            self[raw] = entry
+        return entry
+
+
+class Forms:
+    """The words of several texts: hashes as literal words and as template words, slots, and the names that begin a sentence."""
+
+    def __init__(self, texts: list[str | None], known: Words):
+        literal, template, slots, first, ends = [], [], [], {}, [0]
+        for text in texts:
+            after_number = False
+            for line in (text or "").split("\n"):
+                start = True  # a capital letter begins a sentence or a line, so it may mark no name
+                for raw in line.split():
+                    bare, h, number, unit, name, stop = known[raw]
+                    if not bare:
+                        start = start or stop
+                        continue
+                    if number:
+                        template.append(NUM)
+                        slots.append(bare)
+                    elif after_number and unit:
+                        template.append(UNIT)
+                        slots.append(bare.lower())
+                    elif name and not start:
+                        template.append(NAME)
+                        slots.append(bare)
+                    else:
+                        if name:
+                            first[len(literal)] = bare
+                        template.append(h)
+                        slots.append("")
+                    after_number = number
+                    literal.append(h)
+                    start = stop
+            ends.append(len(literal))
+        self.ends, self.slots, self.first = np.array(ends), slots, first
+        self.literal, self.template = np.array(literal, np.uint64), np.array(template, np.uint64)
+        self.filled = np.fromiter(map(bool, slots), bool, len(slots))
+        self.named, self.all_filled = self.template.copy(), self.filled.copy()
+        at = np.fromiter(first, np.int64, len(first))
+        self.named[at], self.all_filled[at] = NAME, True
+
+    def slots_of(self, form: int, at: int, width: int) -> str:
+        """The words in placeholders of a window ('' elsewhere), joined; nothing for literal windows."""
+        if form == 0:
+            return ""
+        return SEP.join(self.slots[at : at + width] if form == 1 else [self.slots[k] or self.first.get(k, "") for k in range(at, at + width)])
+
+
+#: Stands in no word: str.split() cuts there.
+SEP = "\x1f"
+
+
+def window_hashes(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    n = max(0, len(hashes) - width + 1)
+    out = np.full(n, (seed + width) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for i in range(width):
         out = (out ^ hashes[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
+    return out
+
+
+def worded(filled: np.ndarray, width: int) -> np.ndarray:
+    """Whether at least half of each window's words are words."""
     held = np.r_[0, np.cumsum(filled)]
-    return out, (held[width:] - held[:-width]) * 2 <= width
+    return (held[width:] - held[:-width]) * 2 <= width if len(filled) >= width else np.empty(0, bool)
+
 
+def windows(forms: Forms, width: int):
+    """(form, hashes, good) of all windows: literal words, names inside sentences, names at their beginnings too where that differs."""
+    if len(forms.literal) < width:
+        return
+    text = np.searchsorted(forms.ends, np.arange(len(forms.literal)), "right")
+    inside = text[: len(text) - width + 1] == text[width - 1 :]  # no window reaches into the next text
+    yield 0, window_hashes(forms.literal, width, 1 << 20), inside
+    one, two = (window_hashes(h, width, 0) for h in (forms.template, forms.named))
+    yield 1, one, inside & worded(forms.filled, width)
+    yield 2, two, inside & worded(forms.all_filled, width) & (two != one)
 
-def windows(batch: pa.RecordBatch, id_column: str, widths_of, wanted: np.ndarray | None, known: WordHashes) -> pa.RecordBatch:
-    """id, width, at, hash, slots of each window; only wanted hashes if given."""
-    rows, width_, at_, hash_, slot_, total_ = [], [], [], [], [], []
+
+def item_windows(batch: pa.RecordBatch, width: int, least: int) -> pa.RecordBatch:
+    """item_id, width, at, hash, slots, n_all and n_template (positions with any window, with a template window), counts (for each position that the window covers: has it a template window)."""
+    rows, out = [], []
+    known = Words()
     for row, text in enumerate(batch.column("text").to_pylist()):
-        words, slots = template(text or "")
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        filled = np.fromiter((bool(s) for s in slots), bool, len(slots))
-        for width in widths_of(len(words)):
-            found, good = window_hashes(h, filled, width)
-            if wanted is not None and len(found):
-                k = np.searchsorted(wanted, found)
-                good &= wanted[np.minimum(k, len(wanted) - 1)] == found
+        forms = Forms([text], known)
+        n = len(forms.literal)
+        own = min(n, width)
+        if not own:
+            continue
+        mine = [(form, h, good & (form == 0 or n >= least)) for form, h, good in windows(forms, own)]
+        usable = mine[1][2]
+        marks = "".join("01"[u] for u in usable.tolist())
+        for form, h, good in mine:
             for at in np.flatnonzero(good).tolist():
                 rows.append(row)
-                width_.append(width)
-                at_.append(at)
-                hash_.append(int(found[at]))
-                slot_.append(slots[at : at + width])
-                total_.append(int(good.sum()))
-    ids = batch.column(id_column).take(pa.array(rows, pa.int64()))
-    hashes = pa.array(np.array(hash_, np.uint64).view(np.int64))
-    return pa.RecordBatch.from_arrays([ids, pa.array(width_, pa.int32()), pa.array(at_, pa.int32()), hashes, pa.array(slot_, pa.list_(pa.string())), pa.array(total_, pa.int32())], [id_column, "width", "at", "hash", "slots", "total"])
+                out.append((own, at, int(h[at].view(np.int64)), forms.slots_of(form, at, own), n - own + 1, int(usable.sum()), marks[at : at + own]))
+    ids = batch.column("item_id").take(pa.array(rows, pa.int64()))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["item_id", "width", "at", "hash", "slots", "n_all", "n_template", "counts"])
+
+
+def document_windows(batch: pa.RecordBatch, widths: list[int], wanted: np.ndarray, marks: np.ndarray, known: Words) -> pa.RecordBatch:
+    """doc_id, text_id, doc_at, hash, doc_slots of each window with a wanted hash."""
+    texts = batch.column("text").to_pylist()
+    forms = Forms(texts, known)
+    rows, at_, hash_, slot_ = [], [], [], []
+    for width in widths:
+        for form, h, good in windows(forms, width):
+            k = np.flatnonzero(good & marks[h & np.uint64(len(marks) - 1)])
+            k = k[wanted[np.minimum(np.searchsorted(wanted, h[k]), len(wanted) - 1)] == h[k]]
+            row = np.searchsorted(forms.ends, k, "right") - 1
+            rows += row.tolist()
+            at_ += (k - forms.ends[row]).tolist()
+            hash_.append(h[k])
+            slot_ += [forms.slots_of(form, at, width) for at in k.tolist()]
+    ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+    text_id = {r: xxhash.xxh3_64_intdigest(texts[r].encode("utf-8", "surrogatepass")) for r in set(rows)}
+    hashes = np.concatenate([np.empty(0, np.uint64), *hash_]).view(np.int64)
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.array([text_id[r] for r in rows], np.uint64).view(np.int64)), pa.array(at_, pa.int32()), pa.array(hashes), pa.array(slot_, pa.string())], ["doc_id", "text_id", "doc_at", "hash", "doc_slots"])
+
+
+def slot_values(matches: list[dict]) -> tuple[int, int] | None:
+    """(slots, changed slots), or None if one item value stands for two document values."""
+    value: dict[str, str] = {}
+    for m in matches:
+        for was, now in zip(m["slots"].split(SEP), m["doc_slots"].split(SEP)):
+            if was and value.setdefault(was, now) != now:
+                return None
+    return len(value), sum(a != b for a, b in value.items())
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, width: int = WIDTH, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def covered(seen: dict[int, str], width: int) -> tuple[int, int]:
+    """How many windows, and template windows, of the item have all their words in matched windows (position to counts)."""
+    held = {k for at in seen for k in range(at, at + width)}
+    counts = {at + k: c for at, marks in seen.items() for k, c in enumerate(marks)}
+    whole = [at for at in counts if held.issuperset(range(at, at + width))]
+    return len(whole), sum(counts[at] == "1" for at in whole)
+
+
+def aligned(matches: list[dict], n_all: int, n_template: int, width: int, share: float, band: int) -> tuple[int, int, int, int] | None:
+    """(n_matched, n_windows, n_slots, n_changed) of the best band of offsets that has enough matches and consistent slots.
+
+    Within a band, a position's match is the one nearest to the band's first offset.
+    """
+    by_shift: dict[int, list[dict]] = {}
+    for m in matches:
+        by_shift.setdefault(m["doc_at"] - m["at"], []).append(m)
+    ranked = []
+    for first in by_shift:
+        seen: dict[int, str] = {}
+        for shift in range(first, first + band + 1):
+            seen.update((m["at"], m["counts"]) for m in by_shift.get(shift, ()))
+        ways = [(n, of) for n, of in zip(covered(seen, width), (n_all, n_template)) if of and n >= max(1, math.ceil(of * share))]
+        if ways:
+            ranked.append((*max(ways, key=lambda w: (w[0] / w[1], w[0])), first))
+    for n, of, first in sorted(ranked, key=lambda r: (-r[0] / r[1], -r[0], r[2])):
+        placed: dict[int, int] = {}
+        used = []
+        for shift in range(first, first + band + 1):
+            used += [m for m in by_shift.get(shift, ()) if placed.setdefault(m["at"], shift) == shift]
+        if (found := slot_values(used)) is not None:
+            return n, of, *found
+    return None
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, width: int = WIDTH, least: int = LEAST, block: int = BLOCK, band: int = BAND) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, n_changed, kind (exact or re-parameterised) of every hit."""
     item_kind, doc_kind = (t.schema[c].dataType.simpleString() for t, c in ((benchmark, "item_id"), (docs, "doc_id")))
-    tail = "width int, at int, hash bigint, slots array<string>, total int"
-    of_item = lambda n: [min(n, width)] if n >= least else []
-    items = map_texts(benchmark.select("item_id", "text"), "text", lambda b: windows(b, "item_id", of_item, None, WordHashes()), f"item_id {item_kind}, {tail}")
+    items = map_texts(benchmark.select("item_id", "text"), "text", lambda b: item_windows(b, width, least), f"item_id {item_kind}, width int, at int, hash bigint, slots string, n_all int, n_template int, counts string")
     items = stored(items, "benchmark-windows")
     n = items.count()
     blocks = max(1, -(-n // block))
@@ -124,30 +235,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.5
     found = None
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod("hash", F.lit(blocks)) == b)
-        hashes = own.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(hashes))
+        hashes = np.sort(own.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64))
+        wanted = docs.sparkSession.sparkContext.broadcast(hashes)
 
         def scan(batch: pa.RecordBatch, wanted=wanted) -> pa.RecordBatch:
-            known = scan.__dict__.setdefault("known", WordHashes())
-            return windows(batch, "doc_id", lambda _: widths, wanted.value, known) if len(wanted.value) else None
+            if not len(wanted.value):
+                return None
+            if "known" not in scan.__dict__:
+                scan.known, scan.marks = Words(), np.zeros(1 << 22, bool)
+                scan.marks[wanted.value & np.uint64(len(scan.marks) - 1)] = True
+            return document_windows(batch, widths, wanted.value, scan.marks, scan.known)
 
-        hits = map_texts(docs.select("doc_id", "text"), "text", scan, f"doc_id {doc_kind}, {tail}")
+        hits = map_texts(docs.select("doc_id", "text"), "text", scan, f"doc_id {doc_kind}, text_id bigint, doc_at int, hash bigint, doc_slots string")
         found = hits if found is None else found.union(hits)
-    hits = stored(found.select("doc_id", "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots")), "window-hits")
-    own = items.select("item_id", "hash", "at", "slots", F.col("total").alias("n_windows"))
-    both = hits.join(F.broadcast(own) if n <= block else own, "hash").withColumn("shift", F.col("doc_at") - F.col("at"))
-    counted = both.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.countDistinct("at").alias("n_matched"))
-    best = counted.groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("least"))).alias("best"))
-    best = best.select("doc_id", "item_id", "n_windows", F.col("best.n_matched").alias("n_matched"), (-F.col("best.least")).alias("shift")).where(F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share)))
-    best = stored(best, "contaminated")
-    pairs = both.join(best.select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"), F.col("shift").alias("_s")), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("shift") == F.col("_s")), "left_semi")
-    slot = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "doc_slots")).alias("slot")).where("slot.slots <> ''").select("doc_id", "item_id", F.col("slot.slots").alias("was"), F.col("slot.doc_slots").alias("is")).distinct()
-    slot = slot.groupBy("doc_id", "item_id", "was").agg(F.count(F.lit(1)).alias("values"), F.max((F.col("was") != F.col("is")).cast("int")).alias("changed"))
-    slot = slot.groupBy(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")).agg(F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"), F.max("values").alias("most"))
-    out = best.join(slot, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")), "left")
-    out = out.where(F.coalesce("most", F.lit(1)) == 1)  # one item value, one document value
-    changed = F.coalesce("n_changed", F.lit(0)).cast("long")
-    return out.select("doc_id", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), F.round(F.col("n_matched") / F.col("n_windows"), 4).alias("coverage"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), changed.alias("n_changed"), F.when(changed > 0, "re-parameterised").otherwise("exact").alias("kind"))
+    hits = stored(found.distinct(), "window-hits")
+    both = hits.join(F.broadcast(items) if n <= block else items, "hash")
+    pair = ["doc_id", "text_id", "item_id", "n_all", "n_template", "width"]
+    groups = both.groupBy(*pair).agg(F.collect_list(F.struct("at", "counts", "doc_at", "slots", "doc_slots")).alias("matches"))
+    # a matched window covers `width` positions at most
+    most = F.size(F.array_distinct("matches.at")) * F.col("width")
+    enough = lambda of: (F.col(of) > 0) & (most >= F.ceil(F.col(of) * share))
+    groups = groups.where(enough("n_all") | enough("n_template"))
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(c).to_pylist() for c in ("matches", "n_all", "n_template", "width")]
+        got = [aligned(*row, share, band) for row in zip(*columns)]
+        rows = pa.array([i for i, g in enumerate(got) if g], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("item_id").take(rows), *(pa.array([g[i] for g in got if g], pa.int64()) for i in range(4))], ["doc_id", "item_id", "n_matched", "n_windows", "n_slots", "n_changed"])
+
+    out = groups.mapInArrow(lambda batches: map(judge, batches), f"doc_id {doc_kind}, item_id {item_kind}, n_matched bigint, n_windows bigint, n_slots bigint, n_changed bigint")
+    coverage = F.round(F.col("n_matched") / F.col("n_windows"), 4).alias("coverage")
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(coverage, "n_matched", "n_windows", "n_slots", (-F.col("n_changed")).alias("kept"))).alias("best"))
+    best = best.select("doc_id", "item_id", "best.n_matched", "best.n_windows", "best.coverage", "best.n_slots", (-F.col("best.kept")).alias("n_changed"))
+    return best.withColumn("kind", F.when(F.col("n_changed") > 0, "re-parameterised").otherwise("exact"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
