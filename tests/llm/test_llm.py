@@ -325,6 +325,17 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd).count() == 0
 
 
+def test_licenses_over_lines_and_side_by_side(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation\nfiles (the \"Software\"), to deal"
+    rows = [(1, "intro\n\n" + mpl), (2, mit), (3, "Released under the MIT License.\nLicensed under CC BY 4.0."), (4, "License: MIT or Apache-2.0"), (6, "Released under the MIT License.\nAll rights reserved."), (7, "Redistribution and use in source and binary forms are permitted"), (8, "Licensed under CC BY 4.0.\nSie kam mit dem Zug. Mit ihm."), (9, "Licensed under CC BY-NC-ND 4.0.")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got if r.confirmed) == [(1, "MPL-2.0"), (2, "MIT"), (3, "CC-BY-4.0"), (3, "MIT"), (4, "Apache-2.0"), (4, "MIT"), (6, "MIT"), (6, "proprietary"), (8, "CC-BY-4.0")]
+    assert {r.doc_id for r in got if not r.confirmed} >= {7, 9}
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start : r.end] == r.block_text for r in got) and "License, v. 2.0." in [r.block_text for r in got if r.doc_id == 1 and r.confirmed][0]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
