@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame with the columns of
 documents (the last: packed pieces). run() writes each stage's rows as Parquet and reads them for the next.
+
+Stages that drop documents judge rows, not doc_ids: each row gets a key, written with the stage's input, and is dropped by it
+alone. So of rows that share a doc_id, or have none, only those that are copies or hold a benchmark item go; repeated rows are
+copies of one another, and one of them stays.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ from vane.plans.shared import stored
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids (doc_id); rows without a doc_id are matched too."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    gone = F.broadcast(gone) if ids.count() <= MAX_BROADCAST_IDS else gone.hint("merge")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key that is written once and so the same in every read."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """keyed, without _row, but for the rows whose key is in rows (_row)."""
+    gone = F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows.hint("merge")
+    return keyed.join(gone, "_row", "left_anti").drop("_row")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +50,20 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group (five words, similarity 0.8)."""
-    found = near_duplicates(docs, similarity=0.8, width=5)
-    return without(docs, stored(found.where("NOT kept").select("doc_id"), "copies"))
+    """One row of each near-duplicate group (five words, similarity 0.8): that with the smallest doc_id, without one only if no other has one."""
+    keyed = with_row_keys(docs)
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), similarity=0.8, width=5)
+    found = stored(found.select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    named = found.join(keyed.select("_row", "doc_id"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
+    return without(keyed, stored(found.join(first.select("first._row"), "_row", "left_anti").select("_row"), "copies"))
 
 
 def unseen_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, stored(leaks.select("doc_id"), "leaks"))
+    keyed = with_row_keys(docs)
+    leaks = find_contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(keyed, stored(leaks.select(F.col("doc_id").alias("_row")).distinct(), "leaks"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

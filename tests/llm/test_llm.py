@@ -345,3 +345,18 @@ def test_pipeline_stages(spark):
         if k < 4:
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == before.count()
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "the old river runs past seven quiet villages before it reaches a wide and shallow bay"
+    text = lambda c: " ".join(f"{c}{j}" for j in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, text("a")), (None, text("b")), (1, text("a")), (2, text("c")), (2, text("d")), (3, text("c")), (4, text("e")), (4, text("e")), (None, text("f")), (None, text("f")), (2, "so " + item), (None, text("g") + " " + item), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))
+    want = Counter([(None, text("b")), (1, text("a")), (2, text("c")), (2, text("d")), (4, text("e")), (None, text("f")), *rows[10:]])
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == want
+    got = corpus_pipeline.unseen_benchmark(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter([*rows[:10], *rows[12:]])
