@@ -73,7 +73,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("language", known_language), ("line_dedup", unrepeated_lines), ("near_dup", one_of_each_group), ("decontamination", unseen_benchmark), ("packing", packed_sequences)]
 
-#: Learned and iterative stages have no SQL; tests hold the pipeline against a brute-force version.
+#: Learned and iterative stages have no SQL; tests hold near_duplicates against brute force and line dedup against its SQL, the stages by small cases only.
 ORACLE_SQL = None
 
 
