@@ -11,7 +11,9 @@ from the held-back texts; a text is held against the longest band that it fills.
 
 A null text or one without a letter is `und` with score 0 and is rejected. If no document can be learned from, everything
 is; with one language only, every text with a letter is that language. Rows are judged one by one, so repeated rows get equal
-answers. Null labels are not learned. Extra columns are ignored.
+answers. Null labels are not learned. A very long text is read whole, some n-grams at a time. Equal scores go to the language
+that sorts first. Extra columns are ignored; those that are carried keep their names, so the three of the answer must not be
+among them (`answers` renames these).
 """
 
 from __future__ import annotations
@@ -49,9 +51,8 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def gram_buckets(codes: np.ndarray) -> list[np.ndarray]:
-    """The bucket of each 2-, 3- and 4-gram of code points."""
-    return [(h % np.uint32(BUCKETS)).astype(np.int64) for h in gram_hashes(codes)]
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint32(BUCKETS)).astype(np.int64)
 
 
 def seen_buckets(hashes: list[np.ndarray]) -> np.ndarray:
@@ -59,19 +60,24 @@ def seen_buckets(hashes: list[np.ndarray]) -> np.ndarray:
     return hashes[1] & np.uint32(SEEN - 1) if len(hashes) > 1 else np.empty(0, np.uint32)
 
 
-def code_chunks(text: str):
-    """Pieces of the padded, lower-case text; each begins with the last 3 code points of the one before."""
+def has_letter(text: str) -> bool:
+    """Whether the text has a letter (LETTER also fits numerals such as a half, which are none)."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
+def gram_chunks(text: str):
+    """gram_hashes of the padded, lower-case text, some at a time: those that begin in each stretch of CHUNK code points."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    for start in range(0, max(1, len(codes) - 3), CHUNK):
-        yield codes[start : start + CHUNK + 3]
+    for start in range(0, max(1, len(codes)), CHUNK):
+        yield [h[:CHUNK] for h in gram_hashes(codes[start : start + CHUNK + 3])]
 
 
 def gram_counts(text: str) -> np.ndarray:
     """Counts by bucket over the whole text."""
     counts = np.zeros(BUCKETS)
-    for codes in code_chunks(text):
-        for buckets in gram_buckets(codes):
-            counts += np.bincount(buckets[: CHUNK] if len(codes) == CHUNK + 3 else buckets, minlength=BUCKETS)
+    for hashes in gram_chunks(text):
+        for h in hashes:
+            counts += np.bincount(buckets_of(h), minlength=BUCKETS)
     return counts
 
 
@@ -89,13 +95,13 @@ def training_rows(docs: DataFrame, max_docs: int) -> list[tuple[str, np.ndarray,
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, at, values, seen, heads = [], [], [], [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            if LETTER.search(text):
+            if has_letter(text):
                 counts = gram_counts(text)
                 used = np.flatnonzero(counts)
                 langs.append(lang)
                 at.append(used.astype(np.int16))
                 values.append((counts[used] / counts.sum()).astype(np.float32))
-                seen.append(np.unique(np.concatenate([seen_buckets(gram_hashes(codes)) for codes in code_chunks(text)])).astype(np.int32))
+                seen.append(np.unique(np.concatenate([seen_buckets(hashes) for hashes in gram_chunks(text)])).astype(np.int32))
                 heads.append(text[:HEAD])
         join = lambda xs, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)], dtype=np.int32)), pa.array(np.concatenate(xs) if xs else np.empty(0, kind)))
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), join(at, np.int16), join(values, np.float32), join(seen, np.int32), pa.array(heads, pa.string())], ["lang", "at", "value", "seen", "head"])
@@ -118,7 +124,7 @@ def pieces(head: str, length: int) -> list[str]:
     """Pieces of at most `length` characters, ended between words where there is one."""
     cut = [head[s : s + length] for s in STARTS if len(head) >= s + length]
     cut = [c if head[s + length : s + length + 1].strip() == "" else (c.rsplit(None, 1) or [c])[0] for s, c in zip(STARTS, cut)]
-    return [c for c in cut if LETTER.search(c)]
+    return [c for c in cut if has_letter(c)]
 
 
 def thresholds(model: dict, texts: list[tuple[str, str]], tolerance: float) -> list[tuple[int, float, float]]:
@@ -187,10 +193,9 @@ def scores(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
     share = np.zeros(len(texts))
     for i, text in enumerate(texts):
         total, n, known, grams = np.zeros(len(columns)), 0, 0, 0
-        for codes in code_chunks(text):
-            hashes = [h[:CHUNK] if len(codes) == CHUNK + 3 else h for h in gram_hashes(codes)]
+        for hashes in gram_chunks(text):
             for h in hashes:
-                buckets = (h % np.uint32(BUCKETS)).astype(np.int64)
+                buckets = buckets_of(h)
                 n += len(buckets)
                 total += [c[buckets].sum(dtype=np.float64) for c in columns]
             marks = seen_buckets(hashes)
@@ -206,7 +211,7 @@ def least_accepted(model: dict, length: int) -> tuple[float, float]:
     return next((t[1:] for t in reversed(model["thresholds"]) if t[0] <= length), (0.0, 0.0))
 
 
-def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: list[str] | None = None, answers: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """doc_id (or the carried columns of docs, text among them), lang_pred, score, rejected: of every row of docs. train: rows to learn from (doc_id, text, lang)."""
     carried = carried or ["doc_id"]
     model = fit(training_rows(train, max_docs))
@@ -215,7 +220,7 @@ def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: l
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
         texts = batch.column("text").to_pylist()
-        good = [i for i, t in enumerate(texts) if t and m["languages"] and LETTER.search(t)]
+        good = [i for i, t in enumerate(texts) if t and m["languages"] and has_letter(t)]
         pred, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         if good:
             z, share = scores([texts[i] for i in good], m)
@@ -223,10 +228,10 @@ def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: l
             for i, best, q, known in zip(good, p.argmax(1), p.max(1), share):
                 least, least_known = least_accepted(m, len(texts[i]))
                 pred[i], score[i], rejected[i] = m["languages"][best], min(1.0, float(q)), bool(q < least or known < least_known)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(pred), pa.array(score), pa.array(rejected)], [*carried, "lang_pred", "score", "rejected"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(pred), pa.array(score), pa.array(rejected)], [*carried, *answers])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return map_texts(docs.select(*dict.fromkeys([*carried, "text"])), "text", work, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return map_texts(docs.select(*dict.fromkeys([*carried, "text"])), "text", work, f"{kinds}, " + ", ".join(f"`{c}` {k}" for c, k in zip(answers, ("string", "double", "boolean"))))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

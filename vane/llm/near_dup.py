@@ -3,7 +3,7 @@
 1. A document's set is its distinct `width`-word shingles, as 64-bit hashes. Equal sets form one class; only classes go on.
 2. A class's sketch is the `k` smallest hashes. Two classes of Jaccard similarity >= `similarity` share at least `need`
    retained values: for sets that fit into the sketch this is exact; for larger ones `need` lies so far below k * similarity
-   that a binomial tail bounds the chance of missing a link (k 64, need 30: below 1e-10 a pair at the threshold).
+   that a binomial tail bounds the chance of missing a link (k 64, need 26: 1e-12 for a pair at the threshold, less above it).
 3. A class whose own shingles, held by no other class, are too many for the threshold has no partner (exact, on full sets).
    Of the rest, a class must share one of its `k - need + 1` rarest retained values with any partner. Values that one class holds are
    rarest and have no partner; a class with enough of them is out. The others' rarest values make the inverted lists.
@@ -34,9 +34,9 @@ from vane.llm.text_batches import map_texts
 from vane.plans.components import connected_components
 from vane.plans.shared import stored
 
-K, NEED = 64, 30
-#: Members of a block of a list, and rows of a task, in the exhaustive comparison.
-BLOCK, TASK_ROWS, TASK_SHINGLES = 1024, 20_000, 1_000_000
+K, NEED = 64, 26
+#: Members of a block of a list and their shingles, and rows and shingles of a task, in the exhaustive comparison.
+BLOCK, BLOCK_SHINGLES, TASK_ROWS, TASK_SHINGLES = 1024, 2_000_000, 20_000, 1_000_000
 #: Lists up to this many members give pairs to verify; larger ones are verified where they are compared.
 SMALL = 32
 #: Class ids up to this many are sent to all executors (8 bytes each); beyond it they are joined by shuffle.
@@ -180,15 +180,16 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, partners: DataFrame) -> DataFrame:
-    """value, class_id, component, members of the lists whose members are in several components."""
-    placed = stored(lists.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("value", "class_id", F.coalesce("component", "class_id").alias("component")), "placed")
-    mixed = placed.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
-    return stored(placed.join(stored(mixed.select("value", "members"), "mixed"), "value"), "open-lists")
+    """value, class_id, component, n, shared, members, volume (their shingles) of the lists whose members are in several components."""
+    sized = lists.join(partners.select("class_id", "n", "shared"), "class_id")
+    placed = stored(sized.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("value", "class_id", F.coalesce("component", "class_id").alias("component"), "n", "shared"), "placed")
+    mixed = placed.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume")).where("least < most")
+    return stored(placed.join(stored(mixed.select("value", "members", "volume"), "mixed"), "value"), "open-lists")
 
 
 def dealt_blocks(rows: DataFrame, weight: Column, per_task: int) -> DataFrame:
     """rows once for each pair of blocks (lo, hi) of their list that they take part in, with the task that compares the pair."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("volume") / BLOCK_SHINGLES)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     total = rows.agg(F.sum(weight * F.col("blocks"))).first()[0] or 0
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, k:
     lists = stored(lists.join(partners.select("class_id"), "class_id", "left_semi"), "inverted-left")
     links = stored(verified(star_pairs(lists, partners), partners, sets, similarity, k, need), "links")
     labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rows = open_lists(lists, labels, partners).join(partners.select("class_id", "n", "shared"), "class_id")
+    rows = open_lists(lists, labels, partners)
     percent = round(100 * similarity)
     few = verified(open_pairs(rows.where(F.col("members") <= SMALL), percent), partners, sets, similarity, k, need)
     more = stored(few.union(links_in_large_lists(rows.where(F.col("members") > SMALL), sets, percent)), "more-links")
