@@ -1,13 +1,15 @@
 """Line deduplication over levelled sorted runs of line hashes (built-in SQL functions only).
 
-A run is a Parquet table (key_hash, n_docs) of distinct line keys, sorted by hash inside range- or hash-partitioned files.
-Every new batch is anti-joined by sorted merge with the keys that the runs have already settled, and the remaining counts
-become a run of level 0. When a level holds `fanout` runs they are merged into one run of the next level.
+A run is a table (h, g, n_docs) of distinct line keys, dealt into buckets and sorted by hash in each, so that runs merge bucket
+by bucket without an exchange or a sort. A key at `min_docs` documents is settled. Every new batch is anti-joined by sorted merge
+with the settled keys of the runs, and what remains becomes a run of level 0. When a level holds `fanout` runs they are
+compacted into one run of the next level, where counts of equal keys add up.
 
 Definitions. A line's key is the line without [\\x20\\x09-\\x0D] at either end, A-Z lower-cased. A document counts once for
 a key, rows that share a doc_id (null included) are one document. A null or empty text is one empty line. A key shorter than
-`min_chars` code points is never dropped. Keys are compared by xxhash64, so two keys are confused with a chance of 2^-64.
-An empty table gives an empty result; other columns pass through, but the operator's own columns replace theirs.
+`min_chars` code points is never dropped. Keys are compared by two xxhash64 values, 128 bits. A very long text costs its
+number of lines. Repeated rows get equal results. An empty table gives an empty result; other columns pass through, but the
+operator's own columns replace theirs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vane.plans.shared import stored
+from vane.llm.quality import let
+from vane.llm.text_batches import free_name
+from vane.plans.shared import stored, stored_run
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,87 +35,104 @@ def key_of(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def key_hash(line: Column, min_chars: int) -> Column:
-    """Null for keys that are too short to count."""
-    bare = F.btrim(line, F.lit(BLANK))
-    return F.when(F.length(bare) >= max(1, min_chars), F.xxhash64(key_of(line)))
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """For each line (h, g), or null for a key that is too short to count."""
+    keyed = F.transform(lines, key_of)
+    return F.transform(keyed, lambda k: F.when(F.length(k) >= max(1, min_chars), F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit(1), k).alias("g"))))
 
 
 class LineRuns:
     """The index: levels of runs. Counts of a key add up over runs; a key at `min_docs` or above is settled."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
-        self.spark, self.min_docs, self.fanout, self.levels = spark, min_docs, fanout, [[]]
+    def __init__(self, min_docs: int, fanout: int = 2):
+        self.min_docs, self.fanout, self.levels = min_docs, fanout, [[]]
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def counts(self) -> DataFrame | None:
-        """(key_hash, n_docs) over all runs."""
-        runs = self.runs()
-        if not runs:
-            return None
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.unionByName(run)
-        return merged.groupBy("key_hash").agg(F.sum("n_docs").alias("n_docs"))
-
     def settled(self) -> DataFrame | None:
-        counts = self.counts()
-        return None if counts is None else counts.where(F.col("n_docs") >= self.min_docs).select("key_hash")
+        """h, g of the keys that have min_docs documents over all runs."""
+        runs = self.runs()
+        return merged(runs).where(F.col("n_docs") >= self.min_docs).select("h", "g") if runs else None
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (key_hash, n_docs), one row a key, of documents that no earlier batch held."""
-        settled = self.settled()
-        fresh = batch if settled is None else batch.hint("merge").join(settled, "key_hash", "left_anti")
-        self._put(0, fresh)
+        """batch: (h, g, n_docs), one row a key, of documents that no earlier batch held."""
+        for run in self.runs():
+            batch = batch.join(run.where(F.col("n_docs") >= self.min_docs).select("h", "g").hint("merge"), ["h", "g"], "left_anti")
+        self._put(0, batch)
 
     def _put(self, level: int, rows: DataFrame) -> None:
-        run = stored(rows.select("key_hash", "n_docs").sortWithinPartitions("key_hash"), f"line-run-{level}")
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(stored_run(rows.select("h", "g", "n_docs"), f"line-run-{level}", "h", "g"))
         if len(self.levels[level]) >= self.fanout:
-            merged = self.levels[level][0]
-            for other in self.levels[level][1:]:
-                merged = merged.unionByName(other)
-            self.levels[level] = []
-            self._put(level + 1, merged.groupBy("key_hash").agg(F.sum("n_docs").alias("n_docs")))
-
-
-def frequent_lines(hashed: DataFrame, min_docs: int, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """Keys of at least min_docs documents. hashed: (doc_id, hashes array of a row's distinct keys)."""
-    spark = hashed.sparkSession
-    pairs = hashed.select("doc_id", F.explode("hashes").alias("key_hash"))
-    repeated = hashed.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:  # several rows are one document: count it once
+            rows, self.levels[level] = merged(self.levels[level]), []
+            self._put(level + 1, rows)
+
+
+def merged(runs: list[DataFrame]) -> DataFrame:
+    """The counts of all runs added up, two runs at a time: a full outer merge join of sorted buckets.
+
+    (A union of bucketed tables will not do: Spark 4.1.2 takes it for dealt by key and then aggregates without an exchange, wrongly.)
+    """
+    both = runs[0]
+    for k, run in enumerate(runs[1:]):
+        both = both if k == 0 else stored_run(both, "line-merge", "h", "g")
+        sides = [r.select("h", "g", F.col("n_docs").alias(n)) for r, n in ((both, "n_a"), (run, "n_b"))]
+        both = sides[0].join(sides[1].hint("merge"), ["h", "g"], "full").select("h", "g", (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n_docs"))
+    return both
+
+
+def distinct_keys(hashes: Column) -> Column:
+    """The distinct (h, g) of an array, by sorting: array_distinct compares structs pair by pair."""
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (x["h"] != F.get(s, i - 1)["h"]) | (x["g"] != F.get(s, i - 1)["g"]))
+    by_h = F.transform(hashes, lambda x: x["h"])
+    return F.when(F.size(F.array_distinct(by_h)) == F.size(hashes), hashes).otherwise(let(F.array_sort(hashes), firsts))
+
+
+def frequent_lines(hashed: DataFrame, min_docs: int, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """h, g of the keys of at least min_docs documents. hashed: (doc_id, hashes of a row's lines).
+
+    The documents are dealt into batches; one shuffle counts the keys of all of them, which then come as sorted runs.
+    """
+    pairs = hashed.select("doc_id", F.explode(let(F.array_compact("hashes"), distinct_keys)).alias("key")).select("doc_id", "key.h", "key.g")
+    if hashed.groupBy("doc_id").count().where("count > 1").limit(1).count():  # several rows are one document: count it once
         pairs = pairs.distinct()
-    batch = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(batches)).cast("int")
-    per_batch = stored(pairs.groupBy(batch.alias("batch"), "key_hash").agg(F.count(F.lit(1)).alias("n_docs")), "line-batches", "batch")
-    index = LineRuns(spark, min_docs, fanout)
+    batch = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(batches))
+    counts = stored_run(pairs.groupBy("h", "g").agg(*[F.count_if(batch == b).alias(f"n_{b}") for b in range(batches)]), "line-batches", "h", "g")
+    index = LineRuns(min_docs, fanout)
     for b in range(batches):
-        index.add(per_batch.where(F.col("batch") == b).select("key_hash", "n_docs"))
+        index.add(counts.where(F.col(f"n_{b}") > 0).select("h", "g", F.col(f"n_{b}").alias("n_docs")))
     return stored(index.settled(), "line-settled")
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs plus kept_text, n_lines and n_dropped: lines whose key min_docs documents hold are gone from every document."""
+def flags_at(positions: Column) -> Column:
+    """Booleans up to the last position, true at the positions (sorted)."""
+    gap = lambda ps: F.transform(ps, lambda p, i: F.concat(F.array_repeat(F.lit(False), p - F.coalesce(F.get(ps, i - 1), F.lit(-1)) - 1), F.array(F.lit(True))))
+    return F.flatten(let(positions, gap))
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """docs plus kept_text, n_lines and n_dropped: lines whose key min_docs documents hold are gone from every document.
+
+    Rows of one doc_id and text lose the same lines, so these two name a row in the table of hits.
+    """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    lines = lines_of(F.col("text"))
-    hashes = F.array_compact(F.array_distinct(F.transform(lines, lambda line: key_hash(line, min_chars))))
-    hashed = stored(docs.select("doc_id", hashes.alias("hashes")).where(F.size("hashes") > 0), "line-hashes")
+    lines, text_key = lines_of(F.col("text")), F.xxhash64("text")
+    hashed = stored(docs.select("doc_id", text_key.alias("text_key"), line_hashes(lines, min_chars).alias("hashes")), "line-hashes")
     frequent = frequent_lines(hashed, min_docs, batches, fanout)
-    hits = hashed.select("doc_id", F.explode("hashes").alias("key_hash")).join(frequent, "key_hash", "left_semi")
-    hits = stored(hits.groupBy(F.col("doc_id").alias("_hit_doc")).agg(F.collect_set("key_hash").alias("_hit_hashes")), "line-hits")
+    at = hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("at", "key")).select("doc_id", "text_key", "at", "key.h", "key.g")
+    hits = at.where("h IS NOT NULL").join(frequent, ["h", "g"], "left_semi").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    own = {c: free_name(docs.columns, c) for c in ("hit_doc", "hit_key", "dropped", "lines", "kept")}
+    hits = stored(hits.select(F.col("doc_id").alias(own["hit_doc"]), F.col("text_key").alias(own["hit_key"]), flags_at(F.col("at")).alias(own["dropped"])), "line-hits")
     # always dealt by doc_id: most documents have hits, so their list grows with the corpus
-    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hit_doc")), "left")
-    hit = F.col("_hit_hashes")
-    # coalesce: a line too short to have a key stays
-    kept = F.filter(F.col("_lines"), lambda line: ~F.coalesce(F.array_contains(hit, key_hash(line, min_chars)), F.lit(False)))
-    out = joined.withColumn("_lines", lines)
-    out = out.withColumn("_kept", F.when(hit.isNull(), F.col("_lines")).otherwise(kept))
-    n_lines = F.size("_lines").cast("long")
-    return out.select(*[docs[c] for c in docs.columns], F.array_join("_kept", "\n").alias("kept_text"), n_lines.alias("n_lines"), (n_lines - F.size("_kept")).alias("n_dropped"))
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own["hit_doc"])) & (text_key == F.col(own["hit_key"])), "left")
+    dropped = F.col(own["dropped"])
+    kept = F.filter(F.col(own["lines"]), lambda line, i: ~F.coalesce(F.get(dropped, i), F.lit(False)))
+    out = joined.withColumn(own["lines"], lines)
+    out = out.withColumn(own["kept"], F.when(dropped.isNull(), F.col(own["lines"])).otherwise(kept))
+    n_lines = F.size(own["lines"]).cast("long")
+    return out.select(*[docs[c] for c in docs.columns], F.array_join(own["kept"], "\n").alias("kept_text"), n_lines.alias("n_lines"), (n_lines - F.size(own["kept"])).alias("n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

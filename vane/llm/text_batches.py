@@ -33,3 +33,11 @@ def map_texts(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.Re
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as it takes to be none of the columns (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
