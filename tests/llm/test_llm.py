@@ -113,6 +113,39 @@ def test_url_model_learns(spark):
     assert got == {0: "block", 1: "allow"}
 
 
+def test_url_model_on_urls_it_has_not_seen(spark):
+    table = spark.createDataFrame(url_filter.LABELLED, "url string, label int").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(5)))
+    right = 0
+    for fold in range(5):
+        got = url_filter.judge_urls(table.where(F.col("fold") == fold).withColumnRenamed("label", "y"), table.where(F.col("fold") != fold).select("url", "label"), rules=[], allowed_share=0.5)
+        right += got.where((F.col("verdict") == "allow") == (F.col("y") == 1)).count()
+    assert right >= 0.6 * len(url_filter.LABELLED)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    seen = url_filter.judge_urls(pages, rules=[]).select(F.col("host").rlike("casino|bets|ads-|spam|pills|adult").alias("bad"), (F.col("verdict") == "block").alias("blocked"))
+    shares = {r.bad: r.share for r in seen.groupBy("bad").agg(F.avg(F.col("blocked").cast("int")).alias("share")).collect()}
+    assert shares[True] >= 0.9 and shares[False] <= 0.05
+
+
+def test_url_parts_and_rules_equal_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = c.sql(r"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     h AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+     l(rule, own, start) AS (VALUES ('com/', 'com', '/'), ('example.com/en/', 'example.com', '/en/'), ('www.example.com/en/', 'www.example.com', '/en/'), ('net/es/', 'net', '/es/'), ('net/fr/', 'net', '/fr/'))
+     SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM l WHERE (host = own OR suffix(host, '.' || own)) AND starts_with(path, start)) AS rule FROM h""").fetchall()
+    got = url_filter.op5_url_filter(spark, SF).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r[3] for r in want}) >= 4
+
+
+def test_url_odd_rows(spark):
+    rows = [(1, None), (1, None), (2, ""), (3, "://"), (4, "http://x.example/" + "a" * 20_000), (5, "HTTP://É.Example/ß?q"), (None, "x://ads.example")]
+    df = spark.createDataFrame([(i, u, "clash", "clash", 1) for i, u in rows], "page_id long, url string, rule string, Found string, bag int")
+    got = url_filter.judge_urls(df).collect()
+    assert Counter((r.page_id, r.host) for r in got) == Counter([(1, ""), (1, ""), (2, ""), (3, ""), (4, "x.example"), (5, "É.example"), (None, "ads.example")])
+    assert url_filter.judge_urls(df).columns == ["page_id", "url", "Found", "bag", "host", "path", "rule", "allow_probability", "verdict"]
+    assert {r.verdict for r in url_filter.judge_urls(df, spark.createDataFrame([], "url string, label int"), rules=[]).collect()} == {"allow"}
+
+
 def brute_groups(rows, width, similarity):
     sets = []
     for i, t in rows:
