@@ -351,8 +351,13 @@ def test_warc_round_trip(spark):
     rows = [(3, "http://b.example/x", "same é\r\n\r\nWARC/1.1\r\n"), (2, "http://a.example/y?q=1", "same é\r\n\r\nWARC/1.1\r\n"), (5, None, None), (4, "http://a.example/y", ""), (7, "http://a.example/y", "one"), (7, "http://a.example/y", "one")]
     pages = spark.createDataFrame([(i, u, h, "clash") for i, u, h in rows], "page_id long, url string, html string, payload string")
     path = warc.new_path(spark, "warc-test")
-    warc.write_archives(pages, path, max_records=2)
-    got = warc.merged_captures(warc.read_archives(spark, path), per_range=2).orderBy("merge_range", "merge_at").collect()
+    archives = warc.write_archives(pages, path, max_records=2)
+    assert archives.agg(F.sum("n_records"), F.max("n_records")).first()[:] == (len(rows), 2)
+    got = warc.merged_captures(warc.read_archives(archives, path, chunk=7), per_range=2).orderBy("merge_range", "merge_at").collect()
+    for r in got:  # each record can be read from its offset
+        headers, block = warc.read_record(path, r.archive, r.offset)
+        assert headers["WARC-Payload-Digest"] == "sha1:" + r.payload_digest and (r.record_type == "revisit" or len(block) == len(warc.HTTP) + r.payload_bytes)
+    assert warc.merged_captures(warc.read_archives(warc.write_archives(pages.limit(0), path), path)).count() == 0
     assert [(r.url_key, r.captured) for r in got] == sorted((r.url_key, r.captured) for r in got)
     want = {3: ("revisit", 2), 2: ("response", None), 5: ("revisit", 4), 4: ("response", None), 7: ("response", None)}
     html = {i: (h or "").encode() for i, _, h in rows}

@@ -14,8 +14,10 @@ Template windows with more than half placeholders, and those of items under `lea
 always are, so an item of any length and wording is found where it is copied word for word, even one of a single word.
 
 The benchmark's window hashes go to the executors in blocks of at most `block` (8 bytes each); a larger benchmark takes
-several passes over the documents. Null and empty texts match nothing; rows that share a doc_id are judged by themselves and
-give one verdict an item, the one of most matches; extra columns are ignored.
+several passes over the documents. The items' words stay where they are: only documents' hits are joined with them.
+Null and empty texts match nothing; an empty table of either side gives an empty result; a very long text is scanned whole, in
+time of its length; rows that share a doc_id are judged by themselves and give one verdict an item, the one of most matches (of equal
+coverage, more matches, more slots, then fewer changes); repeated items and rows change nothing. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -249,7 +251,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.5
         hits = map_texts(docs.select("doc_id", "text"), "text", scan, f"doc_id {doc_kind}, text_id bigint, doc_at int, hash bigint, doc_slots string")
         found = hits if found is None else found.union(hits)
     hits = stored(found.distinct(), "window-hits")
-    both = hits.join(F.broadcast(items) if n <= block else items, "hash")
+    both = hits.join(items, "hash")
     pair = ["doc_id", "text_id", "item_id", "n_all", "n_template", "width"]
     groups = both.groupBy(*pair).agg(F.collect_list(F.struct("at", "counts", "doc_at", "slots", "doc_slots")).alias("matches"))
     # a matched window covers `width` positions at most

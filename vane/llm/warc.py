@@ -1,15 +1,17 @@
 """WARC archives of pages, and their capture index in global order.
 
-Writing is one SQL expression and Spark's text writer: a record ends in two line breaks, which serve as the line separator,
-so the files hold plain WARC/1.1 records, gzip-compressed, at most `max_records` a file. Of the pages with equal payloads of
-at least `min_bytes` bytes the smallest page_id is the response and the others revisit it; shorter payloads are all responses.
+Of the pages with equal payloads of at least `min_bytes` bytes the smallest page_id is the response and the others revisit it;
+shorter payloads are all responses. Tasks write WARC/1.1 archives into the shared folder, one gzip member a record, so a
+record can be read from its offset alone; a new archive begins after `max_bytes` (compressed) or `max_records`. An archive counts only if the
+table of archives, which Spark commits, names it: what a lost or repeated task leaves behind is never read.
 
-Reading parses the archives record by record through Content-Length, checks payload digests, and sorts each archive's
-captures by URL key and time: a local run. Captures are then dealt by range of (URL key, time, page_id) and every range merges
-its runs with a loser tree, so that the ranges one after the other are the capture histories in global order.
+Reading inflates the archives member by member, checks payload digests, and sorts each archive's captures by URL key and time:
+a local run. Captures are then dealt by range of (URL key, time, page_id) and every range merges its runs with a loser tree, so
+that the ranges one after the other are the capture histories in global order. A task holds one record and one archive's captures.
 
 A null html is an empty payload; a null url gives an empty target. Rows with equal page_id and payload are all responses.
-A null page_id never becomes the response of others unless all are null. An empty table writes and reads nothing.
+A null page_id never becomes the response of others unless all are null. A very long payload is one record. Captures of equal
+key, time and page_id stand in the order of archive and offset. An empty table writes and reads nothing. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +52,22 @@ def with_roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     return joined.select("page_id", "url", "payload", "sha1", F.when(is_copy, F.col("first_page")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, max_records: int = 1000, start: str = "2024-01-01T00:00:00Z", spacing: int = 1) -> None:
-    """A record a page under path. Captures are dated start plus page_id times spacing seconds."""
+def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI in the shared folder, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
+
+ARCHIVE = "archive string, n_records bigint, n_bytes bigint"
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, max_records: int = 50_000, max_bytes: int = 64 << 20, start: str = "2024-01-01T00:00:00Z", spacing: int = 1) -> DataFrame:
+    """A record a page under path, and the table of archives. Captures are dated start plus page_id times spacing seconds."""
     rows = with_roles(pages, min_bytes)
     date = F.date_format(F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(start))) + F.coalesce(F.col("page_id"), F.lit(0)) % 1_000_000_000 * spacing), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("refers_to").isNotNull()
     target = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"), "\n", "%0A")
-    block = F.concat(F.lit(HTTP), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))
-    record = F.concat(
+    head = F.concat(
         F.lit(f"WARC/1.1{EOL}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
@@ -66,25 +77,55 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, max_records:
         line("X-Payload-Length", F.octet_length("payload")),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length(block)),
-        F.lit(EOL),
-        block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
-
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """(headers, block, offset) of each record, by its length; the content may hold anything."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = data[at:end].decode().split(EOL)
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(h.split(": ", 1) for h in head[1:])
-        size = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + size], at
-        at = end + 4 + size + 4
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = opened(path)
+        files.create_dir(folder, recursive=True)
+        done, out, name, n, size = [], None, "", 0, 0
+        for batch in batches:
+            for head, payload in zip(batch.column("head"), batch.column("payload")):
+                if out is not None and (n >= max_records or size >= max_bytes):
+                    out.close()
+                    done.append((name, n, size))
+                    out = None
+                if out is None:
+                    name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = files.open_output_stream(f"{folder}/{name}", compression=None)
+                block = HTTP.encode() + (payload.as_py() or "").encode()
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = pack.compress(f"{head.as_py()}Content-Length: {len(block)}{EOL}{EOL}".encode()) + pack.compress(block) + pack.compress(EOL.encode() * 2) + pack.flush()
+                out.write(member)
+                n, size = n + 1, size + len(member)
+        if out is not None:
+            out.close()
+            done.append((name, n, size))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), *(pa.array([d[k] for d in done], pa.int64()) for k in (1, 2))], ["archive", "n_records", "n_bytes"])
+
+    records = rows.select(head.alias("head"), F.when(~revisit, F.col("payload")).alias("payload"))
+    return stored(records.mapInArrow(write, ARCHIVE), "archives")
+
+
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """(headers, block, offset of the gzip member) of each record. The content may hold anything; one record is held at a time."""
+    at, size, member, inflate = 0, 0, bytearray(), zlib.decompressobj(31)
+    for chunk in chunks:
+        while chunk:
+            member += inflate.decompress(chunk)
+            size += len(chunk) - len(inflate.unused_data)
+            chunk = inflate.unused_data
+            if inflate.eof:
+                end = member.index(b"\r\n\r\n")
+                head = member[:end].decode().split(EOL)
+                headers = dict(h.split(": ", 1) for h in head[1:])
+                block = bytes(member[end + 4 : -4])
+                if not head[0].startswith("WARC/") or int(headers["Content-Length"]) != len(block):
+                    raise ValueError(f"no record at byte {at}")
+                yield headers, block, at
+                at, size, member, inflate = at + size, 0, bytearray(), zlib.decompressobj(31)
+    if member or size:
+        raise ValueError(f"the record at byte {at} is cut off")
 
 
 def url_key(url: str) -> str:
@@ -98,8 +139,8 @@ def url_key(url: str) -> str:
 CAPTURE = "url_key string, captured string, page_id bigint, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, archive string, offset bigint"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all archives under path, each archive's in the order of the index."""
+def read_archives(archives: DataFrame, path: str, chunk: int = 1 << 20) -> DataFrame:
+    """Captures of the archives under path that the table of archives names, each archive's in the order of the index."""
 
     def number(urn: str | None) -> int | None:
         digits = (urn or "")[len("<urn:page:") : -1]
@@ -108,12 +149,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in CAPTURE.split(", ")]
         kinds = [pa.int64() if c.endswith("bigint") else pa.string() for c in CAPTURE.split(", ")]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = zlib.decompress(batch.column("content")[i].as_buffer(), 31)
-                archive = batch.column("path")[i].as_py().rsplit("/", 1)[-1]
-                run = []
-                for h, block, offset in records(data):
+        files, folder = opened(path)
+        for archive in (a for batch in batches for a in batch.column("archive").to_pylist()):
+            run = []
+            with files.open_input_stream(f"{folder}/{archive}", compression=None) as stream:
+                for h, block, offset in records(iter(lambda: stream.read(chunk), b"")):
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     length = int(h["X-Payload-Length"])
                     if h["WARC-Type"] == "response":
@@ -121,12 +161,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != length:
                             raise ValueError(f"{archive}: the record at byte {offset} is damaged")
                     run.append((url_key(h["WARC-Target-URI"]), h["WARC-Date"], number(h["WARC-Record-ID"]), h["WARC-Type"], number(h.get("WARC-Refers-To")), digest, length, archive, offset))
-                run.sort(key=order_of)
-                if run:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*run), kinds)], names)
+            run.sort(key=order_of)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*run), kinds)], names)
+
+    return archives.select("archive").repartition("archive").mapInArrow(parse, CAPTURE)
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(parse, CAPTURE)
+def read_record(path: str, archive: str, offset: int) -> tuple[dict[str, str], bytes]:
+    """Headers and block of one record, read from its offset on."""
+    files, folder = opened(path)
+    with files.open_input_file(f"{folder}/{archive}") as f:
+        f.seek(offset)
+        headers, block, _ = next(records(iter(lambda: f.read(1 << 16), b"")))
+    return headers, block
 
 
 def order_of(row: tuple) -> tuple:
@@ -221,6 +268,6 @@ SELECT page_id, payload_bytes,
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    captures = merged_captures(read_archives(spark, path))
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
+    captures = merged_captures(read_archives(archives, path))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
