@@ -100,19 +100,32 @@ def container_cpu(spark, d):
     return rounded(baseline.container_cpu(c), "cpu_percent", digits=3).select("container", "seq", "cpu_percent")
 
 
-@query()
-def host_outliers(spark, d):
+def outlier_vectors(spark, d):
     """Hosts are users mod 10, a vector the values of five following events."""
-    e = tables.table(spark, d, "events")
     from pyspark.sql import Window
 
+    e = tables.table(spark, d, "events")
     w = Window.partitionBy("host").orderBy("ts", "event_id")
     e = e.withColumn("host", F.col("user_id") % 10).withColumn("k", F.row_number().over(w) - 1)
     v = e.groupBy("host", F.floor(F.col("k") / 5).alias("tick")).agg(*[F.max(F.when(F.col("k") % 5 == i, F.col("value"))).alias(f"f{i}") for i in range(5)], F.max(F.col("ts").cast("timestamp")).alias("timestamp"), F.max("event_id").alias("seq"))
-    out = baseline.host_outliers(v.dropna(), [f"f{i}" for i in range(5)], [0.25] * 5)
+    return baseline.host_outliers(v.dropna(), [f"f{i}" for i in range(5)], [0.25, 0.25, 0.25, 1e4, 1e4])
+
+
+@query()
+def host_outliers(spark, d):
+    out = outlier_vectors(spark, d)
     return rounded(out.where("severity IS NOT NULL"), "d2").select("host", "tick", "d2", "top_feature", "severity")
 
 
+@query()
+def lone_outliers(spark, d):
+    """Host outliers while no single measure of the host was anomalous."""
+    m = tables.metrics(spark, d).withColumn("host", F.col("labels")["user"].cast("long") % 10)
+    episodes = baseline.episodes(baseline.metric_anomalies(m, "host"), "host", gap_seconds=21_600)
+    out = incidents.alone(outlier_vectors(spark, d).where("severity IS NOT NULL"), episodes)
+    return rounded(out, "d2").select("host", "tick", "d2", "top_feature")
+
+
 @query(f"""WITH {ZSCORE.format(by='')}, a AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY name ORDER BY timestamp, seq) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM z WHERE abs(z) >= 3),
  e AS (SELECT *, sum(new) OVER (PARTITION BY name ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS episode FROM a) SELECT name, episode, min(timestamp) AS opened, max(timestamp) AS last_seen, count(*) AS findings FROM e GROUP BY ALL""")
 def insight_episodes(spark, d):
@@ -305,12 +318,33 @@ def followed_by_critical(spark, d):
     return bursts.followed_by_critical(m.select("name", "seq", "timestamp"), critical.select("name", "timestamp"), "name", within_seconds=21_600).select("name", "seq", "followed", "co_occurring")
 
 
-@query()
-def paging_scores(spark, d):
+def paging_bursts(spark, d):
+    """Bursts a source and template with features and the next critical of the source's kind of user."""
     b = bursts.log_bursts(tables.logs(spark, d), "source", seconds=14_400, at_least=3)
-    critical = baseline.metric_anomalies(tables.metrics(spark, d), "name").where("severity = 'critical'").select(F.explode(F.array(*[F.lit(f"user{i}") for i in range(20)])).alias("source"), "timestamp")
+    source = F.concat(F.lit("user"), (F.col("labels")["user"].cast("long") % 20).cast("string"))
+    critical = baseline.metric_anomalies(tables.metrics(spark, d), "name").where("severity = 'critical'").select(source.alias("source"), "timestamp").distinct()
     x = bursts.paging_features(bursts.followed_by_critical(b, critical, "source", within_seconds=21_600))
-    return rounded(bursts.paging_score(x, bursts.paging_fit(x)), "paging_score").select("source", "template", "seq", "followed", "paging_score")
+    return bursts.next_critical(x, critical, "source")
+
+
+@query()
+def paging_examples(spark, d):
+    """One example an episode of a template, labelled by a critical that followed."""
+    e = bursts.paging_examples(paging_bursts(spark, d), "source", "template", within_seconds=21_600)
+    return rounded(e, *bursts.FEATURES)
+
+
+@query()
+def paging_scores(spark, d):
+    """Every example judged before it was learned from, by its template's weights."""
+    g = bursts.paging_graded(bursts.paging_examples(paging_bursts(spark, d), "source", "template", within_seconds=21_600), "source", "template", scope=["source"])
+    return rounded(g, "predicted").select("source", "template", "opened", "followed", "predicted", "hit", "rule_hit")
+
+
+@query()
+def paging_readiness(spark, d):
+    g = bursts.paging_graded(bursts.paging_examples(paging_bursts(spark, d), "source", "template", within_seconds=21_600), "source", "template", scope=["source"])
+    return rounded(bursts.paging_readiness(g, "source"), "accuracy", "rule_accuracy")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS trace_id, l_linenumber AS span_id, epoch_ms(l_shipdate)::DOUBLE AS st, l_extendedprice AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -343,7 +377,10 @@ def span_latency(spark, d):
 
 @query()
 def slow_spans(spark, d):
-    return rounded(traces.slow_spans(tables.spans(spark, d), "service", "name"), "p99").select("service", "name", "trace_id", "span_id", "duration_ms", "run", "p99", "severity")
+    """Spans of the middle of each month take ten times as long here, so that runs of slow ones occur."""
+    slow = F.when(F.dayofmonth("start") == 15, 10).otherwise(1)
+    spans = tables.spans(spark, d).withColumn("duration_ms", F.col("duration_ms") * slow)
+    return rounded(traces.slow_spans(spans, "service", "name"), "p99", "median").select("service", "name", "trace_id", "span_id", "duration_ms", "run", "p99", "median", "severity")
 
 
 @query()
@@ -375,22 +412,69 @@ def metric_forecast(spark, d):
     return rounded(f, "value").select("name", ntz("at"), "value")
 
 
+def findings(spark, d):
+    """Findings of every kind as rows of one shape."""
+    m = tables.metrics(spark, d)
+    scored = baseline.metric_zscore(m, "name")
+    anomalies = scored.withColumn("severity", baseline.severity_of(F.col("z"))).where("severity IS NOT NULL")
+    spans = tables.spans(spark, d).withColumn("duration_ms", F.col("duration_ms") * F.when(F.dayofmonth("start") == 15, 10).otherwise(1))
+    return incidents.all_insights(
+        incidents.anomaly_rows(anomalies),
+        incidents.changepoint_rows(baseline.changepoints(scored, "name")),
+        incidents.burst_rows(bursts.log_bursts(tables.logs(spark, d), "source", seconds=14_400, at_least=3)),
+        incidents.slow_span_rows(traces.slow_spans(spans, "service", "name")),
+        incidents.culprit_rows(culprits_of(spark, d)),
+        incidents.host_outlier_rows(outlier_vectors(spark, d).where("severity IS NOT NULL")),
+    )
+
+
+@query()
+def all_insights(spark, d):
+    f = findings(spark, d)
+    return rounded(f, "value").withColumns({"time": F.col("time").cast("timestamp_ntz"), "related": F.array_join("related", ",")})
+
+
 @query()
+def timeline(spark, d):
+    """Events of all findings, near ones of equal source or related values folded into incidents."""
+    return incidents.timeline(findings(spark, d)).withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+INCIDENTS = f"""WITH RECURSIVE {ZSCORE.format(by='')}, i AS (SELECT name || ':' || lpad(seq::VARCHAR, 12, '0') AS id, seq, name, CASE WHEN abs(z) >= 5 THEN 'critical' ELSE 'warning' END AS severity, timestamp AS time FROM z WHERE abs(z) >= 3),
+ k AS (SELECT id, time, 'user' || user_id AS key FROM i JOIN events ON event_id = seq UNION ALL SELECT id, time, name FROM i),
+ l AS (SELECT id AS a, lag(id) OVER w AS b, time - lag(time) OVER w AS gap FROM k WINDOW w AS (PARTITION BY key ORDER BY time, id)),
+ e AS (SELECT a, b FROM l WHERE gap <= INTERVAL 720 MINUTE UNION SELECT b, a FROM l WHERE gap <= INTERVAL 720 MINUTE),
+ r(root, node) AS (SELECT id, id FROM i UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.node),
+ c AS (SELECT node AS id, min(root) AS incident FROM r GROUP BY node)
+ SELECT incident, count(*) AS members, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity, min(time) AS started, max(time) AS ended, arg_min(name, (time, i.id)) AS first_title, string_agg(name, ' → ' ORDER BY time, i.id) AS story FROM c JOIN i USING (id) GROUP BY incident"""
+
+
+@query(INCIDENTS)
 def incident_groups(spark, d):
     a = baseline.metric_anomalies(tables.metrics(spark, d), "name")
-    rows = a.select(F.concat_ws(":", "name", F.lpad(F.col("seq").cast("string"), 12, "0")).alias("id"), F.lit("detector").alias("source"), F.array(F.col("labels")["user"], F.col("name")).alias("related"), "severity", F.col("timestamp").alias("time"), F.col("name").alias("title"))
+    rows = a.select(F.concat_ws(":", "name", F.lpad(F.col("seq").cast("string"), 12, "0")).alias("id"), F.lit("detector").alias("source"), F.array(F.concat(F.lit("user"), F.col("labels")["user"]), F.col("name")).alias("related"), "severity", F.col("timestamp").alias("time"), F.col("name").alias("title"))
     g = incidents.incidents(rows, minutes=720)
     return g.select("incident", "members", "severity", ntz("started"), ntz("ended"), "first_title", "story")
 
 
-@query()
-def culprits(spark, d):
-    """Hosts are users mod 10, processes users; a process's sigma is its running z-score."""
+def culprits_of(spark, d):
+    """Hosts are users mod 10, processes users; a process's sigma is its running z-score, itself included."""
     m = tables.metrics(spark, d).withColumn("pid", F.col("labels")["user"].cast("long")).withColumn("host", F.col("labels")["user"].cast("long") % 10)
-    p = baseline.metric_zscore(m, "pid").select("host", "pid", "timestamp", "seq", F.col("value").alias("cpu"), F.col("z").alias("sigma"))
-    a = baseline.metric_anomalies(m, "host").where("severity = 'critical'").select("host", "timestamp")
-    c = incidents.culprits(a, p, max_age_seconds=86_400)
-    return c.select("host", ntz("opened"), "rank", "pid", "cpu", F.round("sigma", 4).alias("sigma"))
+    p = baseline.metric_zscore(m, "pid", inclusive=True).select("host", "pid", "timestamp", "seq", F.col("value").alias("cpu"), F.col("z").alias("sigma"))
+    a = baseline.metric_anomalies(m, "host").where("severity = 'critical'").select("host", "timestamp").distinct()
+    return incidents.culprits(a, p, max_age_seconds=86_400)
+
+
+@query("""WITH m AS (SELECT event_id AS seq, ts, value, user_id AS pid, user_id % 10 AS host FROM events),
+ s AS (SELECT *, count(*) OVER p AS n, (value - avg(value) OVER p) / nullif(stddev_samp(value) OVER p, 0) AS z FROM m WINDOW p AS (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+ q AS (SELECT host, pid, ts, seq, value AS cpu, CASE WHEN n >= 12 THEN z END AS sigma FROM s),
+ w AS (SELECT *, count(*) OVER h AS n, avg(value) OVER p AS mp, stddev_samp(value) OVER p AS sp FROM m WINDOW p AS (PARTITION BY host ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h AS (PARTITION BY host ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+ a AS (SELECT DISTINCT host, ts AS opened FROM w WHERE n >= 12 AND sp > 0 AND abs((value - mp) / sp) >= 5),
+ l AS (SELECT a.opened, q.* FROM a JOIN q ON a.host = q.host AND q.ts <= a.opened AND q.ts > a.opened - INTERVAL 1 DAY QUALIFY row_number() OVER (PARTITION BY a.host, a.opened, q.pid ORDER BY q.ts DESC, q.seq DESC) = 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY host, opened ORDER BY CASE WHEN sigma >= 1.5 THEN 0 ELSE 1 END, CASE WHEN sigma >= 1.5 THEN sigma ELSE cpu END DESC, pid)::INTEGER AS rank FROM l WHERE sigma >= 1.5 OR (sigma IS NULL AND cpu >= 20))
+ SELECT host, opened, rank, pid, cpu, round(sigma, 4) AS sigma FROM r WHERE rank <= 3""")
+def culprits(spark, d):
+    return culprits_of(spark, d).select("host", ntz("opened"), "rank", "pid", "cpu", F.round("sigma", 4).alias("sigma"))
 
 
 @query()
@@ -398,13 +482,34 @@ def severity_scores(spark, d):
     lines = tables.text_logs(spark, d)
     hits, classes = severity.severity_fit(lines)
     s = severity.severity_score(lines, hits, classes)
-    return s.select("seq", "severity", "predicted", F.round("confidence", 3).alias("confidence"), "answer")
+    return s.select("doc_id", "line", "severity", "predicted", F.round("confidence", 3).alias("confidence"), "answer")
+
+
+def line_blocks(spark, d, n: int = 10):
+    """Document lines in n blocks of doc_id."""
+    lines = tables.text_logs(spark, d)
+    ends = tables.table(spark, d, "documents").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))  # one row
+    block = F.floor((F.col("doc_id") - F.col("_lo")) * n / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
+    return lines.join(F.broadcast(ends)).withColumn("block", block).drop("_lo", "_hi")
+
+
+@query()
+def severity_prequential(spark, d):
+    g = severity.severity_prequential(line_blocks(spark, d), "doc_id", "line")
+    return g.select("doc_id", "line", "severity", "predicted", F.round("confidence", 3).alias("confidence"), "hit", "rule_hit")
+
+
+@query()
+def severity_readiness(spark, d):
+    lines = line_blocks(spark, d)
+    r = severity.readiness(severity.severity_prequential(lines, "doc_id", "line"), severity.severity_fit(lines)[1], "doc_id", "line")
+    return rounded(r, "accuracy", "rule_accuracy")
 
 
 @query(r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS m FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
- SELECT doc_id * 1000000 + line AS seq, CASE WHEN regexp_matches(lower(m), 'fatal|error|fail') THEN 'error' WHEN contains(lower(m), 'warn') THEN 'warn' WHEN contains(lower(m), 'debug') THEN 'debug' ELSE 'info' END AS severity FROM l""")
+ SELECT doc_id, line::INTEGER AS line, CASE WHEN regexp_matches(lower(m), 'fatal|error|fail') THEN 'error' WHEN contains(lower(m), 'warn') THEN 'warn' WHEN contains(lower(m), 'debug') THEN 'debug' ELSE 'info' END AS severity FROM l""")
 def fallback_severity(spark, d):
-    return tables.text_logs(spark, d).select("seq", T.fallback_severity(F.col("message")).alias("severity"))
+    return tables.text_logs(spark, d).select("doc_id", "line", T.fallback_severity(F.col("message")).alias("severity"))
 
 
 @query("""WITH e AS (SELECT event_type AS name, 'u:' || (user_id % 3) AS tags, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS flush, round(value, 2) AS v, ts, event_id FROM events),

@@ -15,6 +15,14 @@ MASKS = [
 FNV_OFFSET, FNV_PRIME, TOKEN_BUCKETS = 2166136261, 16777619, 4096
 
 
+LEVELS = ("debug", "info", "warn", "error")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_template(message: Column) -> Column:
     """The message with identifiers, addresses and numbers masked and white space collapsed."""
     for pattern in MASKS:
@@ -29,16 +37,29 @@ def fallback_severity(message: Column) -> Column:
 
 
 def otlp_severity(number: Column, text: Column) -> Column:
+    """The number where it is set, else the level's name."""
+    low = F.lower(F.trim(text))
+    named = F.when(low.isin("trace", "debug"), "debug").when(low.isin("warn", "warning"), "warn").when(low.isin("error", "fatal", "critical", "panic"), "error").otherwise("info")
+    return F.when(number >= 17, "error").when(number >= 13, "warn").when(number >= 9, "info").when(number >= 1, "debug").otherwise(named)
+
+
+def known_severity(text: Column) -> Column:
+    """One of the four levels, or null."""
     low = F.lower(F.trim(text))
-    named = F.when(low.isin("debug", "info", "warn", "error"), low).otherwise("info")
-    return F.when(number >= 17, "error").when(number >= 13, "warn").when(number >= 9, "info").when(number >= 1, "debug").otherwise(F.coalesce(named, F.lit("info")))
+    return F.when(low.isin(*LEVELS), low)
 
 
-def severity_tokens(message: Column, limit: int = 64, max_bytes: int = 8192) -> Column:
-    """Lower-case runs of ASCII letters and digits, without single characters and plain numbers."""
-    head = F.when(F.octet_length(message) <= max_bytes, message).otherwise(F.decode(F.substring(F.encode(message, "UTF-8"), 1, max_bytes), "ISO-8859-1"))
-    words = F.filter(F.split(head, "[^A-Za-z0-9]+"), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$"))
-    return F.slice(F.transform(words, lambda t: F.lower(t)), 1, limit)
+#: How much of a message a bounded reader looks at.
+TOKEN_LIMIT, BYTE_LIMIT = 64, 8192
+
+
+def severity_tokens(message: Column, limit: int | None = None, max_bytes: int | None = None) -> Column:
+    """Lower-case runs of ASCII letters and digits, without single characters and plain numbers; of the whole message unless limits are given."""
+    if max_bytes is not None:
+        message = F.when(F.octet_length(message) <= max_bytes, message).otherwise(F.decode(F.substring(F.encode(message, "UTF-8"), 1, max_bytes), "ISO-8859-1"))
+    words = F.filter(F.split(message, "[^A-Za-z0-9]+"), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$"))
+    lowered = F.transform(words, lambda t: F.lower(t))
+    return lowered if limit is None else F.slice(lowered, 1, limit)
 
 
 def token_bucket(token: Column) -> Column:
@@ -58,14 +79,27 @@ def label_equals(labels: Column, key: str, value: str) -> Column:
     return F.coalesce(labels[key], F.lit("")) == value
 
 
+def plain_number(v: Column, decimals: int | Column) -> Column:
+    """At most so many decimals, without trailing zeros."""
+    text = F.round(v, decimals) if isinstance(decimals, int) else v
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.12f", text), r"0+$", ""), r"\.$", "")
+
+
 def compact_number(v: Column) -> Column:
+    """1240 as 1.2k; two significant decimals below 1."""
     size = F.abs(v)
-    scaled = lambda d, unit: F.concat(F.regexp_replace(F.format_string("%.1f", v / d), r"\.0$", ""), F.lit(unit))
-    return F.when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).when(size >= 1e3, scaled(1e3, "k")).otherwise(F.regexp_replace(F.format_string("%.1f", v), r"\.0$", ""))
+    sign = F.when(v < 0, "-").otherwise("")
+    scaled = lambda d, unit: F.concat(sign, F.when(size / d >= 100, plain_number(size / d, 0)).otherwise(plain_number(size / d, 1)), F.lit(unit))
+    power = F.pow(F.lit(10.0), 1 - F.floor(F.log10(size)))  # keeps two digits
+    small = F.concat(sign, plain_number(F.round(size * power) / power, 12))
+    large = F.when(size < 1e3, F.concat(sign, plain_number(size, 0))).when(size < 1e6, scaled(1e3, "k")).when(size < 1e9, scaled(1e6, "M")).otherwise(scaled(1e9, "B"))
+    return F.when(v.isNull() | F.isnan(v) | (size == float("inf")), "–").when((size > 0) & (size < 1), small).otherwise(large)
 
 
 def duration_text(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms"))).when(ms < 60_000, F.format_string("%.1fs", ms / 1000)).otherwise(F.format_string("%.1fmin", ms / 60_000))
+    text = F.when(ms < 1, F.concat(plain_number(ms, 2), F.lit("ms"))).when(ms < 1000, F.concat(plain_number(ms, 0), F.lit("ms")))
+    text = text.when(ms < 60_000, F.concat(plain_number(ms / 1000, 2), F.lit("s"))).otherwise(F.concat(plain_number(ms / 60_000, 1), F.lit("min")))
+    return F.when(ms.isNull() | F.isnan(ms) | (F.abs(ms) == float("inf")), "–").otherwise(text)
 
 
 def percent_text(v: Column, decimals: int = 1) -> Column:
@@ -107,3 +141,34 @@ def projection_phrase(soonest: Column, latest: Column) -> Column:
         .when((latest == 0) | (hi <= lo), about)
         .otherwise(F.concat(F.lit("in "), human(lo), F.lit(" to "), human(hi)))
     )
+
+
+def container_name(name: Column) -> Column:
+    """Without the leading slash."""
+    return F.regexp_replace(name, "^/", "")
+
+
+def short_id(identifier: Column) -> Column:
+    return F.left(identifier, F.lit(12))
+
+
+def burst_ratio(recent: Column, previous: Column) -> Column:
+    return F.when(previous == 0, recent.cast("double")).otherwise(recent / previous)
+
+
+def sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+def tone_of(severity: Column) -> Column:
+    return F.when(severity == "critical", "danger").when(severity == "warning", "warning").otherwise("accent")
+
+
+def tls_tone(valid: Column, days: Column) -> Column:
+    """Of a certificate: an invalid chain or no days left is danger, under two weeks a warning."""
+    return F.when(valid == 0, "danger").when(days <= 0, "danger").when(days < 14, "warning").when(days.isNotNull(), "success")
+
+
+def seasonal_hour(name: Column, timestamp: Column) -> Column:
+    """The hour of a seasonal series; null for processes, whose load follows no clock."""
+    return F.when(~F.startswith(name, F.lit("process.")), F.hour(timestamp))

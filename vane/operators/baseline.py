@@ -7,56 +7,71 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vane.plans.ordered import ordered_scan
+
 MIN_SAMPLES, WARN, CRITICAL = 12, 3.0, 5.0
 DRIFT, DECISION = 0.5, 5.0
 MIN_VECTORS, WARN_D2, CRITICAL_D2 = 50, 18.21, 37.09
 
 
-def metric_zscore(metrics: DataFrame, *keys: str, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """metrics with n and z: each point against those before it in its series; with too few or flat ones before, against all up to it."""
-    order = Window.partitionBy(*keys).orderBy("timestamp", "seq")
-    past, here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count("value").over(here)
-    sd_past, sd_here = F.stddev_samp("value").over(past), F.stddev_samp("value").over(here)
-    use_past = (n >= 3) & (F.coalesce(sd_past, F.lit(0.0)) > 0)
-    df = metrics.withColumns({"n": n, "_mean": F.when(use_past, F.avg("value").over(past)).otherwise(F.avg("value").over(here)), "_sd": F.when(use_past, sd_past).otherwise(sd_here)})
-    z = F.when((F.col("n") >= min_samples) & (F.col("_sd") > 0), (F.col("value") - F.col("_mean")) / F.col("_sd"))
-    return df.withColumn("z", z).drop("_mean", "_sd")
+def metric_zscore(metrics: DataFrame, *keys: str, min_samples: int = MIN_SAMPLES, inclusive: bool = False) -> DataFrame:
+    """metrics with n and z: each point against those before it in its series; with too few or flat ones before (or if inclusive), against all up to it.
+
+    A series is dealt by day: windows run inside a series' day, and the counts, means and squared deviations of its earlier
+    days, one row a day, are added to them. So no task holds a whole series. Flatness is decided by least and largest values.
+    """
+    day = F.to_date("timestamp")
+    same = lambda a, b: [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys]
+    days = metrics.groupBy(*[F.col(k).alias(f"_d{k}") for k in keys], day.alias("_dday")).agg(F.count("value").alias("_n0"), F.avg("value").alias("_m0"), F.var_pop("value").alias("_v0"), F.min("value").alias("_lo0"), F.max("value").alias("_hi0"))
+    before = Window.partitionBy(*[f"_d{k}" for k in keys]).orderBy("_dday").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*[f"_d{k}" for k in keys])
+    days = days.withColumn("_shift", F.avg("_m0").over(whole))  # means are near it, so squares lose no digits
+    shifted = F.col("_m0") - F.col("_shift")
+    past = {"_n1": F.sum("_n0").over(before), "_s1": F.sum(F.col("_n0") * shifted).over(before), "_q1": F.sum(F.col("_n0") * (F.col("_v0") + shifted * shifted)).over(before), "_lo1": F.min("_lo0").over(before), "_hi1": F.max("_hi0").over(before)}
+    days = days.withColumns(past).select(*[f"_d{k}" for k in keys], "_dday", "_shift", "_n1", "_s1", "_q1", "_lo1", "_hi1")
+    joined = metrics.withColumn("_day", day).join(days, [*same("", "_d"), F.col("_day") == F.col("_dday")])
+    order = Window.partitionBy(*keys, "_day").orderBy("timestamp", "seq")
+    frames = {"p": order.rowsBetween(Window.unboundedPreceding, -1), "h": order.rowsBetween(Window.unboundedPreceding, 0)}
+    x = F.col("value") - F.col("_shift")
+    df = joined
+    for f, frame in frames.items():
+        df = df.withColumns({f"_n{f}": F.count("value").over(frame) + F.coalesce("_n1", F.lit(0)), f"_s{f}": F.coalesce(F.sum(x).over(frame), F.lit(0.0)) + F.coalesce("_s1", F.lit(0.0)), f"_q{f}": F.coalesce(F.sum(x * x).over(frame), F.lit(0.0)) + F.coalesce("_q1", F.lit(0.0)), f"_lo{f}": F.least(F.min("value").over(frame), "_lo1"), f"_hi{f}": F.greatest(F.max("value").over(frame), "_hi1")})
+    mean = lambda f: F.col("_shift") + F.col(f"_s{f}") / F.col(f"_n{f}")
+    sd = lambda f: F.when((F.col(f"_n{f}") > 1) & (F.col(f"_hi{f}") > F.col(f"_lo{f}")), F.sqrt(F.greatest(F.col(f"_q{f}") - F.col(f"_s{f}") * F.col(f"_s{f}") / F.col(f"_n{f}"), F.lit(0.0)) / (F.col(f"_n{f}") - 1)))
+    own = F.lit(False) if inclusive else (F.col("_nh") >= 3) & sd("p").isNotNull()
+    z = F.when(own, (F.col("value") - mean("p")) / sd("p")).otherwise((F.col("value") - mean("h")) / sd("h"))
+    return df.select(*metrics.columns, F.col("_nh").alias("n"), F.when((F.col("_nh") >= min_samples) & ~F.isnan(z), z).alias("z"))
 
 
 def severity_of(z: Column, warn: Column | float = WARN, critical: Column | float = CRITICAL) -> Column:
     return F.when(F.abs(z) >= critical, "critical").when(F.abs(z) >= warn, "warning")
 
 
-def metric_anomalies(metrics: DataFrame, *keys: str) -> DataFrame:
+def metric_anomalies(metrics: DataFrame, *keys: str, warn: Column | float = WARN, critical: Column | float = CRITICAL) -> DataFrame:
+    """Points far off their baseline; the limits may be columns, such as learned ones."""
     scored = metric_zscore(metrics, *keys)
-    return scored.withColumn("severity", severity_of(F.col("z"))).where(F.col("severity").isNotNull())
+    return scored.withColumn("severity", severity_of(F.col("z"), warn, critical)).where(F.col("severity").isNotNull())
 
 
 def changepoints(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION) -> DataFrame:
-    """Rows where a two-armed cumulative sum of z crosses; both arms start anew there, and where a point has no score. One series at a time, in time order."""
-    columns = [*keys, "timestamp", "seq", "z"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp", "seq"], kind="stable")
-        hi = lo = 0.0
-        arms, ways = [], []
-        for z in pdf.z.to_numpy(dtype=float, na_value=np.nan):
-            if np.isnan(z):
-                hi = lo = 0.0
-            else:
-                hi, lo = max(0.0, hi + z - drift), max(0.0, lo - z - drift)
-            arm = max(hi, lo)
-            crossed = arm >= decision
-            arms.append(arm if crossed else None)
-            ways.append(("up" if hi >= lo else "down") if crossed else None)
-            if crossed:
-                hi = lo = 0.0
-        return pdf.assign(arm=arms, direction=ways)[[*columns, "arm", "direction"]].dropna(subset=["direction"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in scored.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return scored.select(*columns).groupBy(*keys).applyInPandas(run, f"{schema}, arm double, direction string")
+    """Rows where a two-armed cumulative sum of z crosses; both arms start anew there, and where a point has no score. One pass in time order."""
+    rows = scored.select(*keys, "timestamp", "seq", "z")
+    at = len(keys) + 2
+
+    def step(arms: list[float], row: tuple) -> list[tuple] | None:
+        z = row[at]
+        if z is None:
+            arms[:] = 0.0, 0.0
+            return None
+        hi, lo = max(0.0, arms[0] + z - drift), max(0.0, arms[1] - z - drift)
+        arms[:] = hi, lo
+        if max(hi, lo) < decision:
+            return None
+        arms[:] = 0.0, 0.0
+        return [(*row, max(hi, lo), "up" if hi >= lo else "down")]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return ordered_scan(rows, list(keys), ["timestamp", "seq"], lambda: [0.0, 0.0], step, f"{schema}, arm double, direction string")
 
 
 def first_crossing(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION) -> DataFrame:
@@ -122,3 +137,13 @@ def episodes(findings: DataFrame, *keys: str, gap_seconds: int = 600) -> DataFra
     gap = F.unix_micros("timestamp") - F.lag(F.unix_micros("timestamp")).over(order)
     df = findings.withColumn("episode", F.sum(F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return df.groupBy(*keys, "episode").agg(F.min("timestamp").alias("opened"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("findings"))
+
+
+def memory_percent(used: Column, limit: Column) -> Column:
+    return F.when(limit == 0, 0.0).otherwise(used / limit * 100)
+
+
+def seen_before(points: DataFrame, *keys: str, tick: str = "tick") -> DataFrame:
+    """points of keys that were also there one tick earlier: a rate needs two sightings. tick: whole numbers."""
+    before = F.lag(tick).over(Window.partitionBy(*keys).orderBy(tick))
+    return points.withColumn("_before", before).where(F.col("_before") == F.col(tick) - 1).drop("_before")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vane.plans.ordered import ordered_scan
+
 
 class P2:
     """Jain and Chlamtac's quantile from five markers (Communications of the ACM, 1985)."""
@@ -46,28 +48,64 @@ class P2:
         return self.q[2] if self.n >= 5 else self.q[min(len(self.q) - 1, int(self.p * len(self.q)))]
 
 
+def kinds_of(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
 def p2_quantiles(df: DataFrame, value: str, *keys: str, p: float = 0.99) -> DataFrame:
     """The marker estimate of each key, in (timestamp, seq) order."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    at = len(keys) + 2
+    rows = df.select(*keys, "timestamp", "seq", value)
+    return ordered_scan(rows, list(keys), ["timestamp", "seq"], lambda: P2(p), lambda e, row: e.observe(row[at]), f"{kinds_of(df, *keys)}, n bigint, quantile double", lambda e, key: [(*key, e.n, e.value())])
+
+
+WARN_P, PAGE_P, FLOOR, CEILING = 0.999, 0.9999, 2.0, 12.0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = P2(p)
-        for x in pdf.sort_values(["timestamp", "seq"], kind="stable")[value]:
-            e.observe(x)
-        return pdf[list(keys)].head(1).assign(n=e.n, quantile=e.value())
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return df.select(*keys, "timestamp", "seq", value).groupBy(*keys).applyInPandas(run, f"{schema}, n bigint, quantile double")
+class Thresholds:
+    """A key's limits on |z|, learned from its past."""
+
+    def __init__(self, warn_from: int, page_from: int):
+        self.warn, self.page, self.n = P2(WARN_P), P2(PAGE_P), 0
+        self.warn_from, self.page_from = warn_from, page_from
+
+    def limits(self) -> tuple[float, float]:
+        bound = lambda v: min(CEILING, max(FLOOR, v))
+        warn = bound(self.warn.value()) if self.n >= self.warn_from else 3.0
+        page = bound(self.page.value()) if self.n >= self.page_from else 5.0
+        return warn, max(warn, page)
+
+    def observe(self, z: float) -> tuple[float, float]:
+        """The limits in force for this point, which then moves them."""
+        now = self.limits()
+        self.n += 1
+        self.warn.observe(z)
+        self.page.observe(z)
+        return now
 
 
 def learned_thresholds(scored: DataFrame, *keys: str, warn_from: int = 2_000, page_from: int = 20_000) -> DataFrame:
-    """Per-key limits on |z|: quantiles 0.999 and 0.9999 of the history, fixed values until there is enough of it, within [2, 12]."""
-    q = F.percentile_approx(F.abs("z"), F.array(F.lit(0.999), F.lit(0.9999)), 100_000)
-    fit = scored.where("z IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), q.alias("_q"))
-    bound = lambda v: F.least(F.greatest(v, F.lit(2.0)), F.lit(12.0))
-    warn = F.when(F.col("points") >= warn_from, bound(F.get("_q", F.lit(0)))).otherwise(3.0)
-    page = F.when(F.col("points") >= page_from, bound(F.get("_q", F.lit(1)))).otherwise(5.0)
-    return fit.select(*keys, "points", warn.alias("warn"), F.greatest(warn, page).alias("critical"))
+    """keys, timestamp, seq, z, warn, critical, severity: each scored point with the limits in force when it came, and its verdict by them.
+
+    Limits are five-marker estimates of the 0.999 and 0.9999 quantiles of the key's earlier |z|, fixed values until there are
+    enough points, within [2, 12].
+    """
+    at = len(keys)
+
+    def step(limits: Thresholds, row: tuple) -> list[tuple]:
+        warn, page = limits.observe(abs(row[at + 2]))
+        z = abs(row[at + 2])
+        return [(*row, warn, page, "critical" if z >= page else "warning" if z >= warn else None)]
+
+    rows = scored.where("z IS NOT NULL").select(*keys, "timestamp", "seq", "z")
+    return ordered_scan(rows, list(keys), ["timestamp", "seq"], lambda: Thresholds(warn_from, page_from), step, f"{kinds_of(rows, *rows.columns)}, warn double, critical double, severity string")
+
+
+def threshold_rates(graded: DataFrame, *keys: str) -> DataFrame:
+    """Points, share of warnings and of pages by key, and the last limits: what a calibration does, which has no labels."""
+    last = F.struct("timestamp", "seq")
+    share = lambda c: F.avg((F.abs("z") >= F.col(c)).cast("double"))
+    return graded.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), share("warn").alias("warn_rate"), share("critical").alias("page_rate"), F.max_by("warn", last).alias("warn"), F.max_by("critical", last).alias("critical"))
 
 
 LEVEL, TREND = 0.3, 0.1
@@ -80,41 +118,67 @@ def variance_ratio(h: float, a: float = LEVEL, b: float = TREND) -> float:
     return 1 + a * a * (m + 2 * b * s1 + b * b * s2)
 
 
+class Burn:
+    """Level and trend of the spent budget, the errors of their one-step forecasts and the cadence of the readings."""
+
+    def __init__(self) -> None:
+        self.n, self.level, self.trend, self.last, self.at = 0, 0.0, 0.0, 0.0, None
+        self.mse = self.cadence = 0.0
+        self.wins: list[bool] = []
+
+    def decayed(self, old: float, new: float) -> float:
+        """A mean whose newest value weighs 1 / n, but never under 0.05."""
+        w = max(0.05, 1 / max(self.n, 1))
+        return old + w * (new - old)
+
+    def observe(self, at: float, spent: float) -> None:
+        if not math.isfinite(spent):
+            return
+        if self.n:
+            error = spent - self.level - self.trend
+            self.wins = [*self.wins[-199:], abs(error) < abs(spent - self.last)]
+            self.mse = self.decayed(self.mse, error * error)
+            if at > self.at:
+                self.cadence = self.decayed(self.cadence, at - self.at)
+        if self.n < 2:
+            self.trend, self.level = (spent - self.level if self.n else 0.0), spent
+        else:
+            before = self.level
+            self.level = LEVEL * spent + (1 - LEVEL) * (before + self.trend)
+            self.trend = TREND * (self.level - before) + (1 - TREND) * self.trend
+        self.n, self.last, self.at = self.n + 1, spent, at
+
+    def exhausted(self, min_readings: int, horizon: float) -> tuple[float | None, float | None]:
+        """Seconds until all is spent, soonest and latest (0: beyond the horizon); two nulls where nothing can be said."""
+        none = (None, None)
+        if self.n < min_readings:
+            return none
+        if self.last >= 100:
+            return 0.0, 0.0
+        if self.cadence <= 0:
+            return none
+        left = 100 - self.level
+        if left <= 0:
+            return 0.0, 0.0
+        if self.trend <= 0 or left / self.trend * self.cadence > 2 * horizon:
+            return none
+        steps = left / self.trend
+        band = 2 * math.sqrt(self.mse * variance_ratio(steps)) / steps
+        if band >= self.trend:  # the trend does not stand out of the errors
+            return none
+        soon, late = (left / (self.trend + b) * self.cadence for b in (band, -band))
+        return none if soon > horizon else (soon, late if late <= horizon else 0.0)
+
+
 def burn_forecast(readings: DataFrame, *keys: str, min_readings: int = 20, horizon_hours: float = 48.0, seconds: str = "seconds", value: str = "consumed") -> DataFrame:
-    """Level and trend of the spent budget, and when it is used up: soonest and latest (0: open) in seconds; null without a rising trend."""
-    kinds = {f.name: f.dataType.simpleString() for f in readings.schema}
+    """Level and trend of the spent budget, when it is used up (soonest and latest in seconds, see Burn), and skill: the share of the last 200 steps where the trend was nearer than persistence."""
+    k = len(keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seconds, kind="stable")
-        level = trend = mse = cadence = 0.0
-        last = None
-        wins = []
-        for n, (t, y) in enumerate(zip(pdf[seconds], pdf[value]), 1):
-            if n == 1:
-                level = y
-            else:
-                error, naive = y - (level + trend), y - last[1]
-                wins.append(abs(error) < abs(naive))
-                w = max(0.05, 1 / n)
-                mse, cadence = mse * (1 - w) + error * error * w, cadence * (1 - w) + (t - last[0]) * w
-                new = LEVEL * y + (1 - LEVEL) * (level + trend)
-                trend = TREND * (new - level) + (1 - TREND) * trend
-                level = new
-            last = (t, y)
-        soon = late = None
-        if n >= min_readings and trend > 0 and cadence > 0:
-            steps = max(0.0, 100 - level) / trend
-            band = 2 * math.sqrt(mse * variance_ratio(steps)) / max(steps, 1)
-            fast, slow = trend + band, trend - band
-            soon = max(0.0, 100 - level) / fast * cadence
-            late = max(0.0, 100 - level) / slow * cadence if slow > 0 else 0.0
-            if soon > horizon_hours * 3600:
-                soon = late = None
-        skill = sum(wins[-200:]) / len(wins[-200:]) if wins else None
-        return pdf[list(keys)].head(1).assign(readings=n, level=level, trend=trend, soonest=soon, latest=late, skill=skill).astype({"soonest": float, "latest": float, "skill": float})
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return readings.select(*keys, seconds, value).groupBy(*keys).applyInPandas(run, f"{schema}, readings bigint, level double, trend double, soonest double, latest double, skill double")
+    def end(b: Burn, key: tuple) -> list[tuple]:
+        return [(*key, b.n, b.level, b.trend, *b.exhausted(min_readings, horizon_hours * 3600), sum(b.wins) / len(b.wins) if b.wins else None)]
+
+    schema = f"{kinds_of(readings, *keys)}, readings bigint, level double, trend double, soonest double, latest double, skill double"
+    return ordered_scan(readings.select(*keys, seconds, value), list(keys), [seconds], Burn, lambda b, row: b.observe(row[k], row[k + 1]), schema, end)
 
 
 def metric_forecast(minutes: DataFrame, horizons: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:

@@ -39,11 +39,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document lines; severity is declared where the document has a label."""
+    """Document lines, named by doc_id and line; severity is declared where the document has a label."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lines = d.join(lab, "doc_id", "left").select("doc_id", "source", "toxic", "quality", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "message"))
     severity = F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "warn").when(F.col("quality") == 1, "info")
-    return lines.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("seq"), "source", "message", severity.alias("severity"))
+    return lines.select("doc_id", "line", "source", "message", severity.alias("severity"), severity.isNull().alias("severity_inferred"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
