@@ -197,7 +197,7 @@ def error_budget(spark, d):
     return rounded(rollup.error_budget(tables.logs(spark, d), "source", slo=0.25), "consumed")
 
 
-@query("""WITH m AS (SELECT event_type AS name, date_trunc('minute', ts) AS "at", round(avg(value), 4) AS value FROM events GROUP BY ALL) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY "at" DESC) <= 20160""")
+@query("""WITH m AS (SELECT event_type AS name, date_trunc('minute', ts) AS "at", round(avg(value), 4) AS value FROM events GROUP BY ALL) SELECT * FROM m""")
 def minute_means(spark, d):
     return rounded(rollup.minute_means(tables.metrics(spark, d)), "value").select("name", ntz("at"), "value")
 
@@ -219,9 +219,9 @@ PROBE = """p AS (SELECT user_id % 10 AS target, ts, CASE WHEN event_type <> 'err
  s AS (SELECT g.target, g.bucket, coalesce(checks, 0) AS checks, CASE WHEN checks IS NULL THEN 'unknown' WHEN up = checks THEN 'operational' WHEN up = 0 THEN 'outage' ELSE 'degraded' END AS status FROM g LEFT JOIN c ON g.target = c.target AND g.bucket = c.bucket)"""
 
 
-@query(f"WITH {PROBE} SELECT * FROM s")
+@query(f"WITH {PROBE} SELECT target, bucket, checks, status FROM s")
 def probe_uptime(spark, d):
-    return rollup.probe_uptime(tables.probes(spark, d), "2024-01-01", "2024-01-31")
+    return rollup.probe_uptime(tables.probes(spark, d), "2024-01-01", "2024-01-31").drop("detail")
 
 
 @query(f"WITH {PROBE} SELECT target, CASE WHEN count(*) FILTER (WHERE status <> 'unknown') = 0 THEN 0 ELSE round(count(*) FILTER (WHERE status = 'operational') / count(*) FILTER (WHERE status <> 'unknown') * 100, 4) END AS uptime, count(*) FILTER (WHERE status IN ('degraded', 'outage')) AS incidents FROM s GROUP BY target")
@@ -393,8 +393,7 @@ def learned_thresholds(spark, d):
     return rounded(sequential.learned_thresholds(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name"), "warn", "critical")
 
 
-@query()
-def burn_forecast(spark, d):
+def burn_readings(spark, d):
     """The spent share of each source's errors by day, as readings."""
     from pyspark.sql import Window
 
@@ -402,7 +401,12 @@ def burn_forecast(spark, d):
     w = Window.partitionBy("source")
     run = F.sum("errors").over(w.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) / F.greatest(F.sum("errors").over(w), F.lit(1)) * 90
     r = day.select("source", F.unix_seconds(F.col("day").cast("timestamp")).alias("seconds"), run.alias("consumed"))
-    f = sequential.burn_forecast(r, "source", horizon_hours=24 * 365)
+    return sequential.burn_forecast(r, "source", horizon_hours=24 * 365)
+
+
+@query()
+def burn_forecast(spark, d):
+    f = burn_readings(spark, d)
     return rounded(f, "level", "trend", "soonest", "latest", "skill").withColumn("phrase", T.projection_phrase(F.col("soonest"), F.col("latest")))
 
 
@@ -619,3 +623,101 @@ def written_metrics(spark, d):
     tables.write_records(tables.metrics(spark, d), path)
     m = tables.read_records(spark, path, tables.METRIC).where("date >= '2024-01-05' AND date < '2024-01-20'")
     return m.groupBy("name").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""WITH p AS (SELECT user_id % 10 AS target, ts, event_id, (value / 5)::INTEGER AS days, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS valid FROM events WHERE event_type <> 'view'),
+ l AS (SELECT target, arg_max(days, (ts, event_id)) AS days_remaining, arg_max(valid, (ts, event_id)) AS valid FROM p WHERE ts <= TIMESTAMP '2024-01-31' AND ts >= TIMESTAMP '2024-01-01' GROUP BY 1), t AS (SELECT DISTINCT target FROM p)
+ SELECT t.target, days_remaining, valid, CASE WHEN valid = 0 THEN 'danger' WHEN days_remaining <= 0 THEN 'danger' WHEN days_remaining < 14 THEN 'warning' WHEN days_remaining IS NOT NULL THEN 'success' END AS tone FROM t LEFT JOIN l USING (target)""")
+def certificates(spark, d):
+    e = tables.table(spark, d, "events").where("event_type <> 'view'")
+    p = e.select((F.col("user_id") % 10).alias("target"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"), F.round(F.col("value") / 5).cast("int").alias("days_remaining"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("valid"))
+    return rollup.certificates(p, "2024-01-01", "2024-01-31")
+
+
+@query("SELECT user_id % 10 AS host, ts::DATE::VARCHAR AS day, event_type AS state, count(*) AS connections FROM events GROUP BY ALL")
+def connection_states(spark, d):
+    e = tables.table(spark, d, "events").select((F.col("user_id") % 10).alias("host"), F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("state"))
+    return rollup.connection_states(e, "host", "day")
+
+
+@query("""WITH t AS (SELECT ts::DATE AS day, user_id AS pid, sum(value) FILTER (WHERE event_type = 'view') AS cpu, count(*) AS rss FROM events GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY cpu DESC NULLS LAST, rss DESC, pid) AS k FROM t) SELECT day::VARCHAR AS day, pid, round(cpu, 4) AS cpu, rss FROM r WHERE k <= 40 OR pid = 3""")
+def process_rows(spark, d):
+    """The 40 busiest processes of every day and one that is always kept."""
+    e = tables.table(spark, d, "events")
+    t = e.groupBy(F.to_date("ts").alias("day"), F.col("user_id").alias("pid")).agg(F.sum(F.when(F.col("event_type") == "view", F.col("value"))).alias("cpu"), F.count(F.lit(1)).alias("rss"))
+    return rounded(scan.ordered_processes(t, "day", pinned=3), "cpu").withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH t AS (SELECT DISTINCT user_id AS pid, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS tick FROM events), l AS (SELECT *, lag(tick) OVER (PARTITION BY pid ORDER BY tick) AS b FROM t) SELECT pid, tick FROM l WHERE b = tick - 1""")
+def seen_before(spark, d):
+    t = tables.table(spark, d, "events").select(F.col("user_id").alias("pid"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("tick")).distinct()
+    return baseline.seen_before(t, "pid")
+
+
+@query("""WITH s AS (SELECT event_type AS name, user_id, max(ts) AS last_seen, bool_or(value > 200) AS hot FROM events WHERE user_id < 50 GROUP BY ALL)
+ SELECT name || ':' || user_id AS service, CASE WHEN last_seen < TIMESTAMP '2024-01-25' THEN 'stale' WHEN hot THEN 'outage' ELSE 'operational' END AS status FROM s""")
+def service_states(spark, d):
+    """Each user's events of a kind stand in for a service; a large value is a critical finding."""
+    service = F.concat_ws(":", "event_type", F.col("user_id").cast("string"))
+    e = tables.table(spark, d, "events").where("user_id < 50").withColumn("service", service)
+    seen = e.groupBy("service").agg(F.max(F.col("ts").cast("timestamp")).alias("last_seen"))
+    found = e.where("value > 200").select("service", F.lit("critical").alias("severity"))
+    return rollup.service_status(found, "service", seen, F.to_timestamp(F.lit("2024-01-25 00:00:30")), interval_seconds=10)
+
+
+@query("""WITH a AS (SELECT event_type AS name, date_trunc('hour', ts) AS "at", avg(value) AS actual FROM events GROUP BY ALL), f AS (SELECT name, "at" + INTERVAL 1 HOUR AS "at", actual AS forecast FROM a)
+ SELECT name, "at", round(forecast, 4) AS forecast, round(actual, 4) AS actual, round(forecast - actual, 4) AS error, round((forecast - actual) ** 2, 3) AS squared FROM f JOIN a USING (name, "at")""")
+def settled_forecasts(spark, d):
+    """Persistence one hour ahead, held against what came."""
+    m = rollup.minute_means(tables.metrics(spark, d), grain="hour")
+    f = m.select("name", F.timestamp_add("HOUR", F.lit(1), "at").alias("at"), "value")
+    s = rollup.settled_forecasts(f, m, "name")
+    return rounded(s, "forecast", "actual", "error").select("name", ntz("at"), "forecast", "actual", "error", F.round("squared", 3).alias("squared"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS m FROM documents), x AS (SELECT CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warn' WHEN quality = 1 THEN 'info' END AS declared,
+ CASE WHEN regexp_matches(lower(m), 'fatal|error|fail') THEN 'error' WHEN contains(lower(m), 'warn') THEN 'warn' WHEN contains(lower(m), 'debug') THEN 'debug' ELSE 'info' END AS answer FROM l JOIN labels USING (doc_id))
+ SELECT declared, count(*) AS graded, count(*) FILTER (WHERE declared <> answer) AS differ FROM x WHERE declared IS NOT NULL GROUP BY 1""")
+def disagreement(spark, d):
+    """The word rule's answers against the declared levels."""
+    lines = tables.text_logs(spark, d)
+    answers = lines.select("doc_id", "line", T.fallback_severity(F.col("message")).alias("answer"))
+    return rollup.disagreement(rollup.predictions_against_declared(lines, answers, "doc_id", "line", classes=T.LEVELS), "declared")
+
+
+@query("SELECT 'forecast' AS dataset, count(*) AS rows, NULL::BIGINT AS labels, count(*) >= 30 AS enough FROM (SELECT DISTINCT event_type, date_trunc('minute', ts) FROM events) UNION ALL SELECT 'severity', count(*), count(DISTINCT event_type), count(*) >= 50 AND count(DISTINCT event_type) >= 2 FROM events")
+def training_gates(spark, d):
+    m = tables.metrics(spark, d)
+    forecast = rollup.enough(rollup.minute_means(m)).withColumn("dataset", F.lit("forecast"))
+    return forecast.unionByName(rollup.enough(m, "name", rows=50).withColumn("dataset", F.lit("severity"))).select("dataset", "rows", "labels", "enough")
+
+
+@query("SELECT event_type || '=' || v AS id, unnest(['kept', 'new']) AS side FROM (SELECT event_type, min(value)::INTEGER AS v FROM events GROUP BY 1) WHERE false UNION ALL SELECT DISTINCT event_type, 'new' FROM events WHERE value > 200 UNION ALL SELECT DISTINCT event_type, 'kept' FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE value > 200)")
+def merged_facets(spark, d):
+    """Kinds of events as facets; those with a large value replace the kept ones."""
+    e = tables.table(spark, d, "events")
+    kept = e.select(F.col("event_type").alias("id"), F.lit("kept").alias("side")).distinct()
+    return scan.merged_facets(kept, e.where("value > 200").select(F.col("event_type").alias("id"), F.lit("new").alias("side")).distinct(), "id")
+
+
+@query(f"WITH {LOGS}, g AS (SELECT source, hour(timestamp) AS h, count(*) AS n FROM logs WHERE severity = 'error' GROUP BY ALL) SELECT DISTINCT source, (SELECT max(n) FROM g) AS ceiling FROM g")
+def heatmap_scale(spark, d):
+    g = rollup.error_heatmap(tables.logs(spark, d))
+    return rollup.heatmap_scale(g, *[f"h{h:02d}" for h in range(24)]).select("source", "ceiling")
+
+
+@query()
+def model_cards(spark, d):
+    """What each model has learned, how it fares against its rule, and whether it may answer."""
+    lines = line_blocks(spark, d)
+    sev = severity.readiness(severity.severity_prequential(lines, "doc_id", "line"), severity.severity_fit(lines)[1], "doc_id", "line")
+    examples = bursts.paging_examples(paging_bursts(spark, d), "source", "template", within_seconds=21_600)
+    graded = bursts.paging_graded(examples, "source", "template")
+    paging = bursts.paging_readiness(graded).withColumn("trained", F.lit(examples.count()))
+    scored = baseline.metric_zscore(tables.metrics(spark, d), "name")
+    rates = sequential.threshold_rates(sequential.learned_thresholds(scored, "name"), "name").agg(F.sum("points").alias("trained"), F.avg("warn_rate").alias("_w"), (F.min("points") >= 20_000).alias("ready"))
+    vectors = outlier_vectors(spark, d).agg(F.count(F.lit(1)).alias("trained"), F.count_if(F.col("severity").isNotNull()).alias("_s")).withColumn("ready", F.col("trained") >= 50)
+    burn = burn_readings(spark, d).agg(F.sum("readings").alias("trained"), F.avg("skill").alias("accuracy"), (F.min("readings") >= 20).alias("ready"))
+    cards = report.model_cards(report.model_card(sev, "log severity"), report.model_card(paging, "paging"), report.model_card(rates, "alert thresholds", F.format_string("warnings %.4f of points", "_w")), report.model_card(vectors, "host outliers", F.format_string("%d findings", "_s")), report.model_card(burn, "budget forecast"))
+    return rounded(cards, "accuracy", "fallback_accuracy")

@@ -49,6 +49,31 @@ def bounded_text(text: Column, most: int) -> Column:
     return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most), F.lit("…"))).otherwise(clean)
 
 
+CARD = ["name", "ready", "trained", "graded", "accuracy", "fallback_accuracy", "detail"]
+
+
+def model_card(measured: DataFrame, name: str, detail: Column | None = None) -> DataFrame:
+    """One card: measured is one row with ready, trained, and graded, accuracy, rule_accuracy where the model has labels (else -1)."""
+    has = set(measured.columns)
+    number = lambda c, kind, none: (F.coalesce(F.col(c), F.lit(none)) if c in has else F.lit(none)).cast(kind)
+    return measured.select(F.lit(name).alias("name"), F.coalesce("ready", F.lit(False)).alias("ready"), number("trained", "bigint", 0).alias("trained"), number("graded", "bigint", 0).alias("graded"), number("accuracy", "double", -1.0).alias("accuracy"), number("rule_accuracy", "double", -1.0).alias("fallback_accuracy"), (F.lit("") if detail is None else detail).cast("string").alias("detail"))
+
+
+def model_cards(*cards: DataFrame) -> DataFrame:
+    out = cards[0]
+    for card in cards[1:]:
+        out = out.unionByName(card)
+    return out
+
+
+def insight_payload(insights: DataFrame, *keys: str, n: int = 10, most: int = 200) -> DataFrame:
+    """keys, payload: a JSON array of each key's n first findings (critical first, then newest), every text bounded."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    top = insights.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, F.desc("time"), "id"))).where(F.col("rank") <= n)
+    row = F.struct("rank", "kind", "severity", bounded_text(F.col("title"), most).alias("title"), bounded_text(F.col("description"), most).alias("description"))
+    return top.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("payload"))
+
+
 def summary_payload(clusters: DataFrame, *keys: str, n: int = 10, most: int = 200) -> DataFrame:
     """keys, payload: a JSON array of each key's n largest clusters (template, lines, errors), every text bounded."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("lines"), "template"))
@@ -64,3 +89,22 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def export_if_changed(df: DataFrame, path: str, manifest: DataFrame | None, name: str, newest: str | None = None) -> tuple[bool, DataFrame]:
+    """Export df under path unless the manifest (name, rows, newest) says that it has: as many rows and, if asked, the same newest time.
+
+    Returns whether it wrote, and the dataset's manifest row.
+    """
+    latest = F.max(newest).cast("string") if newest else F.lit(None).cast("string")
+    row = df.agg(F.count(F.lit(1)).alias("rows"), latest.alias("newest")).withColumn("name", F.lit(name)).select("name", "rows", "newest")
+    now = row.first()
+    before = manifest.where(F.col("name") == name).first() if manifest is not None else None
+    changed = before is None or (before["rows"], before["newest"]) != (now["rows"], now["newest"])
+    if changed:
+        df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return changed, row
+
+
+def findings_json(df: DataFrame) -> DataFrame:
+    return df.select(F.to_json(F.struct("*")).alias("value"))

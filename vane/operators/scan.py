@@ -12,10 +12,9 @@ from vane.functions.text import label_equals
 MAX_LIMIT = 200_000
 
 
-def checked_limit(limit: int | None) -> int:
-    if limit is None:
-        return MAX_LIMIT
-    if not 0 < limit <= MAX_LIMIT:
+def checked_limit(limit: int | None) -> int | None:
+    """A limit that a reader may ask for; None reads everything."""
+    if limit is not None and not 0 < limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
     return limit
 
@@ -27,8 +26,10 @@ def in_window(df: DataFrame, since: datetime | None = None, before: datetime | N
     return df if before is None else df.where(F.col(time) < F.lit(before))
 
 
-def newest(df: DataFrame, n: int, *by: str, time: str = "timestamp", seq: str = "seq") -> DataFrame:
-    """The newest n rows, overall or of each group."""
+def newest(df: DataFrame, n: int | None, *by: str, time: str = "timestamp", seq: str = "seq") -> DataFrame:
+    """The newest n rows (None: all), overall or of each group."""
+    if n is None:
+        return df
     if not by:
         return df.orderBy(F.desc(time), F.desc(seq)).limit(n)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(time), F.desc(seq)))
@@ -43,7 +44,7 @@ def query_metrics(metrics: DataFrame, name: str | None = None, labels: dict[str,
         df = df.where(label_equals(F.col("labels"), k, v))
     limit = checked_limit(limit)
     if per_name and name is not None:
-        limit = min(limit, per_name)
+        limit = min(limit or per_name, per_name)
     elif per_name:
         df = newest(df, per_name, "name")
     return newest(df, limit).orderBy("timestamp", "seq")
@@ -62,7 +63,9 @@ def query_spans(spans: DataFrame, service: str | None = None, trace_id=None, sin
     for column, value in (("service", service), ("trace_id", trace_id)):
         if value is not None:
             df = df.where(F.col(column) == value)
-    return df.orderBy(F.desc("start"), F.desc("trace_id"), F.desc("span_id")).limit(checked_limit(limit)).orderBy("start", "trace_id", "span_id")
+    if checked_limit(limit) is not None:
+        df = df.orderBy(F.desc("start"), F.desc("trace_id"), F.desc("span_id")).limit(limit)
+    return df.orderBy("start", "trace_id", "span_id")
 
 
 def retained(df: DataFrame, now: datetime, seconds: int, time: str = "timestamp") -> DataFrame:
@@ -90,9 +93,53 @@ def saved_search(phrases: DataFrame) -> DataFrame:
 
 
 def search_counts(phrases: DataFrame, logs: DataFrame) -> DataFrame:
-    """Matching log lines of each phrase: status equal, source contains. Logs are counted by source and severity first, so the join is small."""
+    """Matching log lines of each phrase: status equal, source contains.
+
+    Logs are counted by source and severity first, and phrases are reduced to their distinct facets. Facets with a status meet
+    the counts by an equality; the others meet the sources' sums. Only names, never lines, are compared by containment.
+    """
     counts = logs.groupBy("severity", "source").count()
-    facets = saved_search(phrases)
-    hit = (F.col("status").isNull() | (F.col("severity") == F.col("status"))) & (F.col("f_source").isNull() | F.lower("source").contains(F.lower("f_source")))
-    joined = facets.withColumnRenamed("source", "f_source").join(counts, hit, "left")
-    return joined.groupBy("phrase", "status", "f_source").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("lines"))
+    facets = saved_search(phrases).withColumnRenamed("source", "f_source")
+    kinds = facets.select("status", "f_source").distinct()
+    inside = F.col("f_source").isNull() | F.lower("source").contains(F.lower("f_source"))
+    by_status = kinds.where("status IS NOT NULL").join(counts.withColumnRenamed("severity", "status"), "status").where(inside)
+    totals = counts.groupBy("source").agg(F.sum("count").alias("count"))
+    free = kinds.where("status IS NULL").withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").where(inside)
+    found = by_status.select("status", "f_source", "count").unionByName(free.select("status", "f_source", "count")).groupBy(F.col("status").alias("_status"), F.col("f_source").alias("_source")).agg(F.sum("count").alias("lines"))
+    same = F.col("status").eqNullSafe(F.col("_status")) & F.col("f_source").eqNullSafe(F.col("_source"))
+    return facets.join(found, same, "left").select("phrase", "status", "f_source", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+def facet_filter(logs: DataFrame, facets: dict[str, str]) -> DataFrame:
+    """Lines that fit all facets: status equal, source contained in any case; unknown keys pass."""
+    for key, value in facets.items():
+        if key == "status":
+            logs = logs.where(F.col("severity") == value)
+        elif key == "source":
+            logs = logs.where(F.lower("source").contains(value.lower()))
+    return logs
+
+
+def merged_facets(kept: DataFrame, new: DataFrame, *by: str) -> DataFrame:
+    """kept with the rows of new in place of those with an equal key (replace by key)."""
+    by = by or ("key",)
+    return kept.join(new.select(*by).distinct(), list(by), "left_anti").unionByName(new)
+
+
+def since_or_undated(df: DataFrame, since: datetime, time: str = "time") -> DataFrame:
+    """Rows from since on, and those whose time (text) cannot be read."""
+    at = F.try_to_timestamp(F.col(time))
+    return df.where(at.isNull() | (at >= F.lit(since)))
+
+
+def ordered_processes(states: DataFrame, *tick: str, top: int = 40, pinned: int | None = None) -> DataFrame:
+    """The top processes (pid, cpu, rss) of every tick by cpu, then rss; a pinned pid is always kept."""
+    rank = F.row_number().over(Window.partitionBy(*tick).orderBy(F.desc("cpu"), F.desc("rss"), "pid"))
+    keep = F.col("_rank") <= top
+    return states.withColumn("_rank", rank).where(keep if pinned is None else keep | (F.col("pid") == pinned)).drop("_rank")
+
+
+def recent(df: DataFrame, n: int, *order: str, managed: DataFrame | None = None, by: str = "model") -> DataFrame:
+    """The newest n rows (recent predictions, recent jobs), of managed models only if these are given."""
+    df = df if managed is None else df.join(managed.select(by).distinct(), by, "left_semi")
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
