@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vane.functions import text as T
 from vane.operators import baseline, incidents, scan, sequential, severity, traces
@@ -124,10 +125,15 @@ def test_text_functions(spark):
 
 
 def test_statsd_gauges_and_malformed_lines(spark):
-    rows = [("g:5|g", 0), ("g:+2|g", 1), ("g:-1|g", 2), ("c:3|c|@0.5|#b,a:1", 3), ("bad", 4), ("s:x|s", 5), ("t:1|ms", 6), ("t:9|ms", 7)]
+    rows = [("g:5|g", 0), ("g:+2|g", 1), ("g:-1|g", 2), ("c:3|c|#b,a:1|@0.5", 3), ("bad", 4), ("s:x|s", 5), ("t:1|ms|@0.5", 6), ("t:9|d", 7), ("n:NaN|c", 7), ("c2:3|c|@2|@bad", 8), (":1|c", 8), ("u:1|s", 8)]
     df = spark.createDataFrame([(v, T0 + timedelta(seconds=s), s) for v, s in rows], "value string, timestamp timestamp, seq long")
-    got = {r.name: r.value for r in wire.statsd_rollup(df, "10 seconds").collect()}
-    assert got == {"g": 6.0, "c": 6.0, "t_count": 2.0, "t_sum": 10.0, "t_p50": 1.0, "t_p90": 1.0, "t_p99": 1.0}
+    rolled = wire.statsd_rollup(df, "10 seconds")
+    got = {(r.name, r.tags, r.quantile): r.value for r in rolled.collect()}
+    assert got == {("g", "", None): 6.0, ("c", "a:1,b", None): 6.0, ("c2", "", None): 1.5, ("t_count", "", None): 2.0, ("t_sum", "", None): 10.0, ("t", "", "0.5"): 1.0, ("t", "", "0.9"): 1.0, ("t", "", "0.99"): 1.0}
+    labels = {(r.name, r.value): r.labels for r in wire.statsd_metrics(rolled).collect()}
+    assert labels["c", 6.0] == {"a": "1", "b": ""} and labels["g", 6.0] == {}
+    carried = wire.statsd_rollup(df, "10 seconds", carry_seconds=10).where("name = 'g'")
+    assert carried.count() == 60
 
 
 def test_histograms_become_cumulative(spark):
@@ -136,10 +142,20 @@ def test_histograms_become_cumulative(spark):
     assert got == {("h_count", None): (6.0, "7"), ("h_sum", None): (9.5, "7"), ("h_bucket", "1.0"): (1.0, "7"), ("h_bucket", "5.0"): (3.0, "7")}
 
 
+def test_summaries_and_exponential_histograms(spark):
+    doc = '{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"s","summary":{"dataPoints":[{"timeUnixNano":"1000000000","count":"4","sum":8,"quantileValues":[{"quantile":0.5,"value":2}]}]}},{"name":"e","exponentialHistogram":{"dataPoints":[{"timeUnixNano":"9000000000000000","count":"2","sum":3}]}},{"name":"c","sum":{"dataPoints":[{"timeUnixNano":"1000000000","asInt":"7"}]}}]}]}]}'
+    got = {(r.name, r.labels.get("quantile")): (r.value, r.timestamp) for r in wire.otlp_metrics(spark.createDataFrame([(doc,)], "value string"), now=F.lit(T0)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("s_count", None): 4.0, ("s_sum", None): 8.0, ("s", "0.5"): 2.0, ("e_count", None): 2.0, ("e_sum", None): 3.0, ("c", None): 7.0}
+
+
 def test_exposition_drops_a_bad_scrape_whole(spark):
-    df = spark.createDataFrame([("a", '# HELP x\nx{k="v"} 1\ny +Inf\n'), ("b", "x 1\nbroken line here now\n")], "scrape string, value string")
-    got = sorted((r.scrape, r.name, r.value) for r in wire.exposition_samples(df).collect())
-    assert got == [("a", "x", 1.0), ("a", "y", math.inf)]
+    text = '# HELP x\n# TYPE h histogram\nx{k="v\\"w\\\\n\\n"} 1\ny +Inf\nh_bucket{le="1"} 2 1500\nh_bucket{le="+Inf"} 3\nh_count 3\nx{job="own"} 5\n'
+    df = spark.createDataFrame([("a", text), ("b", "x 1\nbroken line here now\n"), ("c", "x{k=oops} 1\n")], "scrape string, value string")
+    got = wire.exposition_samples(df, F.create_map(F.lit("job"), F.lit("t")), F.lit(T0)).collect()
+    assert {r.scrape for r in got} == {"a"}
+    assert sorted((r.name, r.kind, r.value) for r in got) == [("h_bucket", "histogram", 2.0), ("h_bucket", "histogram", 3.0), ("h_count", "histogram", 3.0), ("x", "untyped", 1.0), ("x", "untyped", 5.0), ("y", "untyped", math.inf)]
+    labels = {(r.name, r.value): r.labels for r in got}
+    assert labels["x", 1.0] == {"job": "t", "k": 'v"w\\n\n'} and labels["x", 5.0] == {"job": "own"} and labels["h_bucket", 3.0] == {"job": "t", "le": "+Inf"}
 
 
 def test_severity_model_equals_a_loop(spark):

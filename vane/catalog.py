@@ -516,17 +516,35 @@ def fallback_severity(spark, d):
     return tables.text_logs(spark, d).select("doc_id", "line", T.fallback_severity(F.col("message")).alias("severity"))
 
 
-@query("""WITH e AS (SELECT event_type AS name, 'u:' || (user_id % 3) AS tags, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS flush, round(value, 2) AS v, ts, event_id FROM events),
+STATSD_SQL = """WITH e AS (SELECT event_type AS name, 'u:' || (user_id % 3) || ',z' AS tags, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS flush, round(value, 2) AS v, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1 END AS rate, ts, event_id FROM events),
  t AS (SELECT name, tags, flush, list_sort(list(v)) AS vs, sum(v) AS s, count(*) AS n FROM e WHERE name = 'view' GROUP BY ALL)
- SELECT name, tags, flush, round(sum(v), 4) AS value FROM e WHERE name NOT IN ('view', 'click') GROUP BY ALL UNION ALL SELECT name, tags, flush, arg_max(v, (ts, event_id)) FROM e WHERE name = 'click' GROUP BY ALL
- UNION ALL SELECT 'view_count', tags, flush, n FROM t UNION ALL SELECT 'view_sum', tags, flush, round(s, 4) FROM t UNION ALL SELECT 'view_p50', tags, flush, vs[floor(0.5 * (n - 1))::INTEGER + 1] FROM t
- UNION ALL SELECT 'view_p90', tags, flush, vs[floor(0.9 * (n - 1))::INTEGER + 1] FROM t UNION ALL SELECT 'view_p99', tags, flush, vs[floor(0.99 * (n - 1))::INTEGER + 1] FROM t""")
+ SELECT name, tags, NULL AS quantile, flush, round(sum(v / rate), 4) AS value FROM e WHERE name NOT IN ('view', 'click') GROUP BY ALL UNION ALL SELECT name, tags, NULL, flush, arg_max(v, (ts, event_id)) FROM e WHERE name = 'click' GROUP BY ALL
+ UNION ALL SELECT 'view_count', tags, NULL, flush, n FROM t UNION ALL SELECT 'view_sum', tags, NULL, flush, round(s, 4) FROM t UNION ALL SELECT 'view', tags, '0.5', flush, vs[floor(0.5 * (n - 1))::INTEGER + 1] FROM t
+ UNION ALL SELECT 'view', tags, '0.9', flush, vs[floor(0.9 * (n - 1))::INTEGER + 1] FROM t UNION ALL SELECT 'view', tags, '0.99', flush, vs[floor(0.99 * (n - 1))::INTEGER + 1] FROM t"""
+
+
+def statsd_lines(spark, d):
+    """Events as lines; every second one has a rate, before or behind its tags."""
+    kind = F.when(F.col("event_type") == "view", "d").when(F.col("event_type") == "click", "g").otherwise("c")
+    tags = F.format_string("|#z,u:%d", F.col("user_id") % 3)
+    rate = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("|@0.5"), tags)).when(F.col("event_id") % 2 == 0, F.concat(tags, F.lit("|@0.5"))).otherwise(tags)
+    line = F.concat(F.format_string("%s:%.2f|%s", "event_type", "value", kind), rate)
+    return tables.table(spark, d, "events").select(line.alias("value"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"))
+
+
+@query(STATSD_SQL)
 def statsd_rollup(spark, d):
-    kind = F.when(F.col("event_type") == "view", "ms").when(F.col("event_type") == "click", "g").otherwise("c")
-    line = F.format_string("%s:%.2f|%s|#u:%d", "event_type", "value", kind, F.col("user_id") % 3)
-    lines = tables.table(spark, d, "events").select(line.alias("value"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"))
-    r = wire.statsd_rollup(lines, "1 hour")
-    return r.select("name", "tags", ntz("flush"), F.round("value", 4).alias("value"))
+    r = wire.statsd_rollup(statsd_lines(spark, d), "1 hour")
+    return r.select("name", "tags", "quantile", ntz("flush"), F.round("value", 4).alias("value"))
+
+
+@query("""WITH e AS (SELECT 'u:' || (user_id % 3) || ',z' AS tags, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS flush, round(value, 2) AS v, ts, event_id FROM events WHERE event_type = 'click'),
+ g AS (SELECT tags, flush, arg_max(v, (ts, event_id)) AS value FROM e GROUP BY ALL), n AS (SELECT *, lead(flush) OVER (PARTITION BY tags ORDER BY flush) AS nxt FROM g)
+ SELECT tags, unnest(generate_series(flush, least(coalesce(nxt, flush + INTERVAL 10 HOUR), flush + INTERVAL 10 HOUR) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS flush, value FROM n""")
+def gauge_carry(spark, d):
+    """Gauges repeated each hour until the next value or ten hours of silence."""
+    r = wire.statsd_rollup(statsd_lines(spark, d), "1 hour").where("name = 'click'").select("name", "tags", "flush", "value")
+    return wire.gauge_carry(r, 3_600, 36_000).select("tags", ntz("flush"), "value")
 
 
 @query("SELECT event_type || '_total' AS name, user_id::VARCHAR AS user, max(value) AS value FROM events GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vane.functions.text import fallback_severity, otlp_severity
+from vane.operators.severity import severity_score
 
 VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>"
 ATTRS = f"array<struct<key:string,value:{VALUE}>>"
@@ -39,34 +40,58 @@ def at(nanos: Column, now: Column | None = None) -> Column:
     return ts if now is None else F.when(ts > now + F.expr("INTERVAL 5 MINUTES"), now).otherwise(ts)
 
 
-def otlp_metrics(payloads: DataFrame, now: Column | None = None, max_buckets: int = 1024, max_quantiles: int = 128) -> DataFrame:
-    """name, value, timestamp, labels from export requests (column value: one JSON document a row)."""
+VALUES = "array<struct<suffix:string,value:double,label:string,text:string>>"
+
+
+def values_of(**named: Column) -> Column:
+    """Suffixed values of a point."""
+    return F.array(*[F.struct(F.lit(f"_{k}").alias("suffix"), v.cast("double").alias("value"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("text")) for k, v in named.items()])
+
+
+def plain_values(p: Column) -> Column:
+    return F.array(F.struct(F.lit("").alias("suffix"), F.coalesce(p["asDouble"], p["asInt"].cast("double")).alias("value"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("text")))
+
+
+def bucket_values(p: Column, most: int | None) -> Column:
+    """Counts by bucket made cumulative; the last bucket, without a bound, is left out."""
+    bounds = p["explicitBounds"] if most is None else F.slice(p["explicitBounds"], 1, most)
+    zipped = F.arrays_zip(bounds.alias("bound"), F.slice(p["bucketCounts"], F.lit(1), F.size(bounds)).alias("n"))
+    empty = F.struct(F.lit(0.0).alias("total"), F.array().cast(VALUES).alias("out"))
+
+    def more(acc: Column, x: Column) -> Column:
+        total = acc["total"] + F.coalesce(x["n"].cast("double"), F.lit(0.0))
+        row = F.struct(F.lit("_bucket").alias("suffix"), total.alias("value"), F.lit("le").alias("label"), x["bound"].cast("string").alias("text"))
+        return F.struct(total.alias("total"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return F.when(bounds.isNotNull(), F.aggregate(zipped, empty, more, lambda acc: acc["out"])).otherwise(F.array().cast(VALUES))
+
+
+def quantile_values(p: Column, most: int | None) -> Column:
+    quantiles = p["quantileValues"] if most is None else F.slice(p["quantileValues"], 1, most)
+    return F.coalesce(F.transform(quantiles, lambda q: F.struct(F.lit("").alias("suffix"), q["value"].alias("value"), F.lit("quantile").alias("label"), q["quantile"].cast("string").alias("text"))), F.array().cast(VALUES))
+
+
+def otlp_metrics(payloads: DataFrame, now: Column | None = None, max_buckets: int | None = None, max_quantiles: int | None = None) -> DataFrame:
+    """name, value, timestamp, labels from export requests (column value: one JSON document a row). Each document is parsed once."""
     r = payloads.select(F.explode(F.from_json("value", METRICS)["resourceMetrics"]).alias("r"))
     m = r.select(F.col("r.resource.attributes").alias("res"), F.explode("r.scopeMetrics").alias("s")).select("res", F.explode("s.metrics").alias("m"))
 
-    def points(kind: str) -> DataFrame:
-        return m.select("res", F.col("m.name").alias("name"), F.explode(f"m.{kind}.dataPoints").alias("p"))
-
-    def out(df: DataFrame, name: Column, value: Column, extra: Column | None = None) -> DataFrame:
-        labels = labels_of(F.col("res"), F.col("p.attributes"))
-        labels = labels if extra is None else overlaid(labels, extra)
-        return df.select(name.alias("name"), value.cast("double").alias("value"), at(F.col("p.timeUnixNano"), now).alias("timestamp"), labels.alias("labels"))
-
-    name = F.col("name")
-    parts = [out(points(k), name, F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))) for k in ("gauge", "sum")]
-    for kind in ("histogram", "exponentialHistogram", "summary"):
-        p = points(kind)
-        fields = ("count", "sum") if kind == "summary" else ("count", "sum", "min", "max")
-        parts += [out(p, F.concat(name, F.lit(f"_{f}")), F.col(f"p.{f}")) for f in fields]
-    h = points("histogram").select("*", F.posexplode(F.slice("p.explicitBounds", 1, max_buckets)).alias("k", "bound"))
-    running = F.aggregate(F.slice("p.bucketCounts", F.lit(1), F.col("k") + 1), F.lit(0.0), lambda a, c: a + c.cast("double"))
-    parts.append(out(h, F.concat(name, F.lit("_bucket")), running, F.create_map(F.lit("le"), F.col("bound").cast("string"))))
-    q = points("summary").select("*", F.explode(F.slice("p.quantileValues", 1, max_quantiles)).alias("q"))
-    parts.append(out(q, name, F.col("q.value"), F.create_map(F.lit("quantile"), F.col("q.quantile").cast("string"))))
-    all_ = parts[0]
-    for part in parts[1:]:
-        all_ = all_.unionByName(part)
-    return all_.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != F.lit(float("inf"))))
+    def points(kind: str, values) -> Column:
+        row = lambda p: F.struct(p["timeUnixNano"].alias("t"), p["attributes"].alias("a"), values(p).cast(VALUES).alias("v"))
+        return F.coalesce(F.transform(F.col(f"m.{kind}.dataPoints"), row), F.array().cast(f"array<struct<t:string,a:{ATTRS},v:{VALUES}>>"))
+
+    four = lambda p: values_of(count=p["count"], sum=p["sum"], min=p["min"], max=p["max"])
+    every = F.concat(
+        points("gauge", plain_values),
+        points("sum", plain_values),
+        points("histogram", lambda p: F.concat(four(p), bucket_values(p, max_buckets))),
+        points("exponentialHistogram", four),
+        points("summary", lambda p: F.concat(values_of(count=p["count"], sum=p["sum"]), quantile_values(p, max_quantiles))),
+    )
+    flat = m.select("res", F.col("m.name").alias("name"), F.explode(every).alias("p")).select("name", at(F.col("p.t"), now).alias("timestamp"), labels_of(F.col("res"), F.col("p.a")).alias("labels"), F.explode("p.v").alias("v"))
+    labels = F.when(F.col("v.label").isNull(), F.col("labels")).otherwise(overlaid(F.col("labels"), F.create_map(F.coalesce("v.label", F.lit("")), F.coalesce("v.text", F.lit("")))))
+    out = flat.select(F.concat("name", "v.suffix").alias("name"), F.col("v.value").alias("value"), "timestamp", labels.alias("labels"))
+    return out.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != F.lit(float("inf"))))
 
 
 def otlp_spans(payloads: DataFrame) -> DataFrame:
@@ -87,22 +112,24 @@ def otlp_logs(payloads: DataFrame) -> DataFrame:
     return s.select(at(time).alias("timestamp"), otlp_severity(F.col("p.severityNumber"), F.col("p.severityText")).alias("severity"), source.alias("source"), body.alias("message"), labels_of(F.col("res"), F.col("p.attributes")).alias("labels"), F.lit(False).alias("severity_inferred"))
 
 
-STATSD = r"^([^:|]+):([^|]+)\|(c|g|ms|h|s)(?:\|@([0-9.]+))?(?:\|#(.*))?$"
-
-
 def statsd_points(lines: DataFrame) -> DataFrame:
-    """Parsed StatsD lines (value, timestamp, seq); malformed ones and sets are left out."""
-    part = lambda i: F.nullif(F.regexp_extract("value", STATSD, i), F.lit(""))
-    tags = F.array_sort(F.filter(F.split(F.coalesce(part(5), F.lit("")), ","), lambda t: t != ""))
-    rate = F.coalesce(part(4).try_cast("double"), F.lit(1.0))
-    p = lines.where(F.col("value").rlike(STATSD)).select(part(1).alias("name"), part(2).alias("text"), part(2).try_cast("double").alias("number"), part(3).alias("type"), F.when((rate > 0) & (rate <= 1), rate).otherwise(1.0).alias("rate"), F.array_join(tags, ",").alias("tags"), "timestamp", "seq")
-    return p.where(F.col("number").isNotNull() & (F.col("type") != "s"))
+    """Parsed StatsD lines (value, timestamp, seq): name:value|type and then @rate and #tags in any order; malformed ones and sets are left out."""
+    colon = F.locate(":", F.col("value"))
+    fields = F.split(F.substr("value", colon + 1), r"\|")
+    options = F.slice(fields, F.lit(3), F.greatest(F.size(fields), F.lit(2)))
+    last = lambda sign: F.substr(F.get(F.reverse(F.filter(options, lambda f: F.startswith(f, F.lit(sign)))), F.lit(0)), F.lit(2))
+    rates = F.filter(F.transform(F.filter(options, lambda f: F.startswith(f, F.lit("@"))), lambda f: F.substr(f, F.lit(2)).try_cast("double")), lambda r: r > 0)
+    tags = F.array_sort(F.filter(F.split(F.coalesce(last("#"), F.lit("")), ","), lambda t: t != ""))
+    text, kind = F.get(fields, F.lit(0)), F.get(fields, F.lit(1))
+    p = lines.where((colon > 1) & (F.size(fields) >= 2)).select(F.substr("value", F.lit(1), colon - 1).alias("name"), text.alias("text"), text.try_cast("double").alias("number"), kind.alias("type"), F.coalesce(F.get(F.reverse(rates), F.lit(0)), F.lit(1.0)).alias("rate"), F.array_join(tags, ",").alias("tags"), "timestamp", "seq")
+    return p.where(F.col("number").isNotNull() & ~F.isnan("number") & (F.abs("number") != float("inf")) & F.col("type").isin("c", "g", "ms", "h", "d"))
 
 
 def tag_labels(tags: Column) -> Column:
     """k:v tags as a map; a bare tag gets the empty value."""
-    pairs = F.filter(F.split(tags, ","), lambda t: t != "")
-    return F.map_from_entries(F.transform(F.array_distinct(pairs), lambda t: F.struct(F.substring_index(t, ":", 1), F.when(t.contains(":"), F.regexp_replace(t, "^[^:]*:", "")).otherwise(F.lit("")))))
+    pairs = F.transform(F.filter(F.split(tags, ","), lambda t: t != ""), lambda t: F.struct(F.substring_index(t, ":", 1).alias("k"), F.when(t.contains(":"), F.regexp_replace(t, "^[^:]*:", "")).otherwise(F.lit("")).alias("v")))
+    last = F.filter(pairs, lambda p, i: F.get(F.transform(pairs, lambda q: q["k"]), i + 1).isNull() | (F.get(F.transform(pairs, lambda q: q["k"]), i + 1) != p["k"]))  # tags are sorted: equal keys stand together
+    return F.map_from_entries(last)
 
 
 def floor_percentile(values: Column, p: float) -> Column:
@@ -110,55 +137,108 @@ def floor_percentile(values: Column, p: float) -> Column:
     return F.get(F.array_sort(values), F.floor(F.lit(p) * (F.size(values) - 1)).cast("int"))
 
 
-def statsd_rollup(lines: DataFrame, flush: str = "10 seconds") -> DataFrame:
-    """name, tags, flush, value by flush window: counters by rate, gauges with relative changes, timers count, sum and percentiles."""
+QUANTILES = (0.5, 0.9, 0.99)
+
+
+def timer_values(timers: DataFrame, *keys: str) -> DataFrame:
+    """keys, suffix, quantile, value of timer samples (keys, number): count and sum of the samples as they came, and the sample at floor(p * (n - 1)).
+
+    Equal samples are counted before they are dealt, and ranks are running sums over those counts: no group's samples stand in one row.
+    """
+    counted = timers.groupBy(*keys, "number").agg(F.count(F.lit(1)).alias("_c"))
+    by = Window.partitionBy(*keys)
+    ranked = counted.withColumns({"_upto": F.sum("_c").over(by.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(by)})
+    at = [F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_n") - 1)), F.col("number"))).alias(f"_q{i}") for i, p in enumerate(QUANTILES)]
+    t = ranked.groupBy(*keys).agg(F.sum("_c").alias("_count"), F.sum(F.col("_c") * F.col("number")).alias("_sum"), *at)
+    row = lambda suffix, quantile, value: F.struct(F.lit(suffix).alias("suffix"), F.lit(quantile).cast("string").alias("quantile"), value.cast("double").alias("value"))
+    rows = [row("_count", None, F.col("_count")), row("_sum", None, F.col("_sum")), *[row("", str(p), F.col(f"_q{i}")) for i, p in enumerate(QUANTILES)]]
+    return t.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.suffix", "r.quantile", "r.value")
+
+
+def statsd_rollup(lines: DataFrame, flush: str = "10 seconds", carry_seconds: int | None = None) -> DataFrame:
+    """name, tags, quantile, flush, value by flush window: counters by rate, gauges with relative changes, timers count, sum and quantiles.
+
+    carry_seconds: the flush interval, if gauges shall repeat at each flush until they have been silent for ten minutes.
+    """
     p = statsd_points(lines)
     window = F.window("timestamp", flush)["end"].alias("flush")
-    keys = ["name", "tags", "flush"]
-    counters = p.where("type = 'c'").groupBy("name", "tags", window).agg(F.sum(F.col("number") / F.col("rate")).alias("value"))
+    none = F.lit(None).cast("string").alias("quantile")
+    columns = ["name", "tags", "quantile", "flush", "value"]
+    counters = p.where("type = 'c'").groupBy("name", "tags", window).agg(F.sum(F.col("number") / F.col("rate")).alias("value")).withColumn("quantile", none)
     order = Window.partitionBy("name", "tags").orderBy("timestamp", "seq")
     relative = F.col("text").rlike(r"^[+-]")
     g = p.where("type = 'g'").withColumn("_set", F.sum(F.when(relative, 0).otherwise(1)).over(order))
     g = g.withColumn("running", F.sum("number").over(Window.partitionBy("name", "tags", "_set").orderBy("timestamp", "seq")))
     gauges = g.groupBy("name", "tags", window).agg(F.max_by("running", F.struct("timestamp", "seq")).alias("value"))
-    t = p.where("type IN ('ms', 'h')").groupBy("name", "tags", window).agg(F.sum(1 / F.col("rate")).alias("count"), F.sum(F.col("number") / F.col("rate")).alias("sum"), F.collect_list("number").alias("_v"))
-    rows = F.array(*[F.struct(F.lit(s).alias("suffix"), c.cast("double").alias("value")) for s, c in (("_count", F.col("count")), ("_sum", F.col("sum")), ("_p50", floor_percentile(F.col("_v"), 0.5)), ("_p90", floor_percentile(F.col("_v"), 0.9)), ("_p99", floor_percentile(F.col("_v"), 0.99)))])
-    timers = t.select(*keys, F.explode(rows).alias("r")).select(F.concat("name", "r.suffix").alias("name"), "tags", "flush", "r.value")
-    return counters.unionByName(gauges).unionByName(timers)
+    gauges = (gauges if carry_seconds is None else gauge_carry(gauges, carry_seconds)).withColumn("quantile", none)
+    t = timer_values(p.where("type IN ('ms', 'h', 'd')").select("name", "tags", window, "number"), "name", "tags", "flush")
+    timers = t.withColumn("name", F.concat("name", "suffix"))
+    return counters.select(*columns).unionByName(gauges.select(*columns)).unionByName(timers.select(*columns))
+
+
+def statsd_metrics(rolled: DataFrame) -> DataFrame:
+    """Flushed values as metrics: tags and quantile become labels."""
+    labels = tag_labels(F.col("tags"))
+    both = F.when(F.col("quantile").isNull(), labels).otherwise(overlaid(labels, F.create_map(F.lit("quantile"), F.coalesce("quantile", F.lit("")))))
+    return rolled.select("name", "value", F.col("flush").alias("timestamp"), both.alias("labels"))
 
 
 def gauge_carry(gauges: DataFrame, seconds: int = 10, ttl_seconds: int = 600) -> DataFrame:
     """Each gauge at every flush until its next value, or until it has been silent for the ttl."""
-    nxt = F.coalesce(F.lead("flush").over(Window.partitionBy("name", "tags").orderBy("flush")), F.timestamp_add("SECOND", F.lit(ttl_seconds), "flush"))
-    end = F.least(nxt, F.timestamp_add("SECOND", F.lit(ttl_seconds), "flush"))
-    steps = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.unix_seconds(end) - F.unix_seconds("flush")) / seconds).cast("int") - 1)), lambda i: F.timestamp_add("SECOND", i * seconds, F.col("flush")))
-    return gauges.select("name", "tags", F.explode(steps).alias("flush"), "value")
+    silent = F.timestamp_add("SECOND", F.lit(ttl_seconds), "flush")
+    ends = gauges.withColumn("_end", F.least(F.coalesce(F.lead("flush").over(Window.partitionBy("name", "tags").orderBy("flush")), silent), silent))
+    times = F.greatest(F.lit(1), F.ceil((F.unix_seconds("_end") - F.unix_seconds("flush")) / seconds).cast("int"))
+    steps = F.transform(F.sequence(F.lit(0), times - 1), lambda i: F.timestamp_add("SECOND", i * seconds, F.col("flush")))
+    return ends.select("name", "tags", F.explode(steps).alias("flush"), "value")
 
 
 SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
 
 
-def exposition_samples(scrapes: DataFrame) -> DataFrame:
-    """name, labels, value from scrapes (scrape, value: the whole text). A scrape with a bad line is dropped whole."""
-    lines = scrapes.select("scrape", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where("trim(line) <> '' AND NOT startswith(line, '#')")
-    number = F.regexp_replace(F.regexp_extract("line", SAMPLE, 3), r"(?i)^([+-]?)inf$", "$1Infinity").try_cast("double")
-    pairs = F.regexp_extract_all("line", F.lit(r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'), 1)
-    values = F.regexp_extract_all("line", F.lit(r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'), 2)
-    parsed = lines.select("scrape", "pos", F.nullif(F.regexp_extract("line", SAMPLE, 1), F.lit("")).alias("name"), F.map_from_arrays(pairs, values).alias("labels"), number.alias("value"))
-    bad = parsed.where("name IS NULL OR value IS NULL").select("scrape").distinct()
-    return parsed.join(bad, "scrape", "left_anti").drop("pos").where(~F.isnan("value"))
-
+LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
-def ingest_log_files(spark: SparkSession, path: str, max_bytes: int = 1 << 20, stream: bool = False) -> DataFrame:
-    """Lines of text files as logs: blank and oversized ones skipped, source the file's base name, severity inferred."""
-    lines = (spark.readStream if stream else spark.read).text(path)
-    source = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "")
-    return lines.where((F.trim("value") != "") & (F.octet_length("value") <= max_bytes)).select(F.current_timestamp().alias("timestamp"), fallback_severity(F.col("value")).alias("severity"), source.alias("source"), F.col("value").alias("message"), F.lit(True).alias("severity_inferred"))
 
+def unescaped(text: Column) -> Column:
+    """Label values with their escaped backslashes, quotes and line breaks."""
+    held = F.regexp_replace(text, r"\\\\", "\x00")
+    return F.replace(F.replace(F.replace(held, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
 
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 
+def exposition_samples(scrapes: DataFrame, target: Column | None = None, scraped: Column | None = None) -> DataFrame:
+    """scrape, name, kind, labels, value, timestamp from scrapes (scrape, value: the whole text). A scrape with a bad line is dropped whole.
 
-def findings_json(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct("*")).alias("value"))
+    Samples of histograms and summaries come as the text has them: cumulative buckets with +Inf, counts, sums, quantiles; kind is
+    their family's. target: labels of the scraped target, which a sample's own outrank. scraped: time of samples without one.
+    """
+    extra = F.create_map().cast("map<string,string>") if target is None else target
+    lines = scrapes.select("scrape", extra.alias("_target"), (F.lit(None).cast("timestamp") if scraped is None else scraped).alias("_at"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where("trim(line) <> ''")
+    types = lines.where(F.col("line").rlike(r"^#\s*TYPE\s")).select("scrape", F.regexp_extract("line", r"^#\s*TYPE\s+(\S+)\s+(\S+)", 1).alias("_family"), F.regexp_extract("line", r"^#\s*TYPE\s+(\S+)\s+(\S+)", 2).alias("kind")).dropDuplicates(["scrape", "_family"])
+    samples = lines.where("NOT startswith(trim(line), '#')")
+    number = F.regexp_replace(F.regexp_extract("line", SAMPLE, 3), r"(?i)^([+-]?)inf$", "$1Infinity").try_cast("double")
+    own = F.map_from_arrays(F.regexp_extract_all("line", F.lit(LABEL), 1), F.transform(F.regexp_extract_all("line", F.lit(LABEL), 2), unescaped))
+    inside = F.regexp_extract("line", SAMPLE, 2)
+    broken = F.regexp_replace(F.regexp_replace(inside, LABEL, ""), r"[\s,]", "") != ""
+    ms = F.nullif(F.regexp_extract("line", SAMPLE, 4), F.lit("")).cast("long")
+    name = F.nullif(F.regexp_extract("line", SAMPLE, 1), F.lit(""))
+    parsed = samples.select("scrape", name.alias("name"), F.when(~broken, own).alias("_own"), "_target", number.alias("value"), F.coalesce(F.timestamp_millis(ms), "_at").alias("timestamp"))
+    bad = parsed.where("name IS NULL OR value IS NULL OR _own IS NULL").select("scrape").distinct()
+    good = parsed.join(bad, "scrape", "left_anti").where(~F.isnan("value"))
+    family = F.regexp_replace("name", "_(bucket|count|sum)$", "")
+    direct, part = types.withColumnRenamed("kind", "_direct").withColumnRenamed("_family", "name"), types.where("kind IN ('histogram', 'summary')")
+    kinds = good.join(direct, ["scrape", "name"], "left").withColumn("_family", family).join(part, ["scrape", "_family"], "left")
+    return kinds.select("scrape", "name", F.coalesce("_direct", "kind", F.lit("untyped")).alias("kind"), overlaid(F.col("_target"), F.col("_own")).alias("labels"), "value", "timestamp")
+
+
+def ingest_log_files(spark: SparkSession, path: str, max_bytes: int | None = None, stream: bool = False, model: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Lines of text files as logs: blank (and, if asked, oversized) ones skipped, source the file's base name, severity inferred.
+
+    model: the counts of a severity model that is ready; it answers where it is sure, the word rule elsewhere.
+    """
+    lines = (spark.readStream if stream else spark.read).text(path)
+    source = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "")
+    kept = lines.where(F.trim("value") != "")
+    kept = kept if max_bytes is None else kept.where(F.octet_length("value") <= max_bytes)
+    rows = kept.select(F.current_timestamp().alias("timestamp"), source.alias("source"), F.col("value").alias("message"), F.lit(True).alias("severity_inferred"))
+    if model is None:
+        return rows.withColumn("severity", fallback_severity(F.col("message")))
+    return severity_score(rows, *model).withColumnRenamed("answer", "severity").drop("predicted", "confidence")
