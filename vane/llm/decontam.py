@@ -49,64 +49,75 @@ def hashed(word: str) -> int:
 NUM, NAME, UNIT = (hashed(w) for w in ("<num>", "<name>", "<unit>"))
 
 
+NUMBER_BIT, UNIT_BIT, NAME_BIT, STOP_BIT, EMPTY_BIT = 1, 2, 4, 8, 16
+
+
 class Words(dict):
-    """Raw word to (bare word, its lower-case form's hash, is a number, is a unit, looks like a name, ends a sentence)."""
+    """Raw word to its place in the tables of bare words, hashes of their lower-case forms, and flags."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.bare: list[str] = []
+        self.hash, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
 
-    def __missing__(self, raw: str) -> tuple:
-        if len(self) > 200_000:
-            self.clear()
+    def __missing__(self, raw: str) -> int:
         bare = raw.strip(EDGE)
         low = bare.lower()
-        entry = bare, hashed(low), bool(NUMBER.fullmatch(bare)), low in UNITS, bare[:1].isupper() and bare[1:].islower(), raw.endswith(STOPS)
+        at = len(self.bare)
+        if at == len(self.hash):
+            self.hash, self.flags = np.r_[self.hash, np.zeros_like(self.hash)], np.r_[self.flags, np.zeros_like(self.flags)]
+        self.bare.append(bare)
+        self.hash[at] = hashed(low)
+        self.flags[at] = bool(NUMBER.fullmatch(bare)) * NUMBER_BIT | (low in UNITS) * UNIT_BIT | (bare[:1].isupper() and bare[1:].islower()) * NAME_BIT | raw.endswith(STOPS) * STOP_BIT | (not bare) * EMPTY_BIT
         if len(raw) < 48:
-            self[raw] = entry
-        return entry
+            self[raw] = at
+        return at
 
 
 class Forms:
     """The words of several texts: hashes as literal words and as template words, slots, and the names that begin a sentence."""
 
     def __init__(self, texts: list[str | None], known: Words):
-        literal, template, slots, first, ends = [], [], [], {}, [0]
+        if len(known.bare) > 100_000:
+            known.reset()
+        places, lines, words = [], [], [0]
         for text in texts:
-            after_number = False
             for line in (text or "").split("\n"):
-                start = True  # a capital letter begins a sentence or a line, so it may mark no name
-                for raw in line.split():
-                    bare, h, number, unit, name, stop = known[raw]
-                    if not bare:
-                        start = start or stop
-                        continue
-                    if number:
-                        template.append(NUM)
-                        slots.append(bare)
-                    elif after_number and unit:
-                        template.append(UNIT)
-                        slots.append(bare.lower())
-                    elif name and not start:
-                        template.append(NAME)
-                        slots.append(bare)
-                    else:
-                        if name:
-                            first[len(literal)] = bare
-                        template.append(h)
-                        slots.append("")
-                    after_number = number
-                    literal.append(h)
-                    start = stop
-            ends.append(len(literal))
-        self.ends, self.slots, self.first = np.array(ends), slots, first
-        self.literal, self.template = np.array(literal, np.uint64), np.array(template, np.uint64)
-        self.filled = np.fromiter(map(bool, slots), bool, len(slots))
-        self.named, self.all_filled = self.template.copy(), self.filled.copy()
-        at = np.fromiter(first, np.int64, len(first))
-        self.named[at], self.all_filled[at] = NAME, True
+                places += [known[raw] for raw in line.split()]
+                lines.append(len(places))
+            words.append(len(places))
+        at = np.array(places, np.int64)
+        flags = known.flags[at]
+        line = np.searchsorted(np.array(lines), np.arange(len(at)), "right")
+        text = np.searchsorted(np.array(words[1:]), np.arange(len(at)), "right")
+        stops = np.r_[0, np.cumsum(flags & STOP_BIT > 0)]
+        idx = np.flatnonzero(flags & EMPTY_BIT == 0)  # signs alone are no words, but may end a sentence
+        before = np.r_[-1, idx][: len(idx)]
+        own = flags[idx]
+        start = (before < 0) | (line[idx] != line[before]) | (stops[idx] > stops[np.maximum(before, 0)])  # a capital letter begins a sentence or a line, so it may mark no name
+        number = own & NUMBER_BIT > 0
+        after_number = (before >= 0) & (text[idx] == text[before]) & np.r_[False, number][: len(idx)]
+        unit = ~number & after_number & (own & UNIT_BIT > 0)
+        name = ~number & ~unit & (own & NAME_BIT > 0)
+        self.at, self.known = at[idx], known
+        self.ends = np.r_[0, np.cumsum(np.bincount(text[idx], minlength=len(texts)))] if len(texts) else np.zeros(1, np.int64)
+        self.literal = known.hash[self.at]
+        inner = name & ~start
+        self.filled, self.all_filled, self.unit = number | unit | inner, number | unit | name, unit
+        self.template = np.where(number, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(inner, np.uint64(NAME), self.literal)))
+        self.named = np.where(name, np.uint64(NAME), self.template)
 
     def slots_of(self, form: int, at: int, width: int) -> str:
         """The words in placeholders of a window ('' elsewhere), joined; nothing for literal windows."""
         if form == 0:
             return ""
-        return SEP.join(self.slots[at : at + width] if form == 1 else [self.slots[k] or self.first.get(k, "") for k in range(at, at + width)])
+        held = self.filled if form == 1 else self.all_filled
+        word = lambda k: self.known.bare[self.at[k]].lower() if self.unit[k] else self.known.bare[self.at[k]]
+        return SEP.join(word(k) if held[k] else "" for k in range(at, at + width))
 
 
 #: Stands in no word: str.split() cuts there.

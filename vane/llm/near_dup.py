@@ -47,7 +47,7 @@ class WordHashes(dict):
     """Word to 64-bit hash; emptied when large, so memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:

@@ -46,7 +46,7 @@ class PieceIds(dict):
         ids = self.encode(part)
         value = struct.pack(f"<{len(ids)}I", *ids)
         if len(part) < 48:
-            if len(self) > 400_000:
+            if len(self) > 150_000:
                 self.clear()
             self[part] = value
         return value

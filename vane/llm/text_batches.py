@@ -31,6 +31,7 @@ def map_texts(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.Re
             out = work(batch)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other stages
 
     return df.mapInArrow(run, schema)
 
