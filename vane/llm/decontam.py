@@ -62,17 +62,29 @@ class Words(dict):
     def reset(self) -> None:
         self.clear()
         self.bare: list[str] = []
-        self.hash, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+        self.new: list[tuple[int, int]] = []
+        self.hash, self.flags = np.empty(0, np.uint64), np.empty(0, np.uint8)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and flags by place."""
+        if self.new:
+            hashes, flags = zip(*self.new)
+            self.hash, self.flags, self.new = np.r_[self.hash, np.array(hashes, np.uint64)], np.r_[self.flags, np.array(flags, np.uint8)], []
+        return self.hash, self.flags
 
     def __missing__(self, raw: str) -> int:
         bare = raw.strip(EDGE)
         low = bare.lower()
+        flags = (low in UNITS) * UNIT_BIT | raw.endswith(STOPS) * STOP_BIT
+        if not bare:
+            flags |= EMPTY_BIT
+        elif bare != low and bare[0].isupper() and bare[1:].islower():
+            flags |= NAME_BIT
+        elif not bare[0].isalpha() and NUMBER.fullmatch(bare):
+            flags |= NUMBER_BIT
         at = len(self.bare)
-        if at == len(self.hash):
-            self.hash, self.flags = np.r_[self.hash, np.zeros_like(self.hash)], np.r_[self.flags, np.zeros_like(self.flags)]
         self.bare.append(bare)
-        self.hash[at] = hashed(low)
-        self.flags[at] = bool(NUMBER.fullmatch(bare)) * NUMBER_BIT | (low in UNITS) * UNIT_BIT | (bare[:1].isupper() and bare[1:].islower()) * NAME_BIT | raw.endswith(STOPS) * STOP_BIT | (not bare) * EMPTY_BIT
+        self.new.append((hashed(low), flags))
         if len(raw) < 48:
             self[raw] = at
         return at
@@ -91,7 +103,8 @@ class Forms:
                 lines.append(len(places))
             words.append(len(places))
         at = np.array(places, np.int64)
-        flags = known.flags[at]
+        hashes, all_flags = known.tables()
+        flags = all_flags[at]
         line = np.searchsorted(np.array(lines), np.arange(len(at)), "right")
         text = np.searchsorted(np.array(words[1:]), np.arange(len(at)), "right")
         stops = np.r_[0, np.cumsum(flags & STOP_BIT > 0)]
@@ -105,7 +118,7 @@ class Forms:
         name = ~number & ~unit & (own & NAME_BIT > 0)
         self.at, self.known = at[idx], known
         self.ends = np.r_[0, np.cumsum(np.bincount(text[idx], minlength=len(texts)))] if len(texts) else np.zeros(1, np.int64)
-        self.literal = known.hash[self.at]
+        self.literal = hashes[self.at]
         inner = name & ~start
         self.filled, self.all_filled, self.unit = number | unit | inner, number | unit | name, unit
         self.template = np.where(number, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(inner, np.uint64(NAME), self.literal)))
