@@ -2,15 +2,18 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from vane.functions import text as T
-from vane.operators import baseline, incidents, scan, sequential, severity, traces
+from vane.operators import baseline, bursts, incidents, scan, sequential, severity, traces
 from vane.plans.components import connected_components
+from vane.plans.ordered import stream_scan
 from vane.sources import wire
+from vane.streaming import jobs
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -80,7 +83,7 @@ def test_host_outliers_equal_numpy(spark):
 
 def test_components_of_a_shuffled_chain(spark):
     rng = random.Random(7)
-    ids = [rng.randrange(-(2**63), 2**63) for _ in range(1000)]
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(10_000)]
     edges = [*zip(ids, ids[1:]), (5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: min(ids) for i in ids} | {5: 5}
@@ -185,3 +188,137 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.seq: r.z for r in spark.sql("SELECT * FROM zs").collect()}
     want = {r.seq: r.z for r in baseline.metric_zscore(df, "name").collect()}
     assert got.keys() == want.keys() and all((want[k] is None and got[k] is None) or math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+
+
+def streamed(spark, df, tmp_path, job, files=3, order="timestamp"):
+    """Rows of a stream over df, which comes in several files in order."""
+    src = str(tmp_path / "in")
+    rows = df.orderBy(order).collect()
+    size = -(-len(rows) // files)
+    for k in range(files):
+        spark.createDataFrame(rows[k * size : (k + 1) * size], df.schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = f"q{abs(hash(str(tmp_path)))}"
+    q = job(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.sql(f"SELECT * FROM {name}").collect()
+
+
+def test_slow_spans_and_thresholds_stream_as_in_batch(spark, tmp_path):
+    rng = random.Random(9)
+    ms = [rng.lognormvariate(3.7, 0.6) for _ in range(600)]
+    ms[400:410] = [5_000.0] * 10
+    ms[500:] = [x * 4 for x in ms[500:]]
+    df = spark.createDataFrame([("svc", T0 + timedelta(seconds=i), f"t{i}", f"s{i:04d}", x, "error" if i == 405 else "ok") for i, x in enumerate(ms)], "service string, start timestamp, trace_id string, span_id string, duration_ms double, status string")
+    batch = traces.slow_spans(df, "service", min_samples=40).collect()
+    state, want = traces.Latency(), []
+    for i, x in enumerate(ms):
+        run, p99, _ = state.observe(x, 12, 40, 0.5, 5.0)
+        if run >= 3:
+            want.append((f"s{i:04d}", run, p99))
+    assert sorted((r.span_id, r.run, r.p99) for r in batch) == want and len(want) >= 3
+    got = streamed(spark, df, tmp_path, lambda s: traces.slow_spans(s, "service", min_samples=40, scan=stream_scan), order="start")
+    assert sorted((r.span_id, r.run, r.p99, r.severity) for r in got) == sorted((r.span_id, r.run, r.p99, r.severity) for r in batch)
+
+
+def test_log_bursts_stream_as_in_batch(spark, tmp_path):
+    times = [*range(0, 200, 25), *range(300, 330, 2), *range(900, 930)]
+    rows = [(T0 + timedelta(seconds=s), "error" if s == 310 else "info", "app", f"worker {i} died", i) for i, s in enumerate(times)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, severity string, source string, message string, seq long")
+    want = {(r.seq, r.recent, r.previous, r.lines, r.errors, r.burst_severity) for r in bursts.log_bursts(df, "source", stretch=400).collect()}
+    assert want == {(r.seq, r.recent, r.previous, r.lines, r.errors, r.burst_severity) for r in bursts.log_bursts(df, "source").collect()} and len(want) > 5
+    got = streamed(spark, df, tmp_path, lambda s: jobs.log_bursts_stream(s, "source"))
+    assert {(r.seq, r.recent, r.previous, r.lines, r.errors, r.burst_severity) for r in got} == want
+
+
+def test_host_outliers_stream_as_in_batch(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(50, 3, (80, 2))
+    x[70] = (80, 20)
+    df = spark.createDataFrame([("h", T0 + timedelta(seconds=i), i, float(a), float(b)) for i, (a, b) in enumerate(x)], "host string, timestamp timestamp, seq long, a double, b double")
+    want = {r.seq: r for r in baseline.host_outliers(df, ["a", "b"], [0.25, 0.25]).collect()}
+    got = {r.seq: r for r in streamed(spark, df, tmp_path, lambda s: jobs.host_outliers_stream(s, ["a", "b"], [0.25, 0.25]))}
+    assert all(got[i].severity == want[i].severity and (want[i].d2 is None or math.isclose(got[i].d2, want[i].d2, rel_tol=1e-6)) for i in range(80)) and got[70].severity == "critical"
+
+
+def test_flush_windows_and_retention(spark, tmp_path):
+    lines = [("c:3|c|@0.5", 1), ("t:4|ms", 2), ("t:8|ms", 3), ("g:7|g", 4), ("c:1|c", 15), ("c:1|c", 99)]
+    df = spark.createDataFrame([(v, T0 + timedelta(seconds=s), s) for v, s in lines], "value string, timestamp timestamp, seq long")
+    got = {(r.name, r.flush.second): (r.value, r.samples, r.p50) for r in streamed(spark, df, tmp_path, lambda s: jobs.statsd_flush_stream(s), files=1)}
+    assert got["c", 10] == (6.0, 1, None) and got["t", 10] == (12.0, 2, 4.0) and got["g", 10][0] == 7.0 and got["c", 20] == (1.0, 1, None)
+    src = str(tmp_path / "in")
+    q = jobs.write_retained(spark.readStream.schema(df.schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "cp2"))
+    q.processAllAvailable()
+    q.stop()
+    now = datetime.now(timezone.utc)
+    kind = "value string, timestamp timestamp, seq bigint"
+    assert jobs.read_retained(spark, str(tmp_path / "out"), kind, now, 3_600).count() == len(lines)
+    assert jobs.read_retained(spark, str(tmp_path / "out"), kind, now + timedelta(days=2), 3_600).count() == 0
+
+
+def test_delayed_labels(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    b = spark.createDataFrame([("x", at(0), 1), ("x", at(1000), 2), ("y", at(0), 3)], "scope string, timestamp timestamp, id long")
+    c = spark.createDataFrame([("x", at(200)), ("z", at(9000)), ("x", at(9000))], "scope string, timestamp timestamp")
+    b.union(spark.createDataFrame([("q", at(9000), 9)], b.schema)).coalesce(1).write.parquet(str(tmp_path / "b"))
+    c.coalesce(1).write.parquet(str(tmp_path / "c"))
+    read = lambda n, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / n))
+    q = jobs.delayed_labels(read("b", b), read("c", c), "scope").writeStream.format("memory").queryName("late_labels").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.id: r.followed for r in spark.sql("SELECT * FROM late_labels").collect() if r.id != 9} == {1: True, 2: False, 3: False}
+
+
+def test_burn_forecast_cases(spark):
+    def run(values, **kw):
+        df = spark.createDataFrame([("s", float(3600 * i), float(v)) for i, v in enumerate(values)], "source string, seconds double, consumed double")
+        return sequential.burn_forecast(df, "source", **kw).first()
+
+    middle = (100 - 58) / 2 * 3600
+    steady = run([2 * i for i in range(30)])  # the first step's error is all there is
+    assert 0.9 * middle < steady.soonest < middle < steady.latest < 1.1 * middle
+    assert run([2 * i for i in range(19)]).soonest is None
+    assert (run([50] * 25 + [100, 100]).soonest, run([50] * 25 + [100, 100]).latest) == (0.0, 0.0)
+    assert run([50] * 30).soonest is None and run([60 - i for i in range(30)]).soonest is None
+    noisy = [30 + 0.2 * i + (5 if i % 2 else -5) for i in range(60)]
+    assert run(noisy, horizon_hours=1e6).soonest is None  # the trend does not stand out of the errors
+    beyond = run([2 * i for i in range(30)], horizon_hours=steady.latest / 3600 - 0.1)
+    assert math.isclose(beyond.soonest, steady.soonest) and beyond.latest == 0.0
+
+
+def test_paging_learns_templates_apart(spark):
+    rows = []
+    for i in range(60):
+        for t, y in (("disk", True), ("chat", False)):
+            rows.append(("all", t, 1_000_000 * (600 * i + (t == "chat")), i, y, 1_000_000 * (600 * i + 300), 1.0, 0.5, 0.5, 0.0, True))
+    cols = "source string, template string, opened bigint, seq bigint, followed boolean, resolved bigint, f_bias double, f_errors double, f_ratio double, f_critical double, rule boolean"
+    graded = bursts.paging_graded(spark.createDataFrame(rows, cols), "source", "template", scope=["source"])
+    ready = bursts.paging_readiness(graded, "source").first()
+    assert ready.accuracy >= 0.85 and ready.rule_accuracy == 0.5 and ready.ready
+    w = {r.template: r.w_bias for r in bursts.paging_fit(graded, "source", "template").collect()}
+    assert w["disk"] > 0 > w["chat"]
+
+
+def test_numbers_levels_and_states(spark, tmp_path):
+    one = spark.range(1)
+    text = lambda f, *vs: [one.select(f(F.lit(v))).first()[0] for v in vs]
+    assert text(T.compact_number, 0.042, 1240.0, 42.4, 100_000.0, 0.0, -1.5e6, 2.34e9, 0.5) == ["0.042", "1.2k", "42", "100k", "0", "-1.5M", "2.3B", "0.5"]
+    assert text(T.duration_text, 0.4, 940.0, 1250.0, 90_000.0) == ["0.4ms", "940ms", "1.25s", "1.5min"]
+    level = lambda n, t: one.select(T.otlp_severity(F.lit(n).cast("int"), F.lit(t))).first()[0]
+    assert [level(None, t) for t in ("WARNING", " fatal ", "trace", "critical", "panic", "information", None)] == ["warn", "error", "debug", "error", "error", "info", "info"] and level(13, "debug") == "warn"
+    assert text(T.known_severity, " WARN ", "notice") == ["warn", None] and text(T.container_name, "/web") == ["web"] and text(T.short_id, "0123456789abcdef") == ["0123456789ab"]
+    from vane.plans import state
+
+    state.save_state({"a": one, "b": one}, str(tmp_path), {"a": 1, "b": 1})
+    assert set(state.load_state(spark, str(tmp_path), {"a": 1, "b": 2, "c": 1})) == {"a"}
+    df = spark.createDataFrame([(T0, 1.0)], "at timestamp, value double")
+    from vane.operators import report
+
+    wrote, row = report.export_if_changed(df, str(tmp_path / "x"), None, "m", "at")
+    again, _ = report.export_if_changed(df, str(tmp_path / "x"), row, "m", "at")
+    moved, _ = report.export_if_changed(df.withColumn("at", F.lit(T0 + timedelta(minutes=1))), str(tmp_path / "x"), row, "m", "at")
+    assert (wrote, again, moved) == (True, False, True)
+    dated = spark.createDataFrame([("2024-01-02T00:00:00Z",), ("2023-01-01T00:00:00Z",), ("soon",)], "time string")
+    assert sorted(r.time for r in scan.since_or_undated(dated, T0).collect()) == ["2024-01-02T00:00:00Z", "soon"]

@@ -69,7 +69,11 @@ def insights_ordered(spark, d):
     return incidents.ordered_insights(rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ZSCORE.format(by='')}, k AS (SELECT name, seq, z, row_number() OVER (PARTITION BY name ORDER BY timestamp, seq) AS k FROM z),
+ r AS (SELECT name, 0::BIGINT AS k, 0::DOUBLE AS hi, 0::DOUBLE AS lo, NULL::BIGINT AS seq, NULL::DOUBLE AS arm, NULL::VARCHAR AS direction FROM k WHERE k = 1 UNION ALL
+  SELECT name, k, CASE WHEN greatest(h, l) >= 5 THEN 0 ELSE h END, CASE WHEN greatest(h, l) >= 5 THEN 0 ELSE l END, seq, CASE WHEN greatest(h, l) >= 5 THEN greatest(h, l) END, CASE WHEN greatest(h, l) >= 5 THEN CASE WHEN h >= l THEN 'up' ELSE 'down' END END
+  FROM (SELECT k.name, k.k, k.seq, CASE WHEN z IS NULL THEN 0 ELSE greatest(0, hi + z - 0.5) END AS h, CASE WHEN z IS NULL THEN 0 ELSE greatest(0, lo - z - 0.5) END AS l FROM r JOIN k ON k.name = r.name AND k.k = r.k + 1))
+ SELECT name, seq, round(arm, 4) AS arm, direction FROM r WHERE arm IS NOT NULL""")
 def changepoints(spark, d):
     return baseline.changepoints(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name").select("name", "seq", F.round("arm", 4).alias("arm"), "direction")
 
@@ -481,8 +485,20 @@ def culprits(spark, d):
     return culprits_of(spark, d).select("host", ntz("opened"), "rank", "pid", "cpu", F.round("sigma", 4).alias("sigma"))
 
 
-@query()
+SEVERITY_SQL = r"""WITH d AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS m FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+ l AS (SELECT d.*, CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warn' WHEN quality = 1 THEN 'info' END AS severity, list_filter(regexp_extract_all(m, '[A-Za-z0-9]{2,}'), lambda t: NOT regexp_full_match(t, '[0-9]+')) AS ts FROM d LEFT JOIN labels USING (doc_id)),
+ v AS (SELECT tok, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(tok, ''), lambda c: ascii(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) % 4096 AS bucket FROM (SELECT DISTINCT lower(unnest(ts)) AS tok FROM l)),
+ t AS (SELECT doc_id, line, severity, m, bucket FROM (SELECT doc_id, line, severity, m, lower(unnest(ts)) AS tok FROM l) JOIN v USING (tok)),
+ h AS (SELECT severity, bucket, count(*) AS hits FROM t WHERE severity IS NOT NULL AND trim(m) <> '' GROUP BY ALL),
+ c AS (SELECT severity, count(*) AS lines, (SELECT coalesce(sum(hits), 0) FROM h WHERE h.severity = l.severity) AS tokens FROM l WHERE severity IS NOT NULL AND trim(m) <> '' GROUP BY 1),
+ s AS (SELECT t.doc_id, t.line, c.severity AS level, any_value(ln(c.lines / (SELECT sum(lines) FROM c))) + sum(ln((coalesce(h.hits, 0) + 0.5) / (c.tokens + 0.5 * 4096))) AS score FROM t CROSS JOIN c LEFT JOIN h ON h.severity = c.severity AND h.bucket = t.bucket GROUP BY ALL),
+ b AS (SELECT doc_id, line, arg_max(level, (score, -ascii(level))) AS predicted, 1 / sum(exp(score - top)) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, line) AS top FROM s) GROUP BY ALL)
+ SELECT l.doc_id, l.line::INTEGER AS line, l.severity, predicted, round(confidence, 3) AS confidence, CASE WHEN confidence >= 0.6 THEN predicted WHEN regexp_matches(lower(m), 'fatal|error|fail') THEN 'error' WHEN contains(lower(m), 'warn') THEN 'warn' WHEN contains(lower(m), 'debug') THEN 'debug' ELSE 'info' END AS answer FROM l LEFT JOIN b USING (doc_id, line)"""
+
+
+@query(SEVERITY_SQL)
 def severity_scores(spark, d):
+    """Whole messages: no limit on bytes or tokens."""
     lines = tables.text_logs(spark, d)
     hits, classes = severity.severity_fit(lines)
     s = severity.severity_score(lines, hits, classes)

@@ -53,7 +53,7 @@ def metric_anomalies(metrics: DataFrame, *keys: str, warn: Column | float = WARN
     return scored.withColumn("severity", severity_of(F.col("z"), warn, critical)).where(F.col("severity").isNotNull())
 
 
-def changepoints(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION) -> DataFrame:
+def changepoints(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION, scan=ordered_scan) -> DataFrame:
     """Rows where a two-armed cumulative sum of z crosses; both arms start anew there, and where a point has no score. One pass in time order."""
     rows = scored.select(*keys, "timestamp", "seq", "z")
     at = len(keys) + 2
@@ -71,7 +71,7 @@ def changepoints(scored: DataFrame, *keys: str, drift: float = DRIFT, decision:
         return [(*row, max(hi, lo), "up" if hi >= lo else "down")]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return ordered_scan(rows, list(keys), ["timestamp", "seq"], lambda: [0.0, 0.0], step, f"{schema}, arm double, direction string")
+    return scan(rows, list(keys), ["timestamp", "seq"], lambda: [0.0, 0.0], step, f"{schema}, arm double, direction string")
 
 
 def first_crossing(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION) -> DataFrame:

@@ -52,11 +52,11 @@ def kinds_of(df: DataFrame, *names: str) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def p2_quantiles(df: DataFrame, value: str, *keys: str, p: float = 0.99) -> DataFrame:
+def p2_quantiles(df: DataFrame, value: str, *keys: str, p: float = 0.99, scan=ordered_scan) -> DataFrame:
     """The marker estimate of each key, in (timestamp, seq) order."""
     at = len(keys) + 2
     rows = df.select(*keys, "timestamp", "seq", value)
-    return ordered_scan(rows, list(keys), ["timestamp", "seq"], lambda: P2(p), lambda e, row: e.observe(row[at]), f"{kinds_of(df, *keys)}, n bigint, quantile double", lambda e, key: [(*key, e.n, e.value())])
+    return scan(rows, list(keys), ["timestamp", "seq"], lambda: P2(p), lambda e, row: e.observe(row[at]), f"{kinds_of(df, *keys)}, n bigint, quantile double", lambda e, key: [(*key, e.n, e.value())])
 
 
 WARN_P, PAGE_P, FLOOR, CEILING = 0.999, 0.9999, 2.0, 12.0
@@ -84,7 +84,7 @@ class Thresholds:
         return now
 
 
-def learned_thresholds(scored: DataFrame, *keys: str, warn_from: int = 2_000, page_from: int = 20_000) -> DataFrame:
+def learned_thresholds(scored: DataFrame, *keys: str, warn_from: int = 2_000, page_from: int = 20_000, scan=ordered_scan) -> DataFrame:
     """keys, timestamp, seq, z, warn, critical, severity: each scored point with the limits in force when it came, and its verdict by them.
 
     Limits are five-marker estimates of the 0.999 and 0.9999 quantiles of the key's earlier |z|, fixed values until there are
@@ -98,7 +98,7 @@ def learned_thresholds(scored: DataFrame, *keys: str, warn_from: int = 2_000, pa
         return [(*row, warn, page, "critical" if z >= page else "warning" if z >= warn else None)]
 
     rows = scored.where("z IS NOT NULL").select(*keys, "timestamp", "seq", "z")
-    return ordered_scan(rows, list(keys), ["timestamp", "seq"], lambda: Thresholds(warn_from, page_from), step, f"{kinds_of(rows, *rows.columns)}, warn double, critical double, severity string")
+    return scan(rows, list(keys), ["timestamp", "seq"], lambda: Thresholds(warn_from, page_from), step, f"{kinds_of(rows, *rows.columns)}, warn double, critical double, severity string")
 
 
 def threshold_rates(graded: DataFrame, *keys: str) -> DataFrame:
@@ -170,7 +170,7 @@ class Burn:
         return none if soon > horizon else (soon, late if late <= horizon else 0.0)
 
 
-def burn_forecast(readings: DataFrame, *keys: str, min_readings: int = 20, horizon_hours: float = 48.0, seconds: str = "seconds", value: str = "consumed") -> DataFrame:
+def burn_forecast(readings: DataFrame, *keys: str, min_readings: int = 20, horizon_hours: float = 48.0, seconds: str = "seconds", value: str = "consumed", scan=ordered_scan) -> DataFrame:
     """Level and trend of the spent budget, when it is used up (soonest and latest in seconds, see Burn), and skill: the share of the last 200 steps where the trend was nearer than persistence."""
     k = len(keys)
 
@@ -178,7 +178,7 @@ def burn_forecast(readings: DataFrame, *keys: str, min_readings: int = 20, horiz
         return [(*key, b.n, b.level, b.trend, *b.exhausted(min_readings, horizon_hours * 3600), sum(b.wins) / len(b.wins) if b.wins else None)]
 
     schema = f"{kinds_of(readings, *keys)}, readings bigint, level double, trend double, soonest double, latest double, skill double"
-    return ordered_scan(readings.select(*keys, seconds, value), list(keys), [seconds], Burn, lambda b, row: b.observe(row[k], row[k + 1]), schema, end)
+    return scan(readings.select(*keys, seconds, value), list(keys), [seconds], Burn, lambda b, row: b.observe(row[k], row[k + 1]), schema, end)
 
 
 def metric_forecast(minutes: DataFrame, horizons: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -41,3 +43,45 @@ def ordered_scan(rows: DataFrame, keys: list[str], order: list[str], start: Call
             yield pack(out)
 
     return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def dumped(state: Any) -> Any:
+    """The attributes of a state, all the way down, as plain values."""
+    if hasattr(state, "__dict__"):
+        return {k: dumped(v) for k, v in vars(state).items()}
+    return [dumped(v) for v in state] if isinstance(state, (list, tuple)) else state
+
+
+def restored(fresh: Any, plain: Any) -> Any:
+    """A fresh state with the attributes that dumped() gave."""
+    if not hasattr(fresh, "__dict__"):
+        return plain
+    for k, v in plain.items():
+        setattr(fresh, k, restored(getattr(fresh, k), v))
+    return fresh
+
+
+def stream_scan(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], list[tuple] | None], schema: str, finish: Callable[[Any, tuple], list[tuple]] | None = None) -> DataFrame:
+    """ordered_scan over a stream: the state of each key is kept between micro-batches, whose rows are taken in order.
+
+    finish gives a key's rows after each micro-batch that brought it rows. Rows that come late are taken when they come.
+    """
+    names = [*keys, *order, *(c for c in rows.columns if c not in (*keys, *order))]
+    columns = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
+    kinds = {"bigint": "Int64", "int": "Int32", "boolean": "boolean", "double": "float64"}
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
+        state = restored(start(), json.loads(kept.get[0])) if kept.exists else start()
+        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
+        out: list[tuple] = []
+        for row in pdf[names].itertuples(index=False, name=None):
+            out += step(state, tuple(None if v is pd.NA or v is pd.NaT or v != v else v for v in row)) or ()
+        if finish is not None:
+            out += finish(state, key)
+        kept.update((json.dumps(dumped(state)),))
+        yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=kinds.get(kind, "object" if kind != "timestamp" else "datetime64[us, UTC]" if out and r_has_zone(out, i) else "datetime64[us]")) for i, (n, kind) in enumerate(columns)})
+
+    def r_has_zone(out: list[tuple], i: int) -> bool:
+        return any(getattr(r[i], "tzinfo", None) is not None for r in out)
+
+    return rows.select(*names).groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")

@@ -1,16 +1,25 @@
-"""Structured Streaming forms: score on write, closed minutes, keyed state."""
+"""Structured Streaming forms: score on write, closed minutes, flush windows, keyed state, delayed labels, retention.
+
+The operators that are ordered recursions (changepoints, learned_thresholds, p2_quantiles, slow_spans, burn_forecast) run over
+streams as they are, with scan=stream_scan: the same step, its state kept a key.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vane.operators.baseline import severity_of
+from vane.functions.text import log_template
+from vane.operators.baseline import CRITICAL_D2, MIN_VECTORS, WARN_D2, severity_of
+from vane.operators.sequential import kinds_of
+from vane.plans.ordered import stream_scan
+from vane.sources.wire import floor_percentile, statsd_points
 
 
 def minute_means_stream(metrics: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -51,3 +60,97 @@ def score_on_write(metrics: DataFrame, path: str, checkpoint: str) -> StreamingQ
         batch.withColumn("severity", severity_of(F.col("z"))).write.mode("append").parquet(path)
 
     return zscore_stream(metrics).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def statsd_flush_stream(lines: DataFrame, flush: str = "10 seconds", late: str = "10 seconds") -> DataFrame:
+    """name, tags, type, flush, value, p50, p90, p99 of closed flush windows: counters by rate, the last plain gauge, sums of timers (their count and quantiles beside)."""
+    p = statsd_points(lines).withWatermark("timestamp", late)
+    relative = F.col("text").rlike(r"^[+-]")
+    kind = F.when(F.col("type").isin("ms", "h", "d"), "timer").when(F.col("type") == "g", "gauge").otherwise("counter").alias("type")
+    value = F.when(F.col("type") == "c", F.col("number") / F.col("rate")).otherwise(F.col("number"))
+    rolled = p.withColumn("_v", value).groupBy("name", "tags", kind, F.window("timestamp", flush)).agg(
+        F.sum("_v").alias("_sum"), F.max_by("number", F.when(~relative, F.struct("timestamp", "seq"))).alias("_last"), F.count(F.lit(1)).alias("samples"), F.collect_list(F.when(F.col("type").isin("ms", "h", "d"), F.col("number"))).alias("_all")
+    )
+    quantiles = [floor_percentile(F.col("_all"), q).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
+    return rolled.select("name", "tags", "type", F.col("window.end").alias("flush"), F.when(F.col("type") == "gauge", F.col("_last")).otherwise(F.col("_sum")).alias("value"), "samples", *quantiles)
+
+
+class Template:
+    """Times of a template's lines in the last two windows, and its counts."""
+
+    def __init__(self) -> None:
+        self.times: list[int] = []
+        self.lines, self.errors, self.latest = 0, 0, -(2**62)
+
+
+def log_bursts_stream(logs: DataFrame, *keys: str, seconds: int = 60, at_least: int = 8, ratio: float = 3.0) -> DataFrame:
+    """keys, template, us, seq, recent, previous, lines, errors, burst_severity: log_bursts over a stream. A late line keeps its time and does not turn the windows back."""
+    w, k = seconds * 1_000_000, len(keys) + 1
+
+    def step(t: Template, row: tuple) -> list[tuple] | None:
+        us, seq, bad = row[k], row[k + 1], row[k + 2]
+        t.lines, t.errors, t.latest = t.lines + 1, t.errors + bad, max(t.latest, us)
+        t.times = [x for x in t.times if x >= t.latest - 2 * w] + [us] * (us >= t.latest - 2 * w)
+        recent = sum(x >= t.latest - w for x in t.times)
+        previous = len(t.times) - recent
+        if recent < at_least or (previous and recent < ratio * previous):
+            return None
+        return [(*row[:k], us, seq, recent, previous, t.lines, t.errors, "critical" if t.errors or recent >= 2 * at_least else "warning")]
+
+    rows = logs.select(*keys, log_template(F.col("message")).alias("template"), F.unix_micros("timestamp").alias("us"), "seq", F.col("severity").isin("error", "fatal").cast("int").alias("bad"))
+    schema = f"{kinds_of(rows, *keys, 'template', 'us', 'seq')}, recent bigint, previous bigint, lines bigint, errors bigint, burst_severity string"
+    return stream_scan(rows, [*keys, "template"], ["us", "seq"], Template, step, schema)
+
+
+class Host:
+    """Running mean and squared deviations of a host's vectors."""
+
+    def __init__(self, k: int):
+        self.n, self.mean, self.m2 = 0, [0.0] * k, [[0.0] * k for _ in range(k)]
+
+
+def host_outliers_stream(vectors: DataFrame, features: list[str], floors: list[float], key: str = "host", min_vectors: int = MIN_VECTORS) -> DataFrame:
+    """host, us, seq, n, d2, severity: host_outliers over a stream."""
+    k = len(features)
+
+    def step(h: Host, row: tuple) -> list[tuple]:
+        x, mean, m2 = np.array(row[3 : 3 + k], float), np.array(h.mean), np.array(h.m2)
+        h.n += 1
+        before = x - mean
+        mean = mean + before / h.n
+        m2 = m2 + np.outer(before, x - mean)
+        h.mean, h.m2 = mean.tolist(), m2.tolist()
+        if h.n < min_vectors:
+            return [(*row[:3], h.n, None, None)]
+        cov = m2 / (h.n - 1)
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), floors))
+        d2 = float((x - mean) @ np.linalg.pinv(cov, hermitian=True) @ (x - mean))
+        return [(*row[:3], h.n, d2, "critical" if d2 >= CRITICAL_D2 else "warning" if d2 >= WARN_D2 else None)]
+
+    rows = vectors.select(key, F.unix_micros("timestamp").alias("us"), "seq", *features)
+    return stream_scan(rows, [key], ["us", "seq"], lambda: Host(k), step, f"{kinds_of(rows, key, 'us', 'seq')}, n bigint, d2 double, severity string")
+
+
+def delayed_labels(bursts: DataFrame, criticals: DataFrame, scope: str, within: str = "5 minutes", late: str = "1 minute") -> DataFrame:
+    """bursts (scope, timestamp, ...) with followed: a critical of the scope in (t, t + within]. Append mode gives a burst's row when the critical comes, or when the watermark has closed its window; of several criticals each gives a row."""
+    b = bursts.withWatermark("timestamp", late)
+    c = criticals.select(F.col(scope).alias("_scope"), F.col("timestamp").alias("_at")).withWatermark("_at", late)
+    within_window = (F.col(scope) == F.col("_scope")) & (F.col("_at") > F.col("timestamp")) & (F.col("_at") <= F.col("timestamp") + F.expr(f"INTERVAL {within}"))
+    return b.join(c, within_window, "left").select(*bursts.columns, F.col("_at").isNotNull().alias("followed"))
+
+
+def write_retained(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append with the clock of writing, which no claimed time can change, as ingest_ts, in folders of its date."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        stamped = batch.withColumn("ingest_ts", F.current_timestamp())
+        stamped.withColumn("ingest_date", F.to_date("ingest_ts")).write.mode("append").partitionBy("ingest_date").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def read_retained(spark: SparkSession, path: str, schema: str, now, seconds: int) -> DataFrame:
+    """Rows written less than so many seconds before now; whole folders of older dates are not read."""
+    since = F.lit(now) - F.make_interval(secs=F.lit(seconds))
+    rows = spark.read.schema(f"{schema}, ingest_ts timestamp, ingest_date date").parquet(path)
+    return rows.where((F.col("ingest_date") >= F.to_date(since)) & (F.col("ingest_ts") > since))
