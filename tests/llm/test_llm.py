@@ -85,12 +85,37 @@ def test_quality_measures(spark, texts, odd):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for r in quality.op3_quality(spark, SF).collect():
         assert tuple(r[n] for n in names) == brute_quality(texts[r.doc_id])
-    assert sorted((r.doc_id or -1, tuple(r[n] for n in names), r.kept) for r in quality.judge_quality(odd).collect())
+    assert all(not r.kept for r in quality.judge_quality(odd).collect() if r.n_words < 20)
     got = Counter((r.doc_id, tuple(r[n] for n in names)) for r in quality.measures(odd).collect())
     assert got == Counter((i, brute_quality(t)) for i, t in ODD)
     assert quality.judge_quality(odd.limit(0)).count() == 0
 
 
+def plain_votes(t):
+    """The rules of the quality filter, one by one."""
+    n, chars, symbols, dups, repeats = brute_quality(t)
+    w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+    noise, upper, mean, distinct = len(re.findall(r"[!?#*$%&|<>]", t or "")), len(re.findall("[A-Z]", t or "")), chars / max(n, 1), len(set(w))
+    vote = lambda good, bad: -1 if bad else 1 if good else 0
+    return (
+        vote(50 <= n <= 100_000, n < 20), vote(3 <= mean <= 10, mean < 2 or mean > 15), vote(symbols == 0, symbols > 0.1 * n), vote(noise <= 0.02 * n, noise > 0.3 * n),
+        vote(dups == 0 and len(lines) >= 3, dups > 0.3 * len(lines)), vote(repeats == 0 and n >= 50, repeats > 0.2 * n), vote(distinct >= 0.3 * n, distinct < 0.15 * n), vote(upper <= 0.1 * chars, upper > 0.3 * chars),
+    ), n < 20 or 100 * repeats > 30 * n
+
+
+def test_quality_verdicts_equal_a_plain_model(spark, texts):
+    votes = {i: plain_votes(t) for i, t in texts.items()}
+    share, accuracy = 0.8, [0.75] * 8
+    for _ in range(100):  # expectation: every document's posterior; maximisation: over all votes cast
+        good = {i: quality.posterior(v, share, accuracy) for i, (v, _) in votes.items()}
+        share = min(0.95, max(0.05, sum(good.values()) / len(good)))
+        accuracy = [min(0.98, max(0.55, (1.5 + sum(good[i] if v[j] > 0 else 1 - good[i] for i, (v, _) in votes.items() if v[j])) / (2.0 + sum(v[j] != 0 for v, _ in votes.values())))) for j in range(8)]
+    for r in quality.op3_quality(spark, SF).collect():
+        v, failed = votes[r.doc_id]
+        p = quality.posterior(v, share, accuracy)
+        assert r.base_failed == failed and abs(r.posterior - p) < 1e-6 and r.kept == (not failed and p >= 0.5)
+
+
 def test_votes_find_a_bad_rule():
     patterns = [((1, 1, 1), 700), ((-1, -1, 1), 250), ((1, 1, -1), 30), ((-1, -1, -1), 20)]
     share, accuracy = quality.fit_votes(patterns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vane.llm.quality import let
+from vane.functions.text import let
 from vane.llm.text_batches import free_name
 from vane.plans.shared import stored, stored_run
 

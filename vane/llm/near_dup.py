@@ -18,7 +18,9 @@ Step 5 compares only members of different components, so a large group of copies
 Definitions. Words are lower-cased (A-Z only) runs of [^\\x20\\x09-\\x0D]; with fewer than `width` words the whole sequence is
 the one shingle. A text without words, or null, has an empty set: linked with nothing, its own component. Rows of equal set
 form one group, so repeated rows do too; rows that share a doc_id but differ in text stay separate rows. A null doc_id never
-names a component unless no other member has one. Shingles and classes are compared by 64-bit hashes.
+names a component unless no other member has one. Of equal ranks the smaller class hash heads a star. Shingles and classes are
+compared by 64-bit hashes. A very long text is one set of its length, held by one task at a time. An empty table gives an empty
+result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

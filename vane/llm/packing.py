@@ -7,7 +7,8 @@ the bins with room go into common pools, so that partitions exchange documents,
 bins if the new packing needs as many. This is done `exchanges` times.
 
 A null text is empty: one piece, the end id alone. Rows are packed one by one, also repeated ones or those with a null doc_id.
-An empty table gives an empty result. Extra columns are ignored.
+Of pieces of equal length the smaller doc_id, then piece, comes first. A very long text is tokenised whole. An empty table gives
+an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ document is kept if its posterior probability of being good reaches `min_posteri
 except the two base rules of `base_failed`.
 
 A null or empty text has no words, fails the base rules and is dropped. Ties at the posterior threshold are kept. Rows are
-judged one by one, so repeated rows get equal results. An empty table gives an empty result.
+judged one by one, so repeated rows get equal results. A very long text is read whole, in time of its length but for sorting
+its windows. An empty table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vane.functions.text import let
 from vane.plans.shared import stored
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -23,11 +25,6 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words inside windows of `width` words that occur twice or more in the row, the first occurrence included."""
     hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))
