@@ -635,7 +635,7 @@ def summary_payload(spark, d):
  SELECT sha256(message) AS message_sha256, severity, count(*) AS lines FROM c WHERE message <> '' AND severity IS NOT NULL GROUP BY ALL""")
 def export_severity(spark, d):
     """Declared lines, cut at 4,096 bytes, as CSV files, read back."""
-    lines = tables.text_logs(spark, d).where("severity IS NOT NULL").select(scan.cut_bytes(F.col("message")).alias("message"), "severity")
+    lines = scan.declared_levels(tables.text_logs(spark, d)).select(scan.cut_bytes(F.col("message")).alias("message"), "severity")
     path = new_path(spark, "severity-csv")
     report.export_csv(lines.where(F.col("message") != ""), path)
     back = report.read_csv(spark, path, "message string, severity string")
@@ -755,3 +755,96 @@ def model_cards(spark, d):
     burn = burn_readings(spark, d).agg(F.sum("readings").alias("trained"), F.avg("skill").alias("accuracy"), (F.min("readings") >= 20).alias("ready"))
     cards = report.model_cards(report.model_card(sev, "log severity"), report.model_card(paging, "paging"), report.model_card(rates, "alert thresholds", F.format_string("warnings %.4f of points", "_w")), report.model_card(vectors, "host outliers", F.format_string("%d findings", "_s")), report.model_card(burn, "budget forecast"))
     return rounded(cards, "accuracy", "fallback_accuracy")
+
+
+@query("""SELECT 't' || conv_id AS trace_id, 's' || turn AS span_id, CASE WHEN turn > 0 THEN 's' || (turn - 1) END AS parent_id, role AS name, CASE WHEN conv_id % 2 = 0 THEN 'svc' || (conv_id % 5) ELSE 'unknown_service' END AS service,
+ make_timestamp(conv_id * 60000000::BIGINT) AS start, CASE WHEN turn % 4 = 3 THEN 0 ELSE length(text) * 1000000::BIGINT END AS duration_ns, CASE turn % 3 WHEN 1 THEN 'ok' WHEN 2 THEN 'error' ELSE 'unset' END AS status, turn::VARCHAR AS turn FROM conversations""")
+def otlp_spans(spark, d):
+    """Conversations as span export requests, one each, then flattened; every fourth span ends before it starts."""
+    c = tables.table(spark, d, "conversations")
+    start = F.col("conv_id") * 60_000_000_000
+    took = F.when(F.col("turn") % 4 == 3, -5).otherwise(F.length("text") * 1_000_000)
+    attribute = lambda k, v: F.array(F.struct(F.lit(k).alias("key"), v.alias("value")))
+    span = F.struct(
+        F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("traceId"), F.concat(F.lit("S"), F.col("turn").cast("string")).alias("spanId"), F.when(F.col("turn") > 0, F.concat(F.lit("S"), (F.col("turn") - 1).cast("string"))).alias("parentSpanId"), F.col("role").alias("name"),
+        start.cast("string").alias("startTimeUnixNano"), (start + took).cast("string").alias("endTimeUnixNano"), attribute("turn", F.struct(F.col("turn").cast("string").alias("intValue"))).alias("attributes"), F.struct((F.col("turn") % 3).cast("int").alias("code")).alias("status"),
+    )
+    r = c.groupBy("conv_id").agg(F.collect_list(span).alias("spans"))
+    service = F.when(F.col("conv_id") % 2 == 0, attribute("service.name", F.struct(F.concat(F.lit("svc"), (F.col("conv_id") % 5).cast("string")).alias("stringValue"))))
+    doc = F.struct(F.array(F.struct(F.struct(service.alias("attributes")).alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))
+    flat = wire.otlp_spans(r.select(F.to_json(doc).alias("value")))
+    return flat.select("trace_id", "span_id", "parent_id", "name", "service", ntz("start"), "duration_ns", "status", F.col("attributes")["turn"].alias("turn"))
+
+
+@query("""WITH e AS (SELECT *, event_id % 24 AS n FROM events) SELECT ts AS timestamp, CASE WHEN n >= 17 THEN 'error' WHEN n >= 13 THEN 'warn' WHEN n >= 9 THEN 'info' WHEN n >= 1 THEN 'debug' WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity,
+ 'scope' || (user_id % 7) AS source, event_type || ' ' || event_id AS message, count(*) AS lines FROM e GROUP BY ALL""")
+def otlp_logs(spark, d):
+    """Events as log export requests, one a user and day; half of them carry the observed time only."""
+    e = tables.table(spark, d, "events")
+    nanos = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
+    log = F.struct(F.when(F.col("event_id") % 2 == 0, nanos).otherwise("0").alias("timeUnixNano"), nanos.alias("observedTimeUnixNano"), (F.col("event_id") % 24).cast("int").alias("severityNumber"), F.upper("event_type").alias("severityText"), F.struct(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("stringValue")).alias("body"))
+    r = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list(log).alias("logRecords"))
+    scope = F.struct(F.concat(F.lit("scope"), (F.col("user_id") % 7).cast("string")).alias("name"))
+    doc = F.struct(F.array(F.struct(F.array(F.struct(scope.alias("scope"), "logRecords")).alias("scopeLogs"))).alias("resourceLogs"))
+    flat = wire.otlp_logs(r.select(F.to_json(doc).alias("value")))
+    return flat.groupBy(ntz(), "severity", "source", "message").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("""WITH b AS (SELECT user_id, event_type AS name, ts::DATE AS day, count(*) FILTER (WHERE value <= 10) AS a, count(*) FILTER (WHERE value > 10 AND value <= 100) AS b, count(*) FILTER (WHERE value > 100) AS c, count(*) AS n, sum(value) AS s, max(value) AS hi FROM events GROUP BY ALL)
+ SELECT name || '_bucket' AS name, user_id::VARCHAR AS user, day::TIMESTAMP AS timestamp, '10.0' AS le, a::DOUBLE AS value FROM b UNION ALL SELECT name || '_bucket', user_id::VARCHAR, day::TIMESTAMP, '100.0', a + b FROM b
+ UNION ALL SELECT name || '_count', user_id::VARCHAR, day::TIMESTAMP, NULL, n FROM b UNION ALL SELECT name || '_sum', user_id::VARCHAR, day::TIMESTAMP, NULL, round(s, 4) FROM b UNION ALL SELECT name || '_max', user_id::VARCHAR, day::TIMESTAMP, NULL, round(hi, 4) FROM b""")
+def otlp_histograms(spark, d):
+    """A day's events of a user as one histogram a kind, then flattened into cumulative buckets, counts, sums and maxima."""
+    e = tables.table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    v = F.col("value")
+    h = e.groupBy("user_id", "day", "event_type").agg(F.count_if(v <= 10).alias("a"), F.count_if((v > 10) & (v <= 100)).alias("b"), F.count_if(v > 100).alias("c"), F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.max(v).alias("hi"))
+    text = lambda c: F.col(c).cast("string")
+    point = F.struct((F.unix_micros(F.col("day").cast("timestamp")) * 1000).cast("string").alias("timeUnixNano"), text("n").alias("count"), F.col("s").alias("sum"), F.col("hi").alias("max"), F.array(text("a"), text("b"), text("c")).alias("bucketCounts"), F.array(F.lit(10.0), F.lit(100.0)).alias("explicitBounds"))
+    m = h.groupBy("user_id", "day").agg(F.collect_list(F.struct(F.col("event_type").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("histogram"))).alias("metrics"))
+    attrs = F.array(F.struct(F.lit("user").alias("key"), F.struct(text("user_id").alias("intValue")).alias("value")))
+    doc = F.struct(F.array(F.struct(F.struct(attrs.alias("attributes")).alias("resource"), F.array(F.struct("metrics")).alias("scopeMetrics"))).alias("resourceMetrics"))
+    flat = wire.otlp_metrics(m.select(F.to_json(doc).alias("value")))
+    return flat.select("name", F.col("labels")["user"].alias("user"), ntz(), F.col("labels")["le"].alias("le"), F.round("value", 4).alias("value"))
+
+
+@query(f"""WITH {LOGS}, p AS (SELECT CASE WHEN regexp_matches(lower(message), 'fatal|error|fail') THEN 'error' WHEN contains(lower(message), 'warn') THEN 'warn' WHEN contains(lower(message), 'debug') THEN 'debug' ELSE 'info' END AS severity FROM logs) SELECT severity, count(*) AS lines, true AS severity_inferred FROM p GROUP BY 1""")
+def log_files(spark, d):
+    """Messages as text files, read as a tailed folder is; blank lines between them are skipped."""
+    path = new_path(spark, "log-files")
+    tables.logs(spark, d).select(F.concat("message", F.lit("\n")).alias("value")).write.text(path)
+    return wire.ingest_log_files(spark, path).groupBy("severity").agg(F.count(F.lit(1)).alias("lines"), F.bool_and("severity_inferred").alias("severity_inferred"))
+
+
+@query("SELECT event_id AS at, event_type AS model FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING max(value) > 200) ORDER BY event_id DESC LIMIT 20")
+def recent_jobs(spark, d):
+    """The newest 20 events of kinds with a large value, which stand in for runs of managed models."""
+    e = tables.table(spark, d, "events")
+    managed = e.groupBy(F.col("event_type").alias("model")).agg(F.max("value").alias("top")).where("top > 200")
+    return scan.recent(e.select(F.col("event_id").alias("at"), F.col("event_type").alias("model")), 20, "at", managed=managed)
+
+
+@query("SELECT user_id, event_id AS seq, round(CASE WHEN c = 0 THEN 0 ELSE value / c * 100 END, 4) AS percent FROM (SELECT *, (event_id % 5) * 100.0 AS c FROM events)")
+def memory_percent(spark, d):
+    e = tables.table(spark, d, "events").withColumn("top", (F.col("event_id") % 5) * 100.0)
+    return e.select("user_id", F.col("event_id").alias("seq"), F.round(baseline.memory_percent(F.col("value"), F.col("top")), 4).alias("percent"))
+
+
+@query(f"WITH {LOGS} SELECT seq, source FROM logs WHERE severity = 'error' AND contains(lower(source), 'user1')")
+def facet_filter(spark, d):
+    return scan.facet_filter(tables.logs(spark, d), {"status": "error", "source": "USER1", "other": "x"}).select("seq", "source")
+
+
+@query()
+def classified_lines(spark, d):
+    """Undeclared lines with the model's answer where it is ready and sure, else the rule's."""
+    lines = line_blocks(spark, d)
+    hits, classes = severity.severity_fit(lines)
+    ready = severity.readiness(severity.severity_prequential(lines, "doc_id", "line"), classes, "doc_id", "line").first()["ready"]
+    return severity.classify(severity.severity_score(lines.where("severity IS NULL"), hits, classes), ready).select("doc_id", "line", "severity_answer", "answered_by")
+
+
+@query()
+def alert_calibration(spark, d):
+    """Each name's learned limits, and the shares of points that they made warnings and pages."""
+    g = sequential.learned_thresholds(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name")
+    return rounded(sequential.threshold_rates(g, "name"), "warn_rate", "page_rate", "warn", "critical")
