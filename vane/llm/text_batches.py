@@ -42,3 +42,9 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def ascii_terms(digits: bool) -> bytes:
+    """A table for bytes.translate: A-Z to a-z, other ASCII characters but letters (and digits) to blanks; bytes of non-ASCII characters stay."""
+    kept = b"abcdefghijklmnopqrstuvwxyz" + b"0123456789" * digits
+    return bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b in kept else 32 for b in range(256))
