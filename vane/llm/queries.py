@@ -14,8 +14,9 @@ from vane.llm.pii import op1_pii
 from vane.llm.quality import op3_quality
 from vane.llm.url_filter import op5_url_filter
 from vane.llm.warc import OP7_SQL, op7_warc
+from vane.llm.winnowing import op13_fingerprints
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language, op3_quality, op4_line_dedup, op5_url_filter, op6_packing, op7_warc, op8_near_dup, op9_decontamination, op10_licenses, op11_lexical_search, op12_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language, op3_quality, op4_line_dedup, op5_url_filter, op6_packing, op7_warc, op8_near_dup, op9_decontamination, op10_licenses, op11_lexical_search, op12_source_divergence, op13_fingerprints)}
 
 
 #: The queries not listed are learned or iterative. Tests hold them against brute force.
