@@ -17,7 +17,6 @@ Ties of value go by item in UTF-8 order. An empty table gives an empty result. O
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,9 @@ from vane.plans.shared import stored
 
 UNIT = 1_000_000_000
 #: Entries of a task's partial counts, and pairs evaluated at once; beyond them a task emits what it has.
-TASK_ENTRIES, TASK_PAIRS = 300_000, 400_000
+TASK_ENTRIES, TASK_PAIRS = 1_500_000, 400_000
+#: Sources of a batch up to which sums by pair are a square array.
+DENSE = 500
 #: Groups up to this many are sent to all executors; more are joined by shuffle.
 MAX_BROADCAST_GROUPS = 100_000
 TABLE = ascii_terms(digits=False)
@@ -47,53 +48,70 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts.join(lists.hint("merge"), key), mult.select("lang", "source").distinct()
 
 
+class Words(dict):
+    """Word to number, in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
+def term_lists(keys: list[np.ndarray], occurrences: list[np.ndarray], documents: list[np.ndarray], words: pa.Array, sources: pa.Array, lang: str) -> pa.RecordBatch:
+    """lang, term, df, entries (source, n) of a language's counts; a key is word number * 2^31 + source number."""
+    key, n, df = map(np.concatenate, (keys, occurrences, documents))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n, df, key = np.add.reduceat(n[order], first), np.add.reduceat(df[order], first), key[first]
+    word = key >> 31
+    term = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    entries = pa.StructArray.from_arrays([sources.take(pa.array(key & (2**31 - 1))), pa.array(n)], ["source", "n"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(term, len(key)), pa.int32()), entries)
+    langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(term), np.int32)))
+    return pa.RecordBatch.from_arrays([langs, words.take(pa.array(word[term])), pa.array(np.add.reduceat(df, term)), lists], ["lang", "term", "df", "entries"])
+
+
 def weighted_counts(classes: DataFrame) -> DataFrame:
-    """lang, term, source, n (occurrences), df (documents): partial sums, several rows a key."""
-    schema = "lang string, term string, source string, n bigint, df bigint"
-    names = [c.split()[0] for c in schema.split(", ")]
+    """lang, term, df (documents), entries (source, n occurrences): partial sums, several rows a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[tuple, Counter] = {}
-        df: dict[tuple, Counter] = {}
+        words, sources, held, size = Words(), Words(), {}, 0
 
         def emptied() -> Iterator[pa.RecordBatch]:
-            for (lang, source), bag in n.items():
-                if bag:
-                    held = df[lang, source]
-                    langs, sources = (pa.array([x], pa.string()).take(pa.array(np.zeros(len(bag), np.int32))) for x in (lang, source))
-                    terms = pa.array(list(bag), pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([langs, terms, sources, pa.array(bag.values(), pa.int64()), pa.array(list(map(held.__getitem__, bag)), pa.int64())], names)
-            n.clear()
-            df.clear()
+            names = [pa.array(list(x), pa.binary()).cast(pa.string()) for x in (words, sources)]
+            for lang, parts in held.items():
+                yield term_lists(*parts, *names, lang)
+            for x in (words, sources, held):
+                x.clear()
 
         for batch in (x for b in batches for x in sliced([b], "text")):
-            for lang, text, sources in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("sources").to_pylist()):
-                words = text.translate(TABLE).split()
-                bag = Counter(words) if len(sources) > 1 or sources[0]["n"] > 1 else None
-                for s in sources:
-                    key, times = (lang, s["source"]), s["n"]
-                    occ, docs = n.setdefault(key, Counter()), df.setdefault(key, Counter())
-                    if bag is None:
-                        occ.update(words)
-                        docs.update(set(words))
-                    else:
-                        for term, k in bag.items():
-                            occ[term] += k * times
-                            docs[term] += times
-            if sum(map(len, n.values())) > TASK_ENTRIES:
-                yield from emptied()
+            for lang, text, groups in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("sources").to_pylist()):
+                found = text.translate(TABLE).split()
+                if not found:
+                    continue
+                word, times = np.unique(np.array(list(map(words.__getitem__, found)), np.int64), return_counts=True)
+                parts = held.setdefault(lang, ([], [], []))
+                for g in groups:
+                    parts[0].append((word << 31) + sources[g["source"].encode("utf-8", "surrogatepass")])
+                    parts[1].append(times * g["n"])
+                    parts[2].append(np.full(len(word), g["n"], np.int64))
+                size += len(word) * len(groups)
+                if size > TASK_ENTRIES:
+                    yield from emptied()
+                    size = 0
         yield from emptied()
         pa.default_memory_pool().release_unused()
 
-    return classes.select("lang", "text", "sources").mapInArrow(run, schema)
+    return classes.select("lang", "text", "sources").mapInArrow(run, "lang string, term string, df bigint, entries array<struct<source: string, n: bigint>>")
 
 
 def kept_terms(classes: DataFrame, min_docs: int) -> DataFrame:
     """lang, term, total, entries (source, n) of the terms in at least min_docs documents of their language."""
-    parts = weighted_counts(classes).repartition("lang", "term")  # summed by task already; both groupings below use this dealing
-    cells = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    terms = cells.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("entries"))
-    return terms.where(F.col("df") >= min_docs).select("lang", "term", "total", "entries")
+    parts = weighted_counts(classes).repartition("lang", "term")  # summed by task already; what follows uses this dealing
+    df = F.sum("df").over(Window.partitionBy("lang", "term"))
+    enough = parts.withColumn("all_df", df).where(F.col("all_df") >= min_docs)  # most terms are rare and go here
+    cells = enough.select("lang", "term", F.explode("entries").alias("e")).groupBy("lang", "term", "e.source").agg(F.sum("e.n").alias("n"))
+    return cells.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("entries"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -132,42 +150,39 @@ def shared_terms(cells: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(both, pa.int64()), pa.array(fix, pa.int64())], names)
             sums.clear()
 
-        def evaluate(lang: str, lists: list[list[dict]]) -> None:
-            sources = sorted({e["source"] for x in lists for e in x})
-            at = {s: i for i, s in enumerate(sources)}
-            size = np.array([len(x) for x in lists])
-            who, p, p0 = (np.array([f(e) for x in lists for e in x], np.int64) for f in (lambda e: at[e["source"]], lambda e: e["p"], lambda e: e["p0"]))
-            # each entry meets every entry of its term's list
-            start = np.repeat(np.cumsum(size) - size, size)
-            reach = np.repeat(size, size)
+        def evaluate(lang: str, size: np.ndarray, who: np.ndarray, p: np.ndarray, p0: np.ndarray, sources: list[str]) -> None:
+            """size: entries of each term. Each entry meets every entry of its term's list."""
+            start, reach = np.repeat(np.cumsum(size) - size, size), np.repeat(size, size)
             left = np.repeat(np.arange(len(who)), reach)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(start, reach)
-            f = lambda a, b: (a - b) * (a - b) // b
+            right = np.arange(len(left)) - np.repeat(np.cumsum(reach) - reach - start, reach)
+            apart = who[left] != who[right]
+            left, right = left[apart], right[apart]
             a, a0, b, b0 = p[left], p0[left], p[right], p0[right]
-            value = f(a, b) - f(a, b0) - f(a0, b) + f(a0, b0)
-            code = who[left] * len(sources) + who[right]
-            order = np.argsort(code, kind="stable")
-            codes, first = np.unique(code[order], return_index=True)
+            f = lambda x, y: (x - y) * (x - y) // y  # noqa: E731  unsigned: the square is right modulo 2^64
+            value = (f(a, b) - f(a, b0) - f(a0, b) + f(a0, b0)).view(np.int64)
+            code, at = np.unique(who[left] * len(sources) + who[right], return_inverse=True) if len(sources) > DENSE else (np.arange(len(sources) ** 2), who[left] * len(sources) + who[right])
+            sums_, both = np.zeros(len(code), np.int64), np.bincount(at, minlength=len(code))
+            np.add.at(sums_, at, value)
             kept = sums.setdefault(lang, {})
-            for c, v, n in zip(codes.tolist(), np.add.reduceat(value[order], first).tolist(), np.diff(np.append(first, len(code))).tolist()):
-                i, j = divmod(c, len(sources))
-                if i != j:
-                    cell = kept.setdefault((sources[i], sources[j]), [0, 0])
-                    cell[0] += n
-                    cell[1] = (cell[1] + v + 2**63) % 2**64 - 2**63
+            for k in np.flatnonzero(both).tolist():
+                i, j = divmod(int(code[k]), len(sources))
+                cell = kept.setdefault((sources[i], sources[j]), [0, 0])
+                cell[0] += int(both[k])
+                cell[1] = (cell[1] + int(sums_[k]) + 2**63) % 2**64 - 2**63
 
         for batch in batches:
-            todo: dict[str, list] = {}
-            pairs = 0
-            for lang, entries in zip(batch.column("lang").to_pylist(), batch.column("entries").to_pylist()):
-                todo.setdefault(lang, []).append(entries)
-                pairs += len(entries) ** 2
-                if pairs > TASK_PAIRS:
-                    for x, lists in todo.items():
-                        evaluate(x, lists)
-                    todo, pairs = {}, 0
-            for x, lists in todo.items():
-                evaluate(x, lists)
+            langs, lists = batch.column("lang").dictionary_encode(), batch.column("entries")
+            of_lang, size = langs.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            named = flat.field("source").dictionary_encode()
+            who, names_ = named.indices.to_numpy().astype(np.int64), named.dictionary.to_pylist()
+            p, p0 = (flat.field(c).to_numpy().astype(np.uint64) for c in ("p", "p0"))
+            ends = np.append(0, np.cumsum(size))
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = np.flatnonzero(of_lang == k)
+                for some in np.split(mine, np.flatnonzero(np.diff(np.cumsum(size[mine] ** 2) // TASK_PAIRS)) + 1):
+                    rows = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in some])
+                    evaluate(lang, size[some], who[rows], p[rows], p0[rows], names_)
             if sum(map(len, sums.values())) > TASK_ENTRIES:
                 yield from emptied()
         yield from emptied()
