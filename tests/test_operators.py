@@ -243,34 +243,6 @@ def test_host_outliers_stream_as_in_batch(spark, tmp_path):
     assert all(got[i].severity == want[i].severity and (want[i].d2 is None or math.isclose(got[i].d2, want[i].d2, rel_tol=1e-6)) for i in range(80)) and got[70].severity == "critical"
 
 
-def test_flush_windows_and_retention(spark, tmp_path):
-    lines = [("c:3|c|@0.5", 1), ("t:4|ms", 2), ("t:8|ms", 3), ("g:7|g", 4), ("c:1|c", 15), ("c:1|c", 99)]
-    df = spark.createDataFrame([(v, T0 + timedelta(seconds=s), s) for v, s in lines], "value string, timestamp timestamp, seq long")
-    got = {(r.name, r.flush.second): (r.value, r.samples, r.p50) for r in streamed(spark, df, tmp_path, lambda s: jobs.statsd_flush_stream(s), files=1)}
-    assert got["c", 10] == (6.0, 1, None) and got["t", 10] == (12.0, 2, 4.0) and got["g", 10][0] == 7.0 and got["c", 20] == (1.0, 1, None)
-    src = str(tmp_path / "in")
-    q = jobs.write_retained(spark.readStream.schema(df.schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "cp2"))
-    q.processAllAvailable()
-    q.stop()
-    now = datetime.now(timezone.utc)
-    kind = "value string, timestamp timestamp, seq bigint"
-    assert jobs.read_retained(spark, str(tmp_path / "out"), kind, now, 3_600).count() == len(lines)
-    assert jobs.read_retained(spark, str(tmp_path / "out"), kind, now + timedelta(days=2), 3_600).count() == 0
-
-
-def test_delayed_labels(spark, tmp_path):
-    at = lambda s: T0 + timedelta(seconds=s)
-    b = spark.createDataFrame([("x", at(0), 1), ("x", at(1000), 2), ("y", at(0), 3)], "scope string, timestamp timestamp, id long")
-    c = spark.createDataFrame([("x", at(200)), ("z", at(9000)), ("x", at(9000))], "scope string, timestamp timestamp")
-    b.union(spark.createDataFrame([("q", at(9000), 9)], b.schema)).coalesce(1).write.parquet(str(tmp_path / "b"))
-    c.coalesce(1).write.parquet(str(tmp_path / "c"))
-    read = lambda n, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / n))
-    q = jobs.delayed_labels(read("b", b), read("c", c), "scope").writeStream.format("memory").queryName("late_labels").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r.id: r.followed for r in spark.sql("SELECT * FROM late_labels").collect() if r.id != 9} == {1: True, 2: False, 3: False}
-
-
 def test_burn_forecast_cases(spark):
     def run(values, **kw):
         df = spark.createDataFrame([("s", float(3600 * i), float(v)) for i, v in enumerate(values)], "source string, seconds double, consumed double")

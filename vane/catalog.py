@@ -328,7 +328,7 @@ def paging_bursts(spark, d):
     source = F.concat(F.lit("user"), (F.col("labels")["user"].cast("long") % 20).cast("string"))
     critical = baseline.metric_anomalies(tables.metrics(spark, d), "name").where("severity = 'critical'").select(source.alias("source"), "timestamp").distinct()
     x = bursts.paging_features(bursts.followed_by_critical(b, critical, "source", within_seconds=21_600))
-    return bursts.next_critical(x, critical, "source")
+    return bursts.next_critical(x, critical, "source", within_seconds=21_600)
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -45,8 +46,22 @@ def ordered_scan(rows: DataFrame, keys: list[str], order: list[str], start: Call
     return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def framed(rows: list[tuple], columns: list[tuple[str, str]]) -> pd.DataFrame:
+    """Rows as a pandas frame of the named kinds."""
+    kinds = {"bigint": "Int64", "int": "Int32", "boolean": "boolean", "double": "float64"}
+
+    def kind_of(i: int, kind: str) -> str:
+        if kind != "timestamp":
+            return kinds.get(kind, "object")
+        return "datetime64[us, UTC]" if any(getattr(r[i], "tzinfo", None) is not None for r in rows) else "datetime64[us]"
+
+    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=kind_of(i, kind)) for i, (n, kind) in enumerate(columns)})
+
+
 def dumped(state: Any) -> Any:
     """The attributes of a state, all the way down, as plain values."""
+    if isinstance(state, deque):
+        return list(state)
     if hasattr(state, "__dict__"):
         return {k: dumped(v) for k, v in vars(state).items()}
     return [dumped(v) for v in state] if isinstance(state, (list, tuple)) else state
@@ -54,6 +69,8 @@ def dumped(state: Any) -> Any:
 
 def restored(fresh: Any, plain: Any) -> Any:
     """A fresh state with the attributes that dumped() gave."""
+    if isinstance(fresh, deque):
+        return deque(plain)
     if not hasattr(fresh, "__dict__"):
         return plain
     for k, v in plain.items():
@@ -67,8 +84,7 @@ def stream_scan(rows: DataFrame, keys: list[str], order: list[str], start: Calla
     finish gives a key's rows after each micro-batch that brought it rows. Rows that come late are taken when they come.
     """
     names = [*keys, *order, *(c for c in rows.columns if c not in (*keys, *order))]
-    columns = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
-    kinds = {"bigint": "Int64", "int": "Int32", "boolean": "boolean", "double": "float64"}
+    columns = [tuple(c.strip().rsplit(" ", 1)) for c in schema.split(",")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
         state = restored(start(), json.loads(kept.get[0])) if kept.exists else start()
@@ -79,9 +95,6 @@ def stream_scan(rows: DataFrame, keys: list[str], order: list[str], start: Calla
         if finish is not None:
             out += finish(state, key)
         kept.update((json.dumps(dumped(state)),))
-        yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=kinds.get(kind, "object" if kind != "timestamp" else "datetime64[us, UTC]" if out and r_has_zone(out, i) else "datetime64[us]")) for i, (n, kind) in enumerate(columns)})
-
-    def r_has_zone(out: list[tuple], i: int) -> bool:
-        return any(getattr(r[i], "tzinfo", None) is not None for r in out)
+        yield framed(out, columns)
 
     return rows.select(*names).groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")

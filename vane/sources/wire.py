@@ -155,6 +155,33 @@ def timer_values(timers: DataFrame, *keys: str) -> DataFrame:
     return t.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.suffix", "r.quantile", "r.value")
 
 
+#: Fixed value: seconds after which a silent gauge is forgotten.
+GAUGE_TTL = 600
+
+
+def gauge_values(points: DataFrame, ttl_seconds: int = GAUGE_TTL) -> DataFrame:
+    """Gauge points plus running: plain values set it, +/- ones change it; after a silence longer than the ttl a change starts from 0.
+
+    Dealt by gauge and day: a day's sums begin with what the days before it left, which is one row a day.
+    """
+    same, order = ["name", "tags"], ["timestamp", "seq"]
+    us, ttl = F.unix_micros("timestamp"), ttl_seconds * 1_000_000
+    day = Window.partitionBy(*same, "_day").orderBy(*order)
+    p = points.withColumn("_day", F.to_date("timestamp"))
+    anew = ~F.col("text").rlike(r"^[+-]") | F.coalesce(us - F.lag(us).over(day) > ttl, F.lit(False))
+    p = p.withColumn("_anew", anew.cast("int")).withColumn("_set", F.sum("_anew").over(day))
+    p = p.withColumn("_sum", F.sum("number").over(Window.partitionBy(*same, "_day", "_set").orderBy(*order)))
+    last = F.struct("timestamp", "seq")
+    days = p.groupBy(*[F.col(c).alias(f"_{c}") for c in same], F.col("_day").alias("_d")).agg(F.min(us).alias("_first"), F.max(us).alias("_last"), F.max("_set").alias("_sets"), F.max_by("_sum", last).alias("_tail"))
+    by_day = Window.partitionBy("_name", "_tags").orderBy("_d")
+    days = days.withColumn("_cut", F.coalesce(F.col("_first") - F.lag("_last").over(by_day) > ttl, F.lit(True)))
+    days = days.withColumn("_part", F.sum(F.when(F.col("_cut") | (F.col("_sets") > 0), 1).otherwise(0)).over(by_day))
+    days = days.withColumn("_end", F.sum("_tail").over(Window.partitionBy("_name", "_tags", "_part").orderBy("_d")))
+    days = days.withColumn("_carry", F.when(~F.col("_cut"), F.lag("_end").over(by_day)).otherwise(F.lit(0.0))).select("_name", "_tags", "_d", "_carry")
+    here = [F.col("name") == F.col("_name"), F.col("tags") == F.col("_tags"), F.col("_day") == F.col("_d")]
+    return p.join(days, here).select(*points.columns, (F.col("_sum") + F.when(F.col("_set") == 0, F.col("_carry")).otherwise(0.0)).alias("running"))
+
+
 def statsd_rollup(lines: DataFrame, flush: str = "10 seconds", carry_seconds: int | None = None) -> DataFrame:
     """name, tags, quantile, flush, value by flush window: counters by rate, gauges with relative changes, timers count, sum and quantiles.
 
@@ -165,11 +192,7 @@ def statsd_rollup(lines: DataFrame, flush: str = "10 seconds", carry_seconds: in
     none = F.lit(None).cast("string").alias("quantile")
     columns = ["name", "tags", "quantile", "flush", "value"]
     counters = p.where("type = 'c'").groupBy("name", "tags", window).agg(F.sum(F.col("number") / F.col("rate")).alias("value")).withColumn("quantile", none)
-    order = Window.partitionBy("name", "tags").orderBy("timestamp", "seq")
-    relative = F.col("text").rlike(r"^[+-]")
-    g = p.where("type = 'g'").withColumn("_set", F.sum(F.when(relative, 0).otherwise(1)).over(order))
-    g = g.withColumn("running", F.sum("number").over(Window.partitionBy("name", "tags", "_set").orderBy("timestamp", "seq")))
-    gauges = g.groupBy("name", "tags", window).agg(F.max_by("running", F.struct("timestamp", "seq")).alias("value"))
+    gauges = gauge_values(p.where("type = 'g'")).groupBy("name", "tags", window).agg(F.max_by("running", F.struct("timestamp", "seq")).alias("value"))
     gauges = (gauges if carry_seconds is None else gauge_carry(gauges, carry_seconds)).withColumn("quantile", none)
     t = timer_values(p.where("type IN ('ms', 'h', 'd')").select("name", "tags", window, "number"), "name", "tags", "flush")
     timers = t.withColumn("name", F.concat("name", "suffix"))
