@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vane.operators import bursts
 from vane.plans import files, state
-from vane.plans.expiring import silent_after, use_timers
+from vane.plans.expiring import silent_after, use_source_watermark, use_timers
 from vane.sources import wire
 from vane.streaming import jobs
 
@@ -20,9 +20,12 @@ def at(s):
     return T0 + timedelta(seconds=s)
 
 
-def streamed(spark, tmp_path, tables, job):
+def streamed(spark, tmp_path, tables, job, policy="min"):
     """Rows, and rows of state at the end, of a stream over tables: for each a schema and the rows of its micro-batches."""
     use_timers(spark)
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+    if policy == "max":
+        use_source_watermark(spark)
     sources = []
     for n, (schema, batches) in enumerate(tables):
         src = str(tmp_path / f"in{n}")
@@ -115,7 +118,7 @@ def statsd_lines():
 def test_flushed_stream_equals_batch(spark, tmp_path):
     rows = statsd_lines()
     batches = [rows[k : k + 100] for k in range(0, 400, 100)] + [[("end:1|c", at(90_000), 999), ("end:1|g", at(90_000), 1000)]]
-    got, held = streamed(spark, tmp_path, [(STATSD, batches)], lambda s: jobs.statsd_flush_stream(s, 10, "0 seconds"))
+    got, held = streamed(spark, tmp_path, [(STATSD, batches)], lambda s: jobs.statsd_flush_stream(s, 10, "0 seconds"), "max")
     batch = wire.statsd_rollup(spark.createDataFrame(rows, STATSD), "10 seconds").collect()
     key = lambda r: (r.name, r.tags, r.quantile, r.flush)
     assert {key(r): round(r.value, 9) for r in got} == {key(r): round(r.value, 9) for r in batch} and len(got) == len(batch) > 300
@@ -124,7 +127,7 @@ def test_flushed_stream_equals_batch(spark, tmp_path):
 
 def test_flush_windows_of_counters_gauges_and_timers(spark, tmp_path):
     lines = [("c:3|c|@0.5", 1), ("t:4|ms", 2), ("t:8|ms", 3), ("g:7|g", 4), ("c:1|c", 15)]
-    rows, _ = streamed(spark, tmp_path, [(STATSD, [[(v, at(s), s) for v, s in lines], [("c:1|c", at(99), 99)], [("c:1|c", at(200), 200)]])], jobs.statsd_flush_stream)
+    rows, _ = streamed(spark, tmp_path, [(STATSD, [[(v, at(s), s) for v, s in lines], [("c:1|c", at(99), 99)], [("c:1|c", at(200), 200)]])], jobs.statsd_flush_stream, "max")
     got = {(r.name, r.quantile, r.flush.second): r.value for r in rows}
     assert got["c", None, 10] == 6.0 and got["t_sum", None, 10] == 12.0 and got["t_count", None, 10] == 2.0 and got["t", "0.5", 10] == 4.0 and got["g", None, 10] == 7.0 and got["c", None, 20] == 1.0
 

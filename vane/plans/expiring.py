@@ -22,6 +22,12 @@ def use_timers(spark: SparkSession) -> None:
     spark.conf.set(STORE, ROCKSDB)
 
 
+def use_source_watermark(spark: SparkSession) -> None:
+    """For streams whose branches are parts of one source: the branch that is ahead moves the watermark of all, as the source itself
+    would. By default a part without rows (no gauge for a while) would hold back the others. To be called before the stream starts."""
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+
+
 class Expiring(StatefulProcessor):
     """The rows of a key in order through step. When the state's timer fires, end gives rows and says whether the state stays."""
 

@@ -146,7 +146,7 @@ def gauge_flushes(points: DataFrame, flush_seconds: int, late: str, ttl_seconds:
 
 def statsd_flush_stream(lines: DataFrame, flush_seconds: int = 10, late: str = "10 seconds") -> DataFrame:
     """name, tags, quantile, flush, value of closed flush windows, the rows of statsd_rollup: counters by rate, gauges with relative
-    changes, timers' count, sum and quantiles. Equal samples of a timer are counted, not listed."""
+    changes, timers' count, sum and quantiles. Equal samples of a timer are counted, not listed. Its branches are parts of one source: call use_source_watermark(spark) first."""
     p = statsd_points(lines)
     marked = p.withWatermark("timestamp", late)
     window = F.window("timestamp", f"{flush_seconds} seconds")
