@@ -505,25 +505,38 @@ def severity_scores(spark, d):
     return s.select("doc_id", "line", "severity", "predicted", F.round("confidence", 3).alias("confidence"), "answer")
 
 
-def line_blocks(spark, d, n: int = 10):
-    """Document lines in n blocks of doc_id."""
-    lines = tables.text_logs(spark, d)
-    ends = tables.table(spark, d, "documents").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))  # one row
-    block = F.floor((F.col("doc_id") - F.col("_lo")) * n / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
-    return lines.join(F.broadcast(ends)).withColumn("block", block).drop("_lo", "_hi")
+LEVEL_NAMES = ("debug", "error", "info", "warn")
+PREQUENTIAL_SQL = SEVERITY_SQL[: SEVERITY_SQL.index(" h AS (")] + f""" k AS (SELECT doc_id, line, severity, bucket, count(*) AS k FROM t WHERE severity IS NOT NULL AND trim(m) <> '' GROUP BY ALL),
+ c AS (SELECT doc_id, line, k, {", ".join(f"coalesce(sum(CASE WHEN severity = '{n}' THEN k END) OVER w, 0) AS c_{n}" for n in LEVEL_NAMES)} FROM k WINDOW w AS (PARTITION BY bucket ORDER BY doc_id, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ g AS (SELECT doc_id, line, sum(k) AS n, {", ".join(f"sum(k * ln(c_{n} + 0.5)) AS g_{n}" for n in LEVEL_NAMES)} FROM c GROUP BY ALL),
+ b AS (SELECT l.doc_id, l.line, severity, m, n, {", ".join(f"g_{n}, coalesce(sum(CASE WHEN severity = '{n}' THEN 1 END) OVER w, 0) AS l_{n}, coalesce(sum(CASE WHEN severity = '{n}' THEN n END) OVER w, 0) AS t_{n}" for n in LEVEL_NAMES)}
+  FROM l LEFT JOIN g USING (doc_id, line) WHERE severity IS NOT NULL AND trim(m) <> '' WINDOW w AS (ORDER BY l.doc_id, l.line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ s AS (SELECT doc_id, line, severity, m, n, {", ".join(f"CASE WHEN l_{n} > 0 AND n > 0 THEN ln(l_{n} / ({' + '.join(f'l_{x}' for x in LEVEL_NAMES)})) + g_{n} - n * ln(t_{n} + 2048) END AS s_{n}" for n in LEVEL_NAMES)} FROM b),
+ p AS (SELECT *, greatest({", ".join(f"s_{n}" for n in LEVEL_NAMES)}) AS top FROM s),
+ q AS (SELECT *, CASE {" ".join(f"WHEN s_{n} = top THEN '{n}'" for n in LEVEL_NAMES)} END AS predicted, 1 / ({" + ".join(f"coalesce(exp(s_{n} - top), 0)" for n in LEVEL_NAMES)}) AS confidence FROM p),
+ r AS (SELECT doc_id, line, severity, predicted, CASE WHEN top IS NOT NULL THEN confidence END AS confidence, predicted = severity AS hit,
+  severity = CASE WHEN regexp_matches(lower(m), 'fatal|error|fail') THEN 'error' WHEN contains(lower(m), 'warn') THEN 'warn' WHEN contains(lower(m), 'debug') THEN 'debug' ELSE 'info' END AS rule_hit FROM q)"""
+
+
+@query(PREQUENTIAL_SQL + " SELECT doc_id, line::INTEGER AS line, severity, predicted, round(confidence, 3) AS confidence, hit, rule_hit FROM r")
+def severity_prequential(spark, d):
+    g = severity.severity_prequential(tables.text_logs(spark, d), "doc_id", "line")
+    return g.withColumn("confidence", F.round("confidence", 3))
 
 
-@query()
-def severity_prequential(spark, d):
-    g = severity.severity_prequential(line_blocks(spark, d), "doc_id", "line")
-    return g.select("doc_id", "line", "severity", "predicted", F.round("confidence", 3).alias("confidence"), "hit", "rule_hit")
+READY_SQL = """, n AS (SELECT count(*) AS graded, avg(hit::INT) AS accuracy, avg(rule_hit::INT) AS rule_accuracy FROM (SELECT * FROM r WHERE predicted IS NOT NULL ORDER BY doc_id DESC, line DESC LIMIT 500)),
+ z AS (SELECT sum(n)::BIGINT AS trained, count(*) FILTER (WHERE n >= 20) AS large FROM (SELECT severity, count(*) AS n FROM r GROUP BY 1)),
+ y AS (SELECT *, coalesce(trained >= 200 AND large >= 2 AND accuracy >= rule_accuracy + 0.01, false) AS ready FROM n, z)"""
 
 
-@query()
+def severity_ready(spark, d):
+    lines = tables.text_logs(spark, d)
+    return severity.readiness(severity.severity_prequential(lines, "doc_id", "line"), severity.severity_fit(lines)[1], "doc_id", "line")
+
+
+@query(PREQUENTIAL_SQL + READY_SQL + " SELECT graded, round(accuracy, 4) AS accuracy, round(rule_accuracy, 4) AS rule_accuracy, trained, ready FROM y")
 def severity_readiness(spark, d):
-    lines = line_blocks(spark, d)
-    r = severity.readiness(severity.severity_prequential(lines, "doc_id", "line"), severity.severity_fit(lines)[1], "doc_id", "line")
-    return rounded(r, "accuracy", "rule_accuracy")
+    return rounded(severity_ready(spark, d), "accuracy", "rule_accuracy")
 
 
 @query(r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS m FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
@@ -744,8 +757,7 @@ def heatmap_scale(spark, d):
 @query()
 def model_cards(spark, d):
     """What each model has learned, how it fares against its rule, and whether it may answer."""
-    lines = line_blocks(spark, d)
-    sev = severity.readiness(severity.severity_prequential(lines, "doc_id", "line"), severity.severity_fit(lines)[1], "doc_id", "line")
+    sev = severity_ready(spark, d)
     examples = bursts.paging_examples(paging_bursts(spark, d), "source", "template", within_seconds=21_600)
     graded = bursts.paging_graded(examples, "source", "template")
     paging = bursts.paging_readiness(graded).withColumn("trained", F.lit(examples.count()))
@@ -837,10 +849,10 @@ def facet_filter(spark, d):
 @query()
 def classified_lines(spark, d):
     """Undeclared lines with the model's answer where it is ready and sure, else the rule's."""
-    lines = line_blocks(spark, d)
+    lines = tables.text_logs(spark, d)
     hits, classes = severity.severity_fit(lines)
-    ready = severity.readiness(severity.severity_prequential(lines, "doc_id", "line"), classes, "doc_id", "line").first()["ready"]
-    return severity.classify(severity.severity_score(lines.where("severity IS NULL"), hits, classes), ready).select("doc_id", "line", "severity_answer", "answered_by")
+    scored = severity.severity_score(lines.where("severity IS NULL"), hits, classes)
+    return severity.classify(scored, severity_ready(spark, d)).select("doc_id", "line", "severity_answer", "answered_by")
 
 
 @query()

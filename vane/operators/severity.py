@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vane.functions.text import FNV_OFFSET, FNV_PRIME, LEVELS, TOKEN_BUCKETS, fallback_severity
 from vane.operators.bursts import recent_accuracy
+from vane.plans.ranges import range_of
+from vane.plans.shared import stored
 
 TOKEN = re.compile(r"[A-Za-z0-9]{2,}")
 SMOOTH = 0.5
@@ -99,27 +102,56 @@ def severity_score(lines: DataFrame, hits: DataFrame, classes: DataFrame, min_co
     return out.select(*lines.columns, "predicted", "confidence", answer.alias("answer"))
 
 
-def severity_prequential(lines: DataFrame, *ids: str, block: str = "block", limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """ids, block, severity, predicted, confidence, hit and rule_hit of the declared lines: each block judged by what the blocks before it taught.
+def counted_buckets(message: Column, limit: int | None, max_bytes: int | None) -> Column:
+    """The distinct buckets of a message's tokens with their counts k, as bucket + TOKEN_BUCKETS * k."""
 
-    block: a column of few ordered values (micro-batches, days), one small model each; lines of the first block have no model.
-    Tokens meet their block's counts by hash, and one shuffle of sums by line follows.
+    @F.pandas_udf("array<bigint>")
+    def counted(texts: pd.Series) -> pd.Series:
+        known = counted.__dict__.setdefault("known", Buckets())
+        out = []
+        for text in texts:
+            text = text or ""
+            if max_bytes is not None:
+                text = text.encode("utf-8", "surrogatepass")[:max_bytes].decode("latin-1")
+            found = [known[t.lower()] for t in TOKEN.findall(text) if not t.isdigit()]
+            out.append([b + TOKEN_BUCKETS * k for b, k in Counter(found if limit is None else found[:limit]).items()])
+        return pd.Series(out)
+
+    return counted(message)
+
+
+def severity_prequential(lines: DataFrame, *ids: str, limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """ids, severity, predicted, confidence, hit and rule_hit of the declared lines: each line judged by what all lines before it
+    (in order of ids, the first a whole number) taught, and nothing else.
+
+    Counts before a line are sums in two levels: over earlier ranges of the order, and over the rows before it in its own range.
+    So the windows are a range, or a bucket's rows in a range. A line before which no level was seen, or without tokens, has no prediction.
     """
     declared = lines.where(F.col("severity").isin(*LEVELS) & (F.trim("message") != ""))
-    hits, classes = severity_fit(declared, block, limit=limit, max_bytes=max_bytes)
-    blocks = classes.select(F.col(block).alias("_b")).distinct()
-    before = lambda df: blocks.join(df, F.col("_b") > F.col(block))  # noqa: E731  few blocks, counts only
-    only = lambda level, c: F.sum(F.when(F.col("severity") == level, F.col(c)))
-    gains = before(hits).groupBy(F.col("_b").alias(block), "bucket").agg(*[F.log((F.coalesce(only(n, "hits"), F.lit(0)) + SMOOTH) / SMOOTH).alias(f"_g{n}") for n in NAMES])
-    sizes = before(classes).groupBy(F.col("_b").alias(block)).agg(F.sum("lines").alias("_all"), *[only(n, "lines").alias(f"_l{n}") for n in NAMES], *[only(n, "tokens").alias(f"_t{n}") for n in NAMES])
-    rule = fallback_severity(F.col("message")).alias("_rule")
-    tokens = declared.select(*ids, block, "severity", rule, F.explode_outer(buckets_of(F.col("message"), limit, max_bytes)).alias("bucket"))
-    sums = tokens.join(gains, [block, "bucket"], "left").groupBy(*ids, block, "severity", "_rule").agg(F.count("bucket").alias("_n"), *[F.coalesce(F.sum(f"_g{n}"), F.lit(0.0)).alias(f"_g{n}") for n in NAMES])
-    j = sums.join(F.broadcast(sizes), block, "left")  # a row a block
-    unseen = lambda n: F.log(SMOOTH / (F.col(f"_t{n}") + SMOOTH * TOKEN_BUCKETS))
-    j = j.withColumns({f"_s{n}": F.log(F.col(f"_l{n}") / F.col("_all")) + F.col("_n") * unseen(n) + F.col(f"_g{n}") for n in NAMES})
-    scored = j.select(*ids, block, "severity", "_rule", *best_of({n: F.col(f"_s{n}") for n in NAMES}, F.col("_n") > 0))
-    return scored.select(*ids, block, "severity", "predicted", "confidence", (F.col("predicted") == F.col("severity")).alias("hit"), (F.col("_rule") == F.col("severity")).alias("rule_hit"))
+    bag = counted_buckets(F.col("message"), limit, max_bytes)
+    own = stored(declared.select(*ids, "severity", (fallback_severity(F.col("message")) == F.col("severity")).alias("rule_hit"), bag.alias("_bag")), "declared-lines")
+    own = own.withColumns({"_range": range_of(own, ids[0]), "_n": F.aggregate("_bag", F.lit(0).cast("long"), lambda a, x: a + F.floor(x / TOKEN_BUCKETS))})
+    only = lambda level, c: F.sum(F.when(F.col("severity") == level, c).otherwise(0))
+    sums = {f"{p}{n}": only(n, c) for n in NAMES for p, c in (("_l", F.lit(1)), ("_t", F.col("_n")))}
+
+    def before(rows: DataFrame, found: dict[str, Column], *keys: str) -> DataFrame:
+        """rows plus the sums over all rows of their keys before them."""
+        parts = rows.groupBy(*keys, "_range").agg(*[c.alias(f"{k}p") for k, c in found.items()])
+        earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(*keys, "_range", *[F.coalesce(F.sum(f"{k}p").over(earlier), F.lit(0)).alias(f"{k}p") for k in found])
+        inside = Window.partitionBy(*keys, "_range").orderBy(*ids).rowsBetween(Window.unboundedPreceding, -1)
+        within = rows.withColumns({k: F.coalesce(c.over(inside), F.lit(0)) for k, c in found.items()})
+        return within.join(parts, [*keys, "_range"]).withColumns({k: F.col(k) + F.col(f"{k}p") for k in found}).drop(*[f"{k}p" for k in found])
+
+    cells = own.select(*ids, "severity", "_range", F.explode("_bag").alias("_x")).select(*ids, "severity", "_range", (F.col("_x") % TOKEN_BUCKETS).alias("_bucket"), F.floor(F.col("_x") / TOKEN_BUCKETS).alias("_k"))
+    cells = before(cells, {f"_c{n}": only(n, F.col("_k")) for n in NAMES}, "_bucket")
+    gains = cells.groupBy(*ids).agg(*[F.sum(F.col("_k") * F.log(F.col(f"_c{n}") + SMOOTH)).alias(f"_g{n}") for n in NAMES])
+    j = before(own.drop("_bag"), sums).join(gains, list(ids), "left")
+    every = sum((F.col(f"_l{n}") for n in NAMES), F.lit(0))
+    score = lambda n: F.when(F.col(f"_l{n}") > 0, F.log(F.col(f"_l{n}") / every) + F.col(f"_g{n}") - F.col("_n") * F.log(F.col(f"_t{n}") + SMOOTH * TOKEN_BUCKETS))
+    j = j.withColumns({f"_s{n}": score(n) for n in NAMES})
+    scored = j.select(*ids, "severity", "rule_hit", *best_of({n: F.col(f"_s{n}") for n in NAMES}, F.col("_n") > 0))
+    return scored.select(*ids, "severity", "predicted", "confidence", (F.col("predicted") == F.col("severity")).alias("hit"), "rule_hit")
 
 
 def readiness(graded: DataFrame, classes: DataFrame, *order: str, last: int = GRADED) -> DataFrame:
@@ -130,7 +162,9 @@ def readiness(graded: DataFrame, classes: DataFrame, *order: str, last: int = GR
     return acc.join(size).withColumn("ready", F.coalesce(ready, F.lit(False))).drop("_large")
 
 
-def classify(scored: DataFrame, ready: bool, min_confidence: float = CONFIDENT) -> DataFrame:
-    """scored plus severity_answer and answered_by: the model's answer while it is ready and sure, else the rule's."""
-    model = F.when(F.lit(ready) & (F.col("confidence") >= min_confidence), F.col("predicted"))
-    return scored.withColumns({"severity_answer": F.coalesce(model, fallback_severity(F.col("message"))), "answered_by": F.when(model.isNotNull(), "model").otherwise("rule")})
+def classify(scored: DataFrame, ready: DataFrame, min_confidence: float = CONFIDENT) -> DataFrame:
+    """scored plus severity_answer and answered_by: the model's answer while it is ready (one row with ready) and sure, else the rule's."""
+    kept = scored.columns
+    scored = scored.join(F.broadcast(ready.select(F.col("ready").alias("_ready"))))  # one row
+    model = F.when(F.col("_ready") & (F.col("confidence") >= min_confidence), F.col("predicted"))
+    return scored.select(*kept, F.coalesce(model, fallback_severity(F.col("message"))).alias("severity_answer"), F.when(model.isNotNull(), "model").otherwise("rule").alias("answered_by"))
