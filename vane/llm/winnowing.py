@@ -1,21 +1,22 @@
 """Document fingerprints by winnowing (built-in SQL functions only).
 
-Every run of `k` code points has a rolling hash (polynomial, modulo 2^31 - 1, powers of two joined to k), every window of `w`
-following hashes gives its smallest, the rightmost of equal ones. A fingerprint is the list of what was chosen, each hash once for each place,
-with its position. So texts that share k + w - 1 code points in a row share a hash, with the positions in both.
+A text is read as pieces: runs of at most `PIECE` code points other than white space, so that text without spaces has pieces too. Every
+run of `k` pieces has a rolling hash (polynomial, modulo 2^31 - 1, powers of two joined to k), every window of `w` following
+hashes gives its smallest, the rightmost of equal ones. A fingerprint is the list of what was chosen, each hash once for each place, with
+its position (number of its first piece). So texts that share k + w - 1 pieces in a row share a hash, with the positions in both.
 
-A text is worked off in pieces of `piece` windows that overlap, so that memory is that of a piece. An entry is one long: the hash
-above, the position below and counted down, so that the least long is the rightmost of the smallest hashes.
+Pieces become numbers at once, which are worked off in stretches that overlap. An entry is one long: the hash above, the position
+below and counted down, so that the least long is the rightmost of the smallest hashes.
 
 The query compares each document with the next one (descending doc_id, after the last the first) and with its own edited text: its
-first half, then the beginning of the next text. Windows inside either half have been judged already; only those across the seam are
-new. The order is dealt by ranges of (doc_id, text): range ends from approximate quantiles, each range a window of its own that also holds a
-copy of the row after it. Texts are shuffled once.
-
-Definitions. A null text is read as empty. An empty text has an empty fingerprint; a text of fewer than k code points is one run; a
-text of fewer than w runs is one window. Likeness is the share of hashes in common (Jaccard, of distinct hashes), 1 for two empty
-fingerprints. Rows of one doc_id are ordered by a hash of their text, and rows without one come last; repeated rows follow each other. A single row is followed by itself.
-doc_id is a whole number. A very long text costs its length. An empty table gives an empty result. Other columns are ignored.
+first half, then the beginning of the next text. The order is dealt by ranges of (doc_id, text): range ends from approximate
+quantiles, each range a window of its own that also holds a copy of the row after it. Texts are shuffled once, with their fingerprints.
+
+Definitions. A null text is read as empty. A text without pieces has an empty fingerprint; one of fewer than k pieces is one run; one
+of fewer than w runs is one window. White space is [\\x20\\x09-\\x0D]; case counts. Likeness is the share of hashes in common (Jaccard, of distinct
+hashes), 1 for two empty fingerprints. Rows of one doc_id are ordered by a hash of their text, and rows without one come last;
+repeated rows follow each other. A single row is followed by itself. doc_id is a whole number. A very long text costs its length, and its
+pieces are held by one task. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from vane.functions.text import let
 
-K, W, PIECE = 12, 32, 65_536
+#: Pieces of a run, runs of a window, code points of a piece, and runs that are worked off at once.
+K, W, PIECE, STRETCH = 3, 6, 8, 4_096
 MODULUS, BASE, SHIFT = 2**31 - 1, 1_234_567_891, 2**32
 END = 2**30  # as a length: to the end
 #: Ranges of the document order for each shuffle partition.
@@ -40,8 +42,14 @@ def behind(a: Column, n: int) -> Column:
     return F.slice(a, n + 1, END)
 
 
-def run_hashes(text: Column, k: int, then) -> Column:
-    """then(hashes of all runs of k code points); the last k - 1 values are null."""
+def piece_numbers(text: Column) -> Column:
+    """A number below 2^30 for each piece of a text."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % PIECE), F.lit(0))
+    return F.transform(pieces, lambda p: F.xxhash64(p).bitwiseAND(long(2**30 - 1)))
+
+
+def run_hashes(numbers: Column, k: int, then) -> Column:
+    """then(hashes of all runs of k numbers); the last k - 1 values are null."""
     joined = lambda a, b, n, m: F.zip_with(a, behind(b, n), lambda x, y: (x * long(pow(BASE, m, MODULUS)) + y) % long(MODULUS))  # noqa: E731  runs of n, then of m
 
     def grown(done: Column | None, done_n: int, part: Column, n: int) -> Column:
@@ -53,8 +61,7 @@ def run_hashes(text: Column, k: int, then) -> Column:
             return doubled(done, done_n)
         return doubled(part, n) if done is None else let(joined(part, done, n, done_n), lambda d: doubled(d, done_n + n))
 
-    ones = F.transform(F.split(text, ""), lambda c: F.xxhash64(c).bitwiseAND(long(2**30 - 1)))
-    return let(ones, lambda a: let(grown(None, 0, a, 1), then))
+    return let(numbers, lambda a: let(grown(None, 0, a, 1), then))
 
 
 def window_minima(values: Column, w: int, then) -> Column:
@@ -63,33 +70,35 @@ def window_minima(values: Column, w: int, then) -> Column:
         if n == w:
             return then(part)
         step = min(n, w - n)
-        return let(F.zip_with(part, behind(part, step), lambda x, y: F.least(x, y)), lambda p: grown(p, n + step))
+        return let(F.zip_with(part, behind(part, step), lambda x, y: F.when(y < x, y).otherwise(x)), lambda p: grown(p, n + step))
 
     return grown(values, 1)
 
 
-def changes(values: Column) -> Column:
-    """The values that differ from the one before."""
-    return F.filter(values, lambda x, i: (i == 0) | (x != F.get(values, i - 1)))
-
-
-def piece_entries(text: Column, first: Column, k: int, w: int) -> Column:
-    """Entries of a piece (at least k code points) that begins at position first."""
+def stretch_entries(numbers: Column, first: Column, k: int, w: int) -> Column:
+    """Entries of at least k numbers that begin at position first."""
     def entries(hashes: Column) -> Column:
         runs = F.slice(hashes, 1, F.size(hashes) - (k - 1))
-        packed = F.transform(runs, lambda h, i: h * long(SHIFT) + (long(SHIFT - 1) - first - i))
-        return let(packed, lambda p: window_minima(p, w, lambda m: let(F.slice(m, 1, F.greatest(F.lit(1), F.size(p) - (w - 1))), changes)))
+        last = long(SHIFT - 1) - first
+        packed = lambda r: F.zip_with(r, F.sequence(last, last - F.size(r) + 1, long(-1)), lambda h, at: h * long(SHIFT) + at)
+        # a window's choice lies behind the one before or is the same, so distinct entries stay in order
+        return let(let(runs, packed), lambda p: window_minima(p, w, lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.lit(1), F.size(p) - (w - 1))))))
 
-    return run_hashes(text, k, entries)
+    return run_hashes(numbers, k, entries)
 
 
-def winnowed(text: Column, k: int = K, w: int = W, piece: int = PIECE) -> Column:
+def winnowed(text: Column, k: int = K, w: int = W, stretch: int = STRETCH) -> Column:
     """The text's entries, in order of position."""
-    n = F.length(text)
-    pieces = F.sequence(F.lit(0), F.floor((F.greatest(n - (k + w - 1), F.lit(0))) / piece).cast("int"))
-    each = F.transform(pieces, lambda i: piece_entries(F.substring(text, i * piece + 1, F.lit(piece + k + w - 2)), (i * piece).cast("long"), k, w))
-    short = F.array(F.xxhash64(text).bitwiseAND(long(2**30 - 1)) * long(SHIFT) + long(SHIFT - 1))
-    return F.when(n >= k, let(F.flatten(each), changes)).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
+    t = k + w - 1
+
+    def of(numbers: Column) -> Column:
+        n = F.size(numbers)
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(n - t, F.lit(0)) / stretch).cast("int"))
+        each = F.transform(starts, lambda i: stretch_entries(F.slice(numbers, i * stretch + 1, F.lit(stretch + t - 1)), (i * stretch).cast("long"), k, w))
+        short = F.array(F.xxhash64(numbers).bitwiseAND(long(2**30 - 1)) * long(SHIFT) + long(SHIFT - 1))
+        return F.when(n >= k, F.array_distinct(F.flatten(each))).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
+
+    return let(piece_numbers(text), of)
 
 
 def hash_of(entry: Column) -> Column:
@@ -100,28 +109,6 @@ def position_of(entry: Column) -> Column:
     return long(SHIFT - 1) - entry.bitwiseAND(long(SHIFT - 1))
 
 
-def chosen_within(entries: Column, chars: Column, k: int = K, w: int = W) -> Column:
-    """The entries that windows within the text's first chars code points choose (none, if these hold no window)."""
-    def first_window(x: Column, i: Column) -> Column:
-        before = F.get(entries, i - 1)
-        return F.when(i == 0, long(0)).when(x < before, F.greatest(position_of(x) - (w - 1), long(0))).otherwise(position_of(before) + 1)
-
-    return F.filter(entries, lambda x, i: first_window(x, i) <= chars - (k + w - 1))
-
-
-def moved(entries: Column, by: Column) -> Column:
-    return F.transform(entries, lambda x: x - by)
-
-
-def spliced(text: Column, entries: Column, keep: Column, other: Column, other_entries: Column, taken: Column, k: int = K, w: int = W) -> Column:
-    """Entries of the first keep code points of text with the first taken of other behind them."""
-    t = k + w - 1
-    start = F.greatest(keep - (t - 1), F.lit(0))
-    seam = F.concat(F.substring(text, start + 1, keep - start), F.substring(other, F.lit(1), F.least(taken, F.lit(t - 1))))
-    across = F.when((keep < t) | (taken > 0), moved(winnowed(seam, k, w), start)).otherwise(F.array().cast("array<bigint>"))
-    return let(F.concat(chosen_within(entries, keep, k, w), across, moved(chosen_within(other_entries, taken, k, w), keep)), changes)
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of the hashes of two fingerprints."""
     hashes = lambda e: F.array_distinct(F.transform(e, hash_of))
@@ -178,7 +165,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     rows = rows.withColumns({"n_chars": n.cast("long"), "keep": n - F.floor(n / 2).cast("int"), "taken": F.least(F.floor(n / 2).cast("int"), F.length("next_text"))})
     c = F.col
     edited = F.concat(F.substring(c("text"), F.lit(1), c("keep")), F.substring(c("next_text"), F.lit(1), c("taken")))
-    return rows.select("doc_id", "n_chars", edited.alias("edited"), "entries", spliced(c("text"), c("entries"), c("keep"), c("next_text"), c("next_entries"), c("taken"), k, w).alias("edited_entries"), "next_entries")
+    rows = rows.select("doc_id", "n_chars", edited.alias("edited"), "entries", "next_entries")
+    return rows.withColumn("edited_entries", winnowed(F.col("edited"), k, w))
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
