@@ -100,7 +100,7 @@ def test_incidents_chain_and_common_sources_do_not_link(spark):
     rows = [("a", "svc", ["x"], "warning", at(0), "A"), ("b", "detector", ["x", "y"], "critical", at(4), "B"), ("c", "other", ["y"], "info", at(8), "C"), ("d", "detector", [], "info", at(1), "D"), ("e", "detector", [], "info", at(1), "E"), ("f", "svc", ["x"], "info", at(60), "F")]
     df = spark.createDataFrame(rows, "id string, source string, related array<string>, severity string, time timestamp, title string")
     got = {r.incident: (r.members, r.severity, r.story) for r in incidents.incidents(df).collect()}
-    assert got == {"a": (3, "critical", "A → B → C"), "d": (1, "info", "D"), "e": (1, "info", "E"), "f": (1, "info", "F")}
+    assert got == {"a": (3, "critical", "A · B · C"), "d": (1, "info", "D"), "e": (1, "info", "E"), "f": (1, "info", "F")}
 
 
 def test_depth_and_critical_path(spark):
@@ -294,3 +294,132 @@ def test_numbers_levels_and_states(spark, tmp_path):
     assert (wrote, again, moved) == (True, False, True)
     dated = spark.createDataFrame([("2024-01-02T00:00:00Z",), ("2023-01-01T00:00:00Z",), ("soon",)], "time string")
     assert sorted(r.time for r in scan.since_or_undated(dated, T0).collect()) == ["2024-01-02T00:00:00Z", "soon"]
+
+
+def test_changepoints_by_day_equal_one_pass_for_any_chunk(spark):
+    rng = random.Random(12)
+    rows = []
+    for name, n in (("a", 900), ("b", 40), (None, 30)):
+        for i in range(n):
+            z = None if rng.random() < 0.01 else 0.501 if name == "a" and 300 < i < 700 else rng.gauss(0.4, 1.5)  # a long stretch in which nothing is forgotten
+            rows.append((name, T0 + timedelta(hours=i), i, z))
+    df = spark.createDataFrame(rows, "name string, timestamp timestamp, seq long, z double")
+    from vane.plans.ordered import ordered_scan
+
+    want = sorted((str(r.name), r.seq, round(r.arm, 9), r.direction) for r in baseline.changepoints(df, "name", scan=ordered_scan).collect())
+    got = sorted((str(r.name), r.seq, round(r.arm, 9), r.direction) for r in baseline.changepoints(df, "name").collect())
+    assert got == want and len(want) > 10
+    assert baseline.changepoints(df.limit(0), "name").count() == 0
+
+
+def depth_loop(spans):
+    parents = dict(spans)
+    out = {}
+    for s in parents:
+        chain, at = [], s
+        while parents[at] in parents and at not in chain:
+            chain.append(at)
+            at = parents[at]
+        if at in chain:
+            cycle = chain[chain.index(at) :]
+            way, x = 1, parents[at]
+            while x != min(cycle):
+                way, x = way + 1, parents[x]
+            out[s] = way + chain.index(at)
+        else:
+            out[s] = len(chain) + (parents[at] is not None)
+    return out
+
+
+def test_deep_branching_and_cyclic_traces_in_steps(spark):
+    rng = random.Random(3)
+    traces_of = {"chain": [(i, i - 1 if i else None) for i in range(3_000)], "tree": [(i, rng.randrange(i) if i else None) for i in range(400)], "lost": [(1, 99), (2, 1), (3, 2)]}
+    traces_of["cycles"] = [(10, 12), (11, 10), (12, 11), (1, 11), (2, 1), (20, 20), (21, 20), (30, None), (31, 30), (5, 2)]
+    rows = [(t, s, p, f"n{s}", "error" if t == "tree" and s in (57, 300) else "ok", float(s % 17)) for t, spans in traces_of.items() for s, p in spans] + [(None, 1, None, "x", "ok", 1.0), ("lost", None, 1, "y", "ok", 1.0)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id long, parent_id long, name string, status string, duration_ms double").repartition(4)
+    want = {(t, s): d for t, spans in traces_of.items() for s, d in depth_loop(spans).items()}
+    for large in (10**6, 2):
+        assert {(r.trace_id, r.span_id): r.depth for r in traces.span_depth(df, large=large).collect()} == want
+    paths = [{r.trace_id: r.path for r in traces.critical_path(df, large=large).collect()} for large in (10**6, 2)]
+    assert paths[0] == paths[1] and paths[0].keys() == traces_of.keys() and paths[0]["chain"].count(" > ") == 2_999 and paths[0]["lost"] == "n1 > n2 > n3"
+
+
+def test_metric_forecast_equals_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(n, T0 + timedelta(minutes=i), rng.gauss(50, 4) + i * k) for n, k in (("a", 0.3), ("b", -0.1)) for i in range(120)] + [("c", T0, 7.0)]
+    got = {(r.name, r["at"].replace(tzinfo=timezone.utc)): r.value for r in sequential.metric_forecast(spark.createDataFrame(rows, "name string, at timestamp, value double").repartition(5)).select("name", F.col("at").cast("timestamp_ntz").alias("at"), "value").collect()}
+    for name in "abc":
+        ys = [y for n, _, y in rows if n == name]
+        level, trend = ys[0], 0.0
+        for y in ys[1:]:
+            before = level
+            level = 0.3 * y + 0.7 * (level + trend)
+            trend = 0.1 * (level - before) + 0.9 * trend
+        for h in (5, 15, 30, 60):
+            assert math.isclose(got[name, T0 + timedelta(minutes=len(ys) - 1 + h)], level + h * trend, rel_tol=1e-9)
+
+
+def test_outliers_beside_an_open_series_are_not_alone(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    out = spark.createDataFrame([("h", at(10), 1), ("h", at(300), 2), ("g", at(10), 3), ("h", at(61), 4)], "host string, timestamp timestamp, seq long")
+    episodes = spark.createDataFrame([("h", at(5), at(70)), ("g", at(11), at(400))], "host string, opened timestamp, last_seen timestamp")
+    assert sorted(r.seq for r in incidents.alone(out, episodes).collect()) == [2, 3]
+
+
+def test_answers_come_from_the_model_only_while_it_is_ready_and_sure(spark):
+    scored = spark.createDataFrame([(1, "all fine", "warn", 0.9), (2, "disk error", "info", 0.5), (3, "disk failed", None, None)], "seq long, message string, predicted string, confidence double")
+    for ready, want in ((True, {1: ("warn", "model"), 2: ("error", "rule"), 3: ("error", "rule")}), (False, {1: ("info", "rule"), 2: ("error", "rule"), 3: ("error", "rule")}), (None, {1: ("info", "rule"), 2: ("error", "rule"), 3: ("error", "rule")})):
+        one = spark.createDataFrame([(ready,)], "ready boolean")
+        assert {r.seq: (r.severity_answer, r.answered_by) for r in severity.classify(scored, one).collect()} == want
+
+
+def test_paging_scores_wait_for_readiness_and_use_shared_weights(spark):
+    graded = spark.createDataFrame([("s", "disk", 1, 1, 1, 0.0, 1.0, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0), ("s", "disk", 2, 2, 2, 1.0, 1.0, 0.0, 0.0, 0.25, 0.5, 0.0, 0.0)], "source string, template string, resolved long, opened long, seq long, w_bias double, w_errors double, w_ratio double, w_critical double, s_bias double, s_errors double, s_ratio double, s_critical double")
+    weights = bursts.paging_fit(graded, "source", "template", scope=("source",))
+    b = spark.createDataFrame([("s", "disk", 1.0, 0.5, 0.1, 1.0), ("s", "new", 1.0, 0.5, 0.1, 1.0), ("t", "disk", 1.0, 0.5, 0.1, 1.0)], "source string, template string, f_bias double, f_errors double, f_ratio double, f_critical double")
+    score = lambda ready: {(r.source, r.template): r.paging_score for r in bursts.paging_score(b, weights, spark.createDataFrame([("s", ready)], "source string, ready boolean"), "source", "template", scope=("source",)).collect()}
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    got = score(True)
+    assert math.isclose(got["s", "disk"], sigmoid(1.0 + 0.5)) and math.isclose(got["s", "new"], sigmoid(0.25 + 0.25)) and got["t", "disk"] is None
+    assert set(score(False).values()) == {None}
+
+
+def test_rolling_accuracy_equals_a_loop(spark):
+    rng = random.Random(1)
+    rows = [("s", i, i, rng.random() < 0.7, rng.random() < 0.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "source string, resolved long, opened long, hit boolean, rule_hit boolean")
+    for r in bursts.rolling_accuracy(df, "source", last=7).collect():
+        frame = rows[max(0, r.opened - 6) : r.opened + 1]
+        assert r.seen == len(frame) and math.isclose(r.accuracy, sum(x[3] for x in frame) / len(frame)) and math.isclose(r.rule_accuracy, sum(x[4] for x in frame) / len(frame))
+
+
+def test_culprits_by_memory_and_cold_processes(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    p = [(1, "cpu", 50.0, 2.0, 10), (1, "memory", 9e8, 4.0, 20), (2, "cpu", 90.0, 3.0, 30), (3, "cpu", 95.0, 1.0, 30), (4, "cpu", 40.0, None, 30), (5, "cpu", 10.0, None, 30), (6, "memory", 5e8, 1.6, 5), (6, "memory", 5e8, 1.4, 40), (7, "cpu", 99.0, 9.0, -700)]
+    df = spark.createDataFrame([("h", pid, at(s), i, m, v, z) for i, (pid, m, v, z, s) in enumerate(p)], "host string, pid long, timestamp timestamp, seq long, metric string, value double, sigma double")
+    a = spark.createDataFrame([("h", at(100))], "host string, timestamp timestamp")
+    got = [(r.pid, r.metric, r.value, r.sigma) for r in sorted(incidents.culprits(a, df).collect(), key=lambda r: r["rank"])]
+    assert got == [(1, "memory", 9e8, 4.0), (2, "cpu", 90.0, 3.0), (4, "cpu", 40.0, None)]  # 3 and 6 are at their normal, 5 is cold and idle, 7 long gone
+    rows = incidents.culprit_rows(incidents.culprits(a, df)).collect()
+    assert {r.metric for r in rows} == {"process.cpu", "process.memory"} and {r.title for r in rows} == {"pid 1: memory, sigma 4.0", "pid 2: cpu, sigma 3.0", "pid 4: cpu 40%"}
+
+
+def test_critical_marks_are_of_every_kind_but_bursts(spark):
+    kind = "id string, kind string, severity string, source string, time timestamp, related array<string>"
+    rows = [("a", "anomaly", "critical", "x", T0, ["r"]), ("a", "anomaly", "critical", "x", T0, ["r"]), ("a", "anomaly", "critical", "x", T0 + timedelta(1), None), ("b", "log_burst", "critical", "x", T0, None), ("c", "slow_span", "critical", "y", T0, None), ("d", "host_outlier", "warning", "z", T0, None)]
+    got = [(r.id, r.source) for r in incidents.critical_marks(spark.createDataFrame(rows, kind)).collect()]
+    assert sorted(got) == [("a", "x"), ("a", "x"), ("c", "y")]
+
+
+def test_cards_and_all_findings(spark):
+    from vane import catalog
+
+    sf = "/root/testdata/sf0.001"
+    cards = {r.name: r for r in catalog.QUERIES["model_cards"](spark, sf).collect()}
+    ready = catalog.QUERIES["severity_readiness"](spark, sf).first()
+    assert len(cards) == 7 and (cards["log severity"].trained, cards["log severity"].accuracy, cards["log severity"].ready) == (ready.trained, ready.accuracy, ready.ready)
+    assert cards["span latency"].trained == catalog.tables.spans(spark, sf).count() and cards["culprits"].accuracy == -1
+    found = catalog.QUERIES["all_insights"](spark, sf).toPandas()
+    counts = found.groupby("kind").size().to_dict()
+    assert counts["anomaly"] == catalog.QUERIES["metric_anomalies"](spark, sf).count() and counts["changepoint"] == catalog.QUERIES["changepoints"](spark, sf).count()
+    assert counts["culprit"] == catalog.QUERIES["culprits"](spark, sf).count() and found.id.is_unique

@@ -62,6 +62,21 @@ def seasonal_anomalies(spark, d):
     return rounded(baseline.metric_anomalies(m, "name", "hour"), "z").select("name", "hour", "seq", "z")
 
 
+SERIES_SQL = """v AS (SELECT CASE WHEN event_type = 'error' THEN 'process.errors' ELSE event_type END AS name, user_id, event_id AS seq, ts, value FROM events),
+ k AS (SELECT name || ',user=' || user_id AS series, CASE WHEN NOT starts_with(name, 'process.') THEN hour(ts)::INTEGER END AS hour, * FROM v),
+ w AS (SELECT *, count(*) OVER h AS n, avg(value) OVER p AS mp, stddev_samp(value) OVER p AS sp, avg(value) OVER h AS mh, stddev_samp(value) OVER h AS sh FROM k
+  WINDOW p AS (PARTITION BY series, hour ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h AS (PARTITION BY series, hour ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+ z AS (SELECT *, CASE WHEN n >= 12 THEN CASE WHEN coalesce(sp, 0) > 0 THEN (value - mp) / sp WHEN sh > 0 THEN (value - mh) / sh END END AS z FROM w)"""
+
+
+@query(f"WITH {SERIES_SQL} SELECT series, hour, seq, round(z, 4) AS z, CASE WHEN abs(z) >= 5 THEN 'critical' ELSE 'warning' END AS severity FROM z WHERE abs(z) >= 3")
+def series_anomalies(spark, d):
+    """Series as they are watched: by name and labels, and by hour of day but for processes. Errors stand for a process's measure."""
+    m = tables.metrics(spark, d).withColumn("name", F.when(F.col("name") == "error", "process.errors").otherwise(F.col("name")))
+    m = m.withColumns({"series": T.series_key(F.col("name"), F.col("labels")), "hour": T.seasonal_hour(F.col("name"), F.col("timestamp"))})
+    return rounded(baseline.metric_anomalies(m, "series", "hour"), "z").select("series", "hour", "seq", "z", "severity")
+
+
 @query(f"WITH {ZSCORE.format(by='')} SELECT 'anomaly:' || name || ':' || seq AS id, CASE WHEN abs(z) >= 5 THEN 'critical' ELSE 'warning' END AS severity, printf('%s is %.1f deviations off', name, z) AS title, timestamp AS time FROM z WHERE abs(z) >= 3")
 def insights_ordered(spark, d):
     a = baseline.metric_anomalies(tables.metrics(spark, d), "name")
@@ -104,15 +119,23 @@ def container_cpu(spark, d):
     return rounded(baseline.container_cpu(c), "cpu_percent", digits=3).select("container", "seq", "cpu_percent")
 
 
+VECTOR_NAMES = ["view", "click", "signup", "purchase", "error"]
+
+
 def outlier_vectors(spark, d):
-    """Hosts are users mod 10, a vector the values of five following events."""
-    from pyspark.sql import Window
+    """Hosts are users mod 10, a tick six hours, measures the kinds of events. A vector needs all five; signups give their first value of the tick, the others their last."""
+    e = tables.metrics(spark, d).withColumn("host", F.col("labels")["user"].cast("long") % 10)
+    tick = F.floor(F.unix_seconds("timestamp") / 21_600)
+    return baseline.host_outliers(baseline.batch_vectors(e, VECTOR_NAMES, "host", tick, first=("signup",)).dropna(), VECTOR_NAMES, [0.25, 0.25, 0.25, 1e4, 1e4], min_vectors=30)
 
-    e = tables.table(spark, d, "events")
-    w = Window.partitionBy("host").orderBy("ts", "event_id")
-    e = e.withColumn("host", F.col("user_id") % 10).withColumn("k", F.row_number().over(w) - 1)
-    v = e.groupBy("host", F.floor(F.col("k") / 5).alias("tick")).agg(*[F.max(F.when(F.col("k") % 5 == i, F.col("value"))).alias(f"f{i}") for i in range(5)], F.max(F.col("ts").cast("timestamp")).alias("timestamp"), F.max("event_id").alias("seq"))
-    return baseline.host_outliers(v.dropna(), [f"f{i}" for i in range(5)], [0.25, 0.25, 0.25, 1e4, 1e4])
+
+@query("""WITH e AS (SELECT user_id % 10 AS host, floor(epoch(ts) / 21600)::BIGINT AS tick, event_type AS k, value, ts, event_id FROM events)
+ SELECT host, tick, arg_max(value, (ts, event_id)) FILTER (WHERE k = 'view') AS view, arg_max(value, (ts, event_id)) FILTER (WHERE k = 'click') AS click, arg_min(value, (ts, event_id)) FILTER (WHERE k = 'signup') AS signup,
+ arg_max(value, (ts, event_id)) FILTER (WHERE k = 'purchase') AS purchase, arg_max(value, (ts, event_id)) FILTER (WHERE k = 'error') AS error FROM e GROUP BY ALL HAVING count(DISTINCT k) FILTER (WHERE k IN ('view', 'click', 'signup', 'purchase', 'error')) = 5""")
+def batch_vectors(spark, d):
+    e = tables.metrics(spark, d).withColumn("host", F.col("labels")["user"].cast("long") % 10)
+    v = baseline.batch_vectors(e, VECTOR_NAMES, "host", F.floor(F.unix_seconds("timestamp") / 21_600), first=("signup",))
+    return v.select("host", "tick", *VECTOR_NAMES)
 
 
 @query()
@@ -322,15 +345,47 @@ def followed_by_critical(spark, d):
     return bursts.followed_by_critical(m.select("name", "seq", "timestamp"), critical.select("name", "timestamp"), "name", within_seconds=21_600).select("name", "seq", "followed", "co_occurring")
 
 
+def critical_findings(spark, d):
+    """Critical metric anomalies and host outliers as marks of the log sources that they concern: a user's source, and both sources of a host."""
+    user = F.col("labels")["user"].cast("long")
+    a = baseline.metric_anomalies(tables.metrics(spark, d), "name").withColumn("host", user)
+    rows = incidents.anomaly_rows(a.withColumn("name", F.concat_ws("|", "name", F.concat(F.lit("user"), (user % 20).cast("string")))))
+    hosts = incidents.host_outlier_rows(outlier_vectors(spark, d).where("severity IS NOT NULL"))
+    of_anomaly = F.array(F.element_at(F.split("id", "[|:]"), 3))
+    host = F.element_at(F.split("id", ":"), 2).cast("long")
+    of_host = F.transform(F.array(host, host + 10), lambda h: F.concat(F.lit("user"), h.cast("string")))
+    marks = incidents.critical_marks(rows, hosts)
+    return marks.select(F.explode(F.when(F.startswith("id", F.lit("host:")), of_host).otherwise(of_anomaly)).alias("source"), F.col("time").alias("timestamp"))
+
+
 def paging_bursts(spark, d):
-    """Bursts a source and template with features and the next critical of the source's kind of user."""
+    """Bursts a source and template with features and the next critical finding of any other kind."""
     b = bursts.log_bursts(tables.logs(spark, d), "source", seconds=14_400, at_least=3)
-    source = F.concat(F.lit("user"), (F.col("labels")["user"].cast("long") % 20).cast("string"))
-    critical = baseline.metric_anomalies(tables.metrics(spark, d), "name").where("severity = 'critical'").select(source.alias("source"), "timestamp").distinct()
+    critical = critical_findings(spark, d).distinct()
     x = bursts.paging_features(bursts.followed_by_critical(b, critical, "source", within_seconds=21_600))
     return bursts.next_critical(x, critical, "source", within_seconds=21_600)
 
 
+def paging_model(spark, d):
+    e = bursts.paging_examples(paging_bursts(spark, d), "source", "template", within_seconds=21_600)
+    return bursts.paging_graded(e, "source", "template", scope=["source"])
+
+
+@query()
+def paging_answers(spark, d):
+    """Bursts with the model's answer, where their source's model may give one."""
+    g = paging_model(spark, d)
+    ready = bursts.paging_readiness(g, "source", least=5, lead=0.0)
+    x = bursts.paging_score(paging_bursts(spark, d), bursts.paging_fit(g, "source", "template", scope=("source",)), ready, "source", "template", scope=("source",))
+    return rounded(x, "paging_score").select("source", "template", "seq", "burst_severity", "paging_score")
+
+
+@query()
+def rolling_accuracy(spark, d):
+    """The paging model's and the rule's accuracy over the last 20 examples at every example."""
+    return rounded(bursts.rolling_accuracy(paging_model(spark, d), "source", last=20), "accuracy", "rule_accuracy").select("source", "template", "opened", "seen", "accuracy", "rule_accuracy")
+
+
 @query()
 def paging_examples(spark, d):
     """One example an episode of a template, labelled by a critical that followed."""
@@ -369,6 +424,29 @@ def critical_path(spark, d):
     return traces.critical_path(tables.span_trees(spark, d))
 
 
+TREES = """s AS (SELECT conv_id AS trace_id, turn AS span_id, CASE WHEN turn > 0 THEN (turn - 1) // 2 WHEN conv_id % 7 = 3 THEN 1000000 END AS parent_id, role || turn AS name, length(text) AS ms, CASE WHEN (turn + conv_id) % 5 = 3 THEN 'error' ELSE 'ok' END AS status FROM conversations)"""
+
+
+def branching(spark, d):
+    """Conversations as binary trees of spans; some roots name a parent that is not there."""
+    c = tables.table(spark, d, "conversations")
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).when(F.col("conv_id") % 7 == 3, 1_000_000)
+    return c.select(F.col("conv_id").alias("trace_id"), F.col("turn").cast("long").alias("span_id"), parent.cast("long").alias("parent_id"), F.concat("role", F.col("turn").cast("string")).alias("name"), F.length("text").cast("double").alias("duration_ms"), F.when((F.col("turn") + F.col("conv_id")) % 5 == 3, "error").otherwise("ok").alias("status"))
+
+
+@query(f"""WITH RECURSIVE {TREES}, d AS (SELECT trace_id, span_id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS depth FROM s WHERE parent_id IS NULL OR parent_id = 1000000 UNION ALL SELECT s.trace_id, s.span_id, depth + 1 FROM s JOIN d ON s.trace_id = d.trace_id AND s.parent_id = d.span_id)
+ SELECT trace_id, span_id::BIGINT AS span_id, depth::INTEGER AS depth FROM d""")
+def branch_depth(spark, d):
+    return traces.span_depth(branching(spark, d))
+
+
+@query(f"""WITH RECURSIVE {TREES}, r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY status <> 'error', EXISTS (SELECT 1 FROM s c WHERE c.trace_id = s.trace_id AND c.parent_id = s.span_id), -ms, span_id) AS k FROM s),
+ p AS (SELECT trace_id, parent_id, name AS path FROM r WHERE k = 1 UNION ALL SELECT s.trace_id, s.parent_id, s.name || ' > ' || path FROM p JOIN s ON s.trace_id = p.trace_id AND s.span_id = p.parent_id)
+ SELECT trace_id, path FROM p WHERE parent_id IS NULL OR parent_id = 1000000""")
+def branch_path(spark, d):
+    return traces.critical_path(branching(spark, d))
+
+
 @query("SELECT l_orderkey AS trace_id, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::INTEGER AS has_error, round(sum(l_extendedprice), 2) AS total_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY has_error DESC, total_ms DESC, trace_id LIMIT 1")
 def pick_trace(spark, d):
     return rounded(traces.pick_trace(tables.spans(spark, d)), "total_ms", digits=2)
@@ -426,11 +504,14 @@ def findings(spark, d):
     scored = baseline.metric_zscore(m, "name")
     anomalies = scored.withColumn("severity", baseline.severity_of(F.col("z"))).where("severity IS NOT NULL")
     spans = tables.spans(spark, d).withColumn("duration_ms", F.col("duration_ms") * F.when(F.dayofmonth("start") == 15, 10).otherwise(1))
+    slow = traces.slow_spans(spans, "service", "name")
+    named = spans.join(slow.select("trace_id").distinct(), "trace_id", "left_semi")
+    paths = traces.critical_path(named.withColumn("parent_id", F.when(F.col("span_id") > 1, F.floor(F.col("span_id") / 2))))
     return incidents.all_insights(
         incidents.anomaly_rows(anomalies),
         incidents.changepoint_rows(baseline.changepoints(scored, "name")),
         incidents.burst_rows(bursts.log_bursts(tables.logs(spark, d), "source", seconds=14_400, at_least=3)),
-        incidents.slow_span_rows(traces.slow_spans(spans, "service", "name")),
+        incidents.slow_span_rows(slow, paths),
         incidents.culprit_rows(culprits_of(spark, d)),
         incidents.host_outlier_rows(outlier_vectors(spark, d).where("severity IS NOT NULL")),
     )
@@ -454,7 +535,7 @@ INCIDENTS = f"""WITH RECURSIVE {ZSCORE.format(by='')}, i AS (SELECT name || ':'
  e AS (SELECT a, b FROM l WHERE gap <= INTERVAL 720 MINUTE UNION SELECT b, a FROM l WHERE gap <= INTERVAL 720 MINUTE),
  r(root, node) AS (SELECT id, id FROM i UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.node),
  c AS (SELECT node AS id, min(root) AS incident FROM r GROUP BY node)
- SELECT incident, count(*) AS members, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity, min(time) AS started, max(time) AS ended, arg_min(name, (time, i.id)) AS first_title, string_agg(name, ' → ' ORDER BY time, i.id) AS story FROM c JOIN i USING (id) GROUP BY incident"""
+ SELECT incident, count(*) AS members, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity, min(time) AS started, max(time) AS ended, arg_min(name, (time, i.id)) AS first_title, string_agg(name, ' · ' ORDER BY time, i.id) AS story FROM c JOIN i USING (id) GROUP BY incident"""
 
 
 @query(INCIDENTS)
@@ -466,23 +547,27 @@ def incident_groups(spark, d):
 
 
 def culprits_of(spark, d):
-    """Hosts are users mod 10, processes users; a process's sigma is its running z-score, itself included."""
-    m = tables.metrics(spark, d).withColumn("pid", F.col("labels")["user"].cast("long")).withColumn("host", F.col("labels")["user"].cast("long") % 10)
-    p = baseline.metric_zscore(m, "pid", inclusive=True).select("host", "pid", "timestamp", "seq", F.col("value").alias("cpu"), F.col("z").alias("sigma"))
+    """Hosts are users mod 10, processes users; clicks stand for memory, all else for cpu. A process's sigma is its running z-score, itself included."""
+    metric = F.when(F.col("name") == "click", "memory").otherwise("cpu")
+    m = tables.metrics(spark, d).withColumn("pid", F.col("labels")["user"].cast("long")).withColumn("host", F.col("labels")["user"].cast("long") % 10).withColumn("metric", metric)
+    p = baseline.metric_zscore(m, "pid", "metric", inclusive=True).select("host", "pid", "timestamp", "seq", "metric", "value", F.col("z").alias("sigma"))
     a = baseline.metric_anomalies(m, "host").where("severity = 'critical'").select("host", "timestamp").distinct()
     return incidents.culprits(a, p, max_age_seconds=86_400)
 
 
-@query("""WITH m AS (SELECT event_id AS seq, ts, value, user_id AS pid, user_id % 10 AS host FROM events),
- s AS (SELECT *, count(*) OVER p AS n, (value - avg(value) OVER p) / nullif(stddev_samp(value) OVER p, 0) AS z FROM m WINDOW p AS (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
- q AS (SELECT host, pid, ts, seq, value AS cpu, CASE WHEN n >= 12 THEN z END AS sigma FROM s),
+@query("""WITH m AS (SELECT event_id AS seq, ts, value, user_id AS pid, user_id % 10 AS host, CASE WHEN event_type = 'click' THEN 'memory' ELSE 'cpu' END AS metric FROM events),
+ s AS (SELECT *, count(*) OVER p AS n, (value - avg(value) OVER p) / nullif(stddev_samp(value) OVER p, 0) AS z FROM m WINDOW p AS (PARTITION BY pid, metric ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+ q AS (SELECT host, pid, ts, seq, metric, value, CASE WHEN n >= 12 THEN z END AS sigma FROM s),
  w AS (SELECT *, count(*) OVER h AS n, avg(value) OVER p AS mp, stddev_samp(value) OVER p AS sp FROM m WINDOW p AS (PARTITION BY host ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h AS (PARTITION BY host ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
  a AS (SELECT DISTINCT host, ts AS opened FROM w WHERE n >= 12 AND sp > 0 AND abs((value - mp) / sp) >= 5),
- l AS (SELECT a.opened, q.* FROM a JOIN q ON a.host = q.host AND q.ts <= a.opened AND q.ts > a.opened - INTERVAL 1 DAY QUALIFY row_number() OVER (PARTITION BY a.host, a.opened, q.pid ORDER BY q.ts DESC, q.seq DESC) = 1),
- r AS (SELECT *, row_number() OVER (PARTITION BY host, opened ORDER BY CASE WHEN sigma >= 1.5 THEN 0 ELSE 1 END, CASE WHEN sigma >= 1.5 THEN sigma ELSE cpu END DESC, pid)::INTEGER AS rank FROM l WHERE sigma >= 1.5 OR (sigma IS NULL AND cpu >= 20))
- SELECT host, opened, rank, pid, cpu, round(sigma, 4) AS sigma FROM r WHERE rank <= 3""")
+ l AS (SELECT a.opened, q.* FROM a JOIN q ON a.host = q.host AND q.ts <= a.opened AND q.ts > a.opened - INTERVAL 1 DAY QUALIFY row_number() OVER (PARTITION BY a.host, a.opened, q.pid, q.metric ORDER BY q.ts DESC, q.seq DESC) = 1),
+ b AS (SELECT host, opened, pid, max(value) FILTER (WHERE metric = 'cpu') AS cpu, max(sigma) FILTER (WHERE metric = 'cpu') AS zc, max(value) FILTER (WHERE metric = 'memory') AS mem, max(sigma) FILTER (WHERE metric = 'memory') AS zm FROM l GROUP BY ALL),
+ x AS (SELECT host, opened, pid, CASE WHEN zm IS NOT NULL AND (zc IS NULL OR zm > zc) THEN 'memory' ELSE 'cpu' END AS metric, zc, zm, cpu, mem FROM b),
+ y AS (SELECT host, opened, pid, metric, CASE metric WHEN 'memory' THEN mem ELSE cpu END AS value, CASE metric WHEN 'memory' THEN zm ELSE zc END AS sigma FROM x),
+ r AS (SELECT *, row_number() OVER (PARTITION BY host, opened ORDER BY CASE WHEN sigma >= 1.5 THEN 0 ELSE 1 END, CASE WHEN sigma >= 1.5 THEN sigma ELSE value END DESC, pid)::INTEGER AS rank FROM y WHERE sigma >= 1.5 OR (sigma IS NULL AND value >= 20))
+ SELECT host, opened, rank, pid, metric, value, round(sigma, 4) AS sigma FROM r WHERE rank <= 3""")
 def culprits(spark, d):
-    return culprits_of(spark, d).select("host", ntz("opened"), "rank", "pid", "cpu", F.round("sigma", 4).alias("sigma"))
+    return culprits_of(spark, d).select("host", ntz("opened"), "rank", "pid", "metric", "value", F.round("sigma", 4).alias("sigma"))
 
 
 SEVERITY_SQL = r"""WITH d AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS m FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
@@ -576,6 +661,19 @@ def gauge_carry(spark, d):
     return wire.gauge_carry(r, 3_600, 36_000).select("tags", ntz("flush"), "value")
 
 
+@query("""WITH e AS (SELECT 'u:' || (user_id % 3) AS tags, ts, event_id AS seq, CASE event_id % 3 WHEN 2 THEN -round(value, 2) ELSE round(value, 2) END AS v, event_id % 3 = 0 AS plain FROM events WHERE event_type <> 'view'),
+ r AS (SELECT *, plain OR coalesce(ts - lag(ts) OVER w > INTERVAL 10 MINUTE, true) AS anew FROM e WINDOW w AS (PARTITION BY tags ORDER BY ts, seq)),
+ g AS (SELECT *, sum(anew::INT) OVER (PARTITION BY tags ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS part FROM r), s AS (SELECT *, sum(v) OVER (PARTITION BY tags, part ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS running FROM g)
+ SELECT tags, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS flush, round(arg_max(running, (ts, seq)), 3) AS value FROM s GROUP BY ALL""")
+def relative_gauges(spark, d):
+    """Events as gauge lines, two of three relative, one of them with a minus; the views, which are no lines here, come as sets that are ignored."""
+    v = F.format_string("%.2f", "value")
+    text = F.when(F.col("event_id") % 3 == 0, v).when(F.col("event_id") % 3 == 1, F.concat(F.lit("+"), v)).otherwise(F.concat(F.lit("-"), v))
+    kind = F.when(F.col("event_type") == "view", "|s|#u:").otherwise("|g|#u:")
+    lines = tables.table(spark, d, "events").select(F.concat(F.lit("load:"), text, kind, (F.col("user_id") % 3).cast("string")).alias("value"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"))
+    return wire.statsd_rollup(lines, "1 hour").select("tags", ntz("flush"), F.round("value", 3).alias("value"))
+
+
 @query("SELECT event_type || '_total' AS name, user_id::VARCHAR AS user, max(value) AS value FROM events GROUP BY ALL")
 def exposition_rollup(spark, d):
     """Events as scrapes in exposition text, one scrape a user, then read back and reduced."""
@@ -643,6 +741,17 @@ def summary_payload(spark, d):
     return report.summary_payload(rollup.log_templates(tables.logs(spark, d), "source"), "source", most=20)
 
 
+@query(f"""WITH {LOGS}, {ZSCORE.format(by='')}, c AS (SELECT source, {TEMPLATE} AS template, count(*) AS lines, count(*) FILTER (WHERE severity = 'error') AS errors FROM logs GROUP BY ALL),
+ i AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN abs(z) >= 5 THEN 0 ELSE 1 END, timestamp DESC, 'anomaly:' || name || ':' || lpad(seq::VARCHAR, 12, '0')) AS k FROM z WHERE abs(z) >= 3 QUALIFY k <= 20),
+ j AS (SELECT *, row_number() OVER (ORDER BY lines DESC, template, source) AS k FROM c QUALIFY k <= 20)
+ SELECT to_json({{'insights': (SELECT list({{'rank': k, 'kind': 'anomaly', 'severity': CASE WHEN abs(z) >= 5 THEN 'critical' ELSE 'warning' END, 'title': printf('%s: z %.1f', name, z), 'metric': name, 'value': value, 'description': printf('value %.2f', value)}} ORDER BY k) FROM i),
+  'clusters': (SELECT list({{'rank': k, 'count': lines, 'errorCount': errors, 'source': source, 'template': CASE WHEN length(template) > 24 THEN substr(template, 1, 24) || '…' ELSE template END}} ORDER BY k) FROM j)}})::VARCHAR AS payload""")
+def summary_document(spark, d):
+    """Anomalies and templates as one document."""
+    a = incidents.anomaly_rows(baseline.metric_anomalies(tables.metrics(spark, d), "name")).withColumn("description", F.format_string("value %.2f", "value"))
+    return report.summary_document(a, rollup.log_templates(tables.logs(spark, d), "source"), most=24)
+
+
 @query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), m AS (SELECT trim(unnest(ls), chr(32)) AS whole, CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warn' WHEN quality = 1 THEN 'info' END AS severity FROM l JOIN labels USING (doc_id)),
  c AS (SELECT CASE WHEN strlen(whole) <= 4096 THEN whole ELSE substr(whole, 1, list_max([k FOR k IN range(1024, 4097) IF strlen(substr(whole, 1, k::INTEGER)) <= 4096])::INTEGER) END AS message, severity FROM m)
  SELECT sha256(message) AS message_sha256, severity, count(*) AS lines FROM c WHERE message <> '' AND severity IS NOT NULL GROUP BY ALL""")
@@ -672,11 +781,11 @@ def written_metrics(spark, d):
     return m.groupBy("name").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("""WITH p AS (SELECT user_id % 10 AS target, ts, event_id, (value / 5)::INTEGER AS days, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS valid FROM events WHERE event_type <> 'view'),
+@query("""WITH p AS (SELECT user_id % 10 AS target, ts, event_id, (value / 5)::INTEGER AS days, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS valid FROM events),
  l AS (SELECT target, arg_max(days, (ts, event_id)) AS days_remaining, arg_max(valid, (ts, event_id)) AS valid FROM p WHERE ts <= TIMESTAMP '2024-01-31' AND ts >= TIMESTAMP '2024-01-01' GROUP BY 1), t AS (SELECT DISTINCT target FROM p)
  SELECT t.target, days_remaining, valid, CASE WHEN valid = 0 THEN 'danger' WHEN days_remaining <= 0 THEN 'danger' WHEN days_remaining < 14 THEN 'warning' WHEN days_remaining IS NOT NULL THEN 'success' END AS tone FROM t LEFT JOIN l USING (target)""")
 def certificates(spark, d):
-    e = tables.table(spark, d, "events").where("event_type <> 'view'")
+    e = tables.table(spark, d, "events")
     p = e.select((F.col("user_id") % 10).alias("target"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"), F.round(F.col("value") / 5).cast("int").alias("days_remaining"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("valid"))
     return rollup.certificates(p, "2024-01-01", "2024-01-31")
 
@@ -702,12 +811,12 @@ def seen_before(spark, d):
     return baseline.seen_before(t, "pid")
 
 
-@query("""WITH s AS (SELECT event_type AS name, user_id, max(ts) AS last_seen, bool_or(value > 200) AS hot FROM events WHERE user_id < 50 GROUP BY ALL)
+@query("""WITH s AS (SELECT event_type AS name, user_id, max(ts) AS last_seen, bool_or(value > 200) AS hot FROM events GROUP BY ALL)
  SELECT name || ':' || user_id AS service, CASE WHEN last_seen < TIMESTAMP '2024-01-25' THEN 'stale' WHEN hot THEN 'outage' ELSE 'operational' END AS status FROM s""")
 def service_states(spark, d):
     """Each user's events of a kind stand in for a service; a large value is a critical finding."""
     service = F.concat_ws(":", "event_type", F.col("user_id").cast("string"))
-    e = tables.table(spark, d, "events").where("user_id < 50").withColumn("service", service)
+    e = tables.table(spark, d, "events").withColumn("service", service)
     seen = e.groupBy("service").agg(F.max(F.col("ts").cast("timestamp")).alias("last_seen"))
     found = e.where("value > 200").select("service", F.lit("critical").alias("severity"))
     return rollup.service_status(found, "service", seen, F.to_timestamp(F.lit("2024-01-25 00:00:30")), interval_seconds=10)
@@ -758,14 +867,19 @@ def heatmap_scale(spark, d):
 def model_cards(spark, d):
     """What each model has learned, how it fares against its rule, and whether it may answer."""
     sev = severity_ready(spark, d)
-    examples = bursts.paging_examples(paging_bursts(spark, d), "source", "template", within_seconds=21_600)
-    graded = bursts.paging_graded(examples, "source", "template")
-    paging = bursts.paging_readiness(graded).withColumn("trained", F.lit(examples.count()))
+    graded = paging_model(spark, d)  # a vector a source
+    paging = bursts.recent_accuracy(graded, order=("resolved", "opened"), last=256).join(F.broadcast(graded.agg(F.count(F.lit(1)).alias("trained"))))
+    paging = paging.withColumn("ready", (F.col("graded") >= 20) & (F.col("accuracy") >= F.col("rule_accuracy") + 0.01))
     scored = baseline.metric_zscore(tables.metrics(spark, d), "name")
     rates = sequential.threshold_rates(sequential.learned_thresholds(scored, "name"), "name").agg(F.sum("points").alias("trained"), F.avg("warn_rate").alias("_w"), (F.min("points") >= 20_000).alias("ready"))
     vectors = outlier_vectors(spark, d).agg(F.count(F.lit(1)).alias("trained"), F.count_if(F.col("severity").isNotNull()).alias("_s")).withColumn("ready", F.col("trained") >= 50)
     burn = burn_readings(spark, d).agg(F.sum("readings").alias("trained"), F.avg("skill").alias("accuracy"), (F.min("readings") >= 20).alias("ready"))
-    cards = report.model_cards(report.model_card(sev, "log severity"), report.model_card(paging, "paging"), report.model_card(rates, "alert thresholds", F.format_string("warnings %.4f of points", "_w")), report.model_card(vectors, "host outliers", F.format_string("%d findings", "_s")), report.model_card(burn, "budget forecast"))
+    spans = tables.spans(spark, d).groupBy("service", "name").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("trained"), F.max("n").alias("_n")).withColumn("ready", F.col("_n") >= 200)
+    named = culprits_of(spark, d).agg(F.count(F.lit(1)).alias("trained"), F.count_if(F.col("sigma").isNotNull()).alias("_r"), F.count_if(F.col("sigma").isNull()).alias("_f")).withColumn("ready", F.col("_r") > 0)
+    cards = report.model_cards(
+        report.model_card(sev, "log severity"), report.model_card(paging, "paging"), report.model_card(rates, "alert thresholds", F.format_string("warnings %.4f of points", "_w")), report.model_card(vectors, "host outliers", F.format_string("%d findings", "_s")),
+        report.model_card(burn, "budget forecast"), report.model_card(spans, "span latency", F.format_string("%d spans of the busiest operation", "_n")), report.model_card(named, "culprits", F.format_string("%d by baseline, %d by cpu", "_r", "_f")),
+    )
     return rounded(cards, "accuracy", "fallback_accuracy")
 
 

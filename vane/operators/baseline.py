@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vane.plans.ordered import ordered_scan
+from vane.plans.ordered import chunked_scan
 
 MIN_SAMPLES, WARN, CRITICAL = 12, 3.0, 5.0
 DRIFT, DECISION = 0.5, 5.0
@@ -53,8 +55,12 @@ def metric_anomalies(metrics: DataFrame, *keys: str, warn: Column | float = WARN
     return scored.withColumn("severity", severity_of(F.col("z"), warn, critical)).where(F.col("severity").isNotNull())
 
 
-def changepoints(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION, scan=ordered_scan) -> DataFrame:
-    """Rows where a two-armed cumulative sum of z crosses; both arms start anew there, and where a point has no score. One pass in time order."""
+def changepoints(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION, scan: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Rows where a two-armed cumulative sum of z crosses; both arms start anew there, and where a point has no score.
+
+    In a batch a series is dealt by day, and days are run again from the sums in which the day before ended (see chunked_scan), so a
+    hot series is no single task. scan=stream_scan: one pass in time order over a stream.
+    """
     rows = scored.select(*keys, "timestamp", "seq", "z")
     at = len(keys) + 2
 
@@ -70,17 +76,31 @@ def changepoints(scored: DataFrame, *keys: str, drift: float = DRIFT, decision:
         arms[:] = 0.0, 0.0
         return [(*row, max(hi, lo), "up" if hi >= lo else "down")]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return scan(rows, list(keys), ["timestamp", "seq"], lambda: [0.0, 0.0], step, f"{schema}, arm double, direction string")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", arm double, direction string"
+    if scan is None:
+        return chunked_scan(rows.withColumn("day", F.to_date("timestamp").cast("string")), list(keys), "day", ["timestamp", "seq"], lambda: [0.0, 0.0], step, schema)
+    return scan(rows, list(keys), ["timestamp", "seq"], lambda: [0.0, 0.0], step, schema)
 
 
 def first_crossing(scored: DataFrame, *keys: str, drift: float = DRIFT, decision: float = DECISION) -> DataFrame:
-    """The first upward crossing of each series, as windows only: the sum less its lowest value so far."""
-    order = Window.partitionBy(*keys).orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    df = scored.where("z IS NOT NULL").withColumn("_p", F.sum(F.col("z") - drift).over(order))
-    df = df.withColumn("arm", F.col("_p") - F.least(F.min("_p").over(order), F.lit(0.0)))
-    hit = df.where(F.col("arm") >= decision)
-    return hit.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "seq"))).where("_k = 1").drop("_p", "_k")
+    """The first upward crossing of each series, as windows only: the sum less its lowest value so far.
+
+    Sums and lowest values are taken inside a series' day; what the days before it add is one row a day.
+    """
+    same, day = [F.col(k) for k in keys], F.to_date("timestamp")
+    inside = Window.partitionBy(*keys, "_day").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    df = scored.where("z IS NOT NULL").withColumn("_day", day).withColumn("_p", F.sum(F.col("z") - drift).over(inside)).withColumn("_low", F.min("_p").over(inside))
+    last = F.struct("timestamp", "seq")
+    days = df.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(same)], F.col("_day").alias("_d")).agg(F.max_by("_p", last).alias("_sum"), F.min("_p").alias("_least"))
+    order = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_sum").over(order), F.lit(0.0)))
+    days = days.withColumn("_floor", F.least(F.coalesce(F.min(F.col("_before") + F.col("_least")).over(order), F.lit(0.0)), F.lit(0.0)))
+    j = df.join(days, [*[c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(same)], F.col("_day") == F.col("_d")])
+    p = F.col("_p") + F.col("_before")
+    hit = j.withColumn("arm", p - F.least(F.col("_low") + F.col("_before"), F.col("_floor"))).where(F.col("arm") >= decision)
+    rest = [c for c in (*scored.columns, "arm") if c not in keys]
+    first = hit.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("timestamp", "seq")).alias("_first"))
+    return first.select(*keys, "_first.*").select(*scored.columns, "arm")
 
 
 def counter_delta(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -97,6 +117,16 @@ def container_cpu(df: DataFrame) -> DataFrame:
     return df.withColumn("cpu_percent", F.when(cpu.isNull(), None).when((system <= 0) | (cpu < 0), 0.0).otherwise(cpu / system * cpus * 100))
 
 
+def batch_vectors(metrics: DataFrame, names: list[str], key: str, tick: Column, first: tuple[str, ...] = ()) -> DataFrame:
+    """key, tick, one column a name, timestamp, seq: the last value of each measure in a tick (of those in `first` the first one), where a tick has all of them."""
+    order = F.struct("timestamp", "seq")
+    own = lambda n: F.when(F.col("name") == n, order)
+    value = lambda n: (F.min_by if n in first else F.max_by)("value", own(n)).alias(n)
+    rows = metrics.withColumn("tick", tick).where(F.col("name").isin(*names)).groupBy(key, "tick")
+    found = rows.agg(*[value(n) for n in names], F.max("timestamp").alias("timestamp"), F.max("seq").alias("seq"), F.count_distinct("name").alias("_n"))
+    return found.where(F.col("_n") == len(names)).drop("_n")
+
+
 def host_outliers(vectors: DataFrame, features: list[str], floors: list[float], key: str = "host", min_vectors: int = MIN_VECTORS) -> DataFrame:
     """Squared Mahalanobis distance of each vector to its host's running mean and covariance, itself included."""
     order = Window.partitionBy(key).orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)

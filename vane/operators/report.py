@@ -82,6 +82,17 @@ def summary_payload(clusters: DataFrame, *keys: str, n: int = 10, most: int = 20
     return top.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("payload"))
 
 
+def summary_document(insights: DataFrame, clusters: DataFrame, n_insights: int = 20, n_clusters: int = 20, most: int = 200) -> DataFrame:
+    """One row, payload: a JSON document with the first findings (critical first, then newest) and the largest clusters (template, source, lines, errors), every text bounded."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    text = lambda c: bounded_text(F.col(c), most).alias(c)
+    i = insights.orderBy(rank, F.desc("time"), "id").limit(n_insights).withColumn("rank", F.row_number().over(Window.orderBy(rank, F.desc("time"), "id")))  # n rows
+    i = i.agg(F.array_sort(F.collect_list(F.struct("rank", text("kind"), text("severity"), text("title"), text("metric"), "value", text("description")))).alias("insights"))
+    c = clusters.orderBy(F.desc("lines"), "template", "source").limit(n_clusters).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("lines"), "template", "source")))  # n rows
+    c = c.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("lines").alias("count"), F.col("errors").alias("errorCount"), text("source"), text("template")))).alias("clusters"))
+    return i.join(F.broadcast(c)).select(F.to_json(F.struct("insights", "clusters")).alias("payload"))  # one row each
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header; quotes are doubled and line breaks stay inside quotes."""
     df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)

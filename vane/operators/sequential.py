@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,17 +181,23 @@ def burn_forecast(readings: DataFrame, *keys: str, min_readings: int = 20, horiz
     return scan(readings.select(*keys, seconds, value), list(keys), [seconds], Burn, lambda b, row: b.observe(row[k], row[k + 1]), schema, end)
 
 
-def metric_forecast(minutes: DataFrame, horizons: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:
-    """Holt's forecast of every series (name, at, value) some minutes ahead."""
+class Holt:
+    """Level and trend of a series, and its last time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        level, trend = float(pdf.value.iloc[0]), 0.0
-        for y in pdf.value.iloc[1:]:
-            new = LEVEL * y + (1 - LEVEL) * (level + trend)
-            trend = TREND * (new - level) + (1 - TREND) * trend
-            level = new
-        origin = pdf["at"].iloc[-1]
-        return pd.DataFrame({"name": pdf.name.iloc[0] if isinstance(pdf.name, pd.Series) else pdf["name"].iloc[0], "at": [origin + pd.Timedelta(minutes=h) for h in horizons], "value": [level + h * trend for h in horizons]})
+    def __init__(self) -> None:
+        self.level, self.trend, self.at = None, 0.0, None
+
+    def observe(self, at, y: float) -> None:
+        before = self.level
+        self.level = y if before is None else LEVEL * y + (1 - LEVEL) * (before + self.trend)
+        if before is not None:
+            self.trend = TREND * (self.level - before) + (1 - TREND) * self.trend
+        self.at = at
+
+
+def metric_forecast(minutes: DataFrame, horizons: tuple[int, ...] = (5, 15, 30, 60), scan=ordered_scan) -> DataFrame:
+    """Holt's forecast of every series (name, at, value) some minutes ahead. A task streams series and holds the level and trend of one."""
+    def end(h: Holt, key: tuple) -> list[tuple]:
+        return [(*key, h.at + timedelta(minutes=m), h.level + m * h.trend) for m in horizons]
 
-    return minutes.select("name", "at", "value").groupBy("name").applyInPandas(run, "name string, at timestamp, value double")
+    return scan(minutes.select("name", "at", "value"), ["name"], ["at"], Holt, lambda h, row: h.observe(row[1], row[2]), "name string, at timestamp, value double", end)
