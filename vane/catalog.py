@@ -475,6 +475,17 @@ def learned_thresholds(spark, d):
     return rounded(sequential.learned_thresholds(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name"), "warn", "critical")
 
 
+@query(f"""WITH {ZSCORE.format(by='')}, r AS (SELECT name, seq, z, timestamp::DATE AS day, floor(least(abs(z), 12) * 100)::INTEGER AS bin FROM z WHERE z IS NOT NULL), c AS (SELECT name, day, bin, count(*) AS c FROM r GROUP BY ALL),
+ g AS (SELECT d.name, d.day, b.bin, (SELECT coalesce(sum(c), 0) FROM c WHERE c.name = d.name AND c.bin = b.bin AND c.day < d.day) AS h FROM (SELECT DISTINCT name, day FROM c) d JOIN (SELECT DISTINCT name, bin FROM c) b ON b.name = d.name),
+ u AS (SELECT *, sum(h) OVER (PARTITION BY name, day ORDER BY bin) AS cum, sum(h) OVER (PARTITION BY name, day) AS n FROM g),
+ l AS (SELECT name, day, max(n) AS n, min(CASE WHEN cum >= 0.999 * n THEN (bin + 1) / 100.0 END) AS w, min(CASE WHEN cum >= 0.9999 * n THEN (bin + 1) / 100.0 END) AS p FROM u GROUP BY ALL),
+ m AS (SELECT name, day, CASE WHEN n >= 200 THEN least(greatest(w, 2), 12) ELSE 3.0 END AS warn, CASE WHEN n >= 1000 THEN least(greatest(p, 2), 12) ELSE 5.0 END AS page FROM l)
+ SELECT name, seq, round(z, 4) AS z, round(warn, 4)::DOUBLE AS warn, round(greatest(warn, page), 4)::DOUBLE AS critical, CASE WHEN abs(z) >= greatest(warn, page) THEN 'critical' WHEN abs(z) >= warn THEN 'warning' END AS severity FROM r JOIN m USING (name, day)""")
+def daily_thresholds(spark, d):
+    t = sequential.daily_thresholds(baseline.metric_zscore(tables.metrics(spark, d), "name"), "name", warn_from=200, page_from=1_000)
+    return rounded(t, "z", "warn", "critical").select("name", "seq", "z", "warn", "critical", "severity")
+
+
 def burn_readings(spark, d):
     """The spent share of each source's errors by day, as readings."""
     from pyspark.sql import Window

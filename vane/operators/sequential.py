@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vane.plans.ordered import ordered_scan
@@ -101,6 +101,41 @@ def learned_thresholds(scored: DataFrame, *keys: str, warn_from: int = 2_000, pa
     return scan(rows, list(keys), ["timestamp", "seq"], lambda: Thresholds(warn_from, page_from), step, f"{kinds_of(rows, *rows.columns)}, warn double, critical double, severity string")
 
 
+#: Bins of |z| for each unit, up to CEILING.
+FINE = 100
+
+
+def daily_thresholds(scored: DataFrame, *keys: str, warn_from: int = 2_000, page_from: int = 20_000) -> DataFrame:
+    """learned_thresholds for hot keys: each day's limits are the quantiles of the key's |z| on all days before it.
+
+    |z| is counted in bins of 0.01, which add up over days, so no task holds a key; a limit is the upper edge of its bin, exact to
+    the bin. A day's limits do not move within the day. Before there are enough points, and within [2, 12], as there.
+    """
+    day = F.to_date("timestamp")
+    rows = scored.where("z IS NOT NULL").select(*keys, "timestamp", "seq", "z").withColumn("_day", day)
+    bins = F.floor(F.least(F.abs("z"), F.lit(CEILING)) * FINE).cast("int")
+    named = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    ids = [f"_{i}" for i in range(len(keys))]
+    counts = rows.select(*named, "_day", bins.alias("_bin")).groupBy(*ids, "_day", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    # a row for each day and each bin that the key ever has: at most 1,201 a day
+    tagged = lambda df, c: df.select(F.struct(*ids, F.lit(0)).alias("_key"), *c)
+    counts = tagged(counts, ["_day", "_bin", "_c"])
+    grid = counts.select("_key", "_day").distinct().join(counts.select("_key", "_bin").distinct(), "_key").join(counts, ["_key", "_day", "_bin"], "left")
+    past = Window.partitionBy("_key", "_bin").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_h", F.coalesce(F.sum("_c").over(past), F.lit(0)))
+    upto = Window.partitionBy("_key", "_day").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumns({"_cum": F.sum("_h").over(upto), "_n": F.sum("_h").over(Window.partitionBy("_key", "_day"))})
+    edge = lambda p: F.min(F.when(F.col("_cum") >= p * F.col("_n"), (F.col("_bin") + 1) / FINE))
+    bound = lambda c: F.least(F.greatest(c, F.lit(FLOOR)), F.lit(CEILING))
+    limits = grid.groupBy("_key", "_day").agg(F.max("_n").alias("_n"), edge(WARN_P).alias("_w"), edge(PAGE_P).alias("_p"))
+    warn = F.when(F.col("_n") >= warn_from, bound(F.col("_w"))).otherwise(3.0)
+    page = F.when(F.col("_n") >= page_from, bound(F.col("_p"))).otherwise(5.0)
+    limits = limits.select(*[F.col(f"_key.{i}").alias(i) for i in ids], F.col("_day").alias("_on"), warn.alias("warn"), F.greatest(warn, page).alias("critical"))
+    j = rows.join(limits, [*[F.col(k).eqNullSafe(F.col(i)) for k, i in zip(keys, ids)], F.col("_day") == F.col("_on")])
+    verdict = F.when(F.abs("z") >= F.col("critical"), "critical").when(F.abs("z") >= F.col("warn"), "warning")
+    return j.select(*keys, "timestamp", "seq", "z", "warn", "critical", verdict.alias("severity"))
+
+
 def threshold_rates(graded: DataFrame, *keys: str) -> DataFrame:
     """Points, share of warnings and of pages by key, and the last limits: what a calibration does, which has no labels."""
     last = F.struct("timestamp", "seq")
