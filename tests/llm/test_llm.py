@@ -647,3 +647,14 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == want
     got = corpus_pipeline.unseen_benchmark(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter([*rows[:10], *rows[12:]])
+
+
+def test_full_texts_are_followed_over_any_number_of_paragraphs(spark):
+    """A licence's text is found wherever its lines are parted, and after a long text that mentions nothing."""
+    texts = [max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("BSD-3-Clause", "Apache-2.0", "MIT")]
+    rows = []
+    for i, t in enumerate(texts):
+        sentences = re.split(r"(?<=[.;:])\s+", t)
+        rows += [(10 * i, t), (10 * i + 1, "\n\n".join(sentences)), (10 * i + 2, "Nothing here. " * 3_000 + "\n\n" + "\n \n\n".join(sentences) + "\n\nand so on")]
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()}
+    assert {(10 * i + k, n) for i, n in enumerate(("BSD-3-Clause", "Apache-2.0", "MIT")) for k in range(3)} <= got

@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 Paragraphs (up to blank lines; a licence's full text may run over several) that mention a licence are searched for the wording
-of every template: its words in order, but for fillers, with no version or variant put between. Short templates (a name beside
+of every template: its words in order, but for fillers, with no version or variant put between, over as many following paragraphs as a wording can take. Short templates (a name beside
 the word licence) allow nothing between but fillers and other licences' names; long ones a few other words. Each place found
 is compressed with zstandard alone and with the template as raw dictionary. The templates are ranked by the size that their
 dictionary saves; a winner must save at least `LEAST_GAIN` of the bytes, and is confirmed by its exact wording differences: no word of
@@ -146,17 +146,16 @@ def confirmed_spans(text: str, needs: list[tuple[list[str], int]]) -> list[tuple
     if not MENTION.search(text):
         return out
     paragraphs = [p.span() for p in PARAGRAPH.finditer(text)]
-    mentions = [bool(MENTION.search(text, s, e)) for s, e in paragraphs]
-    k = 0
-    while k < len(paragraphs):
-        if not mentions[k]:
-            k += 1
+    sizes = [sum(1 for _ in PARTS.finditer(text, s, e)) for s, e in paragraphs]
+    reach = max((2 * size + PUT for _, size in needs), default=0)  # no wording is longer, wherever its paragraphs end
+    for k, (start, end) in enumerate(paragraphs):
+        if not MENTION.search(text, start, end):
             continue
-        last = k  # a full text goes on in the paragraphs after its mention
-        while last + 1 < len(paragraphs) and last + 1 - k < 4:
+        last, more = k, 0  # a full text goes on in the paragraphs after its mention
+        while last + 1 < len(paragraphs) and more < reach:
             last += 1
-        out += places_in(text, paragraphs[k][0], paragraphs[last][1], paragraphs[k][1], needs)
-        k += 1
+            more += sizes[last]
+        out += places_in(text, start, paragraphs[last][1], end, needs)
     return sorted(set(out))
 
 
