@@ -687,10 +687,10 @@ def relative_gauges(spark, d):
 
 @query("SELECT event_type || '_total' AS name, user_id::VARCHAR AS user, max(value) AS value FROM events GROUP BY ALL")
 def exposition_rollup(spark, d):
-    """Events as scrapes in exposition text, one scrape a user, then read back and reduced."""
+    """Events as scrapes in exposition text, one scrape a user and hour, then read back and reduced."""
     e = tables.table(spark, d, "events")
     line = F.concat("event_type", F.lit('_total{user="'), F.col("user_id").cast("string"), F.lit('"} '), F.col("value").cast("string"))
-    scrapes = e.groupBy(F.col("user_id").alias("scrape")).agg(F.concat_ws("\n", F.lit("# TYPE x counter"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    scrapes = e.groupBy(F.concat_ws("@", "user_id", F.date_trunc("hour", "ts")).alias("scrape")).agg(F.concat_ws("\n", F.lit("# TYPE x counter"), F.array_join(F.collect_list(line), "\n")).alias("value"))
     s = wire.exposition_samples(scrapes)
     return s.groupBy("name", F.col("labels")["user"].alias("user")).agg(F.max("value").alias("value"))
 
