@@ -658,3 +658,35 @@ def test_full_texts_are_followed_over_any_number_of_paragraphs(spark):
         rows += [(10 * i, t), (10 * i + 1, "\n\n".join(sentences)), (10 * i + 2, "Nothing here. " * 3_000 + "\n\n" + "\n \n\n".join(sentences) + "\n\nand so on")]
     got = {(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()}
     assert {(10 * i + k, n) for i, n in enumerate(("BSD-3-Clause", "Apache-2.0", "MIT")) for k in range(3)} <= got
+
+
+def test_licenses_by_rank_then_wording(spark):
+    """Identifier lines, later versions, denials, headings, texts that differ in one clause; the ranking covers all templates."""
+    bsd = {n: max((t for k, t in licenses.TEMPLATES if k == n), key=len) for n in ("BSD-2-Clause", "BSD-3-Clause")}
+    end = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" and more'
+    head = "Copyright (c) 2020, X.\n# All rights reserved.\n#\n# "
+    rows = {
+        "# SPDX-License-Identifier: MIT": {("MIT", False)},
+        "// SPDX-License-Identifier: GPL-3.0-or-later": {("GPL-3.0", True)},
+        "# SPDX-License-Identifier: GPL-2.0-only": {("GPL-2.0", False)},
+        "SPDX-License-Identifier: Apache-2.0 OR MIT": {("Apache-2.0", False), ("MIT", False)},
+        "License: GPL-3.0 or Apache-2.0": {("GPL-3.0", False), ("Apache-2.0", False)},
+        "License: LGPL-3.0+": {("LGPL-3.0", True)},
+        "Unlike software released under the MIT License, this is secret.": set(),
+        "They did not come. Released under the MIT License.": {("MIT", False)},
+        head + bsd["BSD-3-Clause"] + end: {("BSD-3-Clause", False)},
+        head + bsd["BSD-2-Clause"]: {("BSD-2-Clause", False)},
+        "word " * 60_000 + "\n\nReleased under the ISC License.\n\n" + "word " * 60_000: {("ISC", False)},
+    }
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("confirmed").collect()
+    assert {i: {(r.license, r.or_later) for r in got if r.doc_id == i} for i in range(len(rows))} == dict(enumerate(rows.values()))
+    texts = list(rows)
+    assert all(r.block_text == texts[r.doc_id][r.start : r.end] and 1 <= r.rank <= len(licenses.TEMPLATES) for r in got)
+    assert all(r.rank == 1 for r in got if r.license.startswith("BSD"))
+
+
+def test_licenses_of_every_template_amid_other_text(spark):
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE length(text) > 1000 ORDER BY doc_id").fetchall() if not licenses.MENTION.search(t)]
+    rows = [(i, f"{texts[i][:500]}\n\n{t}\n\n{texts[i][500:]}") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    assert Counter((r.doc_id, r.license) for r in got) == Counter((i, n) for i, (n, _) in enumerate(licenses.TEMPLATES))

@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-Paragraphs (up to blank lines; a licence's full text may run over several) that mention a licence are searched for the wording
-of every template: its words in order, but for fillers, with no version or variant put between, over as many following paragraphs as a wording can take. Short templates (a name beside
-the word licence) allow nothing between but fillers and other licences' names; long ones a few other words. Each place found
-is compressed with zstandard alone and with the template as raw dictionary. The templates are ranked by the size that their
-dictionary saves; a winner must save at least `LEAST_GAIN` of the bytes, and is confirmed by its exact wording differences: no word of
-it missing, none that denies put between or before. Of overlapping places the one that saves most stays, so a
-notice may be wrapped over lines and several licences may stand in one line. Lines that mention a licence and hold no such
-place are reported unconfirmed, directly following ones as one row, with the template that saves most.
-
-A licence found several times in a paragraph is one row for each template that says it without overlap. Of equal gains the
+A candidate block is a mention of a licence (or a few near each other) with as many words on either side as the template's wording
+can take. It is compressed with zstandard alone and with the template as raw dictionary, for every template, and the templates are
+ranked by the bytes that their dictionaries save. Down that ranking each template is
+confirmed by its exact wording differences: a place near the mention holds its words in order, but for fillers, with no version or
+variant put between, no word of it missing, none that denies put between or before, and the dictionary saves at least
+`LEAST_GAIN` of the place's bytes. Short templates (a name beside the word licence) stay in one paragraph and allow nothing
+between but fillers and other licences' names; long ones run over any number of paragraphs and allow a few other words. Of
+overlapping places that of the higher rank stays, so a notice may be wrapped over lines, several licences may stand in one line,
+and a text with a clause more than another's counts as its own licence. "All rights reserved" straight before a full text is that
+text's heading, not a licence. `or_later` says that later versions are allowed as well. Lines that mention a licence and hold no
+such place are reported unconfirmed, directly following ones as one row, with the template that saves most.
+
+A licence found several times in a block is one row for each template that says it without overlap. Of equal gains the
 template listed first wins. Null and empty texts have no rows; repeated rows repeat theirs; an empty table gives an empty
 result; a very long text costs its length and, for each mention, a window of words. Extra columns, whatever their names, are ignored.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -80,20 +84,27 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("WTFPL", "Released under the Do What The Fuck You Want To Public License."),
+    ("Unlicense", "License: Unlicense"),
+    ("Zlib", "License: Zlib"),
+    ("EPL-2.0", "License: EPL-2.0"),
+    ("BSL-1.0", "License: BSL-1.0"),
+    ("CC0-1.0", "License: CC0-1.0"),
+    ("WTFPL", "License: WTFPL"),
+    ("LGPL-2.1", "License: LGPL-2.1"),
     ("proprietary", "All rights reserved."),
 ]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEMPLATES) if name != "proprietary"]
 MENTION = re.compile(r"licen[sc]e|copyright|rights reserved|creative commons|public domain|permission (?:is|to use)|redistributions? (?:and use|of source|in binary)|\bCC[ -]BY|\bCC0", re.IGNORECASE)
 WORDS = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Words that notices exchange freely.
-FILLERS = frozenset("this work is are released distributed made available under the a an of to in version v by terms subject and".split())
+FILLERS = frozenset("this work is are released distributed made available under the a an of to in version v by terms subject and spdx identifier".split())
 #: Words that deny a licence.
-DENIALS = frozenset("not no never non without nor neither isn aren wasn don doesn cannot nicht kein keine pas sin".split())
+DENIALS = frozenset("not no never non without nor neither isn aren wasn don doesn cannot nicht kein keine pas sin unlike".split())
 #: Full texts are not taken as found if the dictionary saves less than this share of the bytes.
 LEAST_GAIN = 0.15
 
 
 PARTS = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*", re.IGNORECASE)
-PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
 #: Words that make another licence of a notice.
 VARIANT = re.compile(r"\d.*|nc|nd|sa|lesser|affero|noncommercial|noderivatives|sharealike", re.DOTALL)
 #: Words that a template needs to count as long; other words that may stand between a long one's words, beside as many as it has.
@@ -118,6 +129,14 @@ def template_parts(template: str) -> tuple[list[str], int]:
     return [w for w in found if w not in FILLERS], len(found)
 
 
+def stops(parts: list[str], k: int, before: int, long: bool) -> bool:
+    """Whether word k may not stand between the wording's word at before and its next one. A version behind another licence's name is that licence's own."""
+    word = parts[k]
+    if word[0].isdigit():
+        return not long and not (k - 1 > before and parts[k - 1] in LISTED and parts[k - 1] != "clause")
+    return bool(VARIANT.fullmatch(word)) or not (long or word in FILLERS or word in LISTED)
+
+
 def find_wording(needed: list[str], size: int, places: dict[str, list[int]], parts: list[str], start: int = 0) -> tuple[int, int] | None:
     """First and last word of the first place, from start on, that holds the needed words in order."""
     long = len(needed) >= LONG
@@ -127,7 +146,7 @@ def find_wording(needed: list[str], size: int, places: dict[str, list[int]], par
         at = first
         for word in needed[1:]:
             end = min(len(parts), first + 2 * size + PUT)
-            at = next((k for k in range(at + 1, end) if parts[k] == word or VARIANT.fullmatch(parts[k]) and not (parts[k][0].isdigit() and long) or not (long or parts[k] in FILLERS or parts[k] in LISTED)), -1)
+            at = next((k for k in range(at + 1, end) if parts[k] == word or stops(parts, k, at, long)), -1)
             if at < 0 or parts[at] != word:
                 break
         else:
@@ -135,58 +154,111 @@ def find_wording(needed: list[str], size: int, places: dict[str, list[int]], par
     return None
 
 
-def denied(parts: list[str], first: int, last: int, size: int) -> bool:
-    """Whether a word that denies stands shortly before or, in a short template's place, between."""
-    return any(w in DENIALS for w in parts[max(0, first - 4) : first]) or (size < LONG and any(w in DENIALS for w in parts[first : last + 1]))
-
-
-def confirmed_spans(text: str, needs: list[tuple[list[str], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, template, start and end of the licence's name) of the places of every template's wording in the paragraphs that mention a licence."""
-    out = []
-    if not MENTION.search(text):
-        return out
-    paragraphs = [p.span() for p in PARAGRAPH.finditer(text)]
-    sizes = [sum(1 for _ in PARTS.finditer(text, s, e)) for s, e in paragraphs]
-    reach = max((2 * size + PUT for _, size in needs), default=0)  # no wording is longer, wherever its paragraphs end
-    for k, (start, end) in enumerate(paragraphs):
-        if not MENTION.search(text, start, end):
+#: Licences whose notices may allow later versions, and how they say so: after a name, and within a full text.
+WITH_VERSIONS = ("GPL-", "LGPL-", "AGPL-")
+OR_LATER = re.compile(r"-or-later\b|\+(?!\w)|[\s,;(]*\bor\s+\(?(?:at\s+your\s+option\)?,?\s+)?(?:any\s+)?(?:later|newer)\b(?:\s+versions?\b)?", re.IGNORECASE)
+LATER_VERSION = re.compile(r"\bany\s+later\s+version\b", re.IGNORECASE)
+BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
+SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s|\n[^\S\n]*\n")
+
+
+def denied(text: str, tokens: list[re.Match], parts: list[str], first: int, last: int, size: int) -> bool:
+    """Whether a word that denies is one of the four words before in the sentence, fillers aside, or, in a short template's place, between."""
+    seen, k = 0, first
+    while k and seen < 4 and not SENTENCE_END.search(text, tokens[k - 1].end(), tokens[k].start()):
+        k -= 1
+        if parts[k] in DENIALS:
+            return True
+        seen += parts[k] not in FILLERS
+    return size < LONG and any(w in DENIALS for w in parts[first : last + 1])
+
+
+def mention_groups(text: str) -> tuple[list[re.Match], list[tuple[int, int]]]:
+    """The words of a text that mentions a licence, and the first and last mention of each group (at most PUT words apart), as words."""
+    mentions = [m.start() for m in MENTION.finditer(text)]
+    if not mentions:
+        return [], []
+    tokens = list(PARTS.finditer(text))
+    ends, out = [m.end() for m in tokens], []
+    for at in mentions:
+        word = min(bisect_right(ends, at), len(tokens) - 1)
+        if out and word - out[-1][0] <= PUT:
+            out[-1] = (out[-1][0], word)
+        else:
+            out.append((word, word))
+    return tokens, out
+
+
+def ranking_of(text: str, tokens: list[re.Match], first: int, last: int, needs: list[tuple[list[str], int]], tools: Compressors) -> list[tuple[int, int]]:
+    """(bytes saved, template), most first: what every template saves of the block around the mentions first to last that is as wide as its wording may be."""
+    by_size: dict[int, list[int]] = {}
+    for t, (_, size) in enumerate(needs):
+        by_size.setdefault(size, []).append(t)
+    saved = []
+    for size, ts in by_size.items():
+        a, b = max(0, first - 2 * size - PUT), min(len(tokens), last + 2 * size + PUT + 1)
+        _, gains = tools.gains(text[tokens[a].start() : tokens[b - 1].end()].encode("utf-8", "surrogatepass"), ts)
+        saved += zip(gains, ts)
+    return sorted(saved, key=lambda x: (-x[0], x[1]))
+
+
+def wording_place(text: str, tokens: list[re.Match], parts: list[str], places: dict[str, list[int]], needed: list[str], size: int) -> tuple[int, int, int, int] | None:
+    """(start, end, start and end of the licence's name) of a template's wording in a block of words."""
+    at, long = 0, len(needed) >= LONG
+    while found := find_wording(needed, size, places, parts, at):
+        first, last = found
+        at, core = first + 1, [k for k in range(first, last + 1) if parts[k] in needed]
+        if not long and BLANK_LINE.search(text, tokens[first].end(), tokens[last].start()):
             continue
-        last, more = k, 0  # a full text goes on in the paragraphs after its mention
-        while last + 1 < len(paragraphs) and more < reach:
+        acronym = next((k for k in (first, last) if parts[k] in ("mit", "isc")), None)
+        if (acronym is not None and not tokens[acronym][0].isupper()) or denied(text, tokens, parts, first, last, len(needed)):
+            continue
+        while first and parts[first - 1] in FILLERS and "\n" not in text[tokens[first - 1].end() : tokens[first].start()] and not re.search(r"[.;:!?]", text[tokens[first - 1].end() : tokens[first].start()]):
+            first -= 1
+        while last + 1 < len(parts) and parts[last + 1] in FILLERS and text[tokens[last].end() : tokens[last + 1].start()].strip(" \t") == "":
             last += 1
-            more += sizes[last]
-        out += places_in(text, start, paragraphs[last][1], end, needs)
-    return sorted(set(out))
-
-
-def places_in(text: str, start: int, end: int, first_end: int, needs: list[tuple[list[str], int]]) -> list[tuple[int, int, int, int, int]]:
-    """Places that begin in text[start:first_end] and end in text[start:end]; short templates do not leave that first paragraph."""
-    out = []
-    tokens = list(PARTS.finditer(text, start, end))
-    parts = [part(m[0]) for m in tokens]
-    own = next((k for k, m in enumerate(tokens) if m.start() >= first_end), len(tokens))
-    places: dict[str, list[int]] = {}
-    for k, w in enumerate(parts[:own]):
-        places.setdefault(w, []).append(k)
-    for t, (needed, size) in enumerate(needs):
-        at = 0
-        while found := find_wording(needed, size, places, parts if len(needed) >= LONG else parts[:own], at):
-            first, last = found
-            at, core = first + 1, [k for k in range(first, last + 1) if parts[k] in needed]
-            acronym = next((k for k in (first, last) if parts[k] in ("mit", "isc")), None)
-            if (acronym is not None and not tokens[acronym][0].isupper()) or denied(parts, first, last, len(needed)):
+        to = tokens[last].end()
+        name = [k for k in core if parts[k] != "license"] or core
+        return tokens[first].start(), to + len(re.match(r"[.,;:!?)]*", text[to : to + 4])[0]), tokens[name[0]].start(), tokens[name[-1]].end()
+    return None
+
+
+def confirmed_places(text: str, templates: list[tuple[str, str]], needs: list[tuple[list[str], int]], tools: Compressors) -> list[tuple[int, int, int, int, int, int, bool]]:
+    """(start, end, template, bytes alone, bytes saved, rank of the template in its block, later versions allowed) of the places that confirm a template."""
+    tokens, groups = mention_groups(text)
+    reach = max((2 * size + PUT for _, size in needs), default=0)
+    found = []
+    for first, last in groups:
+        mine = tokens[max(0, first - reach) : last + reach + 1]
+        parts = [part(m[0]) for m in mine]
+        places: dict[str, list[int]] = {}
+        for k, w in enumerate(parts):
+            places.setdefault(w, []).append(k)
+        for rank, (saved, t) in enumerate(ranking_of(text, tokens, first, last, needs, tools), 1):
+            place = wording_place(text, mine, parts, places, *needs[t])
+            if place is None:
                 continue
-            while first and parts[first - 1] in FILLERS and "\n" not in text[tokens[first - 1].end() : tokens[first].start()] and not re.search(r"[.;:!?]", text[tokens[first - 1].end() : tokens[first].start()]):
-                first -= 1
-            while last + 1 < own and parts[last + 1] in FILLERS and text[tokens[last].end() : tokens[last + 1].start()].strip(" \t") == "":
-                last += 1
-            to = tokens[last].end()
-            name = [k for k in core if parts[k] != "license"] or core
-            out.append((tokens[first].start(), to + len(re.match(r"[.,;:!?)]*", text[to : to + 4])[0]), t, tokens[name[0]].start(), tokens[name[-1]].end()))
-            break
+            alone, (gain,) = tools.gains(text[place[0] : place[1]].encode("utf-8", "surrogatepass"), [t])
+            if gain >= LEAST_GAIN * alone:
+                found.append((-saved, t, *place, alone, gain, rank))
+    out, names = [], []
+    for _, t, start, end, *name, alone, gain, rank in sorted(found):
+        if all(name[1] <= s or e <= name[0] for s, e in names):  # "License: A or B": the names stand apart
+            names.append(name)
+            later = False
+            if templates[t][0].startswith(WITH_VERSIONS):
+                after = OR_LATER.match(text, name[1])
+                later = bool(after or LATER_VERSION.search(text, start, end))
+                end = max(end, after.end() if after else end)
+            out.append((start, end, t, alone, gain, rank, later))
     return out
 
 
+def is_heading(text: str, place: tuple, places: list[tuple], templates: list[tuple[str, str]], needs: list[tuple[list[str], int]]) -> bool:
+    """Whether a reservation of rights stands straight before a full text."""
+    return templates[place[2]][0] == "proprietary" and any(len(needs[p[2]][0]) >= LONG and p[0] >= place[1] and not PARTS.search(text, place[1], p[0]) for p in places)
+
+
 def blocks(text: str, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """(start, end) of runs of lines that mention a licence and hold nothing of the taken spans."""
     if not MENTION.search(text):
@@ -226,7 +298,7 @@ def wording(template: str, block: str) -> tuple[list[str], list[str]]:
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, start, end, license, confirmed, plain_bytes, gain_bytes, missing, added, block_text: one row a template found or unconfirmed block."""
+    """doc_id, start, end, license, confirmed, plain_bytes, gain_bytes, rank, or_later, missing, added, block_text: one row a template found or unconfirmed block."""
     templates = TEMPLATES if templates is None else templates
     needs = [template_parts(t) for _, t in templates]
 
@@ -235,30 +307,21 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         out = []
         for row, text in enumerate(batch.column("text").to_pylist()):
             text = text or ""
-            ranked = []
-            for start, end, t, *name in confirmed_spans(text, needs):
-                alone, gains = tools.gains(text[start:end].encode("utf-8", "surrogatepass"), [t])
-                if gains[0] >= LEAST_GAIN * alone:
-                    ranked.append((-gains[0], t, start, end, alone, name))
-            taken, names, mine = [], [], []
-            for gain, t, start, end, alone, name in sorted(ranked):
-                if all(name[1] <= s or e <= name[0] for s, e in names):  # "License: A or B": the names stand apart
-                    names.append(name)
-                    taken.append((start, end))
-                    mine.append((start, end, t, True, alone, -gain))
-            for start, end in blocks(text, taken):
+            places = confirmed_places(text, templates, needs, tools)
+            mine = [(*p[:3], True, *p[3:]) for p in places if not is_heading(text, p, places, templates, needs)]
+            for start, end in blocks(text, [p[:2] for p in places]):
                 alone, gains = tools.gains(text[start:end].encode("utf-8", "surrogatepass"))
                 t = min(range(len(templates)), key=lambda t: (-gains[t], t))
-                mine.append((start, end, t, False, alone, gains[t]))
-            for start, end, t, confirmed, alone, gain in sorted(mine):
+                mine.append((start, end, t, False, alone, gains[t], 1, False))
+            for start, end, t, confirmed, alone, gain, rank, later in sorted(mine):
                 missing, put = wording(templates[t][1], text[start:end])
-                out.append((row, start, end, templates[t][0], confirmed, alone, gain, " ".join(missing), " ".join(put), text[start:end]))
+                out.append((row, start, end, templates[t][0], confirmed, alone, gain, rank, later, " ".join(missing), " ".join(put), text[start:end]))
         ids = batch.column("doc_id").take(pa.array([r[0] for r in out], pa.int64()))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i + 1] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "start", "end", "license", "confirmed", "plain_bytes", "gain_bytes", "missing", "added", "block_text"])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i + 1] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "start", "end", "license", "confirmed", "plain_bytes", "gain_bytes", "rank", "or_later", "missing", "added", "block_text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), "text", work, f"doc_id {kind}, start bigint, end bigint, license string, confirmed boolean, plain_bytes bigint, gain_bytes bigint, missing string, added string, block_text string")
+    return map_texts(docs.select("doc_id", "text"), "text", work, f"doc_id {kind}, start bigint, end bigint, license string, confirmed boolean, plain_bytes bigint, gain_bytes bigint, rank int, or_later boolean, missing string, added string, block_text string")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
