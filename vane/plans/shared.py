@@ -40,23 +40,36 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
-def stored_run(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """df written as a run: Parquet in the shared folder, dealt into buckets by keys and sorted by them in each.
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored_run(df: DataFrame, name: str, *keys: str, path: str | None = None) -> DataFrame:
+    """df written as a run: Parquet in the shared folder (or at path), dealt into buckets by keys and sorted by them in each.
 
     There are as many buckets as shuffle partitions, so rows that a shuffle by keys has dealt are not dealt again. Joins of runs
     by their keys, and of rows dealt so, merge file by file without an exchange or a sort, if they end in another run (scans count as sorted only
     while one is written). The table's name is gone from the catalog at once; the files stay.
     """
     spark = df.sparkSession
-    table, path = f"run_{uuid.uuid4().hex}", new_path(spark, name)
+    table, path = f"run_{uuid.uuid4().hex}", path or new_path(spark, name)
     before = spark.conf.get(SORTED_SCANS)
     spark.conf.set(SORTED_SCANS, "true")
     try:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        df.write.format("parquet").bucketBy(bucket_count(spark), *keys).sortBy(*keys).option("path", path).saveAsTable(table)
         found = spark.table(table)
         found.schema  # resolved before the name goes
         spark.sql(f"DROP TABLE {table}")
     finally:
         spark.conf.set(SORTED_SCANS, before)
     return found
+
+
+def opened_run(spark: SparkSession, path: str, buckets: int, schema: str, *keys: str) -> DataFrame:
+    """A run that an earlier session wrote (with so many buckets), with its buckets and their order."""
+    table, by, at = f"run_{uuid.uuid4().hex}", ", ".join(keys), path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet OPTIONS (path '{at}') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {int(buckets)} BUCKETS")
+    found = spark.table(table)
+    found.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return found
