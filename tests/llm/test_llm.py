@@ -690,3 +690,29 @@ def test_licenses_of_every_template_amid_other_text(spark):
     rows = [(i, f"{texts[i][:500]}\n\n{t}\n\n{texts[i][500:]}") for i, (_, t) in enumerate(licenses.TEMPLATES)]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
     assert Counter((r.doc_id, r.license) for r in got) == Counter((i, n) for i, (n, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_line_index_goes_on_in_a_second_call(spark, tmp_path):
+    """Two calls over halves of the documents: the second equals SQL over all; under another number of buckets; a repeated call adds nothing."""
+    made = spark.createDataFrame([(10**9 + i, f"held by ten\nown {i}") for i in range(10)], "doc_id long, text string")
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(made).write.parquet(str(tmp_path / "docs"))
+    docs, folder, before = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "index"), spark.conf.get("spark.sql.shuffle.partitions")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+    want = set(c.sql(line_dedup.OP4_SQL).fetchall())
+    halves = [docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")]
+    digest = lambda df: {(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in df.collect()}
+    alone = digest(line_dedup.drop_frequent_lines(halves[1]))
+    line_dedup.drop_frequent_lines(halves[0], index=line_dedup.LineRuns(10, folder=folder, spark=spark), name="even")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        index = line_dedup.LineRuns(10, folder=folder, spark=spark)
+        assert index.runs() and len(index.names) == 4
+        second = digest(line_dedup.drop_frequent_lines(halves[1], index=index, name="odd"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert second == {r for r in want if r[0] % 2} != alone
+    index = line_dedup.LineRuns(10, folder=folder, spark=spark)
+    keys = sorted(map(tuple, index.settled().collect()))
+    assert digest(line_dedup.drop_frequent_lines(halves[1], index=index, name="odd")) == second and len(index.names) == 8
+    assert sorted(map(tuple, line_dedup.LineRuns(10, folder=folder, spark=spark).settled().collect())) == keys

@@ -3,7 +3,9 @@
 A run is a table (h, g, n_docs) of distinct line keys, dealt into buckets and sorted by hash in each, so that runs merge bucket
 by bucket without an exchange or a sort. A key at `min_docs` documents is settled. Every new batch is anti-joined by sorted merge
 with the settled keys of the runs, and what remains becomes a run of level 0. When a level holds `fanout` runs they are
-compacted into one run of the next level, where counts of equal keys add up.
+compacted into one run of the next level, where counts of equal keys add up. Batches are read and counted one by one, each
+against the runs alone. An index in a folder outlives the call: its list of runs is a small file that changes all at once after
+each batch, so a later call (or one begun anew after a failure) goes on from it, and a batch that is named again is not added twice.
 
 Definitions. A line's key is the line without [\\x20\\x09-\\x0D] at either end, A-Z lower-cased. A document counts once for
 a key, rows that share a doc_id (null included) are one document. A null or empty text is one empty line. A key shorter than
@@ -14,12 +16,16 @@ operator's own columns replace theirs.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vane.functions.text import let
 from vane.llm.text_batches import free_name
-from vane.plans.shared import stored, stored_run
+from vane.plans.files import read_text, write_text
+from vane.plans.shared import bucket_count, new_path, opened_run, stored, stored_run
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,31 +48,49 @@ def line_hashes(lines: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """The index: levels of runs. Counts of a key add up over runs; a key at `min_docs` or above is settled."""
+    """The index: levels of runs (table, path, buckets). Counts of a key add up over runs; a key at `min_docs` or above is settled.
+
+    With a folder the runs lie there, and the index goes on from what the folder holds (its min_docs and fanout then count).
+    Runs that were compacted stay in it until its owner deletes them. One job at a time may add to it.
+    """
 
-    def __init__(self, min_docs: int, fanout: int = 2):
-        self.min_docs, self.fanout, self.levels = min_docs, fanout, [[]]
+    def __init__(self, min_docs: int, fanout: int = 2, folder: str | None = None, spark: SparkSession | None = None):
+        self.min_docs, self.fanout, self.levels, self.folder, self.names = min_docs, fanout, [[]], folder, []
+        saved = read_text(spark or SparkSession.active(), f"{folder}/runs.json") if folder else None
+        if saved:
+            held = json.loads(saved)
+            self.min_docs, self.fanout, self.names = held["min_docs"], held["fanout"], held["batches"]
+            self.levels = [[(opened_run(spark or SparkSession.active(), path, n, "h BIGINT, g BIGINT, n_docs BIGINT", "h", "g"), path, n) for path, n in level] for level in held["levels"]]
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for level in self.levels for run, _, _ in level]
 
     def settled(self) -> DataFrame | None:
         """h, g of the keys that have min_docs documents over all runs."""
         runs = self.runs()
         return merged(runs).where(F.col("n_docs") >= self.min_docs).select("h", "g") if runs else None
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: (h, g, n_docs), one row a key, of documents that no earlier batch held."""
+    def add(self, batch: DataFrame, name: str | None = None) -> None:
+        """batch: (h, g, n_docs), one row a key, of documents that no earlier batch held. A name that was added before adds nothing."""
+        if name is not None and name in self.names:
+            return
         for run in self.runs():
             batch = batch.join(run.where(F.col("n_docs") >= self.min_docs).select("h", "g").hint("merge"), ["h", "g"], "left_anti")
         self._put(0, batch)
+        if name is not None:
+            self.names.append(name)
+        if self.folder:
+            levels = [[(path, n) for _, path, n in level] for level in self.levels]
+            write_text(batch.sparkSession, f"{self.folder}/runs.json", json.dumps({"min_docs": self.min_docs, "fanout": self.fanout, "batches": self.names, "levels": levels}))
 
     def _put(self, level: int, rows: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(stored_run(rows.select("h", "g", "n_docs"), f"line-run-{level}", "h", "g"))
+        spark, name = rows.sparkSession, f"line-run-{level}"
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}" if self.folder else new_path(spark, name)
+        self.levels[level].append((stored_run(rows.select("h", "g", F.col("n_docs").cast("long").alias("n_docs")), name, "h", "g", path=path), path, bucket_count(spark)))
         if len(self.levels[level]) >= self.fanout:
-            rows, self.levels[level] = merged(self.levels[level]), []
+            rows, self.levels[level] = merged([run for run, _, _ in self.levels[level]]), []
             self._put(level + 1, rows)
 
 
@@ -90,19 +114,13 @@ def distinct_keys(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(by_h)) == F.size(hashes), hashes).otherwise(let(F.array_sort(hashes), firsts))
 
 
-def frequent_lines(hashed: DataFrame, min_docs: int, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """h, g of the keys of at least min_docs documents. hashed: (doc_id, hashes of a row's lines).
-
-    The documents are dealt into batches; one shuffle counts the keys of all of them, which then come as sorted runs.
-    """
-    pairs = hashed.select("doc_id", F.explode(let(F.array_compact("hashes"), distinct_keys)).alias("key")).select("doc_id", "key.h", "key.g")
+def frequent_lines(hashed: DataFrame, index: LineRuns, batches: int, name: str) -> DataFrame:
+    """h, g of the keys that are settled once the index has taken in all batches. hashed: (doc_id, hashes of a row's lines, batch)."""
+    pairs = hashed.select("doc_id", "batch", F.explode(let(F.array_compact("hashes"), distinct_keys)).alias("key")).select("doc_id", "batch", "key.h", "key.g")
     if hashed.groupBy("doc_id").count().where("count > 1").limit(1).count():  # several rows are one document: count it once
         pairs = pairs.distinct()
-    batch = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(batches))
-    counts = stored_run(pairs.groupBy("h", "g").agg(*[F.count_if(batch == b).alias(f"n_{b}") for b in range(batches)]), "line-batches", "h", "g")
-    index = LineRuns(min_docs, fanout)
     for b in range(batches):
-        index.add(counts.where(F.col(f"n_{b}") > 0).select("h", "g", F.col(f"n_{b}").alias("n_docs")))
+        index.add(pairs.where(F.col("batch") == b).groupBy("h", "g").agg(F.count("*").alias("n_docs")), f"{name}-{b}")
     return stored(index.settled(), "line-settled")
 
 
@@ -112,15 +130,19 @@ def flags_at(positions: Column) -> Column:
     return F.flatten(let(positions, gap))
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, index: LineRuns | None = None, name: str | None = None) -> DataFrame:
     """docs plus kept_text, n_lines and n_dropped: lines whose key min_docs documents hold are gone from every document.
 
-    Rows of one doc_id and text lose the same lines, so these two name a row in the table of hits.
+    The documents are dealt into batches by doc_id. With an index, the documents it has seen in earlier calls count too (docs are
+    then new documents, and name is theirs: a call repeated under a name adds nothing anew). Rows of one doc_id and text lose the
+    same lines, so these two name a row in the table of hits.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    index, name = index or LineRuns(min_docs, fanout), name or uuid.uuid4().hex
     lines, text_key = lines_of(F.col("text")), F.xxhash64("text")
-    hashed = stored(docs.select("doc_id", text_key.alias("text_key"), line_hashes(lines, min_chars).alias("hashes")), "line-hashes")
-    frequent = frequent_lines(hashed, min_docs, batches, fanout)
+    batch = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(batches)).cast("int")
+    hashed = stored(docs.select("doc_id", text_key.alias("text_key"), line_hashes(lines, min_chars).alias("hashes"), batch.alias("batch")), "line-hashes", "batch")
+    frequent = frequent_lines(hashed, index, batches, name)
     at = hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("at", "key")).select("doc_id", "text_key", "at", "key.h", "key.g")
     hits = at.where("h IS NOT NULL").join(frequent, ["h", "g"], "left_semi").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("at"))
     own = {c: free_name(docs.columns, c) for c in ("hit_doc", "hit_key", "dropped", "lines", "kept")}
