@@ -361,6 +361,33 @@ def test_ids_equal_the_library():
         assert fast.ids(t) == b"".join(struct.pack("<I", i) for i in slow.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_texts_are_encoded_in_few_calls(texts, monkeypatch):
+    import tiktoken
+
+    calls, encode = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, t: calls.append(len(t)) or encode(self, t))
+    tokens = packing.Tokens()
+    for t in texts.values():
+        tokens.ids(t or "")
+    assert calls == [len(t or "") for t in texts.values()]  # one a text; it was one a word, and the words cost more than the texts
+
+
+def test_slices_have_the_ids_of_the_text():
+    tokens = packing.Tokens()
+    for t in ["", " ", "a b", "it 's  we'll \n x", " a  b c\u00a0 d \u2028e ", "日本 語 é  \t b", "12 3 4  5", "x\x1c y z", "no_space", "  ", "a b "]:
+        for chars in range(1, 9):
+            parts = list(packing.slices(t, chars))
+            assert "".join(parts) == t and sum([tokens.encode(p) for p in parts], []) == tokens.encode(t), (t, chars)
+    long = "word " * 1000 + "a  b " * 1000
+    assert 90 <= len(list(packing.slices(long, 100))) <= 100
+
+
+def test_long_runs_of_blanks():
+    tokens = packing.Tokens()
+    for t in [" " * 1_500_000 + "x", "x y" + "\n" * 1_500_000, "x \n" + " \n" * 700_000 + "\x0by"]:
+        assert tokens.ids(t) == b"".join(struct.pack("<I", i) for i in tokens.slow.encode(t, add_special_tokens=False).ids)
+
+
 def test_bounds_hold():
     import numpy as np
 

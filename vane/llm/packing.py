@@ -7,8 +7,8 @@ the bins with room go into common pools, so that partitions exchange documents,
 bins if the new packing needs as many. This is done `exchanges` times.
 
 A null text is empty: one piece, the end id alone. Rows are packed one by one, also repeated ones or those with a null doc_id.
-Of pieces of equal length the smaller doc_id, then piece, comes first. A very long text is tokenised whole. An empty table gives
-an empty result. Extra columns, whatever their names, are ignored.
+Of pieces of equal length the smaller doc_id, then piece, comes first. A very long text is tokenised in slices cut at
+lone spaces. An empty table gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import base64
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,29 +29,22 @@ from vane.llm.text_batches import map_texts
 from vane.plans.shared import stored
 
 SIZE = 2048
-SPACES = re.compile(r"\s\s")
-BETWEEN = re.compile(r"(?<!\s) (?!\s)")
+LONE = re.compile(r"(?<!\s) (?!\s)")
+BLANKS = 100_000
+BLANK = re.compile(r"(?<!\s)\s{%d}" % BLANKS)
 
 
-class PieceIds(dict):
-    """Text between single spaces to the bytes of its ids; emptied when large.
+def slices(text: str, chars: int = 1_000_000) -> Iterator[str]:
+    """The text cut before the first lone space after every chars characters (nowhere, if there is none).
 
     The vocabulary's pattern never lets a token cross from one side of a lone space to the other, so the ids of a text are
-    those of its parts, each with its leading space.
+    those of its slices.
     """
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encode(part)
-        value = struct.pack(f"<{len(ids)}I", *ids)
-        if len(part) < 48:
-            if len(self) > 150_000:
-                self.clear()
-            self[part] = value
-        return value
+    at = 0
+    while cut := LONE.search(text, at + chars):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 class Tokens:
@@ -66,15 +60,14 @@ class Tokens:
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("vane", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known = PieceIds(fast.encode_ordinary)
+        self.encode = fast.encode_ordinary
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special):
-            ids = self.slow.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        parts = BETWEEN.split(text) if SPACES.search(text) else text.split(" ")
-        return self.known[parts[0]] * bool(parts[0]) + b"".join([self.known[" " + p] for p in parts[1:]])
+        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        if any(s in text for s in self.special) or (len(text) >= BLANKS and BLANK.search(text)):  # tiktoken's stack overflows in long runs of blanks
+            return pack(self.slow.encode(text, add_special_tokens=False).ids)
+        return b"".join([pack(self.encode(part)) for part in slices(text)])
 
 
 def token_pieces(docs: DataFrame, size: int, name: str = "byte_bpe_50k") -> DataFrame:
