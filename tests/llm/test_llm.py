@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -301,6 +302,25 @@ def test_language(spark, odd):
     assert langid.identify(odd.limit(0), odd).count() == 0
 
 
+def test_language_model_keeps_no_dense_rows_in_the_driver(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tracemalloc.start()
+    try:
+        rows = langid.training_rows(docs.where(~langid.held_out(F.col("doc_id"))), 3000)
+        model = langid.fit(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(rows) > 600 and peak < len(rows) * langid.BUCKETS * 4
+    assert sum(x.nbytes for x in (rows.at, rows.counts, rows.seen)) < len(rows) * langid.BUCKETS
+    text = {(r.lang, r.text[: langid.HEAD]): r.text for r in docs.collect() if r.text}
+    for lang, dense, seen, head in rows:
+        counts = langid.gram_counts(text[lang, head])
+        assert (dense == (counts / counts.sum()).astype(langid.np.float32)).all()
+        assert (seen == langid.np.unique(langid.np.concatenate([langid.seen_buckets(h) for h in langid.gram_chunks(text[lang, head])]))).all()
+    assert (langid.fit(list(rows))["table"] == model["table"]).all()
+
+
 def test_language_rejects_what_it_never_learned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     unknown = ["Минулого тижня діти пішли до лісу збирати гриби, а ввечері повернулися додому. " * 4, "A gyerekek tegnap délután elmentek az erdőbe gombát szedni, és csak este értek haza. " * 4, "Wczoraj po południu dzieci poszły do lasu zbierać grzyby i wróciły dopiero wieczorem. " * 4, "xqzj vkpw qjxz wvkq zzxq jvwk pqxz kwjv qzxj wkvp " * 8]

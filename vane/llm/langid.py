@@ -19,6 +19,8 @@ among them (`answers` renames these).
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,34 +87,47 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, max_docs: int) -> list[tuple[str, np.ndarray, np.ndarray, str]]:
-    """(lang, averaged counts, places among the SEEN marks, first HEAD characters) of about max_docs documents at most: a hash of doc_id below a bound, of those with a label."""
+class TrainingRows(Sequence):
+    """(lang, averaged counts, places among the SEEN marks, first HEAD characters) by index. Rows stay as small as the tasks sent them; each is spread into BUCKETS numbers when it is asked for."""
+
+    def __init__(self, rows: pa.Table):
+        self.langs, (self.at, self.counts, self.seen, self.heads) = rows["lang"].to_pylist(), (rows[c].combine_chunks() for c in ("at", "count", "seen", "head"))
+        self.order = list(range(len(self.langs)))
+        self.order = sorted(self.order, key=lambda i: (self.langs[i], self[i][1][:1024].tobytes()))
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> tuple[str, np.ndarray, np.ndarray, str]:
+        i = self.order[i]
+        at, counts, seen = (np.frombuffer(zlib.decompress(x[i].as_buffer()), kind) for x, kind in ((self.at, np.int16), (self.counts, np.uint32), (self.seen, np.int32)))
+        dense = np.zeros(BUCKETS, np.float32)
+        dense[at] = counts / counts.sum()
+        return self.langs[i], dense, seen, self.heads[i].as_py()
+
+
+def training_rows(docs: DataFrame, max_docs: int) -> TrainingRows:
+    """Of about max_docs documents at most: a hash of doc_id below a bound, of those with a label."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     n = usable.select("doc_id").count()
     keep = max(1, -(-n // max_docs))
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, at, values, seen, heads = [], [], [], [], []
+        langs, at, counted, seen, heads = [], [], [], [], []
+        small = lambda x, kind: zlib.compress(x.astype(kind).tobytes(), 1)  # noqa: E731  all of it goes through the driver
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if has_letter(text):
                 counts = gram_counts(text)
                 used = np.flatnonzero(counts)
                 langs.append(lang)
-                at.append(used.astype(np.int16))
-                values.append((counts[used] / counts.sum()).astype(np.float32))
-                seen.append(np.unique(np.concatenate([seen_buckets(hashes) for hashes in gram_chunks(text)])).astype(np.int32))
+                at.append(small(used, np.int16))
+                counted.append(small(counts[used], np.uint32))
+                seen.append(small(np.unique(np.concatenate([seen_buckets(hashes) for hashes in gram_chunks(text)])), np.int32))
                 heads.append(text[:HEAD])
-        join = lambda xs, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)], dtype=np.int32)), pa.array(np.concatenate(xs) if xs else np.empty(0, kind)))
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), join(at, np.int16), join(values, np.float32), join(seen, np.int32), pa.array(heads, pa.string())], ["lang", "at", "value", "seen", "head"])
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *(pa.array(x, pa.binary()) for x in (at, counted, seen)), pa.array(heads, pa.string())], ["lang", "at", "count", "seen", "head"])
 
-    rows = map_texts(sample.select("lang", "text"), "text", work, "lang string, at array<smallint>, value array<float>, seen array<int>, head string").toArrow()
-    out = []
-    for lang, at, value, seen, head in zip(rows["lang"].to_pylist(), rows["at"], rows["value"], rows["seen"], rows["head"].to_pylist()):
-        dense = np.zeros(BUCKETS, np.float32)
-        dense[at.values.to_numpy()] = value.values.to_numpy()
-        out.append((lang, dense, seen.values.to_numpy(), head))
-    return sorted(out, key=lambda r: (r[0], r[1].tobytes()[:4096]))
+    return TrainingRows(map_texts(sample.select("lang", "text"), "text", work, "lang string, at binary, count binary, seen binary, head string").toArrow())
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -143,12 +158,12 @@ def thresholds(model: dict, texts: list[tuple[str, str]], tolerance: float) -> l
     return out[::-1]
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray, str]], epochs: int = 12, rate: float = 4.0, tolerance: float = 0.001) -> dict:
+def fit(rows: Sequence[tuple[str, np.ndarray, np.ndarray, str]], epochs: int = 12, rate: float = 4.0, tolerance: float = 0.001) -> dict:
     """languages, table (bucket by language: embedding times linear layer), bias, temperature, seen, thresholds."""
     languages = sorted({r[0] for r in rows})
     if not languages:
         return {"languages": [], "table": np.zeros((BUCKETS, 0), np.float32), "bias": np.zeros(0), "temperature": 1.0, "seen": np.zeros(SEEN, bool), "thresholds": []}
-    x = np.stack([r[1] for r in rows])
+    x = lambda some: np.stack([rows[i][1] for i in some])  # noqa: E731  never all rows at once: each is BUCKETS numbers
     y = np.array([languages.index(r[0]) for r in rows])
     rng = np.random.default_rng(11)
     order = rng.permutation(len(y))
@@ -161,15 +176,16 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, str]], epochs: int = 12, r
         step = np.float32(rate * (1 - epoch / epochs) + 0.1)
         for s in range(0, len(train), 32):
             b = train[s : s + 32]
-            hidden = x[b] @ emb
+            now = x(b)
+            hidden = now @ emb
             grad = softmax(hidden @ lin + bias)
             grad[np.arange(len(b)), y[b]] -= 1
             grad /= len(b)
             back = grad @ lin.T
             lin -= step * (hidden.T @ grad)
             bias -= step * 0.1 * grad.sum(0)
-            used = np.flatnonzero(x[b].any(0))
-            emb[used] -= step * 8 * (x[b][:, used].T @ back)
+            used = np.flatnonzero(now.any(0))
+            emb[used] -= step * 8 * (now[:, used].T @ back)
     table = (emb @ lin).astype(np.float32)
     check = kept_back if len(kept_back) else order
     model = {"languages": languages, "table": table, "bias": bias, "seen": np.zeros(SEEN, bool)}
@@ -177,7 +193,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, str]], epochs: int = 12, r
         model["seen"][rows[i][2]] = True
     # whole texts alone may have no wrong answer, which fits no temperature
     cut = [(y[i], piece) for i in check for length in BANDS for piece in pieces(rows[i][3], length)]
-    z = np.concatenate([x[check] @ table + bias, scores([c[1] for c in cut], model)[0]])
+    z = np.concatenate([x(check) @ table + bias, scores([c[1] for c in cut], model)[0]])
     at = np.arange(len(z)), np.r_[y[check], [c[0] for c in cut]].astype(int)
     model["temperature"] = float(min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(np.maximum(softmax(z / t)[at], 1e-12)).mean()))
     model["thresholds"] = thresholds(model, [(rows[i][0], rows[i][3]) for i in check], tolerance)
@@ -215,6 +231,7 @@ def identify(docs: DataFrame, train: DataFrame, max_docs: int = 3000, carried: l
     """doc_id (or the carried columns of docs, text among them), lang_pred, score, rejected: of every row of docs. train: rows to learn from (doc_id, text, lang)."""
     carried = carried or ["doc_id"]
     model = fit(training_rows(train, max_docs))
+    pa.default_memory_pool().release_unused()  # the driver goes on to other stages
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
