@@ -440,3 +440,16 @@ def test_daily_thresholds_keep_their_rates(spark):
     assert rates["heavy"].warn_rate < 0.006 and rates["heavy"].warn > 9  # the ceiling holds it
     first = graded.where(F.col("timestamp") < F.lit(T0 + timedelta(days=1))).select("warn", "critical").distinct().collect()
     assert [(r.warn, r.critical) for r in first] == [(3.0, 5.0)]
+
+
+def test_exported_texts_come_back_as_they_are(spark, tmp_path):
+    from vane.operators import report
+
+    texts = ["plain", " lead", "cut behind a blank ", "\ttab\t", "a\rb", "x\r", "a\r\nb", "l1\nl2", '"', '""', 'a"b', "a\\", '\\"', "a,b", "#c", "\0z", "z\0", " ", "ends, "]
+    for at, columns in enumerate((("i", "m"), ("m", "i"))):  # a blank at a line's end, and before a comma
+        report.export_csv(spark.createDataFrame(list(enumerate(texts)), "i int, m string").select(*columns), str(tmp_path / f"x{at}"))
+        back = report.read_csv(spark, str(tmp_path / f"x{at}"), ", ".join({"i": "i int", "m": "m string"}[c] for c in columns))
+        assert [r.m for r in back.orderBy("i").collect()] == texts
+    long = spark.createDataFrame([("x" * 4095 + " y",)], "message string").select(scan.cut_bytes(F.col("message")).alias("message"))
+    report.export_csv(long, str(tmp_path / "long"))
+    assert report.read_csv(spark, str(tmp_path / "long"), "message string").first().message == "x" * 4095 + " "

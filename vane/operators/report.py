@@ -93,13 +93,18 @@ def summary_document(insights: DataFrame, clusters: DataFrame, n_insights: int =
     return i.join(F.broadcast(c)).select(F.to_json(F.struct("insights", "clusters")).alias("payload"))  # one row each
 
 
+#: How exports are written: quotes are doubled, line breaks stay inside quotes and blanks at the ends of a text are kept.
+CSV = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header; quotes are doubled and line breaks stay inside quotes."""
-    df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """CSV files with a header, every text as it is."""
+    df.write.options(**CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Files that export_csv wrote."""
+    return spark.read.schema(schema).options(**CSV).option("multiLine", True).csv(path)
 
 
 def export_if_changed(df: DataFrame, path: str, manifest: DataFrame | None, name: str, newest: str | None = None) -> tuple[bool, DataFrame]:
@@ -113,7 +118,7 @@ def export_if_changed(df: DataFrame, path: str, manifest: DataFrame | None, name
     before = manifest.where(F.col("name") == name).first() if manifest is not None else None
     changed = before is None or (before["rows"], before["newest"]) != (now["rows"], now["newest"])
     if changed:
-        df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        df.write.mode("overwrite").options(**CSV).csv(path)
     return changed, row
 
 
