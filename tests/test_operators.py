@@ -453,3 +453,37 @@ def test_exported_texts_come_back_as_they_are(spark, tmp_path):
     long = spark.createDataFrame([("x" * 4095 + " y",)], "message string").select(scan.cut_bytes(F.col("message")).alias("message"))
     report.export_csv(long, str(tmp_path / "long"))
     assert report.read_csv(spark, str(tmp_path / "long"), "message string").first().message == "x" * 4095 + " "
+
+
+def test_culprits_equal_a_loop_and_join_nothing(spark):
+    rng = random.Random(11)
+    at = lambda s: T0 + timedelta(seconds=s)
+    points = [(rng.choice("gh"), rng.randrange(12), rng.randrange(0, 4_000, 5), i, rng.choice(["cpu", "memory"]), float(rng.randrange(60)), rng.choice([None, 1.0, 1.5, 2.0, rng.uniform(0, 4)])) for i in range(1_500)]
+    asked = sorted({(rng.choice("ghi"), rng.randrange(0, 6_000, 5)) for _ in range(400)})
+    want = []
+    for host, t in asked:
+        last = {}
+        for p in sorted(points, key=lambda p: (p[2], p[3])):
+            if p[0] == host and t - 600 < p[2] <= t:
+                last[p[1], p[4]] = p[5:]
+        states = []
+        for pid in {k[0] for k in last}:
+            (cpu, zc), (mem, zm) = last.get((pid, "cpu"), (None, None)), last.get((pid, "memory"), (None, None))
+            metric, value, z = ("memory", mem, zm) if zm is not None and (zc is None or zm > zc) else ("cpu", cpu, zc)
+            if z is not None and z >= 1.5 or z is None and value is not None and value >= 20:
+                states.append((z is None, -(value if z is None else z), pid, metric, value, z))
+        want += [(host, at(t).replace(tzinfo=None), rank, *s[2:]) for rank, s in enumerate(sorted(states)[:3], 1)]
+    a = spark.createDataFrame([(h, at(t)) for h, t in [*asked, *asked[:50]]], "host string, timestamp timestamp")
+    df = spark.createDataFrame([(h, pid, at(s), i, m, v, z) for h, pid, s, i, m, v, z in points], "host string, pid long, timestamp timestamp, seq long, metric string, value double, sigma double").repartition(5)
+    found = incidents.culprits(a, df)
+    got = found.withColumn("opened", F.col("opened").cast("timestamp_ntz")).collect()
+    assert len(want) > 300 and sorted(map(tuple, got), key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # every anomaly met every point of its host's day
+
+
+def test_standing_processes_that_ended_leave():
+    s = incidents.Standing(2)
+    for t in range(20_000):
+        s.enter(t, t + 10, (False, -float(t % 7), True, t), (t,))
+    live = [(-(t % 7), t) for t in range(19_990, 20_000)]
+    assert [x[0] for x in s.best(19_999)] == [t for _, t in sorted(live)[:2]] and len(s.heap) <= 1_025
